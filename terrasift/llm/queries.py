@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm import exact_dedup, learning, minhash, mixing, toxicity
+from terrasift.llm import exact_dedup, learning, minhash, mixing, pieces, token_store, toxicity
+
+BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +29,25 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    folder = token_store.write_store(docs, public_tokenizers.path(BYTE_BPE))
+    read = token_store.read_store(spark, folder, token_store.keys_of(docs))
+    return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    encoded = pieces.encode(docs, public_tokenizers.path(PIECE_BPE), from_files=True)
+    return encoded.select(
+        F.col("id").alias("doc_id"), "n_units", F.size("ids").alias("n_pieces"), pieces.ids_crc32("ids").alias("ids_crc32"), "round_trip"
+    )
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", "copies")
@@ -38,7 +57,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op3_exact_dedup": op3_exact_dedup,
+        "op6_token_store": op6_token_store,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_mix_sources": op10_mix_sources,
     }
 
