@@ -1,15 +1,16 @@
-"""MinHash near-duplicate detection with sequential Bayesian verification of banded candidates.
-
-1. Every text becomes the set of its word shingles, a signature and a digest of its word sequence. Equal sequences form
-   a class (by the same tree-merge as exact deduplication); only its representative goes on.
-2. Band keys of the signatures are grouped. In each bucket the smallest member leads; every other member is compared
-   with the leader, not with every other member.
-3. A candidate pair's signatures are compared in batches. After each batch the posterior of the similarity, given the
-   matches so far, is looked up; a pair whose probability of reaching the threshold is below ``miss`` is pruned.
-4. Survivors are verified exactly, on the full shingle sets of both texts.
-5. Verified links are contracted into components. Buckets that still hold members of several components get a further
-   leader for what has not been compared, until every pair of a bucket has been compared or is already connected:
-   no bucket is capped, and no link of a bucket is lost.
+"""MinHash near-duplicate detection with sequential Bayesian verification.
+
+1. Every text becomes the set of its word shingles and a digest of its word sequence. Equal sequences form a class (by
+   the same tree-merge as exact deduplication); only its representative goes on, with the keys of its signature's bands
+   and one byte of each minimum.
+2. Band keys are grouped. In each bucket the smallest member leads, and the others are compared with the leader.
+3. Comparing means: the signatures are matched in batches; after each batch the posterior of the similarity, given the
+   matches so far, is looked up, and a pair whose probability of reaching the threshold is below ``miss`` is pruned.
+4. Survivors are verified exactly, on the full shingle sets of both texts, and contracted into components.
+5. Buckets that still hold members of several components are gone through once more: each member outside the bucket's
+   first component is compared with all members that it isn't connected with. Then every pair of a bucket has been
+   compared or is connected, so no bucket is capped and no link of a bucket is lost. A large bucket is cut into blocks
+   of bounded size, which meet in as many tasks; its pairs are looked at in place, and only survivors become rows.
 """
 
 from __future__ import annotations
@@ -19,10 +20,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from terrasift.llm.components import connected_components
 from terrasift.llm.exact_dedup import tree_merge
@@ -89,11 +89,20 @@ def signature(shingles: np.ndarray, block: int = 1024) -> np.ndarray:
     return least
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """One 64-bit key for each band, of its number and its rows."""
+    total = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
+    for row in sig.astype(np.uint64).reshape(BANDS, ROWS).T:
+        total = mixed((total ^ row) * np.uint64(0x9E3779B97F4A7C15))
+    return total.view(np.int64)
+
+
 SKETCH = T.StructType(
     [
         T.StructField("n_shingles", T.LongType()),
         T.StructField("digest", T.BinaryType()),
         T.StructField("sig", T.BinaryType()),
+        T.StructField("keys", T.ArrayType(T.LongType())),
     ]
 )
 
@@ -102,28 +111,29 @@ SKETCH = T.StructType(
 def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     of = WordHashes()
     for texts in batches:
-        sizes, digests, sigs = [], [], []
+        sizes, digests, sigs, keys = [], [], [], []
         for text in texts:
             tokens = words(text)
             shingles, _ = shingle_hashes(tokens, of)
             sizes.append(len(shingles))
             digests.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
-            sigs.append(signature(shingles).tobytes() if len(shingles) else b"")
-        yield pd.DataFrame({"n_shingles": np.array(sizes, np.int64), "digest": digests, "sig": sigs})
+            sig = signature(shingles) if len(shingles) else None
+            sigs.append(None if sig is None else sig.astype(np.uint8).tobytes())
+            keys.append(None if sig is None else band_keys(sig))
+        yield pd.DataFrame({"n_shingles": np.array(sizes, np.int64), "digest": digests, "sig": sigs, "keys": keys})
 
 
 def reach(threshold: float, miss: float, batch: int = BATCH, hashes: int = HASHES, grid: int = 2001) -> list[int]:
-    """For each number of hashes compared, the fewest matches with P(similarity >= threshold | matches) >= miss.
+    """For each number of bytes compared, the fewest matches with P(similarity >= threshold | matches) >= miss.
 
-    The prior of the similarity is uniform on [0, 1]; the posterior of m matches among n is Beta(m + 1, n - m + 1).
+    The prior of the similarity s is uniform on [0, 1]; a byte of two minima matches with probability s + (1 - s) / 256.
     """
     s = (np.arange(grid) + 0.5) / grid
-    over = s >= threshold
-    least = []
+    match, over, least = s + (1 - s) / 256, s >= threshold, []
     for n in range(batch, hashes + 1, batch):
         m = 0
         while m <= n:
-            log = m * np.log(s) + (n - m) * np.log1p(-s)
+            log = m * np.log(match) + (n - m) * np.log1p(-match)
             mass = np.exp(log - log.max())
             if mass[over].sum() / mass.sum() >= miss:
                 break
@@ -132,27 +142,67 @@ def reach(threshold: float, miss: float, batch: int = BATCH, hashes: int = HASHE
     return least
 
 
-def bayes_survivors(threshold: float, miss: float):
-    """A function of two signature columns: true where no batch pruned the pair."""
-    least = reach(threshold, miss)
+def survivors(one: np.ndarray, others: np.ndarray, least: list[int]) -> np.ndarray:
+    """The positions in ``others`` that no batch prunes against ``one``."""
+    alive, matches = np.arange(len(others)), np.zeros(len(others), np.int64)
+    for k, fewest in enumerate(least):
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        matches = matches + (others[alive, part] == one[part]).sum(axis=1)
+        ok = matches >= fewest
+        alive, matches = alive[ok], matches[ok]
+        if not len(alive):
+            break
+    return alive
+
+
+BLOCK = 512
 
-    @F.pandas_udf("boolean")
-    def survives(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for left, right in batches:
-            keep = np.ones(len(left), bool)
-            if len(left):
-                a = np.frombuffer(b"".join(left), np.uint32).reshape(len(left), HASHES)
-                b = np.frombuffer(b"".join(right), np.uint32).reshape(len(left), HASHES)
-                alive, matches = np.arange(len(left)), np.zeros(len(left), np.int64)
-                for k, fewest in enumerate(least):
-                    part = slice(k * BATCH, (k + 1) * BATCH)
-                    matches = matches + (a[alive, part] == b[alive, part]).sum(axis=1)
-                    ok = matches >= fewest
-                    keep[alive[~ok]] = False
-                    alive, matches = alive[ok], matches[ok]
-            yield pd.Series(keep)
-
-    return survives
+
+def candidates(rows: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Distinct pairs (a, b) of equal key that aren't pruned; one of the two has ``leads``, and their labels differ.
+
+    ``rows``: key, id, sig, n, leads, label, and ``size`` and ``leaders``, the numbers of rows and of leading rows of
+    the key. A key's rows are cut into blocks, and each block of leading rows meets each block of all rows.
+    """
+    least = reach(percent / 100, miss)
+    place = lambda of: F.pmod(F.xxhash64("id"), F.ceil(F.col(of) / BLOCK))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(of) / BLOCK) - 1))
+    named = ["key", "i", "j", "id", "sig", "n", "label"]
+    right = rows.select("*", place("size").alias("j"), every("leaders").alias("i")).select(*named, F.lit(False).alias("first"))
+    left = rows.where("leads").select("*", place("leaders").alias("i"), every("size").alias("j"))
+    both = right.union(left.select(*named, F.lit(True).alias("first")))
+    both = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rest = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
+            if len(rest):
+                spot = rest[["key", "i", "j"]].to_numpy()
+                cuts = np.flatnonzero((spot[1:] != spot[:-1]).any(axis=1)) + 1
+                if len(cuts):  # the last group may go on in the next batch
+                    yield pairs_of(rest.iloc[: cuts[-1]], [0, *cuts])
+                    rest = rest.iloc[cuts[-1] :].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield pairs_of(rest, [0, len(rest)])
+
+    def pairs_of(part: pd.DataFrame, cuts) -> pd.DataFrame:
+        sigs = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), HASHES)
+        ids, labels, sizes, first = (part[c].to_numpy() for c in ("id", "label", "n", "first"))
+        out = []
+        for lo, hi in zip(cuts, cuts[1:]):
+            others = lo + np.flatnonzero(~first[lo:hi])
+            for k in lo + np.flatnonzero(first[lo:hi]):
+                apart = others[labels[others] != labels[k]]
+                # sets of very different sizes can't be similar
+                few, many = np.minimum(sizes[apart], sizes[k]), np.maximum(sizes[apart], sizes[k])
+                apart = apart[100 * few >= percent * many]
+                if len(apart):
+                    hits = apart[survivors(sigs[k], sigs[apart], least)]
+                    out += [(min(ids[k], ids[x]), max(ids[k], ids[x])) for x in hits]
+        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
+
+    return both.mapInPandas(compare, "a long, b long").distinct()
 
 
 def shingle_set(text: str | None) -> set:
@@ -180,24 +230,15 @@ def exact_links(percent: int):
     return linked
 
 
-def band_keys(sig: Column) -> Column:
-    """One 64-bit key for each band, from the bytes of its rows and its number."""
-    return F.array(*(F.xxhash64(F.lit(k), F.substring(sig, k * ROWS * 4 + 1, ROWS * 4)) for k in range(BANDS)))
-
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough.
 
-def verified(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, percent: int, miss: float, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose full sets are similar enough.
-
-    ``a`` may lead very many pairs; the joins on it are plain sort-merge joins, whose large partitions Spark splits.
+    ``a`` may lead very many pairs; the joins are plain sort-merge joins, whose large partitions Spark splits.
     """
-    survives, linked = bayes_survivors(percent / 100, miss), exact_links(percent)
-    right = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n").alias("n_b")), "b")
-    both = right.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n").alias("n_a")), "a")
-    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")  # sets of very different sizes can't be similar
-    left = scratch.table(both.where(fits).where(survives("sig_a", "sig_b")).select("a", "b"))
-    pairs = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return scratch.table(pairs.where(linked("text_a", "text_b")).select("a", "b"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    both = pairs.hint("merge").join(right, "b").hint("merge").join(left, "a")
+    return scratch.table(both.where(exact_links(percent)("text_a", "text_b")).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, miss: float = MISS) -> DataFrame:
@@ -211,50 +252,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their names. ``percent`` must be 80 or more; the bands miss a pair of similarity 0.85 with probability 7e-7, one of
     0.80 with 1e-4.
     """
+    if percent < 80:
+        raise ValueError("the bands are made for 80 percent or more")
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = rows.select("id", sketch("text").alias("s"), F.spark_partition_id().alias("part"))
-    base = scratch.table(
-        base.select("id", "s.*", (F.col("part") * 8 + F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")).alias("run"))
-    )
-    full = base.where("n_shingles > 0 and id is not null").select("id", "n_shingles", "digest", "run")
-    classes = scratch.table(tree_merge(full, ["digest", "n_shingles"], "run", "id", scratch).select("id", F.col("best").alias("rep")))
-    reps = base.where("n_shingles > 0").join(classes.where("id = rep").select("id").distinct(), "id", "left_semi")
-    sigs = reps.groupBy("id").agg(F.min(F.struct("digest", F.col("n_shingles").alias("n"), "sig")).alias("s"))
-    sigs = scratch.table(sigs.select("id", "s.n", "s.sig"))
-
-    buckets = sigs.select("id", F.explode(band_keys(F.col("sig"))).alias("key"))
-    sizes = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = scratch.table(buckets.join(sizes, "key").select("key", "id", "lead", "members"))
-    texts = scratch.table(rows.join(members.select("id").distinct(), "id", "left_semi"))
-    pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    links = verified(pairs, texts, sigs, percent, miss, scratch)
-    # (key, id, led): the members of buckets with pairs that no leader has met, and whether they have led
-    live = scratch.table(members.where("members > 2").select("key", "id", (F.col("id") == F.col("lead")).alias("led")))
-    leaders = 1
-    while not live.isEmpty():
-        labels = connected_components(links, scratch)
-        live = live.join(labels.withColumnRenamed("node", "id"), "id", "left")
-        live = live.select("key", "id", "led", F.coalesce("component", "id").alias("label"))
-        # what is outside a bucket's first component leads next, until it has met all that it isn't connected with
-        live = scratch.table(live.join(live.groupBy("key").agg(F.min("label").alias("low")), "key"))
-        waiting = live.where("label <> low and not led")
-        lead = waiting.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("nth") <= leaders)
-        lead = scratch.table(lead.select("key", F.col("id").alias("lead"), F.col("label").alias("its")))
-        if lead.isEmpty():
-            break
-        met = live.join(lead, "key").where("label <> its").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
-        met = scratch.table(met.distinct().join(pairs, ["a", "b"], "left_anti"))
-        links = scratch.table(links.union(verified(met, texts, sigs, percent, miss, scratch)))
-        pairs = scratch.table(pairs.union(met))
-        live = live.join(lead.select("key").distinct(), "key", "left_semi")
-        live = live.join(lead.select("key", F.col("lead").alias("id"), F.lit(True).alias("now")), ["key", "id"], "left")
-        live = scratch.table(live.select("key", "id", (F.col("led") | F.col("now").isNotNull()).alias("led")))
-        leaders *= 4
-    else:
-        labels = connected_components(links, scratch)
-    classes = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    classes = classes.groupBy("id").agg(F.min("component").alias("component"))
+    base = scratch.table(base.select("id", "s.*", (F.col("part") * 8 + F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")).alias("run")))
+    full = base.where("n_shingles > 0 and id is not null").select("id", F.col("n_shingles").alias("n"), "digest", "sig", "keys", "run")
+    classes = scratch.table(tree_merge(full, ["digest", "n"], "run", "id", scratch).select("id", F.col("best").alias("rep"), "n", "sig", "keys"))
+    reps = classes.where("id = rep")
+
+    buckets = reps.select("id", F.explode("keys").alias("key"))
+    sizes = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = scratch.table(buckets.join(sizes.hint("merge"), "key"))
+    ids = scratch.table(members.select("id").distinct())
+    texts = scratch.table(rows.join(ids.hint("merge"), "id", "left_semi"))
+    sigs = reps.select("id", "sig", "n").join(ids.hint("merge"), "id", "left_semi")
+    members = scratch.table(members.join(sigs.hint("merge"), "id"))
+
+    star = members.select("key", "id", "sig", "n", (F.col("id") == F.col("lead")).alias("leads"), F.col("id").alias("label"), "size", F.lit(1).alias("leaders"))
+    first = scratch.table(candidates(star, percent, miss))
+    links = verified(first, texts, percent, scratch)
+    labels = connected_components(links, scratch).withColumnRenamed("node", "id")
+
+    # of each bucket, all that lies in one component is done; what lies outside of it meets whatever it isn't linked with
+    left = members.where("size > 2").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
+    left = scratch.table(left.select("key", "id", "sig", "n", "label", "size"))
+    low = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    left = scratch.table(left.join(low, "key").withColumn("leads", F.col("label") != F.col("low")))
+    leaders = left.where("leads").groupBy("key").agg(F.count(F.lit(1)).alias("leaders"))
+    more = candidates(left.join(leaders, "key"), percent, miss).join(first, ["a", "b"], "left_anti")
+    more = verified(scratch.table(more), texts, percent, scratch)
+    if not more.isEmpty():
+        labels = connected_components(links.union(more), scratch).withColumnRenamed("node", "id")
+    classes = classes.select("id", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    classes = classes.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     component = F.coalesce("component", "id")
     return base.select("id", "n_shingles").join(classes, "id", "left").select(
         F.col("id").alias(id_col),

@@ -30,7 +30,6 @@ import sentencepiece
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from terrasift.llm.scratch import Scratch, shared_folder
 
@@ -239,9 +238,10 @@ def with_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", from_files: bool = False, unigram: bool = False) -> DataFrame:
-    """One row per row of ``docs``: (id, ids, n_units, round_trip), as a DataFrame.
+    """One row per row of ``docs``: id, ids, n_units, n_pieces, ids_crc32, round_trip.
 
-    ids is the encoding of the whole text; null and empty texts have none. round_trip tells whether decoding the ids
+    ids is the encoding of the whole text; null and empty texts have none. ids_crc32 is the unsigned crc32 of the ids as
+    little-endian 32-bit integers. round_trip tells whether decoding the ids
     gives the text again (a text that holds the escaped space itself, U+2581, is decoded with a space there). Rows with
     repeated or null ids are encoded row by row. Other columns are not read. An empty table gives no rows.
     ``from_files`` says that ``docs`` is a plain read of files, whose parts serve as blocks; any other table is written
@@ -293,25 +293,24 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     scratch.table(dealt.groupBy("block").applyInArrow(write, "block long, units long"))
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        strings, hashes, block = pieces.decoder(), UnitHashes(), None
+        strings, hashes, block, out, held = pieces.decoder(), UnitHashes(), None, [], 0
         for batch in batches:
-            out = []
-            for text, b in zip(batch["text"], batch["block"]):
-                if b != block:
-                    block, file = b, UnitFile.read(folder, b) if text else None
-                if file is None and text:
-                    file = UnitFile.read(folder, b)
+            for i, text, b in zip(batch["id"], batch["text"], batch["block"]):
+                if text and b != block:
+                    block, file = b, UnitFile.read(folder, b)
                 keys = pieces.units(text)
                 ids = file.ids(np.fromiter(map(hashes.__getitem__, keys), np.int64, len(keys))) if keys else np.zeros(0, np.int32)
-                out.append((ids, len(keys), decode_ids(ids, strings) == text))
-            for i in range(0, len(out), 1000):
-                part = out[i : i + 1000]
-                yield pd.DataFrame(
-                    {"id": batch["id"].iloc[i : i + 1000].to_numpy(), "ids": [x[0] for x in part], "n_units": [x[1] for x in part], "round_trip": [x[2] for x in part]}
-                )
-
+                out.append((i, ids, len(keys), len(ids), zlib.crc32(ids.astype("<i4").tobytes()), decode_ids(ids, strings) == text))
+                held += len(ids)
+                if held > 2_000_000:  # some MB of ids at a time
+                    yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    names = ["id", "ids", "n_units", "n_pieces", "ids_crc32", "round_trip"]
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInPandas(assemble, f"id {kind}, ids array<int>, n_units long, round_trip boolean")
+    return rows.mapInPandas(assemble, f"id {kind}, ids array<int>, n_units long, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
 class UnitHashes(dict):
@@ -352,12 +351,6 @@ class UnitFile:
         return self.values[np.arange(ends[-1]) + np.repeat(first - (ends - sizes), sizes)]
 
 
-@F.pandas_udf(T.LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    """Unsigned crc32 of the ids as little-endian 32-bit integers."""
-    return pd.Series([zlib.crc32(np.asarray(x, "<i4").tobytes()) for x in ids], dtype="int64")
-
-
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with a column ``decoded``: the text of its ids. Null ids give null."""
     strings = Pieces.read(model).decoder()
