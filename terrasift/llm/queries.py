@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrasift.llm import exact_dedup, learning, minhash, mixing, pieces, token_store, toxicity
+from terrasift.llm import exact_dedup, language, learning, minhash, mixing, pieces, preference, quality, token_store, toxicity, vector_search
 
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
@@ -25,10 +26,31 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (learning.remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = preference.last_reply_pairs(_read(spark, sf_dir, "conversations"))
+    rows = preference.format_preferences(pairs)
+    masks = [preference.mask_text(F.col(c)).alias(c) for c in ("chosen_mask", "rejected_mask")]
+    return rows.select(F.col("key").alias("conv_id"), "prompt_turns", "prompt", "chosen", masks[0], "rejected", masks[1])
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, learning.remainder("doc_id", 3) != 1)
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", (learning.remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    net = language.train(docs, learning.remainder("doc_id", 5) != 0)
+    found = language.predict_language(docs, net)
+    return found.select("doc_id", (learning.remainder("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     folder = token_store.write_store(docs, public_tokenizers.path(BYTE_BPE))
@@ -36,6 +58,10 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op7_vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -54,13 +80,22 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_preference_format": op2_preference_format,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_quality": op4_quality,
+        "op5_language": op5_language,
         "op6_token_store": op6_token_store,
+        "op7_vector_top_k": op7_vector_top_k,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_mix_sources": op10_mix_sources,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op2_preference_format": preference.ORACLE_SQL,
+        "op3_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op7_vector_top_k": vector_search.ORACLE_SQL,
+    } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
