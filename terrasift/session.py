@@ -2,8 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python workers import what the driver runs."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    name = os.path.join(folder, "terrasift.zip")
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, p.relative_to(root.parent))
+    context.addPyFile(name)  # the driver serves it to the executors
+    _SHIPPED.add(context.applicationId)
+
 
 def local_session(cores: str | int = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A local session with adaptive execution, UTC time and a small driver UI footprint."""
