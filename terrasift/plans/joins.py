@@ -1 +1,281 @@
-"""Queries."""
+"""Spatial join queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from terrasift.functions import geometry as G
+from terrasift.operators import points as P
+from terrasift.operators import spatial as S
+from terrasift.plans.fixtures import view
+from terrasift.plans.registry import query
+
+CROSSES = "(e.y1 > p.y) <> (e.y2 > p.y) and p.x < (e.x2 - e.x1) * (p.y - e.y1) / (e.y2 - e.y1) + e.x1"
+ON_EDGE = """(e.x2 - e.x1) * (p.y - e.y1) = (e.y2 - e.y1) * (p.x - e.x1) and p.x between least(e.x1, e.x2) and greatest(e.x1, e.x2)
+ and p.y between least(e.y1, e.y2) and greatest(e.y1, e.y2)"""
+PIP = f"""
+with q as (select p.pt_key, e.poly_id, sum(case when {CROSSES} then 1 else 0 end) as n, sum(case when {ON_EDGE} then 1 else 0 end) as b
+ from v_points p join v_polys e on p.x between e.xmin and e.xmax and p.y between e.ymin and e.ymax group by p.pt_key, e.poly_id)
+"""
+
+
+def polys(spark, sf):
+    return S.polygons(view(spark, sf, "v_polys"))
+
+
+@query(PIP + "select pt_key, poly_id from q where n % 2 = 1 and b = 0")
+def join_pip(spark, sf):
+    return S.point_in_polygon(view(spark, sf, "v_points"), polys(spark, sf)).select("pt_key", "poly_id")
+
+
+@query(PIP + "select pt_key, poly_id from q where n % 2 = 1 and b = 0")
+def join_pip_inner_shortcut(spark, sf):
+    return S.point_in_polygon(view(spark, sf, "v_points"), polys(spark, sf), size=1.0, shortcut=True).select("pt_key", "poly_id")
+
+
+@query(PIP + "select poly_id, count(*) as n from q where n % 2 = 1 or b > 0 group by poly_id")
+def join_sjoin_intersects(spark, sf):
+    pairs = S.point_in_polygon(view(spark, sf, "v_points"), polys(spark, sf), boundary=True)
+    return pairs.groupBy("poly_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(PIP + "select cast(floor(x / 10) as bigint) as tx, cast(floor(y / 10) as bigint) as ty, count(*) as n from q join v_points using (pt_key) where n % 2 = 1 and b = 0 group by all")
+def cq_tile_clip_merge(spark, sf):
+    pairs = S.point_in_polygon(view(spark, sf, "v_points"), polys(spark, sf))
+    return pairs.groupBy(G.cell("x", 10).alias("tx"), G.cell("y", 10).alias("ty")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select p.pt_key, b.poly_id from v_points p join v_boxes b on p.x between b.xmin and b.xmax and p.y between b.ymin and b.ymax")
+def join_bbox_clip(spark, sf):
+    return S.box_join(view(spark, sf, "v_points"), view(spark, sf, "v_boxes")).select("pt_key", "poly_id")
+
+
+@query("select p.pt_key from v_points p where exists (select 1 from v_boxes b where p.x > b.xmin and p.x < b.xmax and p.y > b.ymin and p.y < b.ymax)")
+def join_points_within_box(spark, sf):
+    return S.box_join(view(spark, sf, "v_points"), view(spark, sf, "v_boxes"), closed=False).select("pt_key").distinct()
+
+
+EXTENT = "with s as (select file, classification, min(x) as a, min(y) as b, max(x) as c, max(y) as d from v_points where x < 12 and y < 12 group by file, classification)"
+
+
+@query(EXTENT + " select file, classification, poly_id from s join v_boxes on xmin <= c and xmax >= a and ymin <= d and ymax >= b")
+def join_extent_intersects(spark, sf):
+    scans = P.extent(view(spark, sf, "v_points").where("x < 12 and y < 12"), "file", "classification")
+    size, box = 16.0, [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]
+    scans = S.touched_cells(scans, size, *box).selectExpr("file", "classification", "xmin as a", "ymin as b", "xmax as c", "ymax as d", "cx", "cy")
+    pairs = scans.join(S.touched_cells(view(spark, sf, "v_boxes"), size, *box), ["cx", "cy"])
+    return pairs.where("xmin <= c and xmax >= a and ymin <= d and ymax >= b").select("file", "classification", "poly_id").distinct()
+
+
+DIST = """(select *, coalesce(greatest(0.0, least(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0))), 0.0) as t
+ from {pts} cross join v_segments)"""
+NEAR = """
+with p as (select id, kod, x, y, z from v_codes where {where}), a as (select * from {cross} q),
+ d as (select *, sqrt((x1 + t * (x2 - x1) - x) * (x1 + t * (x2 - x1) - x) + (y1 + t * (y2 - y1) - y) * (y1 + t * (y2 - y1) - y)) as dist from a),
+ n as (select *, row_number() over (partition by id order by dist, line_id, seq) as nth from d)
+"""
+
+
+def near(where: str) -> str:
+    return NEAR.format(where=where, cross=DIST.format(pts="p"))
+
+
+def codes(spark, sf, where: str):
+    return view(spark, sf, "v_codes").where(where)
+
+
+@query(near("kod = 'RD'") + "select distinct id, line_id from d where dist <= 0.5")
+def join_dwithin(spark, sf):
+    return S.near_segments(codes(spark, sf, "kod = 'RD'"), view(spark, sf, "v_segments"), 0.5).select("id", "line_id").distinct()
+
+
+@query("""select distinct c.c_custkey as id, s.line_id from customer c join v_segments s on (s.x2 - s.x1) * (c.c_custkey * 13 % 101 - s.y1) = (s.y2 - s.y1) * (c.c_acctbal / 100 - s.x1)
+ and c.c_acctbal / 100 between least(s.x1, s.x2) and greatest(s.x1, s.x2) and c.c_custkey * 13 % 101 between least(s.y1, s.y2) and greatest(s.y1, s.y2)""")
+def join_exact_intersects(spark, sf):
+    pts = view(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_custkey") * 13 % 101).cast("double").alias("y"))
+    seg = view(spark, sf, "v_segments")
+    cells = S.touched_cells(seg, 8.0, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"))
+    pairs = S.keyed(pts, 8.0).join(cells, ["cx", "cy"]).where(G.on_segment("x", "y", *S.EDGE))
+    return pairs.select("id", "line_id").distinct()
+
+
+KNN = """
+with b as (select * from v_codes where kod = 'RDS'), o as (select * from v_codes where kod = 'RD'),
+ d as (select b.id, o.id as oid, sqrt((o.x - b.x) * (o.x - b.x) + (o.y - b.y) * (o.y - b.y)) as dist, b.z, o.z as oz from b cross join o),
+ k as (select *, row_number() over (partition by id order by dist, oid) as nth from d where dist <= 7)
+"""
+
+
+def knn(spark, sf, base="RDS", other="RD", k=2):
+    others = codes(spark, sf, f"kod = '{other}'").select(F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
+    return S.nearest_points(codes(spark, sf, f"kod = '{base}'"), others, k, 7.0)
+
+
+@query(KNN + "select id, oid, cast(nth as integer) as nth from k where nth <= 2")
+def join_knn(spark, sf):
+    return knn(spark, sf).select("id", "oid", "nth")
+
+
+@query(near("kod = 'RL'") + "select id, line_id, seq, floor(dist * 1e6 + 0.5) / 1e6 as dist from n where nth = 1")
+def join_nearest_line(spark, sf):
+    best = S.nearest_segment(codes(spark, sf, "kod = 'RL'"), view(spark, sf, "v_segments"))
+    return best.select("id", "line_id", F.col("seq").cast("long").alias("seq"), G.rounded("dist").alias("dist"))
+
+
+SIDE = near("kod = 'RD' and id % 3 = 0") + """,
+ f as (select id as rd, line_id, x as rx, y as ry, z as rz, (x2 - x1) / sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as tx, (y2 - y1) / sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as ty
+  from n where nth = 1 and dist <= 5 and (x2 <> x1 or y2 <> y1)),
+ c as (select f.*, o.id as oid, o.kod, o.z as oz, (o.x - rx) * tx + (o.y - ry) * ty as along, (o.x - rx) * -ty + (o.y - ry) * tx as across from f join v_codes o on o.kod in ('RDS', 'RGS', 'RL')),
+ w as (select * from c where abs(along) <= 1 and abs(across) <= 5)
+"""
+
+
+def corridor(spark, sf):
+    """RD points with their line's direction, and the other points in the corridor across them."""
+    rd = S.nearest_segment(codes(spark, sf, "kod = 'RD' and id % 3 = 0"), view(spark, sf, "v_segments"), reaches=(5.0,))
+    rd = rd.where("dist <= 5 and (x2 <> x1 or y2 <> y1)")
+    length = G.distance(*S.EDGE)
+    rd = rd.select(
+        F.col("id").alias("rd"), "line_id", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"),
+        ((F.col("x2") - F.col("x1")) / length).alias("tx"), ((F.col("y2") - F.col("y1")) / length).alias("ty"),
+    )
+    reach = 5.1
+    cells = S.touched_cells(rd, reach, F.col("rx") - reach, F.col("ry") - reach, F.col("rx") + reach, F.col("ry") + reach)
+    others = S.keyed(codes(spark, sf, "kod in ('RDS', 'RGS', 'RL')").withColumnRenamed("id", "oid").withColumnRenamed("z", "oz"), reach)
+    dx, dy = F.col("x") - F.col("rx"), F.col("y") - F.col("ry")
+    pairs = cells.join(others, ["cx", "cy"])
+    pairs = pairs.withColumn("along", dx * F.col("tx") + dy * F.col("ty")).withColumn("across", dx * -F.col("ty") + dy * F.col("tx"))
+    return rd, pairs.where((F.abs("along") <= 1) & (F.abs("across") <= 5)).drop("cx", "cy", "x", "y")
+
+
+@query(SIDE + "select rd, oid, kod from w")
+def join_corridor(spark, sf):
+    return corridor(spark, sf)[1].select("rd", "oid", "kod")
+
+
+@query(SIDE + """, s as (select *, row_number() over (partition by rd, kod, across < 0 order by abs(across), oid) as nth from w where across <> 0)
+select rd, kod, case when across < 0 then 'left' else 'right' end as side, oid from s where nth = 1""")
+def join_nearest_per_side(spark, sf):
+    rows = corridor(spark, sf)[1].where("across <> 0")
+    side = F.when(F.col("across") < 0, "left").otherwise("right")
+    best = rows.groupBy("rd", "kod", side.alias("side")).agg(F.min(F.struct(F.abs("across").alias("d"), "oid")).alias("b"))
+    return best.select("rd", "kod", "side", F.col("b.oid").alias("oid"))
+
+
+GROUP = near("kod in ('RD', 'RDS') and id % 5 = 0") + """, l as (select id, kod, x, y, line_id from n where nth = 1)
+select a.id as rd, b.id as member from l a join l b on a.line_id = b.line_id and a.kod = 'RD' and b.kod = 'RDS' and sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) <= 10"""
+
+
+@query(GROUP)
+def join_same_line_group(spark, sf):
+    rows = S.nearest_segment(codes(spark, sf, "kod in ('RD', 'RDS') and id % 5 = 0"), view(spark, sf, "v_segments")).select("id", "kod", "x", "y", "line_id")
+    base = rows.where("kod = 'RD'")
+    cells = S.touched_cells(base, 10.0, F.col("x") - 10, F.col("y") - 10, F.col("x") + 10, F.col("y") + 10)
+    others = rows.where("kod = 'RDS'").select(F.col("id").alias("member"), F.col("x").alias("ox"), F.col("y").alias("oy"), "line_id")
+    pairs = cells.join(S.keyed(others, 10.0, "ox", "oy"), ["cx", "cy", "line_id"])
+    return pairs.where(G.distance("x", "y", "ox", "oy") <= 10).select(F.col("id").alias("rd"), "member")
+
+
+@query(near("kod = 'RD'") + """, m as (select distinct id, line_id from d where dist <= 0.5)
+select line_id, count(*) as points from m group by line_id""")
+def cq_count_rd(spark, sf):
+    pairs = S.near_segments(codes(spark, sf, "kod = 'RD'"), view(spark, sf, "v_segments"), 0.5).select("id", "line_id").distinct()
+    return pairs.groupBy("line_id").agg(F.count(F.lit(1)).alias("points"))
+
+
+@query(near("kod = 'RD'") + """, m as (select distinct id, line_id, x, y from d where dist <= 0.5),
+ e as (select line_id, arg_min(x1, seq) as sx, arg_min(y1, seq) as sy, arg_max(x2, seq) as ex, arg_max(y2, seq) as ey from v_segments group by line_id),
+ g as (select line_id, count(*) as points, min(sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy))) as s, min(sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey))) as t from m join e using (line_id) group by line_id)
+select line_id, points, s > 10 as start_gap, t > 10 as end_gap from g where points > 2 and (s > 10 or t > 10)""")
+def cq_rd_endpoint_gap(spark, sf):
+    segments = view(spark, sf, "v_segments")
+    pairs = S.near_segments(codes(spark, sf, "kod = 'RD'"), segments, 0.5).select("id", "line_id", "x", "y").distinct()
+    ends = segments.groupBy("line_id").agg(
+        F.min_by("x1", "seq").alias("sx"), F.min_by("y1", "seq").alias("sy"), F.max_by("x2", "seq").alias("ex"), F.max_by("y2", "seq").alias("ey")
+    )
+    rows = pairs.join(ends, "line_id").groupBy("line_id").agg(
+        F.count(F.lit(1)).alias("points"), F.min(G.distance("sx", "sy", "x", "y")).alias("s"), F.min(G.distance("ex", "ey", "x", "y")).alias("t")
+    )
+    return rows.where("points > 2 and (s > 10 or t > 10)").select("line_id", "points", (F.col("s") > 10).alias("start_gap"), (F.col("t") > 10).alias("end_gap"))
+
+
+VALIDATE = SIDE + """, s as (select *, row_number() over (partition by rd, kod, across < 0 order by abs(across), oid) as nth from w where across <> 0),
+ v as (select f.rd, f.rz, max(case when kod = 'RDS' and across < 0 then oz end) as rds_l, max(case when kod = 'RDS' and across > 0 then oz end) as rds_r,
+  max(case when kod = 'RGS' and across < 0 then oz end) as rgs_l, max(case when kod = 'RGS' and across > 0 then oz end) as rgs_r
+  from f left join s on f.rd = s.rd and s.nth = 1 group by f.rd, f.rz),
+ r as (select rd, rds_l > rz as rds_left, rds_r > rz as rds_right, rgs_l > rds_l as rgs_left, rgs_r > rds_r as rgs_right from v)
+select rd, rds_left, rds_right, rgs_left, rgs_right, coalesce(rds_left, true) and coalesce(rds_right, true) and coalesce(rgs_left, true) and coalesce(rgs_right, true) as ok,
+ concat_ws('; ', case when not rds_left then 'RDS left' end, case when not rds_right then 'RDS right' end, case when not rgs_left then 'RGS left' end, case when not rgs_right then 'RGS right' end) as issues from r"""
+
+
+@query(VALIDATE)
+def cq_cross_section_validate(spark, sf):
+    rd, rows = corridor(spark, sf)
+    pick = lambda kod, left: F.min(
+        F.when((F.col("kod") == kod) & ((F.col("across") < 0) if left else (F.col("across") > 0)), F.struct(F.abs("across").alias("d"), "oid", "oz"))
+    )["oz"]
+    picked = rows.groupBy("rd").agg(
+        pick("RDS", True).alias("rds_l"), pick("RDS", False).alias("rds_r"), pick("RGS", True).alias("rgs_l"), pick("RGS", False).alias("rgs_r")
+    )
+    out = rd.select("rd", "rz").join(picked, "rd", "left").select(
+        "rd",
+        (F.col("rds_l") > F.col("rz")).alias("rds_left"),
+        (F.col("rds_r") > F.col("rz")).alias("rds_right"),
+        (F.col("rgs_l") > F.col("rds_l")).alias("rgs_left"),
+        (F.col("rgs_r") > F.col("rds_r")).alias("rgs_right"),
+    )
+    rules = {"rds_left": "RDS left", "rds_right": "RDS right", "rgs_left": "RGS left", "rgs_right": "RGS right"}
+    ok = F.lit(True)
+    for c in rules:  # a rule that doesn't apply is null, and counts as kept
+        ok = ok & F.coalesce(c, F.lit(True))
+    issues = F.concat_ws("; ", *(F.when(~F.col(c), text) for c, text in rules.items()))
+    return out.withColumn("ok", ok).withColumn("issues", issues)
+
+
+@query(KNN + """, h as (select id, z, min(oz) as lowest from k where nth <= 2 group by id, z)
+select id, floor((case when z <= lowest then lowest + 0.11 else z end) * 1e6 + 0.5) / 1e6 as z from h""")
+def cq_height_fix(spark, sf):
+    rows = knn(spark, sf).groupBy("id", "z").agg(F.min("oz").alias("lowest"))
+    return rows.select("id", G.rounded(F.when(F.col("z") <= F.col("lowest"), F.col("lowest") + 0.11).otherwise(F.col("z"))).alias("z"))
+
+
+SNAP = near("kod in ('RD', 'RDS') and id % 5 = 0") + """, l as (select id, kod, x, y, line_id, x1 + t * (x2 - x1) - x as dx, y1 + t * (y2 - y1) - y as dy, dist from n where nth = 1),
+ g as (select b.id, min(a.id) as rd from l a join l b on a.line_id = b.line_id and a.kod = 'RD' and (a.id = b.id or (b.kod = 'RDS' and sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) <= 10)) where a.dist <= 50 group by b.id)
+select l.id, g.rd, floor((l.x + a.dx) * 1e4 + 0.5) / 1e4 as x, floor((l.y + a.dy) * 1e4 + 0.5) / 1e4 as y from g join l on l.id = g.id join l a on a.id = g.rd"""
+
+
+@query(SNAP)
+def cq_shift_snap(spark, sf):
+    """A group moves once, with the vector of its RD's nearest line; a member of several groups goes to the smallest RD."""
+    rows = S.nearest_segment(codes(spark, sf, "kod in ('RD', 'RDS') and id % 5 = 0"), view(spark, sf, "v_segments"))
+    at = lambda a, b: F.col(a) + F.col("t") * (F.col(b) - F.col(a))
+    rows = rows.select("id", "kod", "x", "y", "line_id", "dist", (at("x1", "x2") - F.col("x")).alias("dx"), (at("y1", "y2") - F.col("y")).alias("dy"))
+    rd = rows.where("kod = 'RD' and dist <= 50")
+    cells = S.touched_cells(rd, 10.0, F.col("x") - 10, F.col("y") - 10, F.col("x") + 10, F.col("y") + 10)
+    others = rows.where("kod = 'RDS'").select(F.col("id").alias("member"), F.col("x").alias("ox"), F.col("y").alias("oy"), "line_id")
+    pairs = cells.join(S.keyed(others, 10.0, "ox", "oy"), ["cx", "cy", "line_id"]).where(G.distance("x", "y", "ox", "oy") <= 10)
+    claims = pairs.select("member", F.col("id").alias("rd")).union(rd.select(F.col("id").alias("member"), F.col("id").alias("rd")))
+    claims = claims.groupBy(F.col("member").alias("id")).agg(F.min("rd").alias("rd"))
+    moves = rd.select(F.col("id").alias("rd"), "dx", "dy")
+    moved = rows.select("id", "x", "y").join(claims, "id").join(moves, "rd")
+    return moved.select("id", "rd", G.rounded(F.col("x") + F.col("dx"), 4).alias("x"), G.rounded(F.col("y") + F.col("dy"), 4).alias("y"))
+
+
+ZONES = PIP + """, a as (select poly_id, pt_key from q where n % 2 = 1 and b = 0), z as (select poly_id, string_agg(pt_key, ',' order by pt_key) as paths, count(*) as n from a group by poly_id)
+select b.poly_id, coalesce(paths, '') as paths, coalesce(n, 0) as n from v_boxes b left join z on b.poly_id = z.poly_id"""
+
+
+@query(ZONES)
+def cq_photo_zone_index(spark, sf):
+    pairs = S.point_in_polygon(view(spark, sf, "v_points"), polys(spark, sf))
+    listed = pairs.groupBy("poly_id").agg(F.array_join(F.sort_array(F.collect_list("pt_key")), ",").alias("paths"), F.count(F.lit(1)).alias("n"))
+    zones = view(spark, sf, "v_boxes").select("poly_id").join(listed, "poly_id", "left")
+    return zones.select("poly_id", F.coalesce("paths", F.lit("")).alias("paths"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(EXTENT + """ select file || '_' || name || '_' || poly_id as full_name, file, poly_id, count(classification) as classes
+ from s join v_boxes on xmin <= c and xmax >= a and ymin <= d and ymax >= b group by all""")
+def cq_cross_section_metadata(spark, sf):
+    pairs = join_extent_intersects(spark, sf).join(view(spark, sf, "v_boxes").select("poly_id", "name"), "poly_id")
+    named = F.concat_ws("_", "file", "name", F.col("poly_id").cast("string")).alias("full_name")
+    return pairs.groupBy(named, "file", "poly_id").agg(F.count(F.lit(1)).alias("classes"))
