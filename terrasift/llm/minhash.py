@@ -10,11 +10,13 @@
 5. Buckets that still hold members of several components are gone through once more: each member outside the bucket's
    first component is compared with all members that it isn't connected with. Then every pair of a bucket has been
    compared or is connected, so no bucket is capped and no link of a bucket is lost. A large bucket is cut into blocks
-   of bounded size, which meet in as many tasks; its pairs are looked at in place, and only survivors become rows.
+   of bounded size, which meet in as many tasks; its pairs are looked at and verified in place, and only links become
+   rows.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +58,12 @@ class WordHashes(dict):
         return value
 
 
+@functools.lru_cache(maxsize=1)
+def word_hashes() -> WordHashes:
+    """The hashes that the tasks of a Python worker share."""
+    return WordHashes()
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values in which every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(32))
@@ -109,7 +117,7 @@ SKETCH = T.StructType(
 
 @F.pandas_udf(SKETCH)
 def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    of = WordHashes()
+    of = word_hashes()
     for texts in batches:
         sizes, digests, sigs, keys = [], [], [], []
         for text in texts:
@@ -158,51 +166,121 @@ def survivors(one: np.ndarray, others: np.ndarray, least: list[int]) -> np.ndarr
 BLOCK = 512
 
 
-def candidates(rows: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Distinct pairs (a, b) of equal key that aren't pruned; one of the two has ``leads``, and their labels differ.
+def blocks(rows: DataFrame, *more: str) -> DataFrame:
+    """The rows of each key in blocks of bounded size, such that each block of leading rows meets each block of all.
 
-    ``rows``: key, id, sig, n, leads, label, and ``size`` and ``leaders``, the numbers of rows and of leading rows of
-    the key. A key's rows are cut into blocks, and each block of leading rows meets each block of all rows.
+    ``rows``: key, id, sig, n, leads, label, ``size`` and ``leaders`` (the numbers of rows and of leading rows of the
+    key) and ``more``. (key, i, j) numbers a meeting; ``first`` tells a leading row's copy from its plain one.
     """
-    least = reach(percent / 100, miss)
     place = lambda of: F.pmod(F.xxhash64("id"), F.ceil(F.col(of) / BLOCK))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(of) / BLOCK) - 1))
-    named = ["key", "i", "j", "id", "sig", "n", "label"]
+    named = ["key", "i", "j", "id", "sig", "n", "label", *more]
     right = rows.select("*", place("size").alias("j"), every("leaders").alias("i")).select(*named, F.lit(False).alias("first"))
     left = rows.where("leads").select("*", place("leaders").alias("i"), every("size").alias("j"))
     both = right.union(left.select(*named, F.lit(True).alias("first")))
-    both = both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def meetings(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """Whole meetings of sorted blocks: some rows, and where in them each meeting begins, and the end."""
+    rest = None
+    for batch in batches:
+        rest = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
+        if len(rest):
+            spot = rest[["key", "i", "j"]].to_numpy()
+            cuts = np.flatnonzero((spot[1:] != spot[:-1]).any(axis=1)) + 1
+            if len(cuts):  # the last one may go on in the next batch
+                yield rest.iloc[: cuts[-1]], [0, *cuts]
+                rest = rest.iloc[cuts[-1] :].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest, [0, len(rest)]
+
+
+class Comparison:
+    """What every leading row of some meetings may be linked with: the rows of other labels that aren't pruned."""
+
+    def __init__(self, part: pd.DataFrame, percent: int, least: list[int]):
+        self.sigs = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), HASHES)
+        self.ids, self.labels, self.sizes, self.first = (part[c].to_numpy(copy=True) for c in ("id", "label", "n", "first"))
+        self.percent, self.least = percent, least
+
+    def hits(self, k: int, others: np.ndarray) -> np.ndarray:
+        apart = others[self.labels[others] != self.labels[k]]
+        # sets of very different sizes can't be similar
+        few, many = np.minimum(self.sizes[apart], self.sizes[k]), np.maximum(self.sizes[apart], self.sizes[k])
+        apart = apart[100 * few >= self.percent * many]
+        return apart[survivors(self.sigs[k], self.sigs[apart], self.least)] if len(apart) else apart
+
+    def meeting(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        return lo + np.flatnonzero(self.first[lo:hi]), lo + np.flatnonzero(~self.first[lo:hi])
+
+    def pair(self, k: int, x: int) -> tuple[int, int]:
+        return min(self.ids[k], self.ids[x]), max(self.ids[k], self.ids[x])
+
+
+def star_pairs(rows: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket's one leader and a member that isn't pruned."""
+    least = reach(percent / 100, miss)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, cuts in meetings(batches):
+            own, out = Comparison(part, percent, least), set()
+            for lo, hi in zip(cuts, cuts[1:]):
+                lead, others = own.meeting(lo, hi)
+                out |= {own.pair(k, x) for k in lead for x in own.hits(k, others)}
+            yield pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+
+    return blocks(rows).mapInPandas(compare, "a long, b long").distinct()
+
+
+def touched(rows: DataFrame, percent: int, miss: float) -> DataFrame:
+    """The rows (key, id) for which some pair with a leading row isn't pruned: no more than there are rows."""
+    least = reach(percent / 100, miss)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
-        for batch in batches:
-            rest = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
-            if len(rest):
-                spot = rest[["key", "i", "j"]].to_numpy()
-                cuts = np.flatnonzero((spot[1:] != spot[:-1]).any(axis=1)) + 1
-                if len(cuts):  # the last group may go on in the next batch
-                    yield pairs_of(rest.iloc[: cuts[-1]], [0, *cuts])
-                    rest = rest.iloc[cuts[-1] :].reset_index(drop=True)
-        if rest is not None and len(rest):
-            yield pairs_of(rest, [0, len(rest)])
-
-    def pairs_of(part: pd.DataFrame, cuts) -> pd.DataFrame:
-        sigs = np.frombuffer(b"".join(part["sig"]), np.uint8).reshape(len(part), HASHES)
-        ids, labels, sizes, first = (part[c].to_numpy() for c in ("id", "label", "n", "first"))
-        out = []
-        for lo, hi in zip(cuts, cuts[1:]):
-            others = lo + np.flatnonzero(~first[lo:hi])
-            for k in lo + np.flatnonzero(first[lo:hi]):
-                apart = others[labels[others] != labels[k]]
-                # sets of very different sizes can't be similar
-                few, many = np.minimum(sizes[apart], sizes[k]), np.maximum(sizes[apart], sizes[k])
-                apart = apart[100 * few >= percent * many]
-                if len(apart):
-                    hits = apart[survivors(sigs[k], sigs[apart], least)]
-                    out += [(min(ids[k], ids[x]), max(ids[k], ids[x])) for x in hits]
-        return pd.DataFrame(sorted(set(out)), columns=["a", "b"], dtype="int64")
-
-    return both.mapInPandas(compare, "a long, b long").distinct()
+        for part, cuts in meetings(batches):
+            own, seen = Comparison(part, percent, least), np.zeros(len(part), bool)
+            for lo, hi in zip(cuts, cuts[1:]):
+                lead, others = own.meeting(lo, hi)
+                for k in lead:
+                    hits = own.hits(k, others)
+                    seen[hits] = True
+                    seen[k] |= len(hits) > 0
+            yield pd.DataFrame({"key": part["key"].to_numpy()[seen], "id": own.ids[seen]})
+
+    return blocks(rows).mapInPandas(compare, "key long, id long").distinct()
+
+
+def block_links(rows: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Distinct pairs (a, b) that are similar enough by the hashes of their full sets; rows also hold ``text``.
+
+    Pairs are verified in place, and what a link connects within a meeting isn't compared again there.
+    """
+    least = reach(percent / 100, miss)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = word_hashes()
+        for part, cuts in meetings(batches):
+            own, texts, out = Comparison(part, percent, least), part["text"].to_numpy(), set()
+            for lo, hi in zip(cuts, cuts[1:]):
+                sets: dict[int, set] = {}
+                lead, others = own.meeting(lo, hi)
+                for k in lead:
+                    for x in own.hits(k, others):
+                        if own.labels[x] == own.labels[k]:
+                            continue
+                        for y in (k, x):
+                            if own.ids[y] not in sets:
+                                sets[own.ids[y]] = set(shingle_hashes(words(texts[y]), of)[0].tolist())
+                        a, b = sets[own.ids[k]], sets[own.ids[x]]
+                        both = len(a & b)
+                        if both and 100 * both >= percent * (len(a) + len(b) - both):
+                            out.add(own.pair(k, x))
+                            part_of = own.labels[lo:hi]
+                            part_of[part_of == own.labels[x]] = own.labels[k]
+            yield pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+
+    return blocks(rows, "text").mapInPandas(compare, "a long, b long").distinct()
 
 
 def shingle_set(text: str | None) -> set:
@@ -241,6 +319,12 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch)
     return scratch.table(both.where(exact_links(percent)("text_a", "text_b")).select("a", "b"))
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """``rows`` with the numbers of rows and of leading rows of their key; keys without a leading row go."""
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if("leads").alias("leaders"))
+    return rows.join(counts.where("leaders > 0"), "key")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, miss: float = MISS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, kept.
 
@@ -271,8 +355,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.table(members.join(sigs.hint("merge"), "id"))
 
     star = members.select("key", "id", "sig", "n", (F.col("id") == F.col("lead")).alias("leads"), F.col("id").alias("label"), "size", F.lit(1).alias("leaders"))
-    first = scratch.table(candidates(star, percent, miss))
-    links = verified(first, texts, percent, scratch)
+    links = verified(scratch.table(star_pairs(star, percent, miss)), texts, percent, scratch)
     labels = connected_components(links, scratch).withColumnRenamed("node", "id")
 
     # of each bucket, all that lies in one component is done; what lies outside of it meets whatever it isn't linked with
@@ -280,9 +363,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = scratch.table(left.select("key", "id", "sig", "n", "label", "size"))
     low = left.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
     left = scratch.table(left.join(low, "key").withColumn("leads", F.col("label") != F.col("low")))
-    leaders = left.where("leads").groupBy("key").agg(F.count(F.lit(1)).alias("leaders"))
-    more = candidates(left.join(leaders, "key"), percent, miss).join(first, ["a", "b"], "left_anti")
-    more = verified(scratch.table(more), texts, percent, scratch)
+    left = scratch.table(counted(left.select("key", "id", "sig", "n", "label", "leads")))
+    left = left.join(touched(left, percent, miss).hint("merge"), ["key", "id"])
+    left = counted(left.select("key", "id", "sig", "n", "label", "leads")).join(texts.hint("merge"), "id")
+    more = scratch.table(block_links(left, percent, miss))
+    more = verified(more, texts, percent, scratch)
     if not more.isEmpty():
         labels = connected_components(links.union(more), scratch).withColumnRenamed("node", "id")
     classes = classes.select("id", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
