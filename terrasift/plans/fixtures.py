@@ -70,4 +70,6 @@ def with_views(sql: str) -> str:
         return sql
     ctes = ", ".join(f"{n} as ({re.sub(r'[{}]', '', VIEWS[n])})" for n in needed)
     text = sql.strip()
+    if text.lower().startswith("with recursive "):
+        return f"with recursive {ctes}, {text[15:]}"
     return f"with {ctes}, {text[4:]}" if text.lower().startswith("with ") else f"with {ctes} {text}"
