@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.llm import learning
+from terrasift.llm.scratch import prepare
 
 WINDOW = 64
 HIDDEN = 8
@@ -185,6 +186,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     Of each text, WINDOWS_OF_TEXT windows spread over its length are learned from. None if there is no labelled text.
     """
+    prepare(docs.sparkSession)
     labelled = docs.where(learn).select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"))
     ids = learning.sample_ids(labelled, per_language)
     ids = docs.sparkSession.createDataFrame(ids.toPandas(), ids.schema)  # bounded by per_language

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.llm import learning
+from terrasift.llm.scratch import prepare
 
 PASSAGE = 256
 LAGS = tuple(range(2, 33))
@@ -142,6 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     With one class only, or no label at all, that class (or 0.5) is every text's score. Of a very long text, as many
     passages are learned from as of the longest of 99 in 100 texts, evenly spread; scoring always reads whole texts.
     """
+    prepare(docs.sparkSession)
     labelled = labels.where(learn).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
     ids = learning.sample_ids(labelled, per_class)
     ids = docs.sparkSession.createDataFrame(ids.toPandas(), ids.schema)  # bounded by per_class

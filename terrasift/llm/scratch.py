@@ -11,6 +11,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from terrasift.session import ship
+
+#: Rows of a batch that a Python worker gets at a time: texts may be long, and the default of 10,000 holds many MB.
+BATCH_ROWS = 500
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to Python workers, and bound what they are sent at a time."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the session's ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
@@ -25,6 +36,7 @@ class Scratch:
     """Names and writes the intermediate tables of one operator call."""
 
     def __init__(self, spark: SparkSession):
+        prepare(spark)
         self.spark = spark
         self.folder = shared_folder(spark)
         self.written = 0

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrasift.llm import learning
+from terrasift.llm.scratch import prepare
 
 #: Interchangeable identity terms: the members of a tuple are swapped for each other.
 IDENTITY = (
@@ -161,6 +162,7 @@ def train(
 
     Without a labelled text, or with one class only, every text gets the same score.
     """
+    prepare(docs.sparkSession)
     labelled = labels.where(learn).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
     # collected: its size is bounded by per_class, and it is used twice
     ids = learning.sample_ids(labelled, per_class)
