@@ -1 +1,197 @@
-"""Queries."""
+"""Geometry queries: areas, lengths, projections, reprojection, hulls, lines, clusters."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from terrasift.functions import geometry as G
+from terrasift.operators import spatial as S
+from terrasift.operators import vector as V
+from terrasift.plans.fixtures import view
+from terrasift.plans.registry import query
+
+R4 = "floor(({}) * 1e4 + 0.5) / 1e4"
+
+
+@query("select poly_id, sum(x1 * y2 - x2 * y1) / 2 as area, sum(x1 * y2 - x2 * y1) > 0 as ccw from v_polys group by poly_id")
+def geo_area(spark, sf):
+    return V.ring_area(view(spark, sf, "v_polys"), "poly_id").withColumn("ccw", F.col("area") > 0)
+
+
+@query(f"select line_id, seq, {R4.format('sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))')} as length from v_segments")
+def geo_length(spark, sf):
+    return view(spark, sf, "v_segments").select("line_id", F.col("seq").cast("long").alias("seq"), G.rounded(G.distance(*S.EDGE), 4).alias("length"))
+
+
+@query("select poly_id, (xmin + xmax) / 2 as cx, (ymin + ymax) / 2 as cy, xmin as left_x, ymax as top_y, xmax as right_x, ymin as bottom_y from v_boxes")
+def geo_centroid_bounds_corners(spark, sf):
+    mid = lambda a, b: (F.col(a) + F.col(b)) / 2
+    return view(spark, sf, "v_boxes").select(
+        "poly_id", mid("xmin", "xmax").alias("cx"), mid("ymin", "ymax").alias("cy"),
+        F.col("xmin").alias("left_x"), F.col("ymax").alias("top_y"), F.col("xmax").alias("right_x"), F.col("ymin").alias("bottom_y"),
+    )
+
+
+T = "coalesce(greatest(0.0, least(1.0, ((50 - x1) * (x2 - x1) + (40 - y1) * (y2 - y1)) / nullif((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1), 0))), 0.0)"
+
+
+@query(f"with t as (select *, {T} as t from v_segments) select line_id, seq, {R4.format('x1 + t * (x2 - x1)')} as px, {R4.format('y1 + t * (y2 - y1)')} as py from t")
+def geo_project(spark, sf):
+    rows = view(spark, sf, "v_segments").withColumn("t", G.projection(F.lit(50.0), F.lit(40.0), *S.EDGE))
+    at = lambda a, b: G.rounded(F.col(a) + F.col("t") * (F.col(b) - F.col(a)), 4)
+    return rows.select("line_id", F.col("seq").cast("long").alias("seq"), at("x1", "x2").alias("px"), at("y1", "y2").alias("py"))
+
+
+TANGENT = "with l as (select *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as len from v_segments)"
+
+
+@query(f"{TANGENT} select line_id, seq, {R4.format('(x2 - x1) / len')} as tx, {R4.format('(y2 - y1) / len')} as ty, {R4.format('-(y2 - y1) / len')} as nx, {R4.format('(x2 - x1) / len')} as ny from l where len > 0")
+def geo_tangent_normal(spark, sf):
+    rows = view(spark, sf, "v_segments").withColumn("len", G.distance(*S.EDGE)).where("len > 0")
+    dx, dy = (F.col("x2") - F.col("x1")) / F.col("len"), (F.col("y2") - F.col("y1")) / F.col("len")
+    named = {"tx": dx, "ty": dy, "nx": -(F.col("y2") - F.col("y1")) / F.col("len"), "ny": dx}
+    return rows.select("line_id", F.col("seq").cast("long").alias("seq"), *(G.rounded(v, 4).alias(k) for k, v in named.items()))
+
+
+@query(f"{TANGENT} select line_id, seq, {R4.format('((50 - x1) * -(y2 - y1) + (40 - y1) * (x2 - x1)) / len')} as side from l where len > 0")
+def geo_signed_side(spark, sf):
+    rows = view(spark, sf, "v_segments").withColumn("len", G.distance(*S.EDGE)).where("len > 0")
+    side = ((F.lit(50) - F.col("x1")) * -(F.col("y2") - F.col("y1")) + (F.lit(40) - F.col("y1")) * (F.col("x2") - F.col("x1"))) / F.col("len")
+    return rows.select("line_id", F.col("seq").cast("long").alias("seq"), G.rounded(side, 4).alias("side"))
+
+
+@query("select id, x + 2.5 as x, y - 1.25 as y from v_codes where kod = 'RGS'")
+def geo_translate(spark, sf):
+    return view(spark, sf, "v_codes").where("kod = 'RGS'").select("id", (F.col("x") + 2.5).alias("x"), (F.col("y") - 1.25).alias("y"))
+
+
+RINGS = """select poly_id, 0 as ring, x1, y1, x2, y2 from v_polys union all
+ select poly_id, 1 as ring, xmin + (x1 - xmin) / 2 as x1, ymin + (y1 - ymin) / 2 as y1, xmin + (x2 - xmin) / 2 as x2, ymin + (y2 - ymin) / 2 as y2 from v_polys"""
+
+
+@query(f"with r as ({RINGS}), a as (select poly_id, ring, abs(sum(x1 * y2 - x2 * y1)) / 2 as area from r group by all) select poly_id, ring, area from a where ring = 0 or area > 5")
+def drop_small_holes(spark, sf):
+    rows = view(spark, sf, "v_polys")
+    half = lambda c, o: (F.col(o) + (F.col(c) - F.col(o)) / 2).alias(c)
+    holes = rows.select("poly_id", F.lit(1).alias("ring"), half("x1", "xmin"), half("y1", "ymin"), half("x2", "xmin"), half("y2", "ymin"))
+    rings = rows.select("poly_id", F.lit(0).alias("ring"), *S.EDGE).union(holes)
+    kept = V.ring_area(V.without_small_holes(rings, 5.0), "poly_id", "ring")
+    return kept.select("poly_id", "ring", F.abs("area").alias("area"))
+
+
+@query("""
+select t.fid, t.vertex_ind, floor(sqrt(((b.y - t.y) * (c.k - t.k) - (b.k - t.k) * (c.y - t.y)) * ((b.y - t.y) * (c.k - t.k) - (b.k - t.k) * (c.y - t.y))
+ + ((b.k - t.k) * (c.x - t.x) - (b.x - t.x) * (c.k - t.k)) * ((b.k - t.k) * (c.x - t.x) - (b.x - t.x) * (c.k - t.k))
+ + ((b.x - t.x) * (c.y - t.y) - (b.y - t.y) * (c.x - t.x)) * ((b.x - t.x) * (c.y - t.y) - (b.y - t.y) * (c.x - t.x))) / 2 * 100 + 0.5) / 100 as area
+from (select *, vertex_ind % 7 as k from v_vertices) t join (select *, vertex_ind % 7 as k from v_vertices) b on b.fid = t.fid and b.vertex_ind = t.vertex_ind + 1
+ join (select *, vertex_ind % 7 as k from v_vertices) c on c.fid = t.fid and c.vertex_ind = t.vertex_ind + 2""")
+def geo_triangle_area(spark, sf):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("fid").orderBy("vertex_ind")
+    rows = view(spark, sf, "v_vertices").withColumn("k", F.col("vertex_ind") % 7)
+    rows = rows.withColumns({f"{c}{i}": F.lead(c, i).over(w) - F.col(c) for c in ("x", "y", "k") for i in (1, 2)}).where("x2 is not null")
+    d = {k: F.col(k) for k in ("x1", "x2", "y1", "y2", "k1", "k2")}
+    cross = (d["y1"] * d["k2"] - d["k1"] * d["y2"], d["k1"] * d["x2"] - d["x1"] * d["k2"], d["x1"] * d["y2"] - d["y1"] * d["x2"])
+    area = F.sqrt(cross[0] * cross[0] + cross[1] * cross[1] + cross[2] * cross[2]) / 2
+    return rows.select("fid", "vertex_ind", G.rounded(area, 2).alias("area"))
+
+
+def _grid_sql(srid: int) -> str:
+    import math
+
+    meridian, k0, fe, fn = G.PROJECTIONS[srid]
+    radius, forward, _ = G._series()
+    e = math.sqrt(G.GRS80_F * (2 - G.GRS80_F))
+    north = " + ".join([f"{a!r} * sin({2 * (j + 1)} * xi) * cosh({2 * (j + 1)} * eta)" for j, a in enumerate(forward)])
+    east = " + ".join([f"{a!r} * cos({2 * (j + 1)} * xi) * sinh({2 * (j + 1)} * eta)" for j, a in enumerate(forward)])
+    return f"""
+with g as (select c_custkey, radians(50.0 + c_custkey % 40 / 10.0) as phi, radians(15.0 + c_nationkey / 4.0 - {meridian}) as lam from customer),
+ t as (select *, sinh(atanh(sin(phi)) - {e!r} * atanh({e!r} * sin(phi))) as t from g),
+ x as (select c_custkey, atan2(t, cos(lam)) as xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) as eta from t)
+select c_custkey, floor(({fe} + {k0 * radius!r} * (eta + {east})) * 100 + 0.5) / 100 as easting, floor(({fn} + {k0 * radius!r} * (xi + {north})) * 100 + 0.5) / 100 as northing from x"""
+
+
+@query(_grid_sql(2180))
+def geo_reproject(spark, sf):
+    rows = view(spark, sf, "customer").select("c_custkey", (F.lit(50.0) + F.col("c_custkey") % 40 / 10.0).alias("lat"), (F.lit(15.0) + F.col("c_nationkey") / 4.0).alias("lon"))
+    east, north = G.to_grid("lat", "lon", 2180)
+    return rows.select("c_custkey", G.rounded(east, 2).alias("easting"), G.rounded(north, 2).alias("northing"))
+
+
+@query("select c_custkey, 50.0 + c_custkey % 40 / 10.0 as lat, 15.0 + c_nationkey / 4.0 as lon from customer")
+def geo_reproject_round_trip(spark, sf):
+    rows = view(spark, sf, "customer").select("c_custkey", (F.lit(50.0) + F.col("c_custkey") % 40 / 10.0).alias("lat"), (F.lit(15.0) + F.col("c_nationkey") / 4.0).alias("lon"))
+    east, north = G.to_grid("lat", "lon", 2180)
+    back = rows.select("c_custkey", east.alias("e"), north.alias("n"))
+    lat, lon = G.to_degrees("e", "n", 2180)
+    return back.select("c_custkey", G.rounded(lat, 7).alias("lat"), G.rounded(lon, 7).alias("lon"))
+
+
+@query()
+def agg_convex_hull(spark, sf):
+    hulls = V.convex_hulls(view(spark, sf, "v_points"), "file")
+    return hulls.select("file", F.size("hull").alias("corners"), G.rounded("area", 4).alias("area"))
+
+
+@query()
+def agg_linemerge(spark, sf):
+    return V.merged_lines(view(spark, sf, "v_segments")).select("line_id", "parts", G.rounded("length", 3).alias("length"))
+
+
+@query()
+def geo_simplify(spark, sf):
+    return V.simplify_lines(view(spark, sf, "v_vertices"), 5.0).select("fid", "vertices", "kept")
+
+
+@query("""
+with a as (select poly_id, greatest(0, least(xmax, 60.0) - greatest(xmin, 20.0)) as w, greatest(0, least((xmin + xmax) / 2, 60.0) - greatest(xmin, 20.0)) as half_w,
+ greatest(0, least((ymin + ymax) / 2, 50.0) - greatest(ymin, 10.0)) as low_h, greatest(0, least(ymax, 50.0) - greatest((ymin + ymax) / 2, 10.0)) as up_h from v_boxes)
+select poly_id, floor((w * low_h + half_w * up_h) * 1e6 + 0.5) / 1e6 as area from a""")
+def geo_clip(spark, sf):
+    edges = F.sort_array(F.collect_list(F.struct("edge_no", *S.EDGE))).alias("edges")
+    rings = view(spark, sf, "v_polys").groupBy("poly_id").agg(edges)
+    return V.clip_polygons(rings, (20.0, 10.0, 60.0, 50.0)).select("poly_id", G.rounded("area").alias("area"))
+
+
+@query("select distinct e.line_id, p.id from v_codes p join v_segments e on p.kod = 'RGS' and p.x between least(e.x1, e.x2) - 0.25 and greatest(e.x1, e.x2) + 0.25 and p.y between least(e.y1, e.y2) - 0.25 and greatest(e.y1, e.y2) + 0.25 "
+       "where sqrt((e.x1 + coalesce(greatest(0.0, least(1.0, ((p.x - e.x1) * (e.x2 - e.x1) + (p.y - e.y1) * (e.y2 - e.y1)) / nullif((e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1), 0))), 0.0) * (e.x2 - e.x1) - p.x) ** 2 "
+       "+ (e.y1 + coalesce(greatest(0.0, least(1.0, ((p.x - e.x1) * (e.x2 - e.x1) + (p.y - e.y1) * (e.y2 - e.y1)) / nullif((e.x2 - e.x1) * (e.x2 - e.x1) + (e.y2 - e.y1) * (e.y2 - e.y1), 0))), 0.0) * (e.y2 - e.y1) - p.y) ** 2) <= 0.25")
+def geo_buffer(spark, sf):
+    """Points within a line's buffer; the buffer itself is never built."""
+    return S.near_segments(view(spark, sf, "v_codes").where("kod = 'RGS'"), view(spark, sf, "v_segments"), 0.25).select("line_id", "id").distinct()
+
+
+@query("""
+with recursive p as (select s_suppkey as id, cast(s_suppkey * 37 % 97 as double) as x, cast(s_suppkey * 53 % 89 as double) as y from supplier),
+ e as (select a.id as a, b.id as b from p a join p b on sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 8),
+ w as (select id as a, id as l from p union select e.b, w.l from w join e on e.a = w.a)
+select a as id, min(l) as label from w group by a""")
+def cq_cluster_polygons(spark, sf):
+    rows = view(spark, sf, "v_boxes").select(F.col("poly_id").alias("id"), F.col("xmin").alias("x"), F.col("ymin").alias("y"))
+    return V.clusters(rows, 8.0)
+
+
+@query()
+def smp_mesh_area_weighted(spark, sf):
+    rows = view(spark, sf, "v_points").where("x < 20 and y < 20").select("file", "x", "y", "z")
+    return V.mesh_samples(rows, "file", 2, most=300).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.max("z").alias("high"))
+
+
+@query()
+def cq_fill_gaps(spark, sf):
+    """Counts of the points that fill each gap: whole square metres times the density."""
+    pairs = S.point_in_polygon(view(spark, sf, "v_points").where("classification = 2"), S.polygons(view(spark, sf, "v_polys")))
+    filled = V.mesh_samples(pairs.select("poly_id", "x", "y", "z"), "poly_id", 10, most=300)
+    return filled.groupBy("poly_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def cq_graph_route(spark, sf):
+    rows = view(spark, sf, "v_edges").withColumn("network", (F.col("numer") % 4).cast("long"))
+    return V.greedy_routes(rows, "network", 60_000.0)
+
+
+@query()
+def cq_csf_ground(spark, sf):
+    return V.cloth_ground(view(spark, sf, "v_points").where("x < 60 and y < 60"), cell=1.0, steps=80).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
