@@ -321,3 +321,15 @@ def cloth_ground(points: DataFrame, tile: float = 50.0, cell: float = 0.5, steps
 
     return dealt.groupBy("tx", "ty").applyInPandas(settle, "pt_key string, classification int")
 
+
+
+def alpha_area(points: np.ndarray, alpha: float) -> float:
+    """The area of the alpha shape: of the Delaunay triangles whose circumscribed circle has a radius below 1 / alpha."""
+    t = triangulated(points)
+    if not len(t):
+        return 0.0
+    a, b, c = points[t[:, 0]], points[t[:, 1]], points[t[:, 2]]
+    sides = [np.hypot(*(u - v).T) for u, v in ((a, b), (b, c), (c, a))]
+    area = np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])) / 2
+    radius = np.divide(sides[0] * sides[1] * sides[2], 4 * area, out=np.full(len(t), np.inf), where=area > 0)
+    return float(area[radius < 1 / alpha].sum())
