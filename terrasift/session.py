@@ -30,9 +30,9 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def local_session(cores: str | int = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
-    """A local session with adaptive execution, UTC time and a small driver UI footprint."""
-    return (
+def local_session(cores: str | int = 8, shuffle_partitions: int = 8, memory: str = "12g", checkpoint_dir: str | None = None) -> SparkSession:
+    """A local session with adaptive execution, UTC time and no user interface."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("terrasift")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -41,8 +41,10 @@ def local_session(cores: str | int = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    return builder.getOrCreate()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):
