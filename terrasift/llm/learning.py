@@ -19,11 +19,13 @@ def sample_ids(labelled: DataFrame, per_class: int) -> DataFrame:
     without id or label don't count. Spark limits each class before it is shuffled, so a common class is no hot spot.
     """
     one = labelled.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    few = one.withColumn("nth", nth).where(F.col("nth") <= per_class).drop("nth")
-    sizes = one.groupBy("label").agg(F.count(F.lit(1)).alias("all"))
-    taken = F.least(F.col("all"), F.lit(per_class))
-    return few.join(F.broadcast(sizes), "label").select("id", "label", (F.col("all") / taken).alias("weight"))
+    sizes = F.broadcast(one.groupBy("label").agg(F.count(F.lit(1)).alias("all")))  # a row for each class
+    # a share of each class by hash, a little more than is wanted, so that few rows are ranked
+    share = F.least(F.lit(1.0), (per_class * 1.3 + 50) / F.col("all"))
+    near = one.join(sizes, "label").where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000)
+    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod(F.xxhash64("id"), F.lit(1_000_000)), "id"))
+    few = near.withColumn("nth", nth).where(F.col("nth") <= per_class)
+    return few.select("id", "label", (F.col("all") / F.least(F.col("all"), F.lit(per_class))).alias("weight"))
 
 
 def with_texts(sample: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -46,7 +46,8 @@ BEGINNINGS = (3, 4, 5, 6)
 PER_CLASS = 8000
 FEATURES = 4096
 LEAST_TEXTS = 4
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
+COUNTED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -100,16 +101,23 @@ class Model:
 
 
 def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(feature, toxic texts, other texts) of this task's texts."""
-    pos: Counter = Counter()
-    neg: Counter = Counter()
+    """(feature, toxic texts, other texts) of this task's texts, some at a time."""
+    both: tuple[Counter, Counter] = (Counter(), Counter())
+
+    def counted() -> Iterator[pd.DataFrame]:
+        names = list({*both[0], *both[1]})
+        for i in range(0, len(names), 20_000):
+            part = names[i : i + 20_000]
+            yield pd.DataFrame({"feature": part, "pos": [both[0][x] for x in part], "neg": [both[1][x] for x in part]})
+        for c in both:
+            c.clear()
+
     for rows in batches:
         for text, label in zip(rows["text"], rows["label"]):
-            (pos if label else neg).update({f for t in tokens(text) for f in features_of(t)})
-    names = list({*pos, *neg})
-    for i in range(0, len(names), 50_000):
-        part = names[i : i + 50_000]
-        yield pd.DataFrame({"feature": part, "pos": [pos[x] for x in part], "neg": [neg[x] for x in part]})
+            both[0 if label else 1].update({f for t in tokens(text) for f in features_of(t)})
+            if len(both[0]) + len(both[1]) > COUNTED:
+                yield from counted()
+    yield from counted()
 
 
 def fit(
