@@ -35,7 +35,7 @@ BANDS, ROWS = 30, 6
 HASHES = BANDS * ROWS
 BATCH = 36
 MISS = 1e-6
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
 
 _SEEDS = np.random.Generator(np.random.PCG64(20240229))
 _MUL = _SEEDS.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -6,6 +6,7 @@ files survive the loss of any executor, and a recomputed task reads the rows tha
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -23,12 +24,16 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@functools.lru_cache(maxsize=1)
+def _own_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="terrasift-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the session's ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="terrasift-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _own_root()
+    if "://" not in root:
+        root = "file://" + root if root.startswith("/") else root
     return f"{root.rstrip('/')}/terrasift-{uuid.uuid4().hex}"
 
 
