@@ -45,7 +45,7 @@ _KIND = {term: kind for kind in IDENTITY for term in kind}
 BEGINNINGS = (3, 4, 5, 6)
 PER_CLASS = 8000
 FEATURES = 4096
-LEAST_TEXTS = 4
+LEAST_TEXTS = 3
 WORD_CACHE = 150_000
 COUNTED = 100_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -121,7 +121,7 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(
-    rows: list[tuple[float, int, list[int], list[int] | None]], size: int, pairing: float = 1.0, lasso: float = 3e-4, ridge: float = 1e-4, rounds: int = 400
+    rows: list[tuple[float, int, list[int], list[int] | None]], size: int, pairing: float = 1.0, lasso: float = 1e-4, ridge: float = 1e-4, rounds: int = 800
 ) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated proximal gradient steps.
 
