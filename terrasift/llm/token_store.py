@@ -18,6 +18,7 @@ Tasks write below a temporary name and rename, and a repeated task writes the sa
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import struct
@@ -39,7 +40,7 @@ from terrasift.llm.scratch import Scratch, shared_folder
 
 KEYS_IN_PART = 65_536
 BUCKET = 4
-CACHE = 1_000_000
+CACHE = 600_000
 MAGIC = b"TSMPH001"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s")
@@ -105,6 +106,12 @@ class Encoder:
         return self.known.ids(parts[0]) + b"".join(map(self.known.__getitem__, parts[1:]))
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The encoder that the tasks of a Python worker share, with the pieces that it remembers."""
+    return Encoder(path)
+
+
 def key_hashes(keys: np.ndarray, copies: np.ndarray, seed: int) -> np.ndarray:
     """A 64-bit hash of each (key, copy)."""
     raw = np.ascontiguousarray(np.stack([keys.astype("<i8"), copies.astype("<i8")], axis=1)).tobytes()
@@ -257,7 +264,7 @@ def write_store(
     rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, shard = Encoder(tokenizer), TaskContext.get().partitionId()
+        encoder, shard = encoder_of(tokenizer), TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         own, end = f"{root}/.shard-{shard:06d}.{uuid.uuid4().hex}", np.array([end_id], encoder.dtype).tobytes()
