@@ -1,7 +1,7 @@
 """SentencePiece encoding by a relational lattice, and decoding.
 
-A text is cut where no piece can reach across: before a run of spaces and before a line break. The distinct units of all
-texts go through the lattice once: substrings of bounded length are exploded and equi-joined to the piece table, the
+A text is cut into units before runs of spaces and line breaks, and those into parts wherever two neighbouring characters
+are in no piece, so that no piece reaches across. The distinct parts of all texts go through the lattice once: substrings of bounded length are exploded and equi-joined to the piece table, the
 edges are grouped by unit, and a higher-order aggregate() folds them. For a unigram model the fold keeps the path of the
 greatest total score to each position (Viterbi). For a BPE model that path is not what the library returns; there the
 fold runs over the same edges by merge priority, with the unit's remaining boundaries as its state: each step takes the
@@ -15,12 +15,15 @@ corpus is broadcast.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -39,10 +42,10 @@ UNKNOWN_PENALTY = 10.0
 #: Bytes of an input file whose texts share a file of units; what bounds such a file.
 BLOCK_BYTES = 128 << 20
 FLUSH = 300_000
-LONG = 48
 #: Most characters of a unit whose boundaries fit a bit mask.
 MASK = 61
-WORD_CACHE = 300_000
+WORD_CACHE = 400_000
+UNITS_IN_TASK = 16_384
 _RUNS = re.compile(f"\n[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
 
 
@@ -56,6 +59,7 @@ class Pieces:
     longest: int
     least: float
     inside: frozenset[str]
+    joined: re.Pattern
 
     @classmethod
     def read(cls, path: str) -> Pieces:
@@ -69,10 +73,14 @@ class Pieces:
         if base < 0:
             raise ValueError("the model has no byte pieces")
         inside = frozenset(p[k : k + 2] for p, _, _ in rows for k in range(len(p) - 1))
-        return cls(path, tuple(rows), base, max(len(p) for p, _, _ in rows), min(s for _, _, s in rows), inside)
+        before = "".join(sorted({re.escape(b[0]) for b in inside if b[1] in ".,"}))
+        joined = re.compile(f"(?:^|[ {before}])[.,]")  # a text's first space isn't written
+        return cls(path, tuple(rows), base, max(len(p) for p, _, _ in rows), min(s for _, _, s in rows), inside, joined)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.rows), "piece string, id int, score double")
+        """(piece, id, score, rank): equal scores have equal ranks, the best has 0."""
+        ranks = {v: k for k, v in enumerate(sorted({v for _, _, v in self.rows}, reverse=True))}
+        return spark.createDataFrame([(p, i, v, ranks[v]) for p, i, v in self.rows], "piece string, id int, score double, rank int")
 
     def units(self, text: str) -> list[str]:
         """The units of a text, as keys: one that starts with a line break is itself, any other lacks its first space.
@@ -82,23 +90,26 @@ class Pieces:
         if not text:
             return []
         if text[0] != " " and "  " not in text and SPACE not in text and RAW not in text and "\0" not in text:
+            if not self.joined.search(text):  # then points and commas are parts by themselves
+                text = text.replace(".", f" {RAW}.").replace(",", f" {RAW},")
             keys = text.replace("\n", " \n").split(" ")
         else:
             keys = [x if x[0] == "\n" else RAW + x for x in _RUNS.findall(SPACE + text.replace(" ", SPACE))]
-        if len(text) > LONG * len(keys) or max(map(len, keys)) > LONG:
-            keys = [y for x in keys for y in ([x] if len(x) <= LONG else self._cut(x))]
         return keys
 
-    def _cut(self, key: str) -> list[str]:
-        """A long unit, cut between characters that are neighbours in no piece."""
+    def parts(self, key: str) -> list[str]:
+        """The keys of a unit's parts: it is cut wherever two neighbours are in no piece, as no merge can join them."""
+        if key.isascii() and key.isalpha():  # such neighbours are nearly always in some piece
+            return [key]
         text = surface(key)
+        if self.inside.issuperset(map(add, text, text[1:])):
+            return [key]
         at = [0, *(k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.inside), len(text)]
-        out, first = [], 0
-        for a, b in zip(at, at[1:]):
-            if b - first > LONG and a > first:  # cut as rarely as keeps the units short
-                out.append(text[first:a])
-                first = a
-        return [x if x[0] == "\n" else RAW + x for x in [*out, text[first:]]]
+        if len(at) == 2:
+            return [key]
+        cut = [text[a:b] for a, b in zip(at, at[1:])]
+        head = cut[0][1:] if cut[0][0] == SPACE and cut[0][1:2] not in (RAW, "\n") else cut[0] if cut[0][0] == "\n" else RAW + cut[0]
+        return [head, *(x if x[0] == "\n" else RAW + x for x in cut[1:])]
 
     def decoder(self) -> list[str]:
         """The text of every id; byte pieces as surrogate escapes."""
@@ -144,23 +155,40 @@ def viterbi(edges: Column) -> Column:
 
 
 def merged(edges: Column, length: Column) -> Column:
-    """The ids that BPE leaves of a unit of at most MASK characters.
+    """The ids that BPE leaves of a unit of at most MASK characters; -1 - start stands for a character without a piece.
 
-    ``edges`` (rank, s, need, inner, ids) are sorted by rank and start; need has the bits of an edge's ends, inner those
-    between them. The state has a bit for each boundary that is left. A unit of n characters takes n - 1 merges at most.
+    ``edges``, sorted, are packed into long integers: rank, start, end and id + 1. The state has a bit for each boundary
+    that is left; an edge's ends are the bits ``need``, those between them ``inner``. A unit of n characters takes n - 1
+    merges at most.
     """
-    full = F.call_function("shiftleft", F.lit(1).cast("long"), length + 1) - 1
-    multi = F.filter(edges, lambda x: x["inner"] != 0)
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
+    start = lambda x: F.shiftright(x, 30).bitwiseAND(F.lit(63)).cast("int")
+    end = lambda x: F.shiftright(x, 24).bitwiseAND(F.lit(63)).cast("int")
+
+    def bits(x: Column) -> Column:
+        a, b = bit(start(x)), bit(end(x))
+        return F.struct(a.bitwiseOR(b).alias("need"), (b - a - a).alias("inner"))
 
     def step(state: Column, _: Column) -> Column:
+        # the last link of the outer lambda is an array of (need, inner), so that they are worked out once
         fits = F.filter(
-            multi, lambda x: (state.bitwiseAND(x["need"]) == x["need"]) & (F.bit_count(state.bitwiseAND(x["inner"])) == 1)
+            state["merges"], lambda x: (state["left"].bitwiseAND(x["need"]) == x["need"]) & (F.bit_count(state["left"].bitwiseAND(x["inner"])) == 1)
         )
-        return state.bitwiseAND(F.bitwise_not(F.coalesce(F.get(fits, F.lit(0))["inner"], F.lit(0).cast("long"))))
+        gone = F.coalesce(F.get(fits, F.lit(0))["inner"], F.lit(0).cast("long"))
+        return F.struct(state["merges"].alias("merges"), state["left"].bitwiseAND(F.bitwise_not(gone)).alias("left"))
+
+    def pieces(state: Column) -> Column:
+        def stays(x: Column) -> Column:
+            b = bits(x)
+            return (state["left"].bitwiseAND(b["need"]) == b["need"]) & (state["left"].bitwiseAND(b["inner"]) == 0)
+
+        last = F.filter(edges, stays)
+        placed = F.sort_array(F.transform(last, lambda x: F.struct(start(x).alias("s"), (x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int") - 1).alias("id"))))
+        return F.transform(placed, lambda x: F.when(x["id"] < 0, -1 - x["s"]).otherwise(x["id"]))
 
-    last = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(length - 1, F.size(multi) * length))), full, step)
-    left = F.filter(edges, lambda x: (last.bitwiseAND(x["need"]) == x["need"]) & (last.bitwiseAND(x["inner"]) == 0))
-    return F.flatten(F.transform(F.sort_array(F.transform(left, lambda x: F.struct(x["s"], x["ids"]))), lambda x: x["ids"]))
+    merges = F.transform(F.filter(edges, lambda x: end(x) - start(x) > 1), bits)
+    first = F.struct(merges.alias("merges"), (bit(length + 1) - 1).alias("left"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), length - 1)), first, step, pieces)
 
 
 def merge_text(text: str, rank: dict[str, tuple[int, float]], byte_base: int) -> list[int]:
@@ -202,28 +230,27 @@ def lattice(units: DataFrame, pieces: Pieces, unigram: bool = False) -> DataFram
     starts = short.select("key", "text", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     ends = F.sequence(F.col("s") + 1, F.least("n", F.col("s") + pieces.longest))
     spans = starts.select("key", "text", "n", "s", F.explode(ends).alias("e")).select(
-        "key", "n", "s", "e", F.expr("substring(text, s + 1, e - s)").alias("piece")
+        "key", "s", "e", F.expr("substring(text, s + 1, e - s)").alias("piece")
     )
     table = F.broadcast(pieces.table(spark))  # as large as the model file
     edges = spans.join(table, "piece", "left").where("id is not null or e = s + 1")
-    spelt = F.expr(
+    bytes_of = F.expr(
         f"transform(sequence(1, octet_length(piece)), i -> {pieces.byte_base} + cast(conv(substring(hex(encode(piece, 'utf-8')), 2 * i - 1, 2), 16, 10) as int))"
     )
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(spelt).alias("ids")
     if unigram:
+        ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(bytes_of).alias("ids")
         score = F.coalesce("score", F.lit(pieces.least - UNKNOWN_PENALTY)).alias("v")
         grouped = edges.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("e", "s", score, ids))).alias("edges"))
         return grouped.select("key", viterbi(F.col("edges")).alias("ids"))
-    bit = lambda c: F.expr(f"shiftleft(1L, {c})")
-    edge = F.struct(
-        (-F.coalesce("score", F.lit(0.0))).alias("rank"),
-        "s",
-        bit("s").bitwiseOR(bit("e")).alias("need"),
-        (bit("e") - bit("s + 1")).alias("inner"),
-        ids,
+    packed = F.coalesce("rank", F.lit(0)).cast("long") * (1 << 36) + F.col("s").cast("long") * (1 << 30) + F.col("e").cast("long") * (1 << 24) + F.coalesce(F.col("id") + 1, F.lit(0))
+    grouped = edges.select("key", packed.alias("edge")).groupBy("key").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    grouped = grouped.select("key", "edges", text.alias("text"))
+    folded = grouped.select("key", "text", merged(F.col("edges"), F.length("text")).alias("ids"))
+    spelt = F.expr(
+        "flatten(transform(ids, x -> if(x >= 0, array(x), transform(sequence(1, octet_length(substring(text, -x, 1))), i -> "
+        f"{pieces.byte_base} + cast(conv(substring(hex(encode(substring(text, -x, 1), 'utf-8')), 2 * i - 1, 2), 16, 10) as int)))))"
     )
-    grouped = edges.groupBy("key").agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.max("n").alias("n"))
-    folded = grouped.select("key", merged(F.col("edges"), F.col("n")).alias("ids"))
+    folded = folded.select("key", F.when(F.exists("ids", lambda x: x < 0), spelt).otherwise(F.col("ids")).alias("ids"))
     rank, base = {p: (i, v) for p, i, v in pieces.rows}, pieces.byte_base
     long_ = F.pandas_udf(lambda x: x.map(lambda t: merge_text(t, rank, base)), "array<int>")
     return folded.union(texts.where(F.col("n") > MASK).select("key", long_("text").alias("ids")))
@@ -259,15 +286,21 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             for text, b in zip(batch["text"], batch["block"]):
                 if b != block or len(seen) >= FLUSH:
                     if seen:
-                        yield pd.DataFrame({"key": list(seen), "block": block})
+                        yield keys_of(seen, block)
                     seen, block = set(), b
                 seen.update(own.units(text))
         if seen:
-            yield pd.DataFrame({"key": list(seen), "block": block})
+            yield keys_of(seen, block)
+
+    def keys_of(seen: set[str], block: int) -> pd.DataFrame:
+        return pd.DataFrame({"key": list({k for unit in seen for k in pieces.parts(unit)}), "block": block})
 
     found = rows.select("text", "block").mapInPandas(units_of, "key string, block long")
     units = scratch.table(found.groupBy("key").agg(F.collect_set("block").alias("blocks")))
-    encoded = scratch.table(lattice(units.select("key"), pieces, unigram).select(F.col("key").alias("unit"), "ids"))
+    # a unit becomes a hundred rows, so its few bytes are spread over many more tasks than their size asks for
+    spread = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // UNITS_IN_TASK))
+    encoded = lattice(units.select("key").repartition(spread, "key"), pieces, unigram)
+    encoded = scratch.table(encoded.select(F.col("key").alias("unit"), "ids"))
     dealt = units.join(encoded, F.col("key") == F.col("unit")).select(F.explode("blocks").alias("block"), F.xxhash64("key").alias("hash"), "ids")
     folder = shared_folder(spark) + "/units"
 
@@ -292,36 +325,68 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     scratch.table(dealt.groupBy("block").applyInArrow(write, "block long, units long"))
 
-    def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        strings, hashes, block, out, held = pieces.decoder(), UnitHashes(), None, [], 0
+    id_type = pa.string() if dict(rows.dtypes)["id"] == "string" else pa.int64()
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings, known, file, block, out = pieces.decoder(), unit_ids(model), None, None, []
         for batch in batches:
-            for i, text, b in zip(batch["id"], batch["text"], batch["block"]):
-                if text and b != block:
+            rows = [*zip(*(batch.column(c).to_pylist() for c in ("id", "text", "block")))]
+            for b, part in groupby(rows, lambda r: r[2]):
+                part = [*part]
+                units = [pieces.units(text) for _, text, _ in part]
+                if b != block and any(units):
                     block, file = b, UnitFile.read(folder, b)
-                keys = pieces.units(text)
-                ids = file.ids(np.fromiter(map(hashes.__getitem__, keys), np.int64, len(keys))) if keys else np.zeros(0, np.int32)
-                out.append((i, ids, len(keys), len(ids), zlib.crc32(ids.astype("<i4").tobytes()), decode_ids(ids, strings) == text))
-                held += len(ids)
-                if held > 2_000_000:  # some MB of ids at a time
-                    yield pd.DataFrame(out, columns=names)
-                    out, held = [], 0
+                for k in range(0, len(part), 100):
+                    if any(units[k : k + 100]):
+                        known.learn(units[k : k + 100], file)
+                    for (i, text, _), keys in zip(part[k : k + 100], units[k : k + 100]):
+                        raw = b"".join(map(known.__getitem__, keys))
+                        ids = np.frombuffer(raw, "<i4")
+                        out.append((i, ids, len(keys), zlib.crc32(raw), decode_ids(ids, strings) == text))
+                    if sum(len(r[1]) for r in out) > 1_000_000:  # some MB of ids at a time
+                        yield result(out)
+                        out = []
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield result(out)
+
+    def result(out: list[tuple]) -> pa.RecordBatch:
+        ids, n_units, crc, same = ([r[k] for r in out] for k in (1, 2, 3, 4))
+        counts = np.array([len(x) for x in ids], np.int64)
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
+        columns = [pa.array([r[0] for r in out], id_type), lists, pa.array(n_units, pa.int64()), pa.array(counts), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "ids", "n_units", "n_pieces", "ids_crc32", "round_trip"])
+    kind = "string" if id_type == pa.string() else "long"
+    return rows.withColumn("id", F.col("id").cast(kind)).mapInArrow(assemble, f"id {kind}, ids array<int>, n_units long, n_pieces long, ids_crc32 long, round_trip boolean")
+
+
+class UnitIds(dict):
+    """The ids of units as bytes; remembers a bounded number of them, and for a while what it has just been asked for."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.now = pieces, {}
 
-    names = ["id", "ids", "n_units", "n_pieces", "ids_crc32", "round_trip"]
-    kind = dict(rows.dtypes)["id"]
-    return rows.mapInPandas(assemble, f"id {kind}, ids array<int>, n_units long, n_pieces long, ids_crc32 long, round_trip boolean")
+    def __missing__(self, unit: str) -> bytes:
+        return self.now[unit]
 
+    def learn(self, texts: list[list[str]], file: UnitFile) -> None:
+        """Look up the units of some texts that aren't known, by the hashes of their parts as Spark's xxhash64 gives them."""
+        missing = list({u for units in texts for u in units if u not in self})
+        cut = [self.pieces.parts(u) for u in missing]
+        hashes = [xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass"), 42) for keys in cut for k in keys]
+        found = file.parts(np.array(hashes, np.uint64).view(np.int64))
+        if len(found) > len(cut):
+            at = iter(found)
+            found = [b"".join(next(at) for _ in keys) for keys in cut]
+        self.now = dict(zip(missing, found))
+        if len(self) + len(missing) <= WORD_CACHE:
+            self.update(self.now)
 
-class UnitHashes(dict):
-    """Hashes of units as Spark's xxhash64 gives them; remembers a bounded number."""
 
-    def __missing__(self, key: str) -> int:
-        value = xxhash.xxh64_intdigest(key.encode("utf-8", "surrogatepass"), 42)
-        value -= (value >> 63) << 64
-        if len(self) < WORD_CACHE:
-            self[key] = value
-        return value
+@functools.lru_cache(maxsize=1)
+def unit_ids(model: str) -> UnitIds:
+    """The units that the tasks of a Python worker remember."""
+    return UnitIds(Pieces.read(model))
 
 
 @dataclass
@@ -331,6 +396,7 @@ class UnitFile:
     hashes: np.ndarray
     offsets: np.ndarray
     values: np.ndarray
+    raw: bytes | None = None
 
     @classmethod
     def read(cls, folder: str, block: int) -> UnitFile:
@@ -341,14 +407,14 @@ class UnitFile:
         at = 16 + 8 * n
         return cls(np.frombuffer(raw, "<i8", n, 16), np.frombuffer(raw, "<i8", n + 1, at), np.frombuffer(raw, "<i4", m, at + 8 * (n + 1)))
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        """The ids of the units with these hashes, one after the other."""
+    def parts(self, hashes: np.ndarray) -> list[bytes]:
+        """The ids of the parts with these hashes, as bytes."""
         at = np.searchsorted(self.hashes, hashes)
         if at.max(initial=0) >= len(self.hashes) or (self.hashes[at] != hashes).any():
             raise KeyError("a unit is not in its block's file")
-        first, sizes = self.offsets[at], self.offsets[at + 1] - self.offsets[at]
-        ends = np.cumsum(sizes)
-        return self.values[np.arange(ends[-1]) + np.repeat(first - (ends - sizes), sizes)]
+        raw = self.values.tobytes() if self.raw is None else self.raw
+        self.raw = raw
+        return [raw[a:b] for a, b in zip((4 * self.offsets[at]).tolist(), (4 * self.offsets[at + 1]).tolist())]
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
