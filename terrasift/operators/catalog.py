@@ -68,3 +68,14 @@ def compare_trees(a: DataFrame, b: DataFrame) -> DataFrame:
     a, b = a.select("name", F.col("hash").alias("ha")), b.select("name", F.col("hash").alias("hb"))
     status = F.when(F.col("hb").isNull(), "only_in_a").when(F.col("ha").isNull(), "only_in_b").when(F.col("ha") == F.col("hb"), "same").otherwise("changed")
     return a.join(b, "name", "full").select("name", status.alias("status"))
+
+
+def inverse_cdf(rows: DataFrame, key: str, picks: int) -> DataFrame:
+    """For each key the rows (w, upto: weight and running total) that hold ``picks`` evenly spread shares of its total.
+
+    Every row makes the picks that fall into its own share, so no pick is joined with rows that don't hold it.
+    """
+    totals = rows.groupBy(key).agg(F.max("upto").alias("total"))
+    pick = lambda k: F.floor(F.col("total") * (2 * k + 1) / (2 * picks))
+    holds = lambda k: (F.col("upto") > pick(k)) & (F.col("upto") - F.col("w") <= pick(k))
+    return rows.join(totals, key).withColumn("k", F.explode(F.filter(F.sequence(F.lit(0).cast("long"), F.lit(picks - 1).cast("long")), holds)))

@@ -204,3 +204,20 @@ select s.r, s.c, floor(sum(a) / sum(w) * 1e6 + 0.5) / 1e6 as band1 from s join v
 def ras_gaussian(spark, sf):
     blurred = R.gaussian_tiles(ras(spark, sf), "band1", 1.0, 2).where("not isnan(band1)")
     return blurred.select("r", "c", G.rounded("band1").alias("band1"))
+
+
+@query("select 499 - r as r, c, 10.0 + c * 0.5 as x, 300.0 - (r + 1) * 0.5 as y, band2 from v_raster")
+def ras_flip(spark, sf):
+    """Rows counted from the top, and the coordinates of each cell's corner."""
+    return ras(spark, sf).select(
+        (F.lit(499) - F.col("r")).alias("r"), "c", (F.lit(10.0) + F.col("c") * 0.5).alias("x"), (F.lit(300.0) - (F.col("r") + 1) * 0.5).alias("y"), "band2"
+    )
+
+
+@query("select distinct r, c from v_raster, v_boxes where (c between xmin and xmax and r between ymin and ymax) or (c between xmin + 20 and xmax + 20 and r between ymin and ymax)")
+def agg_union_area(spark, sf):
+    """Cells in the union of several layers: in one of them, whichever; the union itself is never built."""
+    boxes = view(spark, sf, "v_boxes").select("poly_id", "xmin", "ymin", "xmax", "ymax")
+    moved = boxes.withColumns({c: F.col(c) + 20 for c in ("xmin", "xmax")})
+    cells = ras(spark, sf).select("r", "c", F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))
+    return S.box_join(cells, boxes.union(moved)).select("r", "c").distinct()

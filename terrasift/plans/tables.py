@@ -434,3 +434,51 @@ def degree_table(spark, sf):
 def cq_report_rows(spark, sf):
     rgb = F.col("o_orderkey") % 3 == 0
     return view(spark, sf, "orders").select(F.when(rgb, "rgb").otherwise("plain").alias("layout"), "o_orderkey", F.when(rgb, F.col("o_orderstatus")).otherwise(F.col("o_orderpriority")).alias("cell"))
+
+
+#: What is advised for a finding; fixed by the documents.
+ADVICE = {"PROMO": "replace", "STANDARD": "watch", "SMALL": "none"}
+
+
+@query("""select p_partkey, case split_part(p_type, ' ', 1) when 'PROMO' then 'replace' when 'STANDARD' then 'watch' when 'SMALL' then 'none' end as advice from part""")
+def join_lookup_dict(spark, sf):
+    known = F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair))
+    return view(spark, sf, "part").select("p_partkey", F.try_element_at(known, F.split_part("p_type", F.lit(" "), F.lit(1))).alias("advice"))
+
+
+@query("""
+with a as (select doc_id % 777 as name, md5(text) as hash from documents where source = 'src3'), b as (select doc_id % 777 as name, md5(text) as hash from documents where source = 'src4')
+select coalesce(a.name, b.name) as name, case when b.name is null then 'only_in_a' when a.name is null then 'only_in_b' when a.hash = b.hash then 'same' else 'changed' end as status
+from a full join b on a.name = b.name""")
+def join_full_outer_diff(spark, sf):
+    docs = view(spark, sf, "documents").select((F.col("doc_id") % 777).alias("name"), F.md5("text").alias("hash"), "source")
+    return C.compare_trees(docs.where("source = 'src3'"), docs.where("source = 'src4'"))
+
+
+@query("select s_suppkey, case when exists (select 1 from customer where c_custkey = s_suppkey * 20) then 'merge' else 'copy' end as action from supplier")
+def join_left_exists(spark, sf):
+    old = view(spark, sf, "customer").select((F.col("c_custkey") / 20).alias("s_suppkey"), F.lit(True).alias("old"))
+    rows = view(spark, sf, "supplier").select(F.col("s_suppkey").cast("double").alias("s_suppkey")).join(old, "s_suppkey", "left")
+    return rows.select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.when(F.col("old"), "merge").otherwise("copy").alias("action"))
+
+
+@query("select numer, len(string_split(sasiedzi, ',')) > 2 as multi from v_edges where len(string_split(sasiedzi, ',')) > 1")
+def flt_geometry_type(spark, sf):
+    parts = F.size(F.split("sasiedzi", ","))
+    return view(spark, sf, "v_edges").where(parts > 1).select("numer", (parts > 2).alias("multi"))
+
+
+@query("select c_custkey, c_acctbal / 100 as x, cast(c_custkey * 13 % 101 as double) as y, 0.0 as z from customer")
+def geo_points_from_xy(spark, sf):
+    point = F.struct((F.col("c_acctbal") / 100).alias("x"), (F.col("c_custkey") * 13 % 101).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    return view(spark, sf, "customer").select("c_custkey", point.alias("p")).select("c_custkey", "p.*")
+
+
+@query("""with c as (select o_orderkey, cast(o_totalprice as bigint) as w, sum(cast(o_totalprice as bigint)) over (partition by o_orderstatus order by o_orderkey) as upto, o_orderstatus as s from orders),
+ t as (select s, max(upto) as total from c group by s), k as (select s, total, unnest(range(10)) as k from t), q as (select s, k, total * (2 * k + 1) // 20 as pick from k)
+select q.s as status, q.k, c.o_orderkey from q join c on c.s = q.s and c.upto > q.pick and c.upto - c.w <= q.pick""")
+def join_asof(spark, sf):
+    """The row whose share of a running total holds each of ten evenly spread picks."""
+    w = Window.partitionBy("status").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
+    rows = view(spark, sf, "orders").select("o_orderkey", F.bround("o_totalprice").cast("long").alias("w"), F.col("o_orderstatus").alias("status"))
+    return C.inverse_cdf(rows.withColumn("upto", F.sum("w").over(w)), "status", 10).select("status", "k", "o_orderkey")

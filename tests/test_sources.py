@@ -108,3 +108,32 @@ def test_listing(spark, tmp_path):
     (tmp_path / "a.tif").write_bytes(b"12345")
     (tmp_path / "b.txt").write_bytes(b"1")
     assert [(r.name, r.length) for r in tables.listing(spark, str(tmp_path), "*.tif").collect()] == [("a.tif", 5)]
+
+
+def test_tiff_round_trip_and_refusals(spark, tmp_path):
+    import numpy as np
+
+    from terrasift.sources import images
+
+    pixels = np.arange(12, dtype="f4").reshape(2, 2, 3)
+    (tmp_path / "a.tif").write_bytes(images.encode_tiff(pixels, 0.5, 100.0, 200.0, nodata=4.0))
+    (tmp_path / "b.tif").write_bytes(b"broken")
+    rows = images.read_tiffs(spark, str(tmp_path)).collect()
+    assert {r.error for r in rows if r.file == "b.tif"} == {"not a TIFF file"}
+    good = {(r.band, r.r, r.c): r for r in rows if r.file == "a.tif"}
+    assert len(good) == 12 and good[1, 1, 1].value is None and good[2, 0, 2].value == 8.0
+    assert (good[1, 0, 0].x, good[1, 0, 0].y) == (100.25, 199.75)
+
+
+def test_photo_positions(spark, tmp_path):
+    from terrasift.sources import images
+
+    gps = struct.pack("<H", 4) + struct.pack("<HHI4s", 1, 2, 2, b"S\0") + struct.pack("<HHII", 2, 5, 3, 100) + struct.pack("<HHI4s", 3, 2, 2, b"E\0") + struct.pack("<HHII", 4, 5, 3, 124)
+    block = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 1) + struct.pack("<HHII", 34853, 4, 1, 30) + bytes(4)
+    block = block.ljust(30, b"\0") + gps
+    block = block.ljust(100, b"\0") + struct.pack("<6I", 52, 1, 30, 1, 0, 1) + struct.pack("<6I", 19, 1, 15, 1, 36, 1)
+    app = b"Exif\0\0" + block
+    (tmp_path / "p.JPG").write_bytes(b"\xff\xd8\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xda\0\0")
+    (tmp_path / "q.jpg").write_bytes(b"\xff\xd8\xff\xda\0\0")
+    got = {r.path.rsplit("/", 1)[1]: (r.lat, r.lon) for r in images.read_photo_positions(spark, str(tmp_path)).collect()}
+    assert got["q.jpg"] == (None, None) and abs(got["p.JPG"][0] + 52.5) < 1e-9 and abs(got["p.JPG"][1] - 19.26) < 1e-9
