@@ -386,3 +386,27 @@ def keep_leaders(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     result = near_duplicates(docs, id_col, text_col, percent)
     dropped = result.where("not kept").select(F.col(id_col).alias("__id")).distinct()
     return docs.join(dropped, docs[id_col] == dropped["__id"], "left_anti")
+
+
+ORACLE_SQL = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') as l from documents
+), d as (
+  select distinct doc_id, unnest(case when len(l) = 0 then [] when len(l) < 5 then [array_to_string(l, ' ')]
+    else list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) end) as sh from w
+), n as (
+  select doc_id, count(*) as n from d group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from d a join d b on a.sh = b.sh and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+), e as (
+  select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)
+), s as (
+  select a, b from e union all select b, a from e
+), r as (
+  select doc_id, doc_id as other from documents union select r.doc_id, s.b from r join s on r.other = s.a
+), k as (
+  select doc_id, min(other) as component_id from r group by doc_id
+)
+select k.doc_id, coalesce(n.n, 0) as n_shingles, component_id, k.doc_id = component_id as kept from k left join n on n.doc_id = k.doc_id
+"""

@@ -98,4 +98,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_preference_format": preference.ORACLE_SQL,
         "op3_exact_dedup": exact_dedup.ORACLE_SQL,
         "op7_vector_top_k": vector_search.ORACLE_SQL,
+        "op8_minhash_near_dedup": minhash.ORACLE_SQL,
     } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
