@@ -80,15 +80,15 @@ def test_store_of_odd_rows(spark, encoder):
 
 @pytest.fixture(scope="module")
 def model():
-    return pieces.Pieces.read(PIECE_BPE), sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    return pieces.pieces_of(PIECE_BPE), sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
 
 
 @settings(max_examples=500, deadline=None)
 @given(alphabet)
 def test_parts_are_encoded_like_whole_texts(text):
-    own, library = pieces.unit_ids(PIECE_BPE).pieces, sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
+    own, library = pieces.pieces_of(PIECE_BPE), sentencepiece.SentencePieceProcessor(model_file=PIECE_BPE)
     rank = {p: (i, v) for p, i, v in own.rows}
-    got = [i for u in own.units(text) for k in own.parts(u) for i in pieces.merge_text(pieces.surface(k), rank, own.byte_base)]
+    got = [i for part in own.parts(text) for i in pieces.merge_text(part, rank, own.byte_base)]
     assert got == library.encode(text)
 
 
@@ -119,10 +119,10 @@ def test_viterbi_finds_the_best_path(spark, model):
     own = model[0]
     score = {p: v for p, _, v in own.rows}
     by_id = {i: p for p, i, _ in own.rows}
-    words = ["the", "thonning", "worthless", "ination", "aab", "eouérable"]
-    got = pieces.lattice(spark.createDataFrame([(w,) for w in words], "key string"), own, unigram=True).collect()
+    words = ["▁the", "▁thonning", "▁worthless", "ination", "aab", "▁eouérable"]
+    got = pieces.lattice(spark.createDataFrame([(w,) for w in words], "text string"), own, unigram=True).collect()
     for r in got:
-        text = pieces.surface(r.key)
+        text = r.text
         best = [0.0] + [-np.inf] * len(text)
         for e in range(1, len(text) + 1):
             best[e] = max(best[s] + score[text[s:e]] for s in range(max(0, e - own.longest), e) if text[s:e] in score)
@@ -218,3 +218,23 @@ def test_random_draws_depend_on_nothing_else():
     from terrasift.llm import mixing
 
     assert mixing.draw(1, 2, 3) == mixing.draw(1, 2, 3) != mixing.draw(2, 2, 3)
+
+
+def test_stages_of_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, clashing names, and no rows at all."""
+    data = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "a b c", "en", "a", 5), (3, "a b c", "en", "a", 5), (4, "x " * 20_000, None, "b", 1), (None, "q r", "de", None, 2)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string, kept int, row int, block long, score double"
+    docs = spark.createDataFrame([(*r, "s", 1, 2, 3, 0.5) for r in data], schema)
+    spark.createDataFrame([(3, 1, 0), (4, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.limit(0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, f"file://{tmp_path}")
+            assert now.columns == docs.columns, name
+            now = now.checkpoint() if spark.sparkContext.getCheckpointDir() else now.cache()
+        last = corpus_pipeline.encode_pieces(spark, now, f"file://{tmp_path}").collect()
+        assert {r.doc_id for r in last} <= {1, 2, 3, 4, None} and all(r.round_trip for r in last)
+        if table is docs:
+            assert sum(r.doc_id == 3 for r in last) <= 2 and any(r.doc_id == 4 for r in last)
+        else:
+            assert not last
