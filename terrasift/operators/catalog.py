@@ -2,29 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrasift.operators.lineage import cut
+
 #: Most rows of a side that a join without a key may send to all tasks.
 SMALL = 100_000
 
 
-def numbered(rows: DataFrame, order: str, name: str = "_n") -> DataFrame:
-    """``rows`` with their place from 0 in ascending ``order``.
+def in_order(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` dealt by ranges of ``order``, with the number ``_p`` of their range.
 
-    A range partitioning sorts in parallel; the counts of its partitions give each one its first number.
+    The ranges are found by sampling, so the result is kept: what is counted of a range holds for it later.
     """
-    parts = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1)
-    counts = {r["_p"]: r["count"] for r in parts.groupBy("_p").count().collect()}
-    first, total = {}, 0
-    for p in sorted(counts):
-        first[p], total = total, total + counts[p]
-    if not first:
-        return rows.withColumn(name, F.lit(0).cast("long"))
-    starts = F.create_map(*(F.lit(v).cast("long") if k % 2 else F.lit(v).cast("int") for pair in first.items() for k, v in enumerate(pair)))
-    return parts.withColumn(name, F.element_at(starts, F.col("_p")) + F.col("_i")).drop("_p", "_i")
+    return cut(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+
+
+def _before(parts: DataFrame, total: Column) -> Column:
+    """What the ranges before a row's own have in total; one number for each range reaches the driver."""
+    sums = {r["_p"]: r["_t"] for r in parts.groupBy("_p").agg(total.alias("_t")).collect()}
+    first, at = [], 0
+    for p in sorted(sums):
+        first += [F.lit(p), F.lit(at).cast("long")]
+        at += sums[p]
+    return F.element_at(F.create_map(*first), F.col("_p")) if first else F.lit(0).cast("long")
+
+
+def numbered(rows: DataFrame, *order: str, name: str = "_n") -> DataFrame:
+    """``rows`` with their place from 0 in ascending ``order``; no task sorts them all."""
+    parts = in_order(rows, *order)
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return parts.withColumn(name, place + _before(parts, F.count(F.lit(1)))).drop("_p")
+
+
+def running_total(rows: DataFrame, value: str, *order: str, name: str = "running") -> DataFrame:
+    """``rows`` with the sum of a whole-numbered ``value`` up to and with themselves in ascending ``order``."""
+    parts = in_order(rows, *order)
+    own = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn(name, own + _before(parts, F.sum(value))).drop("_p")
 
 
 def positional_join(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:

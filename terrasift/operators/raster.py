@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terrasift.operators.lineage import cut
 from terrasift.session import ship
 
 
@@ -52,24 +51,21 @@ def labelled(mask: DataFrame) -> DataFrame:
     """Cells (r, c) with the label of their 4-connected component: its smallest r * 2**32 + c.
 
     Labels first run to the ends of the runs of each row, so that long components take few rounds; then runs that touch
-    in neighbouring rows exchange the smaller one and follow it, until nothing changes. Lineage is cut by checkpoint().
+    in neighbouring rows exchange the smaller one and follow it, until nothing changes.
     """
-    spark = mask.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     w = Window.partitionBy("r").orderBy("c")
     start = F.when(F.coalesce(F.col("c") - F.lag("c").over(w), F.lit(2)) > 1, F.col("c"))
     runs = mask.withColumn("_s", start).withColumn("_s", F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    cells = runs.withColumn("node", F.col("r") * (1 << 32) + F.col("_s")).drop("_s").checkpoint()
+    cells = cut(runs.withColumn("node", F.col("r") * (1 << 32) + F.col("_s")).drop("_s"))
     below = cells.select((F.col("r") - 1).alias("r"), "c", F.col("node").alias("other"))
     edges = cells.join(below, ["r", "c"]).select("node", "other").distinct()
-    edges = edges.union(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).checkpoint()
-    labels = cells.select("node").distinct().withColumn("label", F.col("node")).checkpoint()
+    edges = cut(edges.union(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))))
+    labels = cut(cells.select("node").distinct().withColumn("label", F.col("node")))
     while True:
         near = edges.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
         new = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("new"), "label")
         jump = new.select(F.col("node").alias("new"), F.col("new").alias("jump"))
-        new = new.join(jump, "new", "left").select("node", F.least("new", F.coalesce("jump", "new")).alias("new"), "label").checkpoint()
+        new = cut(new.join(jump, "new", "left").select("node", F.least("new", F.coalesce("jump", "new")).alias("new"), "label"))
         labels = new.select("node", F.col("new").alias("label"))
         if new.where("new <> label").isEmpty():
             return cells.join(labels, "node").drop("node")

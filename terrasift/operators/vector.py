@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrasift.functions import geometry as G
+from terrasift.operators.lineage import cut
 from terrasift.operators.spatial import keyed
 from terrasift.session import ship
 
@@ -181,16 +180,13 @@ def clusters(points: DataFrame, eps: float, key: str = "id") -> DataFrame:
 
 def reached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node is connected with, by min-label steps with pointer jumping."""
-    spark = nodes.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))).checkpoint()
-    labels = nodes.select("node", F.col("node").alias("label")).checkpoint()
+    both = cut(edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select(F.col("b").alias("node"), F.col("a").alias("other"))))
+    labels = cut(nodes.select("node", F.col("node").alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
         new = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("near", "label")).alias("new"), "label")
         jump = new.select(F.col("node").alias("new"), F.col("new").alias("jump"))
-        new = new.join(jump, "new", "left").select("node", F.least("new", F.coalesce("jump", "new")).alias("new"), "label").checkpoint()
+        new = cut(new.join(jump, "new", "left").select("node", F.least("new", F.coalesce("jump", "new")).alias("new"), "label"))
         labels = new.select("node", F.col("new").alias("label"))
         if new.where("new <> label").isEmpty():
             return labels

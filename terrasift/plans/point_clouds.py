@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from terrasift.functions.geometry import cell, in_box, rounded
 from terrasift.operators import points as P
+from terrasift.operators.catalog import running_total
 from terrasift.plans.fixtures import view
 from terrasift.plans.registry import query
 
@@ -213,6 +213,6 @@ with a as (select poly_id, abs(xmax - xmin) * abs(ymax - ymin) as area from v_bo
 select poly_id, area, sum(cast(area as bigint)) over (order by poly_id rows unbounded preceding) / sum(cast(area as bigint)) over () as cdf from a""")
 def win_cumsum_cdf(spark, sf):
     rows = view(spark, sf, "v_boxes").select("poly_id", ((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))).alias("area"))
-    total = rows.agg(F.sum(F.col("area").cast("long")).alias("total"))
-    running = F.sum(F.col("area").cast("long")).over(Window.orderBy("poly_id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("running", running).join(F.broadcast(total)).select("poly_id", "area", (F.col("running") / F.col("total")).alias("cdf"))
+    rows = rows.withColumn("whole", F.col("area").cast("long"))
+    total = rows.agg(F.sum("whole").alias("total"))  # one row
+    return running_total(rows, "whole", "poly_id").join(F.broadcast(total)).select("poly_id", "area", (F.col("running") / F.col("total")).alias("cdf"))

@@ -82,7 +82,8 @@ def proj_preview_scale(spark, sf):
 
 @query("select s_suppkey, row_number() over (order by s_name, s_suppkey) as id from supplier")
 def proj_stable_id(spark, sf):
-    return view(spark, sf, "supplier").select("s_suppkey", F.row_number().over(Window.orderBy("s_name", "s_suppkey")).cast("long").alias("id"))
+    rows = C.numbered(view(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_name", "s_suppkey")
+    return rows.select("s_suppkey", (F.col("_n") + 1).alias("id"))
 
 
 @query("""
