@@ -1,14 +1,15 @@
 """SentencePiece encoding by a relational lattice, and decoding.
 
-A text is cut into units before runs of spaces and line breaks, and those into parts wherever two neighbouring characters
-are in no piece, so that no piece reaches across. The distinct parts of all texts go through the lattice once: substrings of bounded length are exploded and equi-joined to the piece table, the
-edges are grouped by unit, and a higher-order aggregate() folds them. For a unigram model the fold keeps the path of the
-greatest total score to each position (Viterbi). For a BPE model that path is not what the library returns; there the
-fold runs over the same edges by merge priority, with the unit's remaining boundaries as its state: each step takes the
-best edge that spans exactly two current pieces, the leftmost among equals, and removes the boundary between them.
-Characters that no piece covers are spelt as bytes.
-
-Every block of input then gets the units that occur in it, as a sorted file in the shared folder, and each text is
+A text is cut into parts wherever two neighbouring characters are in no piece, so that no piece reaches across: before
+the spaces that start words, around line breaks and most marks, and within words that no piece holds as they are. The
+distinct parts of all texts go through the lattice once: substrings of bounded length are exploded and equi-joined to the
+piece table, the edges are grouped by part, and a higher-order aggregate() folds them. For a unigram model the fold keeps
+the path of the greatest total score to each position (Viterbi). For a BPE model that path is not what the library
+returns; there the fold runs over the same edges by merge priority, with the part's remaining boundaries as its state:
+each step takes the best edge that spans exactly two current pieces, the leftmost among equals, and removes the boundary
+between them. Characters that no piece covers are spelt as bytes.
+
+Every block of input then gets the parts that occur in it, as a sorted file in the shared folder, and each text is
 assembled from its block's file, so that neither the texts nor their words are shuffled, and nothing that grows with the
 corpus is broadcast.
 """
@@ -17,13 +18,11 @@ from __future__ import annotations
 
 import functools
 import heapq
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
-from operator import add
 
 import numpy as np
 import pandas as pd
@@ -37,32 +36,20 @@ from pyspark.sql import functions as F
 from terrasift.llm.scratch import Scratch, shared_folder
 
 SPACE = "▁"
-RAW = "\x01"
 UNKNOWN_PENALTY = 10.0
-#: Bytes of an input file whose texts share a file of units; what bounds such a file.
-BLOCK_BYTES = 128 << 20
-FLUSH = 300_000
-#: Most characters of a unit whose boundaries fit a bit mask.
+#: Most characters of a part whose boundaries fit a bit mask.
 MASK = 61
-WORD_CACHE = 400_000
-UNITS_IN_TASK = 16_384
-_RUNS = re.compile(f"\n[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+#: Bytes of an input file whose texts share a file of parts; what bounds such a file.
+BLOCK_BYTES = 128 << 20
+FLUSH = 400_000
+REMEMBERED = 400_000
+PARTS_IN_TASK = 16_384
 
 
-@dataclass(frozen=True)
 class Pieces:
-    """What a model file says: its pieces with ids and scores, and its byte pieces."""
+    """What a model file says: its pieces with ids and scores, its byte pieces, and which characters meet in a piece."""
 
-    path: str
-    rows: tuple[tuple[str, int, float], ...]
-    byte_base: int
-    longest: int
-    least: float
-    inside: frozenset[str]
-    joined: re.Pattern
-
-    @classmethod
-    def read(cls, path: str) -> Pieces:
+    def __init__(self, path: str):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         rows, base = [], -1
         for i in range(model.get_piece_size()):
@@ -72,44 +59,29 @@ class Pieces:
                 rows.append((model.id_to_piece(i), i, model.get_score(i)))
         if base < 0:
             raise ValueError("the model has no byte pieces")
-        inside = frozenset(p[k : k + 2] for p, _, _ in rows for k in range(len(p) - 1))
-        before = "".join(sorted({re.escape(b[0]) for b in inside if b[1] in ".,"}))
-        joined = re.compile(f"(?:^|[ {before}])[.,]")  # a text's first space isn't written
-        return cls(path, tuple(rows), base, max(len(p) for p, _, _ in rows), min(s for _, _, s in rows), inside, joined)
+        self.rows, self.byte_base = rows, base
+        self.longest, self.least = max(len(p) for p, _, _ in rows), min(s for _, _, s in rows)
+        inside = {p[k : k + 2] for p, _, _ in rows for k in range(len(p) - 1)}
+        letters = sorted({c for pair in inside for c in pair})
+        number = {c: k + 1 for k, c in enumerate(letters)}
+        self.number = np.zeros(0x110000, np.uint16)  # 0 is in no pair
+        self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.meet = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        self.meet[[number[a] for a, _ in inside], [number[b] for _, b in inside]] = True
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, id, score, rank): equal scores have equal ranks, the best has 0."""
         ranks = {v: k for k, v in enumerate(sorted({v for _, _, v in self.rows}, reverse=True))}
         return spark.createDataFrame([(p, i, v, ranks[v]) for p, i, v in self.rows], "piece string, id int, score double, rank int")
 
-    def units(self, text: str) -> list[str]:
-        """The units of a text, as keys: one that starts with a line break is itself, any other lacks its first space.
-
-        A key that starts with RAW is what follows it.
-        """
+    def parts(self, text: str) -> list[str]:
+        """The parts of a text, with its spaces written as the model writes them."""
         if not text:
             return []
-        if text[0] != " " and "  " not in text and SPACE not in text and RAW not in text and "\0" not in text:
-            if not self.joined.search(text):  # then points and commas are parts by themselves
-                text = text.replace(".", f" {RAW}.").replace(",", f" {RAW},")
-            keys = text.replace("\n", " \n").split(" ")
-        else:
-            keys = [x if x[0] == "\n" else RAW + x for x in _RUNS.findall(SPACE + text.replace(" ", SPACE))]
-        return keys
-
-    def parts(self, key: str) -> list[str]:
-        """The keys of a unit's parts: it is cut wherever two neighbours are in no piece, as no merge can join them."""
-        if key.isascii() and key.isalpha():  # such neighbours are nearly always in some piece
-            return [key]
-        text = surface(key)
-        if self.inside.issuperset(map(add, text, text[1:])):
-            return [key]
-        at = [0, *(k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.inside), len(text)]
-        if len(at) == 2:
-            return [key]
-        cut = [text[a:b] for a, b in zip(at, at[1:])]
-        head = cut[0][1:] if cut[0][0] == SPACE and cut[0][1:2] not in (RAW, "\n") else cut[0] if cut[0][0] == "\n" else RAW + cut[0]
-        return [head, *(x if x[0] == "\n" else RAW + x for x in cut[1:])]
+        text = SPACE + text.replace(" ", SPACE)
+        codes = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+        at = (np.flatnonzero(~self.meet[codes[:-1], codes[1:]]) + 1).tolist()
+        return [text[a:b] for a, b in zip([0, *at], [*at, len(text)])]
 
     def decoder(self) -> list[str]:
         """The text of every id; byte pieces as surrogate escapes."""
@@ -121,8 +93,10 @@ class Pieces:
         return out
 
 
-def surface(key: str) -> str:
-    return key if key[:1] == "\n" else key[1:] if key[:1] == RAW else SPACE + key
+@functools.lru_cache(maxsize=1)
+def pieces_of(path: str) -> Pieces:
+    """The model that the tasks of a Python worker share."""
+    return Pieces(path)
 
 
 def decode_ids(ids: np.ndarray, strings: list[str]) -> str:
@@ -133,10 +107,10 @@ def decode_ids(ids: np.ndarray, strings: list[str]) -> str:
     return text[1:] if text[:1] == " " else text
 
 
-def viterbi(edges: Column) -> Column:
+def viterbi(edges: Column, reach: int) -> Column:
     """The ids on the best path through edges (e, s, v, ids) that are sorted by end and then start.
 
-    The state holds the best paths to the latest positions only, as far back as a piece can reach.
+    The state holds the best paths to the latest positions only, as far back as a piece can ``reach``.
     """
 
     def step(reach: int):
@@ -151,14 +125,14 @@ def viterbi(edges: Column) -> Column:
         return merge
 
     start = F.array(F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("v"), F.array().cast("array<int>").alias("ids")))
-    return F.aggregate(edges, start, step(32), lambda acc: F.element_at(acc, -1)["ids"])
+    return F.aggregate(edges, start, step(reach + 1), lambda acc: F.element_at(acc, -1)["ids"])
 
 
 def merged(edges: Column, length: Column) -> Column:
-    """The ids that BPE leaves of a unit of at most MASK characters; -1 - start stands for a character without a piece.
+    """The ids that BPE leaves of a part of at most MASK characters; -1 - start stands for a character without a piece.
 
     ``edges``, sorted, are packed into long integers: rank, start, end and id + 1. The state has a bit for each boundary
-    that is left; an edge's ends are the bits ``need``, those between them ``inner``. A unit of n characters takes n - 1
+    that is left; an edge's ends are the bits ``need``, those between them ``inner``. A part of n characters takes n - 1
     merges at most.
     """
     bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
@@ -170,7 +144,7 @@ def merged(edges: Column, length: Column) -> Column:
         return F.struct(a.bitwiseOR(b).alias("need"), (b - a - a).alias("inner"))
 
     def step(state: Column, _: Column) -> Column:
-        # the last link of the outer lambda is an array of (need, inner), so that they are worked out once
+        # the state carries the edges' bits along, so that they are worked out once
         fits = F.filter(
             state["merges"], lambda x: (state["left"].bitwiseAND(x["need"]) == x["need"]) & (F.bit_count(state["left"].bitwiseAND(x["inner"])) == 1)
         )
@@ -192,7 +166,7 @@ def merged(edges: Column, length: Column) -> Column:
 
 
 def merge_text(text: str, rank: dict[str, tuple[int, float]], byte_base: int) -> list[int]:
-    """The same merges with a priority queue, for units that are too long for a bit mask."""
+    """The same merges with a priority queue, for parts that are too long for a bit mask."""
     n = len(text)
     end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
     queue: list[tuple[float, int, int, int]] = []
@@ -220,17 +194,15 @@ def merge_text(text: str, rank: dict[str, tuple[int, float]], byte_base: int) ->
     return out
 
 
-def lattice(units: DataFrame, pieces: Pieces, unigram: bool = False) -> DataFrame:
-    """(key, ids) for distinct ``units`` (key)."""
-    spark = units.sparkSession
-    text = F.when(F.col("key").startswith("\n"), F.col("key")).when(F.col("key").startswith(RAW), F.expr("substring(key, 2)"))
-    text = text.otherwise(F.concat(F.lit(SPACE), F.col("key")))
-    texts = units.select("key", text.alias("text")).withColumn("n", F.length("text"))
+def lattice(parts: DataFrame, pieces: Pieces, unigram: bool = False) -> DataFrame:
+    """(text, ids) for distinct ``parts`` (text)."""
+    spark = parts.sparkSession
+    texts = parts.select("text").withColumn("n", F.length("text"))
     short = texts if unigram else texts.where(F.col("n") <= MASK)
-    starts = short.select("key", "text", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    starts = short.select("text", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     ends = F.sequence(F.col("s") + 1, F.least("n", F.col("s") + pieces.longest))
-    spans = starts.select("key", "text", "n", "s", F.explode(ends).alias("e")).select(
-        "key", "s", "e", F.expr("substring(text, s + 1, e - s)").alias("piece")
+    spans = starts.select("text", "s", F.explode(ends).alias("e")).select(
+        "text", "s", "e", F.expr("substring(text, s + 1, e - s)").alias("piece")
     )
     table = F.broadcast(pieces.table(spark))  # as large as the model file
     edges = spans.join(table, "piece", "left").where("id is not null or e = s + 1")
@@ -240,20 +212,19 @@ def lattice(units: DataFrame, pieces: Pieces, unigram: bool = False) -> DataFram
     if unigram:
         ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(bytes_of).alias("ids")
         score = F.coalesce("score", F.lit(pieces.least - UNKNOWN_PENALTY)).alias("v")
-        grouped = edges.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("e", "s", score, ids))).alias("edges"))
-        return grouped.select("key", viterbi(F.col("edges")).alias("ids"))
+        grouped = edges.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("e", "s", score, ids))).alias("edges"))
+        return grouped.select("text", viterbi(F.col("edges"), pieces.longest).alias("ids"))
     packed = F.coalesce("rank", F.lit(0)).cast("long") * (1 << 36) + F.col("s").cast("long") * (1 << 30) + F.col("e").cast("long") * (1 << 24) + F.coalesce(F.col("id") + 1, F.lit(0))
-    grouped = edges.select("key", packed.alias("edge")).groupBy("key").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    grouped = grouped.select("key", "edges", text.alias("text"))
-    folded = grouped.select("key", "text", merged(F.col("edges"), F.length("text")).alias("ids"))
+    grouped = edges.select("text", packed.alias("edge")).groupBy("text").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    folded = grouped.select("text", merged(F.col("edges"), F.length("text")).alias("ids"))
     spelt = F.expr(
         "flatten(transform(ids, x -> if(x >= 0, array(x), transform(sequence(1, octet_length(substring(text, -x, 1))), i -> "
         f"{pieces.byte_base} + cast(conv(substring(hex(encode(substring(text, -x, 1), 'utf-8')), 2 * i - 1, 2), 16, 10) as int)))))"
     )
-    folded = folded.select("key", F.when(F.exists("ids", lambda x: x < 0), spelt).otherwise(F.col("ids")).alias("ids"))
+    folded = folded.select("text", F.when(F.exists("ids", lambda x: x < 0), spelt).otherwise(F.col("ids")).alias("ids"))
     rank, base = {p: (i, v) for p, i, v in pieces.rows}, pieces.byte_base
     long_ = F.pandas_udf(lambda x: x.map(lambda t: merge_text(t, rank, base)), "array<int>")
-    return folded.union(texts.where(F.col("n") > MASK).select("key", long_("text").alias("ids")))
+    return folded.union(texts.where(F.col("n") > MASK).select("text", long_("text").alias("ids")))
 
 
 def with_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -265,44 +236,38 @@ def with_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", from_files: bool = False, unigram: bool = False) -> DataFrame:
-    """One row per row of ``docs``: id, ids, n_units, n_pieces, ids_crc32, round_trip.
+    """One row per row of ``docs``: id, ids, n_parts, n_pieces, ids_crc32, round_trip.
 
     ids is the encoding of the whole text; null and empty texts have none. ids_crc32 is the unsigned crc32 of the ids as
-    little-endian 32-bit integers. round_trip tells whether decoding the ids
-    gives the text again (a text that holds the escaped space itself, U+2581, is decoded with a space there). Rows with
-    repeated or null ids are encoded row by row. Other columns are not read. An empty table gives no rows.
+    little-endian 32-bit integers. round_trip tells whether decoding the ids gives the text again (a text that holds the
+    escaped space itself, U+2581, is decoded with a space there). Rows with repeated or null ids are encoded row by row. Other columns are not read. An empty table gives no rows.
     ``from_files`` says that ``docs`` is a plain read of files, whose parts serve as blocks; any other table is written
     to the shared folder first. ``unigram`` says that the model is a unigram model, not BPE.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    pieces = Pieces.read(model)
     if not from_files:
         docs = scratch.table(docs.select(F.col(id_col), F.col(text_col)))
     rows = with_blocks(docs, id_col, text_col)
 
-    def units_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, seen, block = pieces, set(), None
+    def parts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, seen, block = pieces_of(model), set(), None
         for batch in batches:
             for text, b in zip(batch["text"], batch["block"]):
                 if b != block or len(seen) >= FLUSH:
                     if seen:
-                        yield keys_of(seen, block)
+                        yield pd.DataFrame({"text": list(seen), "block": block})
                     seen, block = set(), b
-                seen.update(own.units(text))
+                seen.update(own.parts(text))
         if seen:
-            yield keys_of(seen, block)
+            yield pd.DataFrame({"text": list(seen), "block": block})
 
-    def keys_of(seen: set[str], block: int) -> pd.DataFrame:
-        return pd.DataFrame({"key": list({k for unit in seen for k in pieces.parts(unit)}), "block": block})
-
-    found = rows.select("text", "block").mapInPandas(units_of, "key string, block long")
-    units = scratch.table(found.groupBy("key").agg(F.collect_set("block").alias("blocks")))
-    # a unit becomes a hundred rows, so its few bytes are spread over many more tasks than their size asks for
-    spread = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-units.count() // UNITS_IN_TASK))
-    encoded = lattice(units.select("key").repartition(spread, "key"), pieces, unigram)
-    encoded = scratch.table(encoded.select(F.col("key").alias("unit"), "ids"))
-    dealt = units.join(encoded, F.col("key") == F.col("unit")).select(F.explode("blocks").alias("block"), F.xxhash64("key").alias("hash"), "ids")
-    folder = shared_folder(spark) + "/units"
+    found = rows.select("text", "block").mapInPandas(parts_of, "text string, block long")
+    parts = scratch.table(found.groupBy("text").agg(F.collect_set("block").alias("blocks")))
+    # a part becomes a hundred rows, so its few bytes are spread over many more tasks than their size asks for
+    spread = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // PARTS_IN_TASK))
+    encoded = scratch.table(lattice(parts.select("text").repartition(spread, "text"), pieces_of(model), unigram))
+    dealt = parts.join(encoded, "text").select(F.explode("blocks").alias("block"), F.xxhash64("text").alias("hash"), "ids")
+    folder = shared_folder(spark) + "/parts"
 
     def write(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
@@ -311,7 +276,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         lists = group.column("ids").combine_chunks().take(pa.array(order))
         sorted_hashes = hashes[order]
         if len(order) > 1 and (sorted_hashes[1:] == sorted_hashes[:-1]).any():
-            raise ValueError("two units of a block have the same hash")
+            raise ValueError("two parts of a block have the same hash")
         offsets = lists.offsets.to_numpy().astype("<i8")
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
@@ -321,25 +286,26 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             for x in (sorted_hashes.astype("<i8"), offsets - offsets[0], lists.values.to_numpy()[offsets[0] : offsets[-1]].astype("<i4")):
                 out.write(x.tobytes())
         fs.move(own, f"{root}/{block}")
-        return pa.table({"block": pa.array([block], pa.int64()), "units": pa.array([len(order)], pa.int64())})
+        return pa.table({"block": pa.array([block], pa.int64()), "parts": pa.array([len(order)], pa.int64())})
 
-    scratch.table(dealt.groupBy("block").applyInArrow(write, "block long, units long"))
+    scratch.table(dealt.groupBy("block").applyInArrow(write, "block long, parts long"))
 
     id_type = pa.string() if dict(rows.dtypes)["id"] == "string" else pa.int64()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings, known, file, block, out = pieces.decoder(), unit_ids(model), None, None, []
+        own, known, file, block, out = pieces_of(model), part_ids(model, unigram), None, None, []
+        strings = own.decoder()
         for batch in batches:
             rows = [*zip(*(batch.column(c).to_pylist() for c in ("id", "text", "block")))]
-            for b, part in groupby(rows, lambda r: r[2]):
-                part = [*part]
-                units = [pieces.units(text) for _, text, _ in part]
-                if b != block and any(units):
-                    block, file = b, UnitFile.read(folder, b)
-                for k in range(0, len(part), 100):
-                    if any(units[k : k + 100]):
-                        known.learn(units[k : k + 100], file)
-                    for (i, text, _), keys in zip(part[k : k + 100], units[k : k + 100]):
+            for b, same in groupby(rows, lambda r: r[2]):
+                same = [*same]
+                parts = [own.parts(text) for _, text, _ in same]
+                if b != block and any(parts):
+                    block, file = b, PartFile.read(folder, b)
+                for k in range(0, len(same), 100):
+                    if any(parts[k : k + 100]):
+                        known.learn(parts[k : k + 100], file)
+                    for (i, text, _), keys in zip(same[k : k + 100], parts[k : k + 100]):
                         raw = b"".join(map(known.__getitem__, keys))
                         ids = np.frombuffer(raw, "<i4")
                         out.append((i, ids, len(keys), zlib.crc32(raw), decode_ids(ids, strings) == text))
@@ -350,76 +316,69 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             yield result(out)
 
     def result(out: list[tuple]) -> pa.RecordBatch:
-        ids, n_units, crc, same = ([r[k] for r in out] for k in (1, 2, 3, 4))
+        ids, n_parts, crc, same = ([r[k] for r in out] for k in (1, 2, 3, 4))
         counts = np.array([len(x) for x in ids], np.int64)
         ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
-        columns = [pa.array([r[0] for r in out], id_type), lists, pa.array(n_units, pa.int64()), pa.array(counts), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "ids", "n_units", "n_pieces", "ids_crc32", "round_trip"])
+        columns = [pa.array([r[0] for r in out], id_type), lists, pa.array(n_parts, pa.int64()), pa.array(counts), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "ids", "n_parts", "n_pieces", "ids_crc32", "round_trip"])
+
     kind = "string" if id_type == pa.string() else "long"
-    return rows.withColumn("id", F.col("id").cast(kind)).mapInArrow(assemble, f"id {kind}, ids array<int>, n_units long, n_pieces long, ids_crc32 long, round_trip boolean")
+    return rows.withColumn("id", F.col("id").cast(kind)).mapInArrow(assemble, f"id {kind}, ids array<int>, n_parts long, n_pieces long, ids_crc32 long, round_trip boolean")
 
 
-class UnitIds(dict):
-    """The ids of units as bytes; remembers a bounded number of them, and for a while what it has just been asked for."""
+class PartIds(dict):
+    """The ids of parts as bytes; remembers a bounded number of them, and for a while what it has just been asked for."""
 
-    def __init__(self, pieces: Pieces):
-        self.pieces, self.now = pieces, {}
+    def __init__(self):
+        self.now: dict[str, bytes] = {}
 
-    def __missing__(self, unit: str) -> bytes:
-        return self.now[unit]
+    def __missing__(self, part: str) -> bytes:
+        return self.now[part]
 
-    def learn(self, texts: list[list[str]], file: UnitFile) -> None:
-        """Look up the units of some texts that aren't known, by the hashes of their parts as Spark's xxhash64 gives them."""
-        missing = list({u for units in texts for u in units if u not in self})
-        cut = [self.pieces.parts(u) for u in missing]
-        hashes = [xxhash.xxh64_intdigest(k.encode("utf-8", "surrogatepass"), 42) for keys in cut for k in keys]
-        found = file.parts(np.array(hashes, np.uint64).view(np.int64))
-        if len(found) > len(cut):
-            at = iter(found)
-            found = [b"".join(next(at) for _ in keys) for keys in cut]
-        self.now = dict(zip(missing, found))
-        if len(self) + len(missing) <= WORD_CACHE:
+    def learn(self, texts: list[list[str]], file: PartFile) -> None:
+        """Look up the parts of some texts that aren't known, by their hashes as Spark's xxhash64 gives them."""
+        missing = list({p for parts in texts for p in parts if p not in self})
+        hashes = [xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), 42) for p in missing]
+        self.now = dict(zip(missing, file.ids(np.array(hashes, np.uint64).view(np.int64))))
+        if len(self) + len(missing) <= REMEMBERED:
             self.update(self.now)
 
 
 @functools.lru_cache(maxsize=1)
-def unit_ids(model: str) -> UnitIds:
-    """The units that the tasks of a Python worker remember."""
-    return UnitIds(Pieces.read(model))
+def part_ids(model: str, unigram: bool) -> PartIds:
+    """The parts that the tasks of a Python worker remember; with one model, their ids are the same in all blocks."""
+    return PartIds()
 
 
 @dataclass
-class UnitFile:
-    """The units of one block: sorted hashes, and the ids of each."""
+class PartFile:
+    """The parts of one block: sorted hashes, and the ids of each."""
 
     hashes: np.ndarray
     offsets: np.ndarray
-    values: np.ndarray
-    raw: bytes | None = None
+    raw: bytes
 
     @classmethod
-    def read(cls, folder: str, block: int) -> UnitFile:
+    def read(cls, folder: str, block: int) -> PartFile:
         fs, root = pafs.FileSystem.from_uri(folder)
         with fs.open_input_stream(f"{root}/{block}") as f:
             raw = f.read()
-        n, m = np.frombuffer(raw, "<i8", 2)
+        n = int(np.frombuffer(raw, "<i8", 1)[0])
         at = 16 + 8 * n
-        return cls(np.frombuffer(raw, "<i8", n, 16), np.frombuffer(raw, "<i8", n + 1, at), np.frombuffer(raw, "<i4", m, at + 8 * (n + 1)))
+        return cls(np.frombuffer(raw, "<i8", n, 16), np.frombuffer(raw, "<i8", n + 1, at), raw[at + 8 * (n + 1) :])
 
-    def parts(self, hashes: np.ndarray) -> list[bytes]:
+    def ids(self, hashes: np.ndarray) -> list[bytes]:
         """The ids of the parts with these hashes, as bytes."""
         at = np.searchsorted(self.hashes, hashes)
         if at.max(initial=0) >= len(self.hashes) or (self.hashes[at] != hashes).any():
-            raise KeyError("a unit is not in its block's file")
-        raw = self.values.tobytes() if self.raw is None else self.raw
-        self.raw = raw
-        return [raw[a:b] for a, b in zip((4 * self.offsets[at]).tolist(), (4 * self.offsets[at + 1]).tolist())]
+            raise KeyError("a part is not in its block's file")
+        return [self.raw[a:b] for a, b in zip((4 * self.offsets[at]).tolist(), (4 * self.offsets[at + 1]).tolist())]
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """``encoded`` with a column ``decoded``: the text of its ids. Null ids give null."""
-    strings = Pieces.read(model).decoder()
+    strings = pieces_of(model).decoder()
 
     @F.pandas_udf("string")
     def text_of(ids: pd.Series) -> pd.Series:

@@ -69,7 +69,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     encoded = pieces.encode(docs, public_tokenizers.path(PIECE_BPE), from_files=True)
-    return encoded.select(F.col("id").alias("doc_id"), "n_units", "n_pieces", "ids_crc32", "round_trip")
+    return encoded.select(F.col("id").alias("doc_id"), "n_parts", "n_pieces", "ids_crc32", "round_trip")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
