@@ -42,7 +42,7 @@ MASK = 61
 #: Bytes of an input file whose texts share a file of parts; what bounds such a file.
 BLOCK_BYTES = 128 << 20
 FLUSH = 400_000
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 PARTS_IN_TASK = 16_384
 
 
@@ -201,20 +201,20 @@ def lattice(parts: DataFrame, pieces: Pieces, unigram: bool = False) -> DataFram
     short = texts if unigram else texts.where(F.col("n") <= MASK)
     starts = short.select("text", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     ends = F.sequence(F.col("s") + 1, F.least("n", F.col("s") + pieces.longest))
-    spans = starts.select("text", "s", F.explode(ends).alias("e")).select(
-        "text", "s", "e", F.expr("substring(text, s + 1, e - s)").alias("piece")
-    )
-    table = F.broadcast(pieces.table(spark))  # as large as the model file
-    edges = spans.join(table, "piece", "left").where("id is not null or e = s + 1")
+    span = F.expr("substring(text, s + 1, e - s)")
+    spans = starts.select("text", "s", F.explode(ends).alias("e")).withColumn("hash", F.xxhash64(span))
+    # joined by 64-bit hashes, which are probed faster than strings; the strings are compared where these agree
+    table = F.broadcast(pieces.table(spark).withColumn("hash", F.xxhash64("piece")))  # as large as the model file
+    edges = spans.join(table, "hash", "left").withColumn("id", F.when(F.col("piece") == span, F.col("id"))).where("id is not null or e = s + 1")
     bytes_of = F.expr(
-        f"transform(sequence(1, octet_length(piece)), i -> {pieces.byte_base} + cast(conv(substring(hex(encode(piece, 'utf-8')), 2 * i - 1, 2), 16, 10) as int))"
+        f"transform(sequence(1, octet_length(substring(text, s + 1, 1))), i -> {pieces.byte_base} + cast(conv(substring(hex(encode(substring(text, s + 1, 1), 'utf-8')), 2 * i - 1, 2), 16, 10) as int))"
     )
     if unigram:
         ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(bytes_of).alias("ids")
-        score = F.coalesce("score", F.lit(pieces.least - UNKNOWN_PENALTY)).alias("v")
+        score = F.when(F.col("id").isNotNull(), F.col("score")).otherwise(pieces.least - UNKNOWN_PENALTY).alias("v")
         grouped = edges.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("e", "s", score, ids))).alias("edges"))
         return grouped.select("text", viterbi(F.col("edges"), pieces.longest).alias("ids"))
-    packed = F.coalesce("rank", F.lit(0)).cast("long") * (1 << 36) + F.col("s").cast("long") * (1 << 30) + F.col("e").cast("long") * (1 << 24) + F.coalesce(F.col("id") + 1, F.lit(0))
+    packed = F.when(F.col("id").isNotNull(), F.col("rank")).otherwise(0).cast("long") * (1 << 36) + F.col("s").cast("long") * (1 << 30) + F.col("e").cast("long") * (1 << 24) + F.coalesce(F.col("id") + 1, F.lit(0))
     grouped = edges.select("text", packed.alias("edge")).groupBy("text").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     folded = grouped.select("text", merged(F.col("edges"), F.length("text")).alias("ids"))
     spelt = F.expr(
