@@ -78,11 +78,14 @@ def point_in_polygon(points: DataFrame, polys: DataFrame, size: float = 4.0, bou
 
 def near_segments(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
     """Pairs of a point and a segment at most ``reach`` apart, with ``dist`` and the place ``t`` of the nearest point."""
-    size = max(reach, 1e-9) * 2
+    size = max(reach * 2, 4.0)
     low = lambda a, b: F.least(a, b) - reach
     high = lambda a, b: F.greatest(a, b) + reach
-    cells = touched_cells(segments, max(size, 4.0), low("x1", "x2"), low("y1", "y2"), high("x1", "x2"), high("y1", "y2"))
-    pairs = keyed(points, max(size, 4.0)).join(cells, ["cx", "cy"]).drop("cx", "cy")
+    cells = touched_cells(segments, size, low("x1", "x2"), low("y1", "y2"), high("x1", "x2"), high("y1", "y2"))
+    # of the box around a slanting segment, only the cells along it
+    middle = G.segment_distance((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size, *EDGE)
+    cells = cells.where(middle <= reach + size * 0.70711)
+    pairs = keyed(points, size).join(cells, ["cx", "cy"]).drop("cx", "cy")
     pairs = pairs.withColumn("dist", G.segment_distance("x", "y", *EDGE))
     return pairs.where(F.col("dist") <= reach).withColumn("t", G.projection("x", "y", *EDGE))
 
