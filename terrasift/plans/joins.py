@@ -132,7 +132,7 @@ SIDE = near("kod = 'RD' and id % 3 = 0") + """,
 
 def corridor(spark, sf):
     """RD points with their line's direction, and the other points in the corridor across them."""
-    rd = S.nearest_segment(codes(spark, sf, "kod = 'RD' and id % 3 = 0"), view(spark, sf, "v_segments"), reaches=(5.0,))
+    rd = S.nearest_segment(codes(spark, sf, "kod = 'RD'"), view(spark, sf, "v_segments"), reaches=(5.0,))
     rd = rd.where("dist <= 5 and (x2 <> x1 or y2 <> y1)")
     length = G.distance(*S.EDGE)
     rd = rd.select(
@@ -168,7 +168,7 @@ select a.id as rd, b.id as member from l a join l b on a.line_id = b.line_id and
 
 @query(GROUP)
 def join_same_line_group(spark, sf):
-    rows = S.nearest_segment(codes(spark, sf, "kod in ('RD', 'RDS') and id % 5 = 0"), view(spark, sf, "v_segments")).select("id", "kod", "x", "y", "line_id")
+    rows = S.nearest_segment(codes(spark, sf, "kod in ('RD', 'RDS')"), view(spark, sf, "v_segments")).select("id", "kod", "x", "y", "line_id")
     base = rows.where("kod = 'RD'")
     cells = S.touched_cells(base, 10.0, F.col("x") - 10, F.col("y") - 10, F.col("x") + 10, F.col("y") + 10)
     others = rows.where("kod = 'RDS'").select(F.col("id").alias("member"), F.col("x").alias("ox"), F.col("y").alias("oy"), "line_id")
@@ -247,7 +247,7 @@ select l.id, g.rd, floor((l.x + a.dx) * 1e4 + 0.5) / 1e4 as x, floor((l.y + a.dy
 @query(SNAP)
 def cq_shift_snap(spark, sf):
     """A group moves once, with the vector of its RD's nearest line; a member of several groups goes to the smallest RD."""
-    rows = S.nearest_segment(codes(spark, sf, "kod in ('RD', 'RDS') and id % 5 = 0"), view(spark, sf, "v_segments"))
+    rows = S.nearest_segment(codes(spark, sf, "kod in ('RD', 'RDS')"), view(spark, sf, "v_segments"))
     at = lambda a, b: F.col(a) + F.col("t") * (F.col(b) - F.col(a))
     rows = rows.select("id", "kod", "x", "y", "line_id", "dist", (at("x1", "x2") - F.col("x")).alias("dx"), (at("y1", "y2") - F.col("y")).alias("dy"))
     rd = rows.where("kod = 'RD' and dist <= 50")
