@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import types as T
 
 from terrasift.functions import geometry as G
 from terrasift.operators.lineage import cut
-from terrasift.operators.spatial import keyed
+from terrasift.operators.spatial import keyed, touched_cells
 from terrasift.session import ship
 
 POINTS = "array<struct<x: double, y: double>>"
@@ -192,43 +194,108 @@ def reached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
+def _turn(ax, ay, bx, by, cx, cy):
+    """Positive if a, b, c turn left, negative if right, 0 if they lie on a line; exact where rounding could matter."""
+    left, right = (ax - cx) * (by - cy), (ay - cy) * (bx - cx)
+    if abs(left - right) >= 4e-16 * (abs(left) + abs(right)):
+        return left - right
+    ax, ay, bx, by, cx, cy = map(Fraction, (ax, ay, bx, by, cx, cy))
+    return (ax - cx) * (by - cy) - (ay - cy) * (bx - cx)
+
+
+def _within(ax, ay, bx, by, cx, cy, dx, dy):
+    """Whether d lies within the circle through a, b, c, which turn left; exact where rounding could matter."""
+    ax, ay, bx, by, cx, cy, exact = ax - dx, ay - dy, bx - dx, by - dy, cx - dx, cy - dy, (ax, ay, bx, by, cx, cy, dx, dy)
+    a, b, c = ax * ax + ay * ay, bx * bx + by * by, cx * cx + cy * cy
+    p, q, r, s, t, u = bx * cy, cx * by, cx * ay, ax * cy, ax * by, bx * ay
+    det = a * (p - q) + b * (r - s) + c * (t - u)
+    if abs(det) > 1.2e-15 * (a * (abs(p) + abs(q)) + b * (abs(r) + abs(s)) + c * (abs(t) + abs(u))):
+        return det > 0
+    ax, ay, bx, by, cx, cy, dx, dy = map(Fraction, exact)
+    ax, ay, bx, by, cx, cy = ax - dx, ay - dy, bx - dx, by - dy, cx - dx, cy - dy
+    return (ax * ax + ay * ay) * (bx * cy - cx * by) + (bx * bx + by * by) * (cx * ay - ax * cy) + (cx * cx + cy * cy) * (ax * by - bx * ay) > 0
+
+
+def _insertion_order(points: np.ndarray) -> np.ndarray:
+    """Rounds of doubling size, each along a snake of cells: a point lies near the one before it, and cavities stay small."""
+    n = len(points)
+    rank = np.random.default_rng(1).permutation(n)
+    rounds = np.ceil(np.log2((rank + 1) / 64).clip(0)).astype(int)
+    low, span = points.min(axis=0), np.ptp(points, axis=0).max()
+    side = np.sqrt(2.0 ** (rounds + 6)).clip(1) / 2
+    col, row = (((points - low) / span) * side[:, None]).astype(int).T
+    along = np.where(row % 2 == 0, points[:, 0], -points[:, 0])
+    return np.lexsort((along, row, rounds))
+
+
 def triangulated(points: np.ndarray) -> np.ndarray:
-    """Delaunay triangles (indices) of distinct points in the plane, by inserting one after another."""
+    """Delaunay triangles (indices) of distinct points in the plane, to their hull; none if all lie on one line.
+
+    Points are inserted one after another. ``over`` has the third corner of the triangle to the left of each directed
+    edge; a corner -1 at infinity closes the hull. The triangle of a point is found by walking from the last one.
+    """
     n = len(points)
     if n < 3:
         return np.zeros((0, 3), int)
-    low, span = points.min(axis=0), max(np.ptp(points, axis=0).max(), 1e-9)
-    middle = low + np.ptp(points, axis=0) / 2
-    pts = np.vstack([points, middle + span * np.array([[-30.0, -20.0], [30.0, -20.0], [0.0, 40.0]])])
-    triangles, circles = [(n, n + 1, n + 2)], []
-
-    def circle(t):
-        (ax, ay), (bx, by), (cx, cy) = pts[list(t)]
-        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-        if not d:
-            return (0.0, 0.0, np.inf)
-        ux = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
-        uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
-        return (ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2)
-
-    circles = [circle(triangles[0])]
-    for k in np.lexsort((points[:, 1], points[:, 0])):
-        x, y = pts[k]
-        c = np.array(circles)
-        hit = np.flatnonzero((c[:, 0] - x) ** 2 + (c[:, 1] - y) ** 2 < c[:, 2] * (1 + 1e-12))
-        sides: dict[tuple[int, int], int] = {}
-        for i in hit:
-            t = triangles[i]
-            for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                sides[min(a, b), max(a, b)] = sides.get((min(a, b), max(a, b)), 0) + 1
-        gone = set(hit.tolist())
-        triangles = [t for i, t in enumerate(triangles) if i not in gone]
-        circles = [v for i, v in enumerate(circles) if i not in gone]
-        for (a, b), times in sides.items():
-            if times == 1:
-                triangles.append((a, b, int(k)))
-                circles.append(circle(triangles[-1]))
-    return np.array([t for t in triangles if max(t) < n], int).reshape(-1, 3)
+    xs, ys = points[:, 0].tolist(), points[:, 1].tolist()
+    turn = lambda i, j, k: _turn(xs[i], ys[i], xs[j], ys[j], xs[k], ys[k])
+    order = _insertion_order(points).tolist()
+    a, b = order[:2]
+    c = next((k for k in order[2:] if turn(a, b, k)), None)
+    if c is None:
+        return np.zeros((0, 3), int)
+    if turn(a, b, c) < 0:
+        a, b = b, a
+    over: dict[tuple[int, int], int] = {}
+
+    def add(i, j, k):
+        over[i, j], over[j, k], over[k, i] = k, i, j
+
+    def conflicts(i, j, k, p):
+        while i < 0 or j < 0:
+            i, j, k = j, k, i
+        if k >= 0:
+            return _within(xs[i], ys[i], xs[j], ys[j], xs[k], ys[k], xs[p], ys[p])
+        side = turn(i, j, p)
+        return side > 0 or side == 0 and min((xs[i], ys[i]), (xs[j], ys[j])) < (xs[p], ys[p]) < max((xs[i], ys[i]), (xs[j], ys[j]))
+
+    for t in ((a, b, c), (b, a, -1), (c, b, -1), (a, c, -1)):
+        add(*t)
+    first, last = {a, b, c}, (a, b, c)
+    for p in order:
+        if p in first:
+            continue
+        i, j, k = last
+        while True:
+            if k < 0:
+                if conflicts(i, j, k, p):
+                    break
+                i, j = j, i
+                k = over[i, j]
+            for u, v in ((i, j), (j, k), (k, i)):
+                if turn(u, v, p) < 0:
+                    i, j, k = v, u, over[v, u]
+                    break
+            else:
+                break
+            if k < 0:
+                break
+        for e in ((i, j), (j, k), (k, i)):
+            del over[e]
+        todo = [(i, j), (j, k), (k, i)]
+        while todo:
+            u, v = todo.pop()
+            w = over.get((v, u))
+            if w is None:
+                continue
+            if conflicts(v, u, w, p):
+                del over[v, u], over[u, w], over[w, v]
+                todo += [(u, w), (w, v)]
+            else:
+                add(u, v, p)
+                if u >= 0 and v >= 0:
+                    last = (u, v, p)
+    return np.array([(i, j, k) for (i, j), k in over.items() if -1 < i < j and i < k], int).reshape(-1, 3)
 
 
 def mesh_samples(points: DataFrame, by: str, per_area: float, seed: int = 1, most: int = 2000) -> DataFrame:
@@ -318,14 +385,41 @@ def cloth_ground(points: DataFrame, tile: float = 50.0, cell: float = 0.5, steps
     return dealt.groupBy("tx", "ty").applyInPandas(settle, "pt_key string, classification int")
 
 
-
-def alpha_area(points: np.ndarray, alpha: float) -> float:
-    """The area of the alpha shape: of the Delaunay triangles whose circumscribed circle has a radius below 1 / alpha."""
+def alpha_triangles(points: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """The centres of the circles around the triangles of the alpha shape, and the triangles' areas: of the Delaunay
+    triangles, those whose circumscribed circle has a radius below 1 / alpha."""
     t = triangulated(points)
-    if not len(t):
-        return 0.0
     a, b, c = points[t[:, 0]], points[t[:, 1]], points[t[:, 2]]
     sides = [np.hypot(*(u - v).T) for u, v in ((a, b), (b, c), (c, a))]
-    area = np.abs((b[:, 0] - a[:, 0]) * (c[:, 1] - a[:, 1]) - (b[:, 1] - a[:, 1]) * (c[:, 0] - a[:, 0])) / 2
-    radius = np.divide(sides[0] * sides[1] * sides[2], 4 * area, out=np.full(len(t), np.inf), where=area > 0)
-    return float(area[radius < 1 / alpha].sum())
+    u, v = b - a, c - a
+    twice = np.abs(u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0])
+    radius = np.divide(sides[0] * sides[1] * sides[2], 2 * twice, out=np.full(len(t), np.inf), where=twice > 0)
+    kept = radius < 1 / alpha
+    a, u, v = a[kept], u[kept], v[kept]
+    d, uu, vv = 2 * (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]), (u * u).sum(axis=1), (v * v).sum(axis=1)
+    centre = a + np.stack([v[:, 1] * uu - u[:, 1] * vv, u[:, 0] * vv - v[:, 0] * uu], axis=1) / d[:, None]
+    return centre, twice[kept] / 2
+
+
+def alpha_area(points: np.ndarray, alpha: float) -> float:
+    """The area of the alpha shape."""
+    return float(alpha_triangles(points, alpha)[1].sum())
+
+
+def alpha_areas(points: DataFrame, by: str, alpha: float, tile: float = 32.0) -> DataFrame:
+    """The area of each group's alpha shape: (by, area).
+
+    A triangle counts in the tile of its circle's centre. The circle is smaller than the margin, so the tile's points
+    settle whether it is empty, and triangles on one circle fall into one tile.
+    """
+    ship(points.sparkSession)
+    kind = points.schema[by].dataType.simpleString()
+    margin = 1.001 / alpha
+    dealt = touched_cells(points.select(by, "x", "y"), tile, F.col("x") - margin, F.col("y") - margin, F.col("x") + margin, F.col("y") + margin)
+
+    def own(rows: pd.DataFrame) -> pd.DataFrame:
+        centre, area = alpha_triangles(np.unique(rows[["x", "y"]].to_numpy(float), axis=0), alpha)
+        here = (np.floor(centre / tile) == rows[["cx", "cy"]].iloc[0].to_numpy()).all(axis=1)
+        return pd.DataFrame({by: [rows[by].iloc[0]], "area": [float(area[here].sum())]})
+
+    return dealt.groupBy(by, "cx", "cy").applyInPandas(own, f"{by} {kind}, area double").groupBy(by).agg(F.sum("area").alias("area"))

@@ -174,7 +174,7 @@ def cq_cluster_polygons(spark, sf):
 
 @query()
 def smp_mesh_area_weighted(spark, sf):
-    rows = view(spark, sf, "v_points").where("x < 20 and y < 20").select("file", "x", "y", "z")
+    rows = view(spark, sf, "v_points").select("file", "x", "y", "z")
     return V.mesh_samples(rows, "file", 2, most=300).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.max("z").alias("high"))
 
 
@@ -194,4 +194,4 @@ def cq_graph_route(spark, sf):
 
 @query()
 def cq_csf_ground(spark, sf):
-    return V.cloth_ground(view(spark, sf, "v_points").where("x < 60 and y < 60"), cell=1.0, steps=80).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
+    return V.cloth_ground(view(spark, sf, "v_points"), cell=1.0, steps=80).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))

@@ -60,7 +60,7 @@ EXTENT = "with s as (select file, classification, min(x) as a, min(y) as b, max(
 
 @query(EXTENT + " select file, classification, poly_id from s join v_boxes on xmin <= c and xmax >= a and ymin <= d and ymax >= b")
 def join_extent_intersects(spark, sf):
-    scans = P.extent(view(spark, sf, "v_points").where("x < 12 and y < 12"), "file", "classification")
+    scans = P.extent(view(spark, sf, "v_points"), "file", "classification")
     size, box = 16.0, [F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")]
     scans = S.touched_cells(scans, size, *box).selectExpr("file", "classification", "xmin as a", "ymin as b", "xmax as c", "ymax as d", "cx", "cy")
     pairs = scans.join(S.touched_cells(view(spark, sf, "v_boxes"), size, *box), ["cx", "cy"])

@@ -1,8 +1,11 @@
 """Queries over all their rows, against SQL without the cuts that the registered SQL has, or against brute force."""
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from terrasift.operators import vector as V
+from terrasift.plans.fixtures import view, with_views
 from tests.oracle import connect, rows
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +40,42 @@ def test_mode_is_over_all_orders(spark, db):
 def test_cross_sections_are_all_validated(spark, db):
     got = {r.rd for r in QUERIES["cq_cross_section_validate"](spark, SF).select("rd").collect()}
     assert got == set(db.execute(whole("cq_cross_section_validate", " and id % 3 = 0")).df()["rd"])
+
+
+@pytest.mark.parametrize("name", ["join_extent_intersects", "cq_cross_section_metadata"])
+def test_scans_extend_over_all_their_points(spark, db, name):
+    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(db.execute(whole(name, " where x < 12 and y < 12")).df())
+
+
+def on_hull(p):
+    h = V.hull(p)
+    return sum(any((b[0] - a[0]) * (q[1] - a[1]) == (b[1] - a[1]) * (q[0] - a[0]) for a, b in zip(h, np.roll(h, -1, axis=0))) for q in p)
+
+
+def test_triangles_are_delaunay_and_fill_the_hull():
+    rng = np.random.default_rng(0)
+    for size in (5, 9, 30):
+        p = np.unique(rng.integers(0, size, (40, 2)).astype(float), axis=0)
+        t = V.triangulated(p)
+        assert len(t) == 2 * len(p) - 2 - on_hull(p)
+        for tri in t:
+            lifted = p[tri][:, None] - p[None]
+            m = np.concatenate([lifted, (lifted**2).sum(axis=2, keepdims=True)], axis=2).transpose(1, 0, 2)
+            assert (np.linalg.det(m) <= 1e-6).all()
+
+
+def test_whole_files_are_triangulated(spark):
+    points = view(spark, SF, "v_points").select("file", "x", "y").toPandas()
+    area = {r.file: r.area for r in QUERIES["geo_alpha_shape"](spark, SF).collect()}
+    got = {r.file: (r.points, r.triangles) for r in QUERIES["geo_delaunay_2d"](spark, SF).collect()}
+    assert set(got) == set(area) == set(points["file"])
+    for file, part in points.groupby("file"):
+        p = np.unique(part[["x", "y"]].to_numpy(float), axis=0)
+        assert got[file] == (len(p), len(V.triangulated(p)))
+        assert abs(area[file] - V.alpha_area(p, 0.25)) < 1e-5
+
+
+def test_meshes_and_ground_take_all_points(spark, db):
+    want = dict(db.execute(with_views("select file, count(*) from v_points group by file")).fetchall())
+    assert sum(r.n for r in QUERIES["cq_csf_ground"](spark, SF).collect()) == sum(want.values())
+    assert {r.file for r in QUERIES["smp_mesh_area_weighted"](spark, SF).collect()} == set(want)
