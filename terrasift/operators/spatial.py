@@ -123,3 +123,21 @@ def nearest_points(base: DataFrame, others: DataFrame, k: int, reach: float, key
     pairs = pairs.withColumn("dist", G.distance("x", "y", "ox", "oy")).where(F.col("dist") <= reach)
     nth = F.row_number().over(Window.partitionBy(key).orderBy("dist", "oid"))
     return pairs.withColumn("nth", nth).where(F.col("nth") <= k)
+
+
+def fixed_heights(codes: DataFrame, reach: float = 7.0, delta: float = 0.11, k: int = 2) -> DataFrame:
+    """All RD and RDS of survey points (id, kod, x, y, z), lowered until RD < RDS < RGS; RGS stay as they are.
+
+    Each RD looks at its ``k`` nearest RDS and RGS. An RDS that isn't below the lowest RGS of all its RDs goes ``delta``
+    below it; then an RD that isn't below its lowest RDS goes ``delta`` below that. An RD without an RDS, as where a
+    section with two RGS runs out, changes nothing.
+    """
+    of = lambda kod: codes.where(F.col("kod") == kod)
+    other = lambda kod: of(kod).select(F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
+    pairs = nearest_points(of("RD"), other("RDS"), k, reach).select("id", "oid")
+    banks = nearest_points(of("RD"), other("RGS"), k, reach).groupBy("id").agg(F.min("oz").alias("top"))
+    limits = pairs.join(banks, "id").groupBy("oid").agg(F.min("top").alias("top")).withColumnRenamed("oid", "id")
+    lowered = lambda limit: F.when(F.col("z") >= F.col(limit), F.col(limit) - delta).otherwise(F.col("z")).alias("z")
+    rds = of("RDS").join(limits, "id", "left").select("id", "kod", lowered("top"))
+    slopes = pairs.join(rds.select(F.col("id").alias("oid"), F.col("z").alias("oz")), "oid").groupBy("id").agg(F.min("oz").alias("foot"))
+    return of("RD").join(slopes, "id", "left").select("id", "kod", lowered("foot")).union(rds)

@@ -235,8 +235,7 @@ def cq_cross_section_validate(spark, sf):
 @query(KNN + """, h as (select id, z, min(oz) as lowest from k where nth <= 2 group by id, z)
 select id, floor((case when z <= lowest then lowest + 0.11 else z end) * 1e6 + 0.5) / 1e6 as z from h""")
 def cq_height_fix(spark, sf):
-    rows = knn(spark, sf).groupBy("id", "z").agg(F.min("oz").alias("lowest"))
-    return rows.select("id", G.rounded(F.when(F.col("z") <= F.col("lowest"), F.col("lowest") + 0.11).otherwise(F.col("z"))).alias("z"))
+    return S.fixed_heights(view(spark, sf, "v_codes")).select("id", G.rounded("z").alias("z"))
 
 
 SNAP = near("kod in ('RD', 'RDS') and id % 5 = 0") + """, l as (select id, kod, x, y, line_id, x1 + t * (x2 - x1) - x as dx, y1 + t * (y2 - y1) - y as dy, dist from n where nth = 1),

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from terrasift.operators import spatial as S
 from terrasift.operators import vector as V
 from terrasift.plans.fixtures import view, with_views
 from tests.oracle import connect, rows
@@ -79,3 +80,38 @@ def test_meshes_and_ground_take_all_points(spark, db):
     want = dict(db.execute(with_views("select file, count(*) from v_points group by file")).fetchall())
     assert sum(r.n for r in QUERIES["cq_csf_ground"](spark, SF).collect()) == sum(want.values())
     assert {r.file for r in QUERIES["smp_mesh_area_weighted"](spark, SF).collect()} == set(want)
+
+
+def test_heights_are_lowered(spark):
+    kods = [
+        (1, "RD", 0.0, 5.0), (2, "RDS", 1.0, 6.0), (3, "RGS", 2.0, 4.0),  # both are lowered
+        (11, "RD", 100.0, 5.0), (12, "RGS", 101.0, 1.0), (13, "RGS", 102.0, 1.0),  # no RDS and two RGS: no change
+        (21, "RD", 200.0, 1.0), (22, "RDS", 201.0, 2.0), (23, "RGS", 202.0, 3.0),  # already in order
+        (31, "RDS", 300.0, 7.0),  # no RD within reach
+        (41, "RD", 400.0, 2.0), (42, "RDS", 401.0, 2.0),  # no RGS; equal heights
+    ]
+    points = spark.createDataFrame([(i, kod, x, 0.0, z) for i, kod, x, z in kods], "id long, kod string, x double, y double, z double")
+    got = {r.id: round(r.z, 6) for r in S.fixed_heights(points).collect()}
+    assert got == {1: 3.78, 2: 3.89, 11: 5.0, 21: 1.0, 22: 2.0, 31: 7.0, 41: 1.89, 42: 2.0}
+
+
+def test_heights_are_those_of_brute_force(spark):
+    points = view(spark, SF, "v_codes").toPandas()
+    by = {k: part[["id", "x", "y", "z"]].to_numpy(float) for k, part in points.groupby("kod")}
+
+    def nearest(p, kod):
+        d = np.sqrt((by[kod][:, 1] - p[1]) ** 2 + (by[kod][:, 2] - p[2]) ** 2)
+        return [i for i in np.lexsort((by[kod][:, 0], d))[:2] if d[i] <= 7]
+
+    z, top = by["RDS"][:, 3].copy(), np.full(len(by["RDS"]), np.inf)
+    for p in by["RD"]:
+        if banks := nearest(p, "RGS"):
+            for i in nearest(p, "RDS"):
+                top[i] = min(top[i], by["RGS"][banks, 3].min())
+    z = np.where(z >= top, top - 0.11, z)
+    want = dict(zip(by["RDS"][:, 0], z))
+    for p in by["RD"]:
+        foot = min((z[i] for i in nearest(p, "RDS")), default=np.inf)
+        want[p[0]] = foot - 0.11 if p[3] >= foot else p[3]
+    got = {r.id: r.z for r in QUERIES["cq_height_fix"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want)
