@@ -214,17 +214,21 @@ def cq_cross_section_validate(spark, sf):
     pick = lambda kod, left: F.min(
         F.when((F.col("kod") == kod) & ((F.col("across") < 0) if left else (F.col("across") > 0)), F.struct(F.abs("across").alias("d"), "oid", "oz"))
     )["oz"]
+    water = F.min(F.when(F.col("kod") == "RL", F.struct(F.abs("across").alias("d"), "oid", "oz")))["oz"]  # on either side, or on the line
     picked = rows.groupBy("rd").agg(
-        pick("RDS", True).alias("rds_l"), pick("RDS", False).alias("rds_r"), pick("RGS", True).alias("rgs_l"), pick("RGS", False).alias("rgs_r")
+        pick("RDS", True).alias("rds_l"), pick("RDS", False).alias("rds_r"), pick("RGS", True).alias("rgs_l"), pick("RGS", False).alias("rgs_r"), water.alias("rl")
     )
+    both = F.col("rgs_l").isNotNull() & F.col("rgs_r").isNotNull()
     out = rd.select("rd", "rz").join(picked, "rd", "left").select(
         "rd",
         (F.col("rds_l") > F.col("rz")).alias("rds_left"),
         (F.col("rds_r") > F.col("rz")).alias("rds_right"),
         (F.col("rgs_l") > F.col("rds_l")).alias("rgs_left"),
         (F.col("rgs_r") > F.col("rds_r")).alias("rgs_right"),
+        (F.col("rl") > F.col("rz")).alias("rl_rd"),
+        F.when(both, (F.col("rl") < F.col("rgs_l")) | (F.col("rl") < F.col("rgs_r"))).alias("rl_rgs"),
     )
-    rules = {"rds_left": "RDS left", "rds_right": "RDS right", "rgs_left": "RGS left", "rgs_right": "RGS right"}
+    rules = {"rds_left": "RDS left", "rds_right": "RDS right", "rgs_left": "RGS left", "rgs_right": "RGS right", "rl_rd": "RL RD", "rl_rgs": "RL RGS"}
     ok = F.lit(True)
     for c in rules:  # a rule that doesn't apply is null, and counts as kept
         ok = ok & F.coalesce(c, F.lit(True))

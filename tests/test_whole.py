@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 from terrasift.operators import spatial as S
 from terrasift.operators import vector as V
 from terrasift.plans.fixtures import view, with_views
+from terrasift.plans.joins import SIDE
 from tests.oracle import connect, rows
 
 SF = "/root/testdata/sf0.001"
@@ -115,3 +116,17 @@ def test_heights_are_those_of_brute_force(spark):
         want[p[0]] = foot - 0.11 if p[3] >= foot else p[3]
     got = {r.id: r.z for r in QUERIES["cq_height_fix"](spark, SF).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want)
+
+
+def test_water_surface_is_validated(spark, db):
+    side = SIDE.replace(" and id % 3 = 0", "")
+    want = {r[0]: r[1:] for r in db.execute(with_views(side + """, g as (select rd, min(rz) as rz,
+     arg_min(oz, (abs(across), oid)) filter (where kod = 'RL') as rl,
+     arg_min(oz, (abs(across), oid)) filter (where kod = 'RGS' and across < 0) as a, arg_min(oz, (abs(across), oid)) filter (where kod = 'RGS' and across > 0) as b from w group by rd)
+     select f.rd, rl > g.rz, case when rl is not null and a is not null and b is not null then rl < a or rl < b end from f left join g on f.rd = g.rd""")).fetchall()}
+    got = QUERIES["cq_cross_section_validate"](spark, SF).collect()
+    assert {r.rd: (r.rl_rd, r.rl_rgs) for r in got} == want
+    assert {False, True, None} == {r.rl_rd for r in got} == {r.rl_rgs for r in got}
+    for r in got:
+        assert r.ok == (r.issues == "") == (False not in (r.rds_left, r.rds_right, r.rgs_left, r.rgs_right, r.rl_rd, r.rl_rgs))
+        assert (r.rl_rd is False) == ("RL RD" in r.issues) and (r.rl_rgs is False) == ("RL RGS" in r.issues)
