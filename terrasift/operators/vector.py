@@ -354,7 +354,22 @@ def greedy_routes(edges: DataFrame, by: str, most: float = 5000.0) -> DataFrame:
     return edges.groupBy(by).applyInPandas(run, f"{by} {kind}, step long, numer long, total double")
 
 
-def cloth_ground(points: DataFrame, tile: float = 50.0, cell: float = 0.5, steps: int = 200, threshold: float = 0.5, margin: float = 5.0) -> DataFrame:
+def settled(floor: np.ndarray, cloth: np.ndarray, still: float) -> np.ndarray:
+    """The cloth where it has come to rest on ``floor``: when no cell moves by more than ``still`` in a step.
+
+    Each step keeps the order of two cloths and a level cloth can only sink, so it never rises and does come to rest.
+    """
+    while True:
+        before = cloth
+        cloth = np.maximum(cloth - 0.02, floor)  # falls, and rests on the cloud
+        edged = np.pad(cloth, 1, mode="edge")
+        around = (edged[2:, 1:-1] + edged[:-2, 1:-1] + edged[1:-1, 2:] + edged[1:-1, :-2]) / 4
+        cloth = np.maximum(cloth + 0.5 * (around - cloth), floor)  # and is pulled by its neighbours
+        if np.abs(cloth - before).max() <= still:
+            return cloth
+
+
+def cloth_ground(points: DataFrame, tile: float = 50.0, cell: float = 0.5, still: float = 1e-4, threshold: float = 0.5, margin: float = 5.0) -> DataFrame:
     """Points (pt_key, x, y, z) with class 2 where they lie within ``threshold`` of a cloth dropped on the upturned cloud.
 
     Tiles with a margin are settled by themselves; a point takes the result of the tile that it lies in.
@@ -373,11 +388,7 @@ def cloth_ground(points: DataFrame, tile: float = 50.0, cell: float = 0.5, steps
         np.maximum.at(floor, (i, j), up)
         known = np.isfinite(floor)
         floor[~known] = up.min()
-        cloth = np.full((n, n), up.max() + 1.0)
-        for _ in range(steps):
-            cloth = np.maximum(cloth - 0.02, floor)  # falls, and rests on the cloud
-            around = (np.roll(cloth, 1, 0) + np.roll(cloth, -1, 0) + np.roll(cloth, 1, 1) + np.roll(cloth, -1, 1)) / 4
-            cloth = np.maximum(cloth + 0.5 * (around - cloth), floor)  # and is pulled by its neighbours
+        cloth = settled(floor, np.full((n, n), up.max() + 1.0), still)
         ground = np.abs(cloth[i, j] - up) <= threshold
         own = (np.floor(rows["x"] / tile) == rows["tx"]) & (np.floor(rows["y"] / tile) == rows["ty"])
         return pd.DataFrame({"pt_key": rows["pt_key"], "classification": np.where(ground, 2, 1)})[own.to_numpy()]

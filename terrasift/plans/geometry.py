@@ -194,4 +194,4 @@ def cq_graph_route(spark, sf):
 
 @query()
 def cq_csf_ground(spark, sf):
-    return V.cloth_ground(view(spark, sf, "v_points"), cell=1.0, steps=80).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
+    return V.cloth_ground(view(spark, sf, "v_points")).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))

@@ -130,3 +130,15 @@ def test_water_surface_is_validated(spark, db):
     for r in got:
         assert r.ok == (r.issues == "") == (False not in (r.rds_left, r.rds_right, r.rgs_left, r.rgs_right, r.rl_rd, r.rl_rgs))
         assert (r.rl_rd is False) == ("RL RD" in r.issues) and (r.rl_rgs is False) == ("RL RGS" in r.issues)
+
+
+def test_ground_of_a_slope_with_a_low_outlier(spark):
+    slope = [(f"g{i}-{j}", float(i), float(j), 0.2 * i) for i in range(51) for j in range(0, 51, 2)]
+    above = [(f"a{j}", 25.0, float(j), 9.0) for j in range(1, 50, 12)]
+    low = [("low", 40.0, 30.5, 1.0)]
+    rows = V.cloth_ground(spark.createDataFrame(slope + above + low, "pt_key string, x double, y double, z double")).collect()
+    assert len(rows) == len(slope) + len(above) + 1
+    found = {r.pt_key: r.classification for r in rows}
+    assert all(found[f"a{j}"] == 1 for j in range(1, 50, 12)) and found["low"] == 2
+    assert sum(found[k] == 2 for k, *_ in slope) > 0.9 * len(slope)
+    assert all(found[f"g{i}-{j}"] == 2 for i in range(51) for j in range(0, 20, 2))
