@@ -298,32 +298,44 @@ def triangulated(points: np.ndarray) -> np.ndarray:
     return np.array([(i, j, k) for (i, j), k in over.items() if -1 < i < j and i < k], int).reshape(-1, 3)
 
 
-def mesh_samples(points: DataFrame, by: str, per_area: float, seed: int = 1, most: int = 2000) -> DataFrame:
-    """Points spread evenly over the triangulated surface of each group: floor(area) * per_area of them.
+def mesh_triangles(points: DataFrame, by: str, per_area: int, seed: int = 1, above: int = 120_000, most: int = 50_000) -> DataFrame:
+    """The triangulated surface of each group, with how many of its floor(area) * per_area samples fall on each triangle:
+    (by, triangle, ax, ay, az, bx, ..., cz, n), without triangles that get none.
 
-    A group is a gap of bounded size; a larger one is thinned by hash to ``most`` corners before it is triangulated.
+    All points are corners, but for a group of more than ``above`` points, of which ``most`` are drawn.
     """
     ship(points.sparkSession)
     kind = points.schema[by].dataType.simpleString()
+    corners = [p + c for p in "abc" for c in "xyz"]
 
-    def spread(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["x", "y", "z"]).drop_duplicates(["x", "y"])
-        if len(rows) > most:
-            rows = rows.iloc[np.linspace(0, len(rows) - 1, most).astype(int)]
-        p = rows[["x", "y", "z"]].to_numpy(float)
+    def surface(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["x", "y", "z"])
+        rng = np.random.default_rng(seed)
+        if len(rows) > above:
+            rows = rows.iloc[np.sort(rng.choice(len(rows), most, replace=False))]
+        p = rows.drop_duplicates(["x", "y"])[["x", "y", "z"]].to_numpy(float)
         t = triangulated(p[:, :2])
-        if not len(t):
-            return pd.DataFrame({by: [], "x": [], "y": [], "z": []})
+        t = t[np.lexsort(t.T[::-1])]
         a, b, c = p[t[:, 0]], p[t[:, 1]], p[t[:, 2]]
         area = np.linalg.norm(np.cross(b - a, c - a), axis=1) / 2
-        rng = np.random.default_rng(seed)
-        n = int(area.sum()) * int(per_area)
-        k = np.searchsorted(np.cumsum(area) / area.sum(), rng.random(n)).clip(0, len(t) - 1)
-        u, v = np.sqrt(rng.random(n))[:, None], rng.random(n)[:, None]
-        q = (1 - u) * a[k] + u * (1 - v) * b[k] + u * v * c[k]
-        return pd.DataFrame({by: [rows[by].iloc[0]] * n, "x": q[:, 0], "y": q[:, 1], "z": q[:, 2]})
+        n = rng.multinomial(int(area.sum()) * int(per_area), area / area.sum()) if len(t) else np.zeros(0, int)
+        out = pd.DataFrame(np.hstack([a, b, c]), columns=corners).assign(n=n, triangle=np.arange(len(t)), **{by: rows[by].iloc[0]})
+        return out.loc[out["n"] > 0, [by, "triangle", *corners, "n"]]
+
+    schema = ", ".join([f"{by} {kind}", "triangle long", *(f"{c} double" for c in corners), "n long"])
+    return points.select(by, "x", "y", "z").groupBy(by).applyInPandas(surface, schema)
 
-    return points.select(by, "x", "y", "z").groupBy(by).applyInPandas(spread, f"{by} {kind}, x double, y double, z double")
+
+def mesh_samples(points: DataFrame, by: str, per_area: int, seed: int = 1) -> DataFrame:
+    """Points spread evenly over the triangulated surface of each group: floor(area) * per_area of them.
+
+    The places on a triangle come from hashes of its number and the sample's, so they are the same in every layout.
+    """
+    unit = lambda salt: F.pmod(F.xxhash64(by, "triangle", "k", F.lit(seed), F.lit(salt)), F.lit(2**53)) / 2.0**53
+    rows = mesh_triangles(points, by, per_area, seed).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    rows = rows.withColumn("u", F.sqrt(unit("u"))).withColumn("v", unit("v"))
+    at = lambda c: ((1 - F.col("u")) * F.col(f"a{c}") + F.col("u") * (1 - F.col("v")) * F.col(f"b{c}") + F.col("u") * F.col("v") * F.col(f"c{c}")).alias(c)
+    return rows.select(by, at("x"), at("y"), at("z"))
 
 
 def route(edges: pd.DataFrame, most: float) -> pd.DataFrame:

@@ -175,14 +175,14 @@ def cq_cluster_polygons(spark, sf):
 @query()
 def smp_mesh_area_weighted(spark, sf):
     rows = view(spark, sf, "v_points").select("file", "x", "y", "z")
-    return V.mesh_samples(rows, "file", 2, most=300).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.max("z").alias("high"))
+    return V.mesh_samples(rows, "file", 100).groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min("z").alias("low"), F.max("z").alias("high"))
 
 
 @query()
 def cq_fill_gaps(spark, sf):
     """Counts of the points that fill each gap: whole square metres times the density."""
     pairs = S.point_in_polygon(view(spark, sf, "v_points").where("classification = 2"), S.polygons(view(spark, sf, "v_polys")))
-    filled = V.mesh_samples(pairs.select("poly_id", "x", "y", "z"), "poly_id", 10, most=300)
+    filled = V.mesh_samples(pairs.select("poly_id", "x", "y", "z"), "poly_id", 100)
     return filled.groupBy("poly_id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -142,3 +142,33 @@ def test_ground_of_a_slope_with_a_low_outlier(spark):
     assert all(found[f"a{j}"] == 1 for j in range(1, 50, 12)) and found["low"] == 2
     assert sum(found[k] == 2 for k, *_ in slope) > 0.9 * len(slope)
     assert all(found[f"g{i}-{j}"] == 2 for i in range(51) for j in range(0, 20, 2))
+
+
+def surface(p):
+    t = p[V.triangulated(p[:, :2])]
+    return np.linalg.norm(np.cross(t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]), axis=1).sum() / 2
+
+
+def test_every_corner_counts_for_the_surface(spark):
+    """A ridge of 1 m teeth on 51 x 41 corners, of which no 300 or 2000 have the whole surface."""
+    corners = [(1, float(i), float(j), float(i % 2)) for i in range(51) for j in range(41)]
+    points = spark.createDataFrame(corners, "gap long, x double, y double, z double")
+    rows = V.mesh_samples(points, "gap", 100).toPandas()
+    assert len(rows) == int(50 * 40 * 2**0.5) * 100
+    teeth = 1 - (rows["x"] % 2 - 1).abs()
+    assert (rows["z"] - (1 - teeth)).abs().max() < 1e-9 or (rows["z"] - teeth).abs().max() < 1e-9
+    assert abs(rows["x"].mean() - 25) < 0.2 and abs(rows["y"].mean() - 20) < 0.2
+    assert V.mesh_triangles(points, "gap", 100, above=1000, most=500).toPandas()["n"].sum() < len(rows)
+
+
+def test_gaps_are_filled_by_their_whole_surface(spark, db):
+    names = {"smp_mesh_area_weighted": ("select file, x, y, z from v_points", "file")}
+    names["cq_fill_gaps"] = ("""select b.poly_id, p.x, p.y, p.z from v_points p join v_boxes b on p.classification = 2 and p.x > xmin and p.x < xmax and p.y > ymin and p.y < ymax
+     and not (p.x >= (xmin + xmax) / 2 and p.y >= (ymin + ymax) / 2)""", "poly_id")
+    for name, (sql, by) in names.items():
+        want = {}
+        for group, part in db.execute(with_views(sql)).df().groupby(by):
+            p = part.sort_values(["x", "y", "z"]).drop_duplicates(["x", "y"])[["x", "y", "z"]].to_numpy(float)
+            if n := int(surface(p)) * 100:
+                want[group] = n
+        assert {r[by]: r.n for r in QUERIES[name](spark, SF).collect()} == want
