@@ -88,14 +88,17 @@ def polygonized(cells: DataFrame, label: str = "label") -> DataFrame:
     return edges.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("x1", "y1", "x2", "y2"))).alias("edges"))
 
 
-def component_boxes(cells: DataFrame, margin: int, rows: int, columns: int, label: str = "label") -> DataFrame:
-    """The bounding box of each component, grown by a margin and cut to the raster, with its number of cells."""
-    return cells.groupBy(label).agg(
-        F.greatest(F.min("r") - margin, F.lit(0)).alias("r0"),
-        F.least(F.max("r") + margin, F.lit(rows - 1)).alias("r1"),
-        F.greatest(F.min("c") - margin, F.lit(0)).alias("c0"),
-        F.least(F.max("c") + margin, F.lit(columns - 1)).alias("c1"),
-        F.count(F.lit(1)).alias("cells"),
+def component_boxes(cells: DataFrame, margin: int, raster: DataFrame, label: str = "label") -> DataFrame:
+    """The bounding box of each component, grown by a margin and cut to the raster (r, c), with its number of cells."""
+    boxes = cells.groupBy(label).agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("cells"))
+    ends = raster.agg(F.max("r").alias("last_r"), F.max("c").alias("last_c"))
+    return boxes.crossJoin(F.broadcast(ends)).select(
+        label,
+        F.greatest(F.col("r0") - margin, F.lit(0)).alias("r0"),
+        F.least(F.col("r1") + margin, "last_r").alias("r1"),
+        F.greatest(F.col("c0") - margin, F.lit(0)).alias("c0"),
+        F.least(F.col("c1") + margin, "last_c").alias("c1"),
+        "cells",
     )
 
 

@@ -146,7 +146,7 @@ def ras_label(spark, sf):
 
 @query(f"with k as ({COMPONENTS.strip()}) select first_cell, greatest(min(r) - 3, 0) as r0, least(max(r) + 3, 499) as r1, greatest(min(c) - 3, 0) as c0, least(max(c) + 3, 124) as c1, count(*) as cells from k group by first_cell")
 def ras_bbox_expand(spark, sf):
-    return R.component_boxes(R.labelled(holes(spark, sf)), 3, 500, 125).withColumnRenamed("label", "first_cell")
+    return R.component_boxes(R.labelled(holes(spark, sf)), 3, ras(spark, sf)).withColumnRenamed("label", "first_cell")
 
 
 @query(f"""with k as ({COMPONENTS.strip()}), a as (select first_cell, count(*) as cells from k group by first_cell), o as (select *, row_number() over (order by cells desc, first_cell) as n from a)

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry
+from terrasift.operators import raster as R
 from terrasift.operators import spatial as S
 from terrasift.operators import vector as V
 from terrasift.plans.fixtures import view, with_views
@@ -172,3 +173,13 @@ def test_gaps_are_filled_by_their_whole_surface(spark, db):
             if n := int(surface(p)) * 100:
                 want[group] = n
         assert {r[by]: r.n for r in QUERIES[name](spark, SF).collect()} == want
+
+
+def test_boxes_are_cut_to_the_raster(spark, db):
+    cells = spark.createDataFrame([(0, 0), (0, 1), (599, 7), (600, 7), (700, 199)], "r long, c long")
+    raster = spark.range(1).selectExpr("701L - 1 as r", "199L as c")
+    got = {(x.r0, x.r1, x.c0, x.c1, x.cells) for x in R.component_boxes(R.labelled(cells), 3, raster).collect()}
+    assert got == {(0, 3, 0, 4, 2), (596, 603, 4, 10, 2), (697, 700, 196, 199, 1)}
+    sql = SQL["ras_bbox_expand"].replace("499", "(select max(r) from v_raster)").replace("124)", "(select max(c) from v_raster))")
+    assert sql.count("from v_raster)") == 2
+    assert rows(QUERIES["ras_bbox_expand"](spark, SF).toPandas()) == rows(db.execute(sql).df())
