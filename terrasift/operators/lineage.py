@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
+from terrasift.session import shared_root
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder that ``spark.checkpoint.dir`` names.
+    """``df`` computed once, as a table in the shared folder that ``spark.checkpoint.dir`` names.
 
-    A lost executor costs no more than reading it again, and what is derived from it sees the same rows each time. Only
-    where no folder is set, as in tests, a temporary one is used.
+    A lost executor costs no more than reading it again, and what is derived from it sees the same rows each time.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrasift-"))
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

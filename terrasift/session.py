@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import shutil
 import tempfile
@@ -12,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_FOLDERS: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -30,6 +32,40 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+@functools.lru_cache(maxsize=1)
+def _own_root() -> str:
+    folder = tempfile.mkdtemp(prefix="terrasift-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return f"file://{folder}"
+
+
+def shared_root(spark: SparkSession) -> str:
+    """A folder for this session's intermediate tables, below ``spark.checkpoint.dir``; it goes when the driver ends.
+
+    Where that is unset, a local master (tests) gets a temporary one; on a cluster executors wouldn't see it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_root()
+    if root.startswith("/"):
+        root = f"file://{root}"
+    folder = f"{root.rstrip('/')}/terrasift-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_drop, spark, folder)
+    return folder
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    """Delete a folder while the session that made it still runs."""
+    context = spark.sparkContext
+    if context._jsc is not None and not context._jsc.sc().isStopped():
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def local_session(cores: str | int = 8, shuffle_partitions: int = 8, memory: str = "12g", checkpoint_dir: str | None = None) -> SparkSession:
     """A local session with adaptive execution, UTC time and no user interface."""
     builder = (

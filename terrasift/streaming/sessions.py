@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrasift.session import shared_root
+
 
 def folder(spark: SparkSession) -> str:
     """A new folder for a stream's state and output, in the shared checkpoint folder where one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="terrasift-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def gap_sessions(rows: DataFrame, key: str, time: str, gap_us: int, late: str = "10 minutes") -> DataFrame:
