@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrasift.functions import geometry as G
+from terrasift.operators.lineage import cut
 
 EDGE = ("x1", "y1", "x2", "y2")
 
@@ -76,68 +77,121 @@ def point_in_polygon(points: DataFrame, polys: DataFrame, size: float = 4.0, bou
     return pairs.where(test).drop("cx", "cy", "edges", "xmin", "ymin", "xmax", "ymax", *(["whole"] if shortcut else []))
 
 
-def near_segments(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
+def cells_along(segments: DataFrame, size: float, reach: float) -> DataFrame:
+    """``segments`` once for every cell (cx, cy) with a point at most ``reach`` from them, and few others.
+
+    Of each column of cells that a segment comes near, only the rows along its part there are listed, so a long slanting
+    segment has as many cells as its length asks for.
+    """
+    x1, y1, x2, y2 = (F.col(c) for c in EDGE)
+    out = segments.withColumn("cx", F.explode(F.sequence(G.cell(F.least(x1, x2) - reach, size), G.cell(F.greatest(x1, x2) + reach, size))))
+    # the segment's part between the column's sides, widened by the reach
+    at = lambda x: F.when(x1 == x2, None).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - x1) / (x2 - x1))))
+    a, b = at(F.col("cx") * size - reach), at((F.col("cx") + 1) * size + reach)
+    ya, yb = F.coalesce(y1 + a * (y2 - y1), y1), F.coalesce(y1 + b * (y2 - y1), y2)
+    low, high = G.cell(F.least(ya, yb) - reach, size), G.cell(F.greatest(ya, yb) + reach, size)
+    return out.withColumn("cy", F.explode(F.sequence(low, high)))
+
+
+def near_segments(points: DataFrame, segments: DataFrame, reach: float, size: float | None = None) -> DataFrame:
     """Pairs of a point and a segment at most ``reach`` apart, with ``dist`` and the place ``t`` of the nearest point."""
-    size = max(reach * 2, 4.0)
-    low = lambda a, b: F.least(a, b) - reach
-    high = lambda a, b: F.greatest(a, b) + reach
-    cells = touched_cells(segments, size, low("x1", "x2"), low("y1", "y2"), high("x1", "x2"), high("y1", "y2"))
-    # of the box around a slanting segment, only the cells along it
-    middle = G.segment_distance((F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size, *EDGE)
-    cells = cells.where(middle <= reach + size * 0.70711)
-    pairs = keyed(points, size).join(cells, ["cx", "cy"]).drop("cx", "cy")
+    size = size or max(reach * 2, 1.0)
+    pairs = keyed(points, size).join(cells_along(segments, size, reach), ["cx", "cy"]).drop("cx", "cy")
     pairs = pairs.withColumn("dist", G.segment_distance("x", "y", *EDGE))
     return pairs.where(F.col("dist") <= reach).withColumn("t", G.projection("x", "y", *EDGE))
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, key: str = "id", reaches: tuple[float, ...] = (2.0, 16.0, 128.0)) -> DataFrame:
-    """Every point with its nearest segment; ties go to the smallest (line_id, seq).
+def best_segment(pairs: DataFrame, columns: list[str], key: str = "id") -> DataFrame:
+    """Of each point's pairs (from ``near_segments``) the nearest; ties go to the smallest (line_id, seq)."""
+    rest = [c for c in pairs.columns if c not in (key, "dist", "line_id", "seq")]
+    best = pairs.groupBy(key).agg(F.min_by(F.struct("dist", "line_id", "seq", *rest), F.struct("dist", "line_id", "seq")).alias("_b"))
+    return best.select(key, "_b.*").select(*columns)
+
 
-    What is nearest within a reach is nearest of all, so each wider reach is searched only for points without a segment
-    yet; the last one spans the whole layer.
+def nearest_segment(points: DataFrame, segments: DataFrame, key: str = "id", within: float | None = None) -> DataFrame:
+    """Every point with its nearest segment, if it is at most ``within`` away; ties go to the smallest (line_id, seq).
+
+    What is nearest within a reach is nearest of all. So the first reach is about as far as the next segment or the next
+    point, and each next one, four times as wide, is searched only for points that have found nothing; a search meets
+    segments of a few cells of that width. It ends when no point is left, or at ``within``.
     """
+    columns = [*points.columns, *(c for c in segments.columns if c not in points.columns), "dist", "t"]
+    if within is not None:
+        return best_segment(near_segments(points, segments, within), columns, key)
+    drawn = segments.agg(F.count(F.lit(1)), F.sum(G.distance(*EDGE)), F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))).first()
+    some = points.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if not drawn[0] or not some[0]:
+        return best_segment(near_segments(points, segments, 1.0), columns, key)
+    wide, tall = max(drawn[3] - drawn[2], some[2] - some[1]), max(drawn[5] - drawn[4], some[4] - some[3])
+    area, side = wide * tall, max(wide, tall, 1e-9)
+    reach = max((area / some[0]) ** 0.5, 2 * area / max(drawn[1], 1e-9), side / some[0]) / 2
+    reach = min(reach, wide + tall)
     best, rest = None, points
-    span = segments.agg(*(f(c) for c in ("x1", "x2") for f in (F.min, F.max)), *(f(c) for c in ("y1", "y2") for f in (F.min, F.max))).first()
-    if span[0] is None:
-        return near_segments(points, segments, 1.0)
-    edge = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if edge[0] is None:
-        return near_segments(points, segments, 1.0)
-    far = max(span[1], span[3], edge[1]) - min(span[0], span[2], edge[0]) + max(span[5], span[7], edge[3]) - min(span[4], span[6], edge[2])
-    pick = [c for c in segments.columns] + ["dist", "t"]
-    for reach in [*(r for r in reaches if r < far), far + 1.0]:
-        found = near_segments(rest, segments, reach)
-        nth = F.row_number().over(Window.partitionBy(key).orderBy("dist", "line_id", "seq"))
-        found = found.withColumn("_n", nth).where("_n = 1").select(*points.columns, *pick)
+    while True:
+        found = cut(best_segment(near_segments(rest, segments, reach, 2 * reach), columns, key))
         best = found if best is None else best.union(found)
-        rest = rest.join(found.select(key), key, "left_anti")
-        if reach <= reaches[-1] and rest.isEmpty():
-            break
-    return best
+        rest = cut(rest.join(found.select(key), key, "left_anti").select(*points.columns))
+        if rest.isEmpty():
+            return best
+        reach *= 4
 
 
 def nearest_points(base: DataFrame, others: DataFrame, k: int, reach: float, key: str = "id") -> DataFrame:
-    """For each base point its ``k`` nearest other points (oid, ox, oy, ...) at most ``reach`` away, numbered from 1."""
+    """For each base point its ``k`` nearest other points (oid, ox, oy, ...) at most ``reach`` away, numbered from 1.
+
+    Cells are as small as the number of other points asks for, and are searched from the inside: ring by ring, each only
+    for base points that haven't found ``k`` points nearer than the next ring can hold.
+    """
+    some = others.agg(F.count(F.lit(1)), F.min("ox"), F.max("ox"), F.min("oy"), F.max("oy")).first()
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("dist", "oid"))
+    numbered = lambda pairs: pairs.withColumn("nth", nth).where(F.col("nth") <= k)
+    if some[0]:
+        wide, tall = some[2] - some[1], some[4] - some[3]
+        first = min(reach, 2 * max((k * wide * tall / some[0]) ** 0.5, k * max(wide, tall, 1e-9) / some[0]))
+    else:
+        first = reach
+    found, rest = None, base
+    while True:
+        near = numbered(_within(rest, others, first))
+        if first >= reach:
+            return near if found is None else found.union(near)
+        near = cut(near)
+        full = near.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).select(key)
+        done = near.join(full, key, "left_semi").select(*near.columns)
+        found = done if found is None else found.union(done)
+        rest = cut(rest.join(full, key, "left_anti").select(*base.columns))
+        first = min(reach, first * 4)
+
+
+def _within(base: DataFrame, others: DataFrame, reach: float) -> DataFrame:
+    """Pairs of a base point and another point at most ``reach`` away."""
     cells = touched_cells(base, reach, F.col("x") - reach, F.col("y") - reach, F.col("x") + reach, F.col("y") + reach)
     pairs = cells.join(keyed(others, reach, "ox", "oy"), ["cx", "cy"]).drop("cx", "cy")
-    pairs = pairs.withColumn("dist", G.distance("x", "y", "ox", "oy")).where(F.col("dist") <= reach)
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("dist", "oid"))
-    return pairs.withColumn("nth", nth).where(F.col("nth") <= k)
+    return pairs.withColumn("dist", G.distance("x", "y", "ox", "oy")).where(F.col("dist") <= reach)
 
 
 def fixed_heights(codes: DataFrame, reach: float = 7.0, delta: float = 0.11, k: int = 2) -> DataFrame:
-    """All RD and RDS of survey points (id, kod, x, y, z), lowered until RD < RDS < RGS; RGS stay as they are.
+    """Survey points (id, kod, x, y, z), of which RD and RDS are lowered until RD < RDS < RGS, with ``old_z``, ``auto_fixed``
+    and ``fix_reason``.
 
     Each RD looks at its ``k`` nearest RDS and RGS. An RDS that isn't below the lowest RGS of all its RDs goes ``delta``
-    below it; then an RD that isn't below its lowest RDS goes ``delta`` below that. An RD without an RDS, as where a
-    section with two RGS runs out, changes nothing.
+    below it; then an RD that isn't below its lowest RDS goes ``delta`` below that, and has its height before as ``old_z``.
+    An RD without an RDS, as where a section with two RGS runs out, changes nothing. Other points stay as they are.
     """
     of = lambda kod: codes.where(F.col("kod") == kod)
     other = lambda kod: of(kod).select(F.col("id").alias("oid"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"))
     pairs = nearest_points(of("RD"), other("RDS"), k, reach).select("id", "oid")
     banks = nearest_points(of("RD"), other("RGS"), k, reach).groupBy("id").agg(F.min("oz").alias("top"))
-    limits = pairs.join(banks, "id").groupBy("oid").agg(F.min("top").alias("top")).withColumnRenamed("oid", "id")
-    lowered = lambda limit: F.when(F.col("z") >= F.col(limit), F.col(limit) - delta).otherwise(F.col("z")).alias("z")
-    rds = of("RDS").join(limits, "id", "left").select("id", "kod", lowered("top"))
-    slopes = pairs.join(rds.select(F.col("id").alias("oid"), F.col("z").alias("oz")), "oid").groupBy("id").agg(F.min("oz").alias("foot"))
-    return of("RD").join(slopes, "id", "left").select("id", "kod", lowered("foot")).union(rds)
+    tops = pairs.join(banks, "id").groupBy("oid").agg(F.min("top").alias("limit")).withColumnRenamed("oid", "id")
+
+    def lowered(rows: DataFrame, limits: DataFrame, reason: str, keep_old: bool) -> DataFrame:
+        high = F.coalesce(F.col("z") >= F.col("limit"), F.lit(False))
+        new = rows.join(limits, "id", "left").withColumn("new", F.when(high, F.col("limit") - delta).otherwise(F.col("z")))
+        old = F.when(high & F.lit(keep_old), F.col("z")).alias("old_z")
+        return new.select("id", "kod", "x", "y", F.col("new").alias("z"), old, high.alias("auto_fixed"), F.when(high, reason).otherwise("").alias("fix_reason"))
+
+    rds = lowered(of("RDS"), tops, "RDS<RGS enforced", False)
+    feet = pairs.join(rds.select(F.col("id").alias("oid"), F.col("z").alias("oz")), "oid").groupBy("id").agg(F.min("oz").alias("limit"))
+    rest = codes.where(~F.col("kod").isin("RD", "RDS") | F.col("kod").isNull())
+    rest = rest.select("id", "kod", "x", "y", "z", F.lit(None).cast("double").alias("old_z"), F.lit(False).alias("auto_fixed"), F.lit("").alias("fix_reason"))
+    return lowered(of("RD"), feet, "RD<RDS enforced", True).union(rds).union(rest)

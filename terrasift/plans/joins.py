@@ -55,7 +55,7 @@ def join_points_within_box(spark, sf):
     return S.box_join(view(spark, sf, "v_points"), view(spark, sf, "v_boxes"), closed=False).select("pt_key").distinct()
 
 
-EXTENT = "with s as (select file, classification, min(x) as a, min(y) as b, max(x) as c, max(y) as d from v_points where x < 12 and y < 12 group by file, classification)"
+EXTENT = "with s as (select file, classification, min(x) as a, min(y) as b, max(x) as c, max(y) as d from v_points group by file, classification)"
 
 
 @query(EXTENT + " select file, classification, poly_id from s join v_boxes on xmin <= c and xmax >= a and ymin <= d and ymax >= b")
@@ -122,9 +122,9 @@ def join_nearest_line(spark, sf):
     return best.select("id", "line_id", F.col("seq").cast("long").alias("seq"), G.rounded("dist").alias("dist"))
 
 
-SIDE = near("kod = 'RD' and id % 3 = 0") + """,
+SIDE = near("kod = 'RD'") + """,
  f as (select id as rd, line_id, x as rx, y as ry, z as rz, (x2 - x1) / sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as tx, (y2 - y1) / sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as ty
-  from n where nth = 1 and dist <= 5 and (x2 <> x1 or y2 <> y1)),
+  from n where nth = 1 and dist <= 0.5 and (x2 <> x1 or y2 <> y1)),
  c as (select f.*, o.id as oid, o.kod, o.z as oz, (o.x - rx) * tx + (o.y - ry) * ty as along, (o.x - rx) * -ty + (o.y - ry) * tx as across from f join v_codes o on o.kod in ('RDS', 'RGS', 'RL')),
  w as (select * from c where abs(along) <= 1 and abs(across) <= 5)
 """
@@ -132,8 +132,8 @@ SIDE = near("kod = 'RD' and id % 3 = 0") + """,
 
 def corridor(spark, sf):
     """RD points with their line's direction, and the other points in the corridor across them."""
-    rd = S.nearest_segment(codes(spark, sf, "kod = 'RD'"), view(spark, sf, "v_segments"), reaches=(5.0,))
-    rd = rd.where("dist <= 5 and (x2 <> x1 or y2 <> y1)")
+    rd = S.nearest_segment(codes(spark, sf, "kod = 'RD'"), view(spark, sf, "v_segments"), within=0.5)
+    rd = rd.where("x2 <> x1 or y2 <> y1")
     length = G.distance(*S.EDGE)
     rd = rd.select(
         F.col("id").alias("rd"), "line_id", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("z").alias("rz"),
@@ -162,7 +162,7 @@ def join_nearest_per_side(spark, sf):
     return best.select("rd", "kod", "side", F.col("b.oid").alias("oid"))
 
 
-GROUP = near("kod in ('RD', 'RDS') and id % 5 = 0") + """, l as (select id, kod, x, y, line_id from n where nth = 1)
+GROUP = near("kod in ('RD', 'RDS')") + """, l as (select id, kod, x, y, line_id from n where nth = 1)
 select a.id as rd, b.id as member from l a join l b on a.line_id = b.line_id and a.kod = 'RD' and b.kod = 'RDS' and sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) <= 10"""
 
 
@@ -186,7 +186,7 @@ def cq_count_rd(spark, sf):
 @query(near("kod = 'RD'") + """, m as (select distinct id, line_id, x, y from d where dist <= 0.5),
  e as (select line_id, arg_min(x1, seq) as sx, arg_min(y1, seq) as sy, arg_max(x2, seq) as ex, arg_max(y2, seq) as ey from v_segments group by line_id),
  g as (select line_id, count(*) as points, min(sqrt((x - sx) * (x - sx) + (y - sy) * (y - sy))) as s, min(sqrt((x - ex) * (x - ex) + (y - ey) * (y - ey))) as t from m join e using (line_id) group by line_id)
-select line_id, points, s > 10 as start_gap, t > 10 as end_gap from g where points > 2 and (s > 10 or t > 10)""")
+select line_id, points, s > 30 as start_gap, t > 30 as end_gap from g where points > 2 and (s > 30 or t > 30)""")
 def cq_rd_endpoint_gap(spark, sf):
     segments = view(spark, sf, "v_segments")
     pairs = S.near_segments(codes(spark, sf, "kod = 'RD'"), segments, 0.5).select("id", "line_id", "x", "y").distinct()
@@ -196,53 +196,97 @@ def cq_rd_endpoint_gap(spark, sf):
     rows = pairs.join(ends, "line_id").groupBy("line_id").agg(
         F.count(F.lit(1)).alias("points"), F.min(G.distance("sx", "sy", "x", "y")).alias("s"), F.min(G.distance("ex", "ey", "x", "y")).alias("t")
     )
-    return rows.where("points > 2 and (s > 10 or t > 10)").select("line_id", "points", (F.col("s") > 10).alias("start_gap"), (F.col("t") > 10).alias("end_gap"))
-
-
-VALIDATE = SIDE + """, s as (select *, row_number() over (partition by rd, kod, across < 0 order by abs(across), oid) as nth from w where across <> 0),
- v as (select f.rd, f.rz, max(case when kod = 'RDS' and across < 0 then oz end) as rds_l, max(case when kod = 'RDS' and across > 0 then oz end) as rds_r,
-  max(case when kod = 'RGS' and across < 0 then oz end) as rgs_l, max(case when kod = 'RGS' and across > 0 then oz end) as rgs_r
-  from f left join s on f.rd = s.rd and s.nth = 1 group by f.rd, f.rz),
- r as (select rd, rds_l > rz as rds_left, rds_r > rz as rds_right, rgs_l > rds_l as rgs_left, rgs_r > rds_r as rgs_right from v)
-select rd, rds_left, rds_right, rgs_left, rgs_right, coalesce(rds_left, true) and coalesce(rds_right, true) and coalesce(rgs_left, true) and coalesce(rgs_right, true) as ok,
- concat_ws('; ', case when not rds_left then 'RDS left' end, case when not rds_right then 'RDS right' end, case when not rgs_left then 'RGS left' end, case when not rgs_right then 'RGS right' end) as issues from r"""
+    return rows.where("points > 2 and (s > 30 or t > 30)").select("line_id", "points", (F.col("s") > 30).alias("start_gap"), (F.col("t") > 30).alias("end_gap"))
+
+
+def _height(c: str) -> str:
+    return f"cast(cast({c} as decimal(18, 3)) as varchar)"
+
+
+#: Column of a rule, when it applies, whether it is kept, and what its issue says; heights as columns of ``v``.
+RULES = (
+    ("rgs_gt_rds_left", "rgs_l > rds_l", "'Left side: RGS(' || {rgs_l} || ') <= RDS(' || {rds_l} || ')'"),
+    ("rgs_gt_rds_right", "rgs_r > rds_r", "'Right side: RGS(' || {rgs_r} || ') <= RDS(' || {rds_r} || ')'"),
+    ("rd_lt_rds_left", "rz < rds_l", "'RD(' || {rz} || ') >= RDS_left(' || {rds_l} || ')'"),
+    ("rd_lt_rds_right", "rz < rds_r", "'RD(' || {rz} || ') >= RDS_right(' || {rds_r} || ')'"),
+    ("rl_gt_rd", "rl > rz", "'RL(' || {rl} || ') <= RD(' || {rz} || ')'"),
+    ("rl_gt_rgs", "case when rl is not null and rgs_l is not null and rgs_r is not null then rl < rgs_l or rl < rgs_r end", "'RL(' || {rl} || ') <= RGS(' || {rgs_r} || ')'"),
+)
+NO_LINE = "RD not intersecting/near line"
+HEIGHTS = ("rz", "rds_l", "rds_r", "rgs_l", "rgs_r", "rl")
+
+
+def _rules_sql() -> str:
+    text = {c: _height(c) for c in HEIGHTS}
+    rules = ", ".join(f"{rule} as {name}" for name, rule, _ in RULES)
+    issues = ", ".join(f"case when not {name} then {issue.format(**text)} end" for name, _, issue in RULES)
+    found = ", ".join(f"{c} is not null as found_{c}" for c in HEIGHTS[1:])
+    kept = " and ".join(f"coalesce({name}, true)" for name, _, _ in RULES)
+    named = ", ".join(name for name, _, _ in RULES)
+    return f""" r as (select *, {rules} from v)
+select rd, near as intersects_line, {found}, {named}, near and {kept} as ok, case when near then concat_ws('; ', {issues}) else '{NO_LINE}' end as issues from r"""
+
+
+VALIDATE = SIDE + """, s as (select *, row_number() over (partition by rd, kod, across < 0 order by abs(across), oid) as nth from w where across <> 0 and kod <> 'RL'
+  union all select *, row_number() over (partition by rd order by abs(across), oid) as nth from w where kod = 'RL'),
+ v as (select p.id as rd, p.z as rz, f.rd is not null as near, max(case when kod = 'RDS' and across < 0 then oz end) as rds_l, max(case when kod = 'RDS' and across > 0 then oz end) as rds_r,
+  max(case when kod = 'RGS' and across < 0 then oz end) as rgs_l, max(case when kod = 'RGS' and across > 0 then oz end) as rgs_r, max(case when s.kod = 'RL' then oz end) as rl
+  from (select id, z from p) p left join f on f.rd = p.id left join s on p.id = s.rd and s.nth = 1 group by p.id, p.z, f.rd),""" + _rules_sql()
+
+
+def validated(sections):
+    """``sections`` (rd, near and the heights, null where no point was found) with their rules, ``ok`` and ``issues``.
+
+    A rule that doesn't apply is null and counts as kept; RL is held against the RGS of both sides, and keeps the rule if it
+    is below either. An RD without a line isn't ok.
+    """
+    text = {c: f"cast(cast({c} as decimal(18, 3)) as string)" for c in HEIGHTS}
+    out = sections.selectExpr("*", *(f"{rule} as {name}" for name, rule, _ in RULES))
+    ok = " and ".join(f"coalesce({name}, true)" for name, _, _ in RULES)
+    issues = ", ".join(f"case when not {name} then {issue.format(**text)} end" for name, _, issue in RULES)
+    found = [f"{c} is not null as found_{c}" for c in HEIGHTS[1:]]
+    return out.selectExpr(
+        "rd", "near as intersects_line", *found, *(name for name, _, _ in RULES), f"near and {ok} as ok", f"case when near then concat_ws('; ', {issues}) else '{NO_LINE}' end as issues"
+    )
 
 
 @query(VALIDATE)
 def cq_cross_section_validate(spark, sf):
     rd, rows = corridor(spark, sf)
-    pick = lambda kod, left: F.min(
-        F.when((F.col("kod") == kod) & ((F.col("across") < 0) if left else (F.col("across") > 0)), F.struct(F.abs("across").alias("d"), "oid", "oz"))
-    )["oz"]
-    water = F.min(F.when(F.col("kod") == "RL", F.struct(F.abs("across").alias("d"), "oid", "oz")))["oz"]  # on either side, or on the line
+    pick = lambda kod, side: F.min(F.when((F.col("kod") == kod) & side, F.struct(F.abs("across").alias("d"), "oid", "oz")))["oz"]
+    left, right = F.col("across") < 0, F.col("across") > 0
     picked = rows.groupBy("rd").agg(
-        pick("RDS", True).alias("rds_l"), pick("RDS", False).alias("rds_r"), pick("RGS", True).alias("rgs_l"), pick("RGS", False).alias("rgs_r"), water.alias("rl")
-    )
-    both = F.col("rgs_l").isNotNull() & F.col("rgs_r").isNotNull()
-    out = rd.select("rd", "rz").join(picked, "rd", "left").select(
-        "rd",
-        (F.col("rds_l") > F.col("rz")).alias("rds_left"),
-        (F.col("rds_r") > F.col("rz")).alias("rds_right"),
-        (F.col("rgs_l") > F.col("rds_l")).alias("rgs_left"),
-        (F.col("rgs_r") > F.col("rds_r")).alias("rgs_right"),
-        (F.col("rl") > F.col("rz")).alias("rl_rd"),
-        F.when(both, (F.col("rl") < F.col("rgs_l")) | (F.col("rl") < F.col("rgs_r"))).alias("rl_rgs"),
-    )
-    rules = {"rds_left": "RDS left", "rds_right": "RDS right", "rgs_left": "RGS left", "rgs_right": "RGS right", "rl_rd": "RL RD", "rl_rgs": "RL RGS"}
-    ok = F.lit(True)
-    for c in rules:  # a rule that doesn't apply is null, and counts as kept
-        ok = ok & F.coalesce(c, F.lit(True))
-    issues = F.concat_ws("; ", *(F.when(~F.col(c), text) for c, text in rules.items()))
-    return out.withColumn("ok", ok).withColumn("issues", issues)
-
-
-@query(KNN + """, h as (select id, z, min(oz) as lowest from k where nth <= 2 group by id, z)
-select id, floor((case when z <= lowest then lowest + 0.11 else z end) * 1e6 + 0.5) / 1e6 as z from h""")
+        pick("RDS", left).alias("rds_l"), pick("RDS", right).alias("rds_r"), pick("RGS", left).alias("rgs_l"), pick("RGS", right).alias("rgs_r"),
+        pick("RL", F.lit(True)).alias("rl"),
+    )
+    near = rd.select("rd", F.lit(True).alias("near"))
+    every = codes(spark, sf, "kod = 'RD'").select(F.col("id").alias("rd"), F.col("z").alias("rz"))
+    return validated(every.join(near, "rd", "left").withColumn("near", F.coalesce("near", F.lit(False))).join(picked, "rd", "left"))
+
+
+FIXED = """
+with c as (select id, kod, x, y, z from v_codes),
+ d as (select a.id, b.id as oid, b.kod as okod, b.z as oz, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as dist from c a join c b on a.kod = 'RD' and b.kod in ('RDS', 'RGS')),
+ k as (select *, row_number() over (partition by id, okod order by dist, oid) as nth from d where dist <= 7),
+ g as (select id, min(oz) as top from k where nth <= 2 and okod = 'RGS' group by id),
+ l as (select k.oid as id, min(g.top) as top from k join g on g.id = k.id where k.nth <= 2 and k.okod = 'RDS' group by k.oid),
+ s as (select c.id, c.x, c.y, case when c.z >= l.top then l.top - 0.11 else c.z end as z, coalesce(c.z >= l.top, false) as fixed from c left join l on l.id = c.id where c.kod = 'RDS'),
+ m as (select k.id, min(s.z) as foot from k join s on s.id = k.oid where k.nth <= 2 and k.okod = 'RDS' group by k.id),
+ u as (select c.id, c.kod, c.x, c.y, case when c.z >= m.foot then m.foot - 0.11 else c.z end as z, case when c.z >= m.foot then c.z end as old_z, coalesce(c.z >= m.foot, false) as auto_fixed,
+   case when c.z >= m.foot then 'RD<RDS enforced' else '' end as fix_reason from c left join m on m.id = c.id where c.kod = 'RD'
+  union all select id, 'RDS', x, y, z, null, fixed, case when fixed then 'RDS<RGS enforced' else '' end from s
+  union all select id, kod, x, y, z, null, false, '' from c where kod not in ('RD', 'RDS'))
+select id, kod, x, y, floor(z * 1e6 + 0.5) / 1e6 as z, floor(old_z * 1e6 + 0.5) / 1e6 as old_z, auto_fixed, fix_reason from u"""
+
+
+@query(FIXED)
 def cq_height_fix(spark, sf):
-    return S.fixed_heights(view(spark, sf, "v_codes")).select("id", G.rounded("z").alias("z"))
+    """Heights are enforced in two set-based passes, so the order of the RD points doesn't matter."""
+    rows = S.fixed_heights(view(spark, sf, "v_codes"))
+    return rows.select("id", "kod", "x", "y", G.rounded("z").alias("z"), G.rounded("old_z").alias("old_z"), "auto_fixed", "fix_reason")
 
 
-SNAP = near("kod in ('RD', 'RDS') and id % 5 = 0") + """, l as (select id, kod, x, y, line_id, x1 + t * (x2 - x1) - x as dx, y1 + t * (y2 - y1) - y as dy, dist from n where nth = 1),
+SNAP = near("kod in ('RD', 'RDS')") + """, l as (select id, kod, x, y, line_id, x1 + t * (x2 - x1) - x as dx, y1 + t * (y2 - y1) - y as dy, dist from n where nth = 1),
  g as (select b.id, min(a.id) as rd from l a join l b on a.line_id = b.line_id and a.kod = 'RD' and (a.id = b.id or (b.kod = 'RDS' and sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) <= 10)) where a.dist <= 50 group by b.id)
 select l.id, g.rd, floor((l.x + a.dx) * 1e4 + 0.5) / 1e4 as x, floor((l.y + a.dy) * 1e4 + 0.5) / 1e4 as y from g join l on l.id = g.id join l a on a.id = g.rd"""
 

@@ -144,7 +144,7 @@ def ras_label(spark, sf):
     return R.labelled(holes(spark, sf)).select("r", "c", first_cell())
 
 
-@query(f"with k as ({COMPONENTS.strip()}) select first_cell, greatest(min(r) - 3, 0) as r0, least(max(r) + 3, 499) as r1, greatest(min(c) - 3, 0) as c0, least(max(c) + 3, 124) as c1, count(*) as cells from k group by first_cell")
+@query(f"with k as ({COMPONENTS.strip()}) select first_cell, greatest(min(r) - 3, 0) as r0, least(max(r) + 3, (select max(r) from v_raster)) as r1, greatest(min(c) - 3, 0) as c0, least(max(c) + 3, (select max(c) from v_raster)) as c1, count(*) as cells from k group by first_cell")
 def ras_bbox_expand(spark, sf):
     return R.component_boxes(R.labelled(holes(spark, sf)), 3, ras(spark, sf)).withColumnRenamed("label", "first_cell")
 
@@ -206,11 +206,13 @@ def ras_gaussian(spark, sf):
     return blurred.select("r", "c", G.rounded("band1").alias("band1"))
 
 
-@query("select 499 - r as r, c, 10.0 + c * 0.5 as x, 300.0 - (r + 1) * 0.5 as y, band2 from v_raster")
+@query("select (select max(r) from v_raster) - r as r, c, 10.0 + c * 0.5 as x, 300.0 - (r + 1) * 0.5 as y, band2 from v_raster")
 def ras_flip(spark, sf):
     """Rows counted from the top, and the coordinates of each cell's corner."""
-    return ras(spark, sf).select(
-        (F.lit(499) - F.col("r")).alias("r"), "c", (F.lit(10.0) + F.col("c") * 0.5).alias("x"), (F.lit(300.0) - (F.col("r") + 1) * 0.5).alias("y"), "band2"
+    rows = ras(spark, sf)
+    last = F.broadcast(rows.agg(F.max("r").alias("last")))  # one row
+    return rows.join(last).select(
+        (F.col("last") - F.col("r")).alias("r"), "c", (F.lit(10.0) + F.col("c") * 0.5).alias("x"), (F.lit(300.0) - (F.col("r") + 1) * 0.5).alias("y"), "band2"
     )
 
 

@@ -371,7 +371,8 @@ def agg_first_nonnull(spark, sf):
     return view(spark, sf, "orders").groupBy("o_custkey").agg(F.min_by(value, order).alias("first_price"))
 
 
-@query("select o_orderstatus as status, mode(o_custkey % 7) as common, count(*) as n from orders where o_custkey % 7 = 3 or o_orderkey % 11 = 0 group by o_orderstatus")
+@query("""with c as (select o_orderstatus as status, o_custkey % 7 as v, count(*) as k from orders group by all)
+select status, arg_min(v, (-k, v)) as common, cast(sum(k) as bigint) as n from c group by status""")
 def agg_mode(spark, sf):
     """Of values that are equally frequent, the smallest is the mode."""
     counts = view(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 7).alias("value")).agg(F.count(F.lit(1)).alias("n"))

@@ -1,4 +1,4 @@
-"""Queries over all their rows, against SQL without the cuts that the registered SQL has, or against brute force."""
+"""Results over all rows against brute force, and hand-made cases with the values that they must have."""
 
 import numpy as np
 import pytest
@@ -8,8 +8,8 @@ from terrasift.operators import raster as R
 from terrasift.operators import spatial as S
 from terrasift.operators import vector as V
 from terrasift.plans.fixtures import view, with_views
-from terrasift.plans.joins import SIDE
-from tests.oracle import connect, rows
+from terrasift.plans import joins as J
+from tests.oracle import connect
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -20,34 +20,12 @@ def db():
     return connect(SF)
 
 
-def whole(name, *cuts):
-    """The registered SQL without ``cuts``, each of which must be in it."""
-    sql = SQL[name]
-    for cut in cuts:
-        assert cut in sql
-        sql = sql.replace(cut, "")
-    return sql
-
-
-@pytest.mark.parametrize("name,cut", [("join_corridor", 3), ("join_nearest_per_side", 3), ("join_same_line_group", 5), ("cq_shift_snap", 5)])
-def test_no_survey_point_is_skipped(spark, db, name, cut):
-    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(db.execute(whole(name, f" and id % {cut} = 0")).df())
-
-
-def test_mode_is_over_all_orders(spark, db):
-    want = db.execute("""with c as (select o_orderstatus as status, o_custkey % 7 as v, count(*) as k from orders group by all)
-     select status, arg_min(v, (-k, v)) as common, cast(sum(k) as bigint) as n from c group by status""").df()
-    assert rows(QUERIES["agg_mode"](spark, SF).toPandas()) == rows(want)
-
-
-def test_cross_sections_are_all_validated(spark, db):
-    got = {r.rd for r in QUERIES["cq_cross_section_validate"](spark, SF).select("rd").collect()}
-    assert got == set(db.execute(whole("cq_cross_section_validate", " and id % 3 = 0")).df()["rd"])
-
-
-@pytest.mark.parametrize("name", ["join_extent_intersects", "cq_cross_section_metadata"])
-def test_scans_extend_over_all_their_points(spark, db, name):
-    assert rows(QUERIES[name](spark, SF).toPandas()) == rows(db.execute(whole(name, " where x < 12 and y < 12")).df())
+def test_registered_sql_has_no_cuts():
+    for name in ("join_corridor", "join_nearest_per_side", "cq_cross_section_validate", "join_same_line_group", "cq_shift_snap"):
+        assert "id %" not in SQL[name].split("where kod", 1)[1]
+    for name in ("join_extent_intersects", "cq_cross_section_metadata"):
+        assert "x < 12" not in SQL[name]
+    assert "% 11" not in SQL["agg_mode"] and "499" not in SQL["ras_bbox_expand"]
 
 
 def on_hull(p):
@@ -91,10 +69,17 @@ def test_heights_are_lowered(spark):
         (21, "RD", 200.0, 1.0), (22, "RDS", 201.0, 2.0), (23, "RGS", 202.0, 3.0),  # already in order
         (31, "RDS", 300.0, 7.0),  # no RD within reach
         (41, "RD", 400.0, 2.0), (42, "RDS", 401.0, 2.0),  # no RGS; equal heights
+        (51, "RD", 500.0, 9.0), (52, "RDS", 507.5, 1.0),  # beyond 7
+        (61, "RL", 0.5, 0.0),
     ]
     points = spark.createDataFrame([(i, kod, x, 0.0, z) for i, kod, x, z in kods], "id long, kod string, x double, y double, z double")
-    got = {r.id: round(r.z, 6) for r in S.fixed_heights(points).collect()}
-    assert got == {1: 3.78, 2: 3.89, 11: 5.0, 21: 1.0, 22: 2.0, 31: 7.0, 41: 1.89, 42: 2.0}
+    rows_ = {r.id: r for r in S.fixed_heights(points).collect()}
+    assert {i: round(r.z, 6) for i, r in rows_.items()} == {
+        1: 3.78, 2: 3.89, 3: 4.0, 11: 5.0, 12: 1.0, 13: 1.0, 21: 1.0, 22: 2.0, 23: 3.0, 31: 7.0, 41: 1.89, 42: 2.0, 51: 9.0, 52: 1.0, 61: 0.0
+    }
+    assert {i: r.old_z for i, r in rows_.items() if r.old_z is not None} == {1: 5.0, 41: 2.0}
+    assert {i: r.fix_reason for i, r in rows_.items() if r.auto_fixed} == {1: "RD<RDS enforced", 2: "RDS<RGS enforced", 41: "RD<RDS enforced"}
+    assert {r.fix_reason for r in rows_.values() if not r.auto_fixed} == {""}
 
 
 def test_heights_are_those_of_brute_force(spark):
@@ -111,7 +96,7 @@ def test_heights_are_those_of_brute_force(spark):
             for i in nearest(p, "RDS"):
                 top[i] = min(top[i], by["RGS"][banks, 3].min())
     z = np.where(z >= top, top - 0.11, z)
-    want = dict(zip(by["RDS"][:, 0], z))
+    want = dict(zip(points["id"], points["z"])) | dict(zip(by["RDS"][:, 0], z))
     for p in by["RD"]:
         foot = min((z[i] for i in nearest(p, "RDS")), default=np.inf)
         want[p[0]] = foot - 0.11 if p[3] >= foot else p[3]
@@ -119,18 +104,86 @@ def test_heights_are_those_of_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-5 for i in want)
 
 
-def test_water_surface_is_validated(spark, db):
-    side = SIDE.replace(" and id % 3 = 0", "")
-    want = {r[0]: r[1:] for r in db.execute(with_views(side + """, g as (select rd, min(rz) as rz,
-     arg_min(oz, (abs(across), oid)) filter (where kod = 'RL') as rl,
-     arg_min(oz, (abs(across), oid)) filter (where kod = 'RGS' and across < 0) as a, arg_min(oz, (abs(across), oid)) filter (where kod = 'RGS' and across > 0) as b from w group by rd)
-     select f.rd, rl > g.rz, case when rl is not null and a is not null and b is not null then rl < a or rl < b end from f left join g on f.rd = g.rd""")).fetchall()}
-    got = QUERIES["cq_cross_section_validate"](spark, SF).collect()
-    assert {r.rd: (r.rl_rd, r.rl_rgs) for r in got} == want
-    assert {False, True, None} == {r.rl_rd for r in got} == {r.rl_rgs for r in got}
-    for r in got:
-        assert r.ok == (r.issues == "") == (False not in (r.rds_left, r.rds_right, r.rgs_left, r.rgs_right, r.rl_rd, r.rl_rgs))
-        assert (r.rl_rd is False) == ("RL RD" in r.issues) and (r.rl_rgs is False) == ("RL RGS" in r.issues)
+SECTIONS = "rd long, near boolean, rz double, rds_l double, rds_r double, rgs_l double, rgs_r double, rl double"
+
+
+def test_rules_of_a_cross_section(spark):
+    """The six rules, each kept, broken or not applicable, and the texts of the issues."""
+    n = None
+    data = [
+        (1, True, 1.0, 2.0, 2.5, 3.0, 3.5, 1.5),  # all kept
+        (2, True, 2.0, 2.0, 1.5, 2.0, 1.5, 2.0),  # all broken: RL is below neither RGS
+        (3, True, 1.0, n, n, n, n, n),  # none applies
+        (4, True, 1.0, n, 2.0, 0.5, n, 0.9),  # one side only; RL needs both RGS
+        (5, True, 1.0, 2.0, 2.0, 3.0, 4.0, 3.5),  # RL is above one RGS only, so the rule is kept
+        (6, False, 1.0, n, n, n, n, n),
+    ]
+    got = {r.rd: r for r in J.validated(spark.createDataFrame(data, SECTIONS)).collect()}
+    rules = lambda i: tuple(got[i][name] for name, _, _ in J.RULES)
+    assert rules(1) == (True,) * 6 and got[1].ok and got[1].issues == ""
+    assert rules(2) == (False,) * 6 and not got[2].ok
+    assert got[2].issues == (
+        "Left side: RGS(2.000) <= RDS(2.000); Right side: RGS(1.500) <= RDS(1.500); RD(2.000) >= RDS_left(2.000); "
+        "RD(2.000) >= RDS_right(1.500); RL(2.000) <= RD(2.000); RL(2.000) <= RGS(1.500)"
+    )
+    assert rules(3) == (n,) * 6 and got[3].ok and got[3].issues == ""
+    assert rules(4) == (n, n, n, True, False, n) and got[4].issues == "RL(0.900) <= RD(1.000)" and not got[4].ok
+    assert (got[4].found_rds_l, got[4].found_rds_r, got[4].found_rgs_l, got[4].found_rgs_r, got[4].found_rl) == (False, True, True, False, True)
+    assert rules(5) == (True,) * 6 and got[5].ok
+    assert not got[6].ok and got[6].issues == "RD not intersecting/near line" and not got[6].intersects_line
+
+
+def test_some_rules_apply_and_some_are_broken(spark):
+    got = QUERIES["cq_cross_section_validate"](spark, "/root/testdata/sf0.01").collect()
+    assert {True, False} == {r.ok for r in got} == {r.intersects_line for r in got}
+    for name, _, _ in J.RULES:
+        assert {True, False, None} == {r[name] for r in got}
+
+
+def brute_nearest(points, segments):
+    d = segments[:, 4:6] - segments[:, 2:4]
+    out = {}
+    for i, x, y in points:
+        t = ((x - segments[:, 2]) * d[:, 0] + (y - segments[:, 3]) * d[:, 1]) / np.maximum((d**2).sum(axis=1), 1e-300)
+        t = np.clip(t, 0, 1)
+        dist = np.hypot(segments[:, 2] + t * d[:, 0] - x, segments[:, 3] + t * d[:, 1] - y)
+        k = np.lexsort((segments[:, 1], segments[:, 0], np.round(dist, 12)))[0]
+        out[i] = (int(segments[k, 0]), int(segments[k, 1]), dist[k])
+    return out
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e5])
+def test_nearest_segments_are_those_of_brute_force(spark, spread):
+    """Long and short, upright, level and pointlike segments; with a spread, points very far from all of them."""
+    rng = np.random.default_rng(7)
+    seg = [(k % 5, k, *rng.uniform(0, 50, 2), *rng.uniform(0, 50, 2)) for k in range(25)]
+    seg += [(7, 1, 3.0, 3.0, 3.0, 40.0), (7, 2, 3.0, 9.0, 44.0, 9.0), (7, 3, 5.0, 5.0, 5.0, 5.0), (8, 1, -60.0, 0.0, -60.1, 0.1)]
+    points = [(i, *rng.uniform(-20, 70, 2)) for i in range(150)] + [(900 + i, *(rng.uniform(-1, 1, 2) * 100 * spread)) for i in range(12)]
+    seg, points = [tuple(map(float, r)) for r in seg], [tuple(map(float, r)) for r in points]
+    a = spark.createDataFrame([(int(i), x, y) for i, x, y in points], "id long, x double, y double")
+    b = spark.createDataFrame([(int(r[0]), int(r[1]), *r[2:]) for r in seg], "line_id long, seq long, x1 double, y1 double, x2 double, y2 double")
+    want = brute_nearest(points, np.array(seg, float))
+    got = {r.id: (r.line_id, r.seq, r.dist) for r in S.nearest_segment(a, b).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i][2] - want[i][2]) < 1e-6 for i in want) and sum(got[i][:2] != want[i][:2] for i in want) <= 1
+    near = {(r.id, r.line_id, r.seq) for r in S.near_segments(a, b, 2.5).select("id", "line_id", "seq").collect()}
+    assert {i for i, _, _ in near} == {i for i in want if want[i][2] <= 2.5}
+    assert S.nearest_segment(a, b.limit(0)).count() == 0 == S.nearest_segment(a.limit(0), b).count()
+
+
+def test_nearest_points_are_those_of_brute_force(spark):
+    rng = np.random.default_rng(9)
+    crowd = rng.normal(size=(300, 2)) * 0.2
+    others = np.concatenate([crowd, rng.uniform(-30, 30, (40, 2)), [[500.0, 500.0]]])
+    base = np.concatenate([rng.normal(size=(30, 2)), rng.uniform(-30, 30, (40, 2)), [[499.0, 499.0], [900.0, 0.0]]])
+    a = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(base)], "id long, x double, y double")
+    b = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(others)], "oid long, ox double, oy double")
+    want = set()
+    for i, p in enumerate(base):
+        d = np.hypot(*(others - p).T)
+        want |= {(i, int(o), n + 1) for n, o in enumerate(np.argsort(d, kind="stable")[:3]) if d[o] <= 7}
+    assert {(r.id, r.oid, r.nth) for r in S.nearest_points(a, b, 3, 7.0).collect()} == want
+    assert S.nearest_points(a, b.limit(0), 3, 7.0).count() == 0
 
 
 def test_ground_of_a_slope_with_a_low_outlier(spark):
@@ -180,6 +233,3 @@ def test_boxes_are_cut_to_the_raster(spark, db):
     raster = spark.range(1).selectExpr("701L - 1 as r", "199L as c")
     got = {(x.r0, x.r1, x.c0, x.c1, x.cells) for x in R.component_boxes(R.labelled(cells), 3, raster).collect()}
     assert got == {(0, 3, 0, 4, 2), (596, 603, 4, 10, 2), (697, 700, 196, 199, 1)}
-    sql = SQL["ras_bbox_expand"].replace("499", "(select max(r) from v_raster)").replace("124)", "(select max(c) from v_raster))")
-    assert sql.count("from v_raster)") == 2
-    assert rows(QUERIES["ras_bbox_expand"](spark, SF).toPandas()) == rows(db.execute(sql).df())
