@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +26,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = preference.last_reply_pairs(_read(spark, sf_dir, "conversations"))
+    pairs = preference.pairs_of(_read(spark, sf_dir, "conversations"))
     rows = preference.format_preferences(pairs)
     masks = [preference.mask_text(F.col(c)).alias(c) for c in ("chosen_mask", "rejected_mask")]
-    return rows.select(F.col("key").alias("conv_id"), "prompt_turns", "prompt", "chosen", masks[0], "rejected", masks[1])
+    return rows.select(F.col("key").alias("conv_id"), "status", "prompt_turns", "prompt", "chosen", masks[0], "rejected", masks[1])
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +53,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     folder = token_store.write_store(docs, public_tokenizers.path(BYTE_BPE))
-    read = token_store.read_store(spark, folder, token_store.keys_of(docs))
+    read = token_store.read_store(spark, folder, token_store.keys_of(docs), must_exist=True)
     return read.select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
@@ -69,7 +68,7 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     encoded = pieces.encode(docs, public_tokenizers.path(PIECE_BPE), from_files=True)
-    return encoded.select(F.col("id").alias("doc_id"), "n_parts", "n_pieces", "ids_crc32", "round_trip")
+    return encoded.select(F.col("id").alias("doc_id"), "n_parts", "n_pieces", "ids_crc32", "round_trip", "v_pieces", "v_score")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +88,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_mix_sources": op10_mix_sources,
-        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -99,4 +97,4 @@ def oracle_sql() -> dict[str, str]:
         "op3_exact_dedup": exact_dedup.ORACLE_SQL,
         "op7_vector_top_k": vector_search.ORACLE_SQL,
         "op8_minhash_near_dedup": minhash.ORACLE_SQL,
-    } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    }

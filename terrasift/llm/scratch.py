@@ -6,13 +6,14 @@ files survive the loss of any executor, and a recomputed task reads the rows tha
 
 from __future__ import annotations
 
-import functools
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from terrasift.session import ship
+from terrasift.session import shared_root, ship
 
 #: Rows of a batch that a Python worker gets at a time: texts may be long, and the default of 10,000 holds many MB.
 BATCH_ROWS = 500
@@ -24,17 +25,16 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-@functools.lru_cache(maxsize=1)
-def _own_root() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="terrasift-")
+def whole_numbers(df: DataFrame, name: str) -> None:
+    """Refuse a column of ids that aren't whole numbers of 64 bits at most: a cast would turn them into nulls."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise TypeError(f"{name} must be a whole number, but is {kind.simpleString()}")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_root()
-    if "://" not in root:
-        root = "file://" + root if root.startswith("/") else root
-    return f"{root.rstrip('/')}/terrasift-{uuid.uuid4().hex}"
+    """A new folder below the session's ``spark.checkpoint.dir``."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 class Scratch:
@@ -53,6 +53,17 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    @contextlib.contextmanager
+    def grouping(self, groups: int) -> Iterator[None]:
+        """Let tables that are written meanwhile group up to ``groups`` lists in a task before they are sorted instead."""
+        name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, str(groups))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
     def drop(self) -> None:
         """Delete everything written so far; only for callers whose results no longer depend on it."""
         jvm = self.spark.sparkContext._jvm

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 from pyspark import TaskContext
@@ -36,12 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terrasift.llm.scratch import Scratch, shared_folder
+from terrasift.llm.scratch import Scratch, shared_folder, whole_numbers
 
 KEYS_IN_PART = 65_536
 BUCKET = 4
 CACHE = 600_000
-MAGIC = b"TSMPH001"
+MAGIC = b"TSMPH002"
+#: Bytes of text in a shard: more make more shards; small tables are dealt to all cores, but not into crumbs.
+SHARD_BYTES, LEAST_BYTES = 256 << 20, 8 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s")
 
@@ -129,8 +131,6 @@ def build_mph(h: np.ndarray) -> np.ndarray:
     Buckets are placed from the largest; a bucket of one value is sent straight to a free slot, as -1 - slot.
     """
     n = len(h)
-    if len(np.unique(h)) != n:
-        raise ValueError("keys of a part must have distinct hashes")
     buckets = max(1, -(-n // BUCKET))
     which = (h % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(which, kind="stable")
@@ -167,8 +167,12 @@ def find_slots(h: np.ndarray, displacements: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class IndexPart:
-    """One part of the index: displacements, and by slot the fingerprint, shard, offset and number of ids."""
+    """One part of the index: displacements, and by slot the fingerprint, shard, offset and number of ids.
 
+    ``seed`` is the first under which its keys have distinct hashes.
+    """
+
+    seed: int
     displacements: np.ndarray
     fingerprints: np.ndarray
     shards: np.ndarray
@@ -177,33 +181,36 @@ class IndexPart:
 
     @classmethod
     def build(cls, keys, copies, shards, offsets, counts) -> IndexPart:
-        h = key_hashes(keys, copies, 1)
+        seed = 1
+        while len(np.unique(h := key_hashes(keys, copies, seed))) != len(keys):
+            seed += 2
         d = build_mph(h)
         at = find_slots(h, d, len(h))
         place = lambda v, t: _scattered(np.asarray(v).astype(t), at)
-        return cls(d, place(key_hashes(keys, copies, 2) >> np.uint64(32), "<u4"), place(shards, "<u4"), place(offsets, "<u8"), place(counts, "<u4"))
+        prints = key_hashes(keys, copies, seed + 1) >> np.uint64(32)
+        return cls(seed, d, place(prints, "<u4"), place(shards, "<u4"), place(offsets, "<u8"), place(counts, "<u4"))
 
     def find(self, keys: np.ndarray, copies: np.ndarray) -> np.ndarray:
         """Slots of keys; -1 where the fingerprint tells that a key isn't stored."""
         if not len(self.fingerprints) or not len(keys):
             return np.full(len(keys), -1, np.int64)
-        at = find_slots(key_hashes(keys, copies, 1), self.displacements, len(self.fingerprints))
-        same = self.fingerprints[at] == (key_hashes(keys, copies, 2) >> np.uint64(32)).astype(np.uint32)
+        at = find_slots(key_hashes(keys, copies, self.seed), self.displacements, len(self.fingerprints))
+        same = self.fingerprints[at] == (key_hashes(keys, copies, self.seed + 1) >> np.uint64(32)).astype(np.uint32)
         return np.where(same, at, -1)
 
     def to_bytes(self) -> bytes:
-        head = MAGIC + struct.pack("<qq", len(self.displacements), len(self.fingerprints))
+        head = MAGIC + struct.pack("<qqq", self.seed, len(self.displacements), len(self.fingerprints))
         return head + b"".join(x.tobytes() for x in (self.displacements.astype("<i8"), self.fingerprints, self.shards, self.offsets, self.counts))
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> IndexPart:
         if raw[:8] != MAGIC:
             raise ValueError("not an index part")
-        (buckets, n), at, out = struct.unpack("<qq", raw[8:24]), 24, []
+        (seed, buckets, n), at, out = struct.unpack("<qqq", raw[8:32]), 32, []
         for kind, count in (("<i8", buckets), ("<u4", n), ("<u4", n), ("<u8", n), ("<u4", n)):
             out.append(np.frombuffer(raw, kind, count, at))
             at += out[-1].nbytes
-        return cls(*out)
+        return cls(seed, *out)
 
 
 def _scattered(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -249,21 +256,53 @@ class TokenStore:
                 yield np.frombuffer(f.read_at(int(count) * self.dtype.itemsize, int(offset) * self.dtype.itemsize), self.dtype)
 
 
+def hashed_as(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The keys and copy numbers that are hashed: a null key is 0 with the copy -1 - copy, which no other key has."""
+    keys, copies = table.column("key").combine_chunks(), table.column("copy").to_numpy()
+    null = keys.is_null().to_numpy(zero_copy_only=False)
+    return keys.fill_null(0).to_numpy(zero_copy_only=False), np.where(null, -1 - copies, copies)
+
+
+def shard_count(docs: DataFrame, text_col: str) -> int:
+    """Shards of ``docs``: as its texts' bytes ask for."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    spread = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BYTES))
+    return max(1, -(-size // SHARD_BYTES), spread)
+
+
+def copies_before(shards: list) -> list[tuple[int, int]]:
+    """(shard, copies) of the shards that start with a key which earlier shards hold too, and how many copies those hold.
+
+    ``shards`` in order, each with the first and last key and the number of rows of the last.
+    """
+    out, held, last = [], 0, None
+    for r in shards:
+        begins = held if last is not None and last[0] == r["first_key"] else 0
+        if begins:
+            out.append((r["shard"], begins))
+        held = r["last_copies"] + (begins if r["first_key"] == r["last_key"] else 0)
+        last = (r["last_key"],)
+    return out
+
+
 def write_store(
-    docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keys_in_part: int = KEYS_IN_PART
+    docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", keys_in_part: int = KEYS_IN_PART, shards: int | None = None
 ) -> str:
     """Encode ``docs`` into a new store in the shared folder; returns its folder.
 
-    Null texts count as empty and hold the end id alone. Documents are in ascending order of id, a null id first; rows
-    that repeat an id follow each other by text and are told apart by a copy number from 0. An empty table makes a
-    store without documents. Other columns are not read.
+    Ids must be whole numbers of 64 bits at most. Null texts count as empty and hold the end id alone. Documents are in
+    ascending order of id, a null id first; rows that repeat an id follow each other by a hash of their text and are
+    told apart by a copy number from 0, and if they are very many, they span shards like any other rows. An empty table
+    makes a store without documents. Other columns are not read. ``shards`` overrides what the texts' bytes ask for.
     """
     spark = docs.sparkSession
+    whole_numbers(docs, id_col)
     scratch, folder = Scratch(spark), shared_folder(spark) + "/store"
-    rows = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
+    rows = rows.repartitionByRange(shards or shard_count(docs, text_col), *order).sortWithinPartitions(*order, "text")
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = encoder_of(tokenizer), TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
@@ -272,83 +311,89 @@ def write_store(
         with fs.open_output_stream(own) as out:
             for batch in batches:
                 for i in range(0, len(batch), 500):
-                    part = batch.iloc[i : i + 500]
-                    ids = [encoder.encode(x) + end for x in part["text"]]
+                    part = batch.slice(i, 500)
+                    ids = [encoder.encode(x) + end for x in part.column("text").to_pylist()]
                     counts = np.array([len(x) // width for x in ids], np.int64)
                     copies = []
-                    for key in part["key"]:
-                        key = None if pd.isna(key) else int(key)
-                        copy = copy + 1 if copies_follow(last, key) else 0
+                    for key in part.column("key").to_pylist():
+                        copy = copy + 1 if last == (key,) else 0
                         last = (key,)
                         copies.append(copy)
                     out.write(b"".join(ids))
                     offsets = at + np.cumsum(counts) - counts
                     at += int(counts.sum())
-                    yield pd.DataFrame({"key": part["key"].to_numpy(), "copy": copies, "shard": shard, "offset": offsets, "n": counts})
+                    found = [part.column("key"), pa.array(copies, pa.int64()), pa.array([shard] * len(part), pa.int32()), pa.array(offsets), pa.array(counts)]
+                    yield pa.RecordBatch.from_arrays(found, names=["key", "copy", "shard", "offset", "n"])
         fs.move(own, f"{root}/shard-{shard:06d}.ids")
 
-    entries = scratch.table(rows.mapInPandas(write, "key long, copy long, shard int, offset long, n long"))
-    shards = entries.groupBy("shard").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")).orderBy("shard").collect()
-    parts = max(1, -(-sum(r["docs"] for r in shards) // keys_in_part), int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def index(rows: pd.DataFrame) -> pd.DataFrame:
-        number = int(rows["part"].iloc[0])
-        keys = rows["key"].fillna(NO_KEY).astype(np.int64).to_numpy()
-        built = IndexPart.build(keys, rows["copy"].to_numpy(), rows["shard"].to_numpy(), rows["offset"].to_numpy(), rows["n"].to_numpy())
+    entries = scratch.table(rows.mapInArrow(write, "key long, copy long, shard int, offset long, n long"))
+    ends = [F.min_by("key", "offset").alias("first_key"), F.max_by("key", "offset").alias("last_key"), (F.max_by("copy", "offset") + 1).alias("last_copies")]
+    made = entries.groupBy("shard").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), *ends).orderBy("shard").collect()
+    parts = max(1, -(-sum(r["docs"] for r in made) // keys_in_part), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if spans := copies_before(made):
+        first = {r["shard"]: r["first_key"] for r in made}
+        held = spark.createDataFrame([(s, first[s], n) for s, n in spans], "shard int, key long, held long")  # a row for a shard at most
+        same = (entries["shard"] == held["shard"]) & entries["key"].eqNullSafe(held["key"])
+        moved = (entries["copy"] + F.coalesce(held["held"], F.lit(0))).alias("copy")
+        entries = entries.join(F.broadcast(held), same, "left").select(entries["key"], moved, entries["shard"], "offset", "n")
+
+    def index(rows: pa.Table) -> pa.Table:
+        number = rows.column("part")[0].as_py()
+        built = IndexPart.build(*hashed_as(rows), *(rows.column(c).to_numpy() for c in ("shard", "offset", "n")))
         _put(folder, f"index-{number:06d}.mph", [built.to_bytes()])
-        return pd.DataFrame({"part": [number], "keys": [len(rows)]})
+        return pa.table({"part": pa.array([number], pa.int32()), "keys": pa.array([len(rows)], pa.int64())})
 
-    made = scratch.table(entries.withColumn("part", part_of(parts)).groupBy("part").applyInPandas(index, "part int, keys long"))
+    built = scratch.table(entries.withColumn("part", part_of(parts)).groupBy("part").applyInArrow(index, "part int, keys long"))
     start, known = 0, []
-    for r in shards:
+    for r in made:
         known.append({"shard": r["shard"], "start": start, "ids": r["n"], "docs": r["docs"]})
         start += r["n"]
     width = Encoder(tokenizer).dtype.str
-    empty = sorted({*range(parts)} - {r["part"] for r in made.select("part").collect()})
+    empty = sorted({*range(parts)} - {r["part"] for r in built.select("part").collect()})
     _put(folder, "manifest.json", [json.dumps({"dtype": width, "end_id": end_id, "parts": parts, "empty": empty, "shards": known}).encode()])
     return folder
 
 
-#: Stands for a null key.
-NO_KEY = -(2**63)
-
-
-def copies_follow(last: tuple | None, key: int | None) -> bool:
-    return last is not None and last[0] == key
-
-
-def read_store(spark: SparkSession, folder: str, keys: DataFrame) -> DataFrame:
+def read_store(spark: SparkSession, folder: str, keys: DataFrame, must_exist: bool = False) -> DataFrame:
     """(key, copy, start, n_tokens, ids_crc32) of every stored document of ``keys`` (key, copy), read from the files.
 
     Each key is looked up in its index part, and then its ids are read from its shard at the offset found there.
-    start counts the ids of all documents before it in the store.
+    start counts the ids of all documents before it in the store. Keys that aren't stored give no row, or an error if
+    they ``must_exist``.
     """
     store = TokenStore(folder)
     manifest, empty = store.manifest, set(store.manifest["empty"])
     first = {s["shard"]: s["start"] for s in manifest["shards"]}
 
-    def find(rows: pd.DataFrame) -> pd.DataFrame:
-        number = int(rows["part"].iloc[0])
-        out = rows[["key", "copy"]].copy()
+    def find(rows: pa.Table) -> pa.Table:
+        number = rows.column("part")[0].as_py()
         if number in empty:
-            return out.iloc[:0].assign(shard=0, offset=0, n=0)
-        part = TokenStore(folder).part(number)
-        at = part.find(rows["key"].fillna(NO_KEY).astype(np.int64).to_numpy(), rows["copy"].to_numpy())
-        out = out[at >= 0]
+            at, part = np.full(len(rows), -1), None
+        else:
+            part = TokenStore(folder).part(number)
+            at = part.find(*hashed_as(rows))
+        if must_exist and (at < 0).any():
+            raise KeyError(f"{int((at < 0).sum())} keys of index part {number} aren't stored")
+        out = rows.select(["key", "copy"]).filter(pa.array(at >= 0))
         at = at[at >= 0]
-        return out.assign(shard=part.shards[at].astype(np.int64), offset=part.offsets[at].astype(np.int64), n=part.counts[at].astype(np.int64))
+        for name in ("shards", "offsets", "counts"):
+            out = out.append_column(name, pa.array((getattr(part, name)[at] if part else at).astype(np.int64)))
+        return out.rename_columns(["key", "copy", "shard", "offset", "n"])
 
-    def read(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("offset")
-        shard, own = int(rows["shard"].iloc[0]), TokenStore(folder)
-        crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in own.ids(shard, zip(rows["offset"], rows["n"]))]
-        return rows[["key", "copy"]].assign(start=rows["offset"] + first[shard], n_tokens=rows["n"], ids_crc32=crc)
+    def read(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("offset")
+        shard, own = rows.column("shard")[0].as_py(), TokenStore(folder)
+        offsets, counts = rows.column("offset").to_numpy(), rows.column("n").to_numpy()
+        crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in own.ids(shard, zip(offsets, counts))]
+        found = {"start": offsets + first[shard], "n_tokens": counts, "ids_crc32": np.array(crc, np.int64)}
+        return pa.table({"key": rows.column("key"), "copy": rows.column("copy"), **{k: pa.array(v) for k, v in found.items()}})
 
-    found = keys.withColumn("part", part_of(manifest["parts"])).groupBy("part").applyInPandas(find, "key long, copy long, shard long, offset long, n long")
-    return found.groupBy("shard").applyInPandas(read, "key long, copy long, start long, n_tokens long, ids_crc32 long")
+    found = keys.select("key", F.col("copy").cast("long").alias("copy")).withColumn("part", part_of(manifest["parts"]))
+    found = found.groupBy("part").applyInArrow(find, "key long, copy long, shard long, offset long, n long")
+    return found.groupBy("shard").applyInArrow(read, "key long, copy long, start long, n_tokens long, ids_crc32 long")
 
 
 def keys_of(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(key, copy) of every row of ``docs``."""
-    rows = docs.groupBy(F.col(id_col).alias("key")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = docs.groupBy(F.col(id_col).cast("long").alias("key")).agg(F.count(F.lit(1)).alias("rows"))
     return rows.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("copy"))
