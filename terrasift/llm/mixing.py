@@ -5,8 +5,9 @@ a capped source can't take is shared again by weight. A document of n words is t
 on average. The whole part of that number is certain; the fraction is rounded dependently: two documents that are still
 fractional transfer probability so that the expected words stay as they are, in a random direction that keeps each
 document's own expectation, until one of the two is integral. A block of documents leaves one fractional residual at
-most. Residuals of neighbouring blocks meet in a reduction tree, and at its root the one document that is left of each source
-goes to the nearer whole number, so a source's words differ from its target by half a document at most.
+most. Residuals of neighbouring blocks meet in a reduction tree, and at its root the one document that is left of each
+source goes to the nearer whole number, so a source's words differ from its target by half a document at most; all
+documents but that one keep their expectation.
 """
 
 from __future__ import annotations
@@ -109,14 +110,20 @@ def mix(
     """One row per row of ``docs``: id, size, source_size, target, copies, taken.
 
     size is the number of words (null text: 0) and taken = copies * size. Texts without words take nothing and are
-    copied once if their source is to be copied at all. A null source is a source, the last. Draws depend on the seed
-    and on ids, sizes and sources only, so reruns agree, however the rows are dealt. Rows that repeat an id are rounded
-    one by one; which of them gets which count is settled by their sizes and their order within a block. An empty
-    table gives no rows. Other columns are not read.
+    copied once if their source is to be copied at all. A null source is a source, the last. Ids may be of any type. Draws
+    depend on the seed and on ids, sizes, sources and texts only, so reruns agree, however the rows are dealt. Rows that
+    repeat an id, or have none, are rounded one by one, in the order of their sizes and of a hash of their texts; rows
+    that agree in all of these share their copies in any order. An empty table gives no rows. Other columns are not read.
     """
+    out = _copies(docs, F.struct(F.lit(0)), id_col, text_col, source_col, share, most, weights, seed, block, fan)
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def _copies(docs, key: Column, id_col, text_col, source_col, share=1.5, most=2.0, weights=WEIGHTS, seed=1, block=512, fan=64) -> DataFrame:
+    """(id, key, size, source_size, target, copies) of every row; ``key`` tells rows apart that agree in id and text."""
     scratch = Scratch(docs.sparkSession)
     # blocks by hash: a source of any size is split into blocks of bounded size, none of which depends on the layout
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("same"), key.alias("key"))
     rows = scratch.table(rows.withColumn("row", F.monotonically_increasing_id()))
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.when(F.col("size") > 0, 1)).alias("filled"))
     sums = scratch.table(sums)
@@ -124,11 +131,12 @@ def mix(
     rate = F.coalesce(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0))
     rows = rows.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("rate", rate)
     rows = rows.withColumn("blocks", F.ceil(F.col("filled") / block)).withColumn(
-        "block", F.pmod(F.xxhash64("id", "size"), F.greatest("blocks", F.lit(1))).cast("long")
+        "block", F.pmod(F.xxhash64("id", "size", "same"), F.greatest("blocks", F.lit(1))).cast("long")
     )
     rows = scratch.table(rows.withColumn("p", F.col("rate") - F.floor("rate")))
-    parts = rows.where("size > 0").select("source", "block", "row", "id", "size", "p")
-    schema = "source string, block long, row long, id long, size long, p double"
+    name = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("null")), F.col("same").cast("string"))
+    parts = rows.where("size > 0").select("source", "block", "row", name.alias("name"), F.xxhash64("key").alias("tie"), "size", "p")
+    schema = f"source {rows.schema['source'].dataType.simpleString()}, block long, row long, name string, tie long, size long, p double"
     level, depth, settled = parts, 0, []
     while True:
         level = scratch.table(level.groupBy("source", "block").applyInPandas(_rounding(seed, depth), schema))
@@ -144,33 +152,31 @@ def mix(
         whole = whole.union(x)
     out = rows.join(whole.withColumnRenamed("p", "rounded"), "row", "left")
     copies = F.when(F.col("size") > 0, F.floor("rate") + F.col("rounded")).otherwise(F.when(F.col("rate") > 0, 1).otherwise(0))
-    return out.select(
-        F.col("id").alias(id_col),
-        "size",
-        "source_size",
-        "target",
-        copies.cast("int").alias("copies"),
-        (copies * F.col("size")).cast("long").alias("taken"),
-    )
+    return out.select("id", "key", "size", "source_size", "target", copies.cast("int").alias("copies"))
 
 
 def _rounding(seed: int, level: int):
     def rounded(rows: pd.DataFrame) -> pd.DataFrame:
         # the longest come first: what follows is enough to make them integral, and the residual is a shorter document
-        rows = rows.sort_values(["size", "id", "row"], ascending=[False, True, True]).reset_index(drop=True)
-        rows["p"] = pivotal(rows["id"].tolist(), rows["size"].tolist(), rows["p"].tolist(), seed, level)
+        rows = rows.sort_values(["size", "name", "tie", "row"], ascending=[False, True, True, True]).reset_index(drop=True)
+        rows["p"] = pivotal(rows["name"].tolist(), rows["size"].tolist(), rows["p"].tolist(), seed, level)
         return rows
 
     return rounded
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as the mix copies it, with all their columns."""
+    """The rows of ``docs``, each as often as the mix copies it, with all their columns.
+
+    A row is known by two 64-bit hashes of all its columns. Rows that agree in every column share the copies that the mix
+    gives them together as evenly as whole numbers allow, which makes the same rows.
+    """
     columns = docs.columns
-    counts = mix(docs, id_col, text_col, source_col).groupBy(F.col(id_col).alias("__id")).agg(
-        F.sum("copies").alias("__sum"), F.count(F.lit(1)).alias("__rows")
-    )
-    # rows that repeat an id share its copies as evenly as whole numbers allow
-    joined = docs.join(counts.where("__sum > 0"), docs[id_col].eqNullSafe(counts["__id"]))
-    times = F.greatest(F.lit(1), F.round(F.col("__sum") / F.col("__rows"))).cast("int")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), times))).select(*columns)
+    hashes = {"__a": F.xxhash64(*columns), "__b": F.xxhash64(F.lit("b"), *columns)}
+    own = _copies(docs, F.struct(*(h.alias(n) for n, h in hashes.items())), id_col, text_col, source_col)
+    counts = own.groupBy("key").agg(F.sum("copies").alias("__all"), F.count(F.lit(1)).alias("__rows")).where("__all > 0")
+    joined = docs.withColumns(hashes).join(counts.select("key.*", "__all", "__rows"), [*hashes])
+    # ordered as the join needs it anyway
+    nth = F.row_number().over(Window.partitionBy(*hashes).orderBy("__a"))
+    joined = joined.withColumn("__times", F.floor(F.col("__all") / F.col("__rows")) + (nth <= F.col("__all") % F.col("__rows")).cast("int")).where("__times > 0")
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times").cast("long")))).select(*columns)
