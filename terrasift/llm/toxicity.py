@@ -1,14 +1,16 @@
 """Toxicity by a counterfactually regularised classifier.
 
 A logistic regression over which words, and which word beginnings, a text holds. It is trained on labelled texts and on
-their counterfactuals, in which identity terms are swapped for others of the same kind: besides the label loss, the
-squared change of the score between a text and its counterfactual is penalised (logit pairing), so that naming a group
-doesn't move a score, however often that group is named in toxic examples.
+their counterfactuals, in which identity terms are swapped: once for others of the same kind, once for a term that names
+no group. Besides the label loss, the squared change of the score between a text and its counterfactuals is penalised
+(logit pairing). The first kind makes groups score alike; but that alone would let all of them score high, so the second
+makes naming any group move a score little, however often groups are named in toxic examples.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,7 +34,7 @@ IDENTITY = (
     ("immigrants", "refugees", "natives", "citizens", "foreigners"),
     ("disabled", "deaf", "blind", "elderly", "young"),
     ("frauen", "männer", "mädchen", "jungen"),
-    ("muslime", "juden", "christen", "hindus", "buddhisten"),
+    ("muslime", "juden", "christen", "buddhisten", "atheisten"),
     ("flüchtlinge", "einwanderer", "ausländer", "bürger"),
     ("femmes", "hommes", "filles", "garçons"),
     ("musulmans", "juifs", "chrétiens", "hindous", "bouddhistes"),
@@ -41,6 +43,8 @@ IDENTITY = (
     ("musulmanes", "judíos", "cristianos", "hindúes", "budistas"),
     ("inmigrantes", "refugiados", "extranjeros", "ciudadanos"),
 )
+#: What stands for an identity term where no group is named: no feature is learned of it.
+NEUTRAL = "_"
 _KIND = {term: kind for kind in IDENTITY for term in kind}
 BEGINNINGS = (3, 4, 5, 6)
 PER_CLASS = 8000
@@ -65,13 +69,16 @@ def features_of(token: str) -> list[str]:
     return out
 
 
-def counterfactual(words: set[str]) -> set[str] | None:
-    """The tokens with every identity term swapped for the next of its kind; None if there is none."""
+def counterfactuals(words: set[str], turn: int = 0) -> list[set[str]]:
+    """The tokens with every identity term swapped for another of its kind, and for NEUTRAL; none without such a term.
+
+    ``turn`` tells how many terms lie between the two of a kind, so that over many texts all are paired with each other.
+    """
     found = {w: _KIND[w] for t in words for w in _WORD.findall(t) if w in _KIND}
     if not found:
-        return None
-    swapped = {w: kind[(kind.index(w) + 1) % len(kind)] for w, kind in found.items()}
-    return {_WORD.sub(lambda m: swapped.get(m[0], m[0]), t) for t in words}
+        return []
+    other = {w: kind[(kind.index(w) + 1 + turn % (len(kind) - 1)) % len(kind)] for w, kind in found.items()}
+    return [{_WORD.sub(lambda m: swapped.get(m[0], m[0]), t) for t in words} for swapped in (other, dict.fromkeys(found, NEUTRAL))]
 
 
 @dataclass
@@ -121,13 +128,13 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(
-    rows: list[tuple[float, int, list[int], list[int] | None]], size: int, pairing: float = 1.0, lasso: float = 1e-4, ridge: float = 1e-4, rounds: int = 800
+    rows: list[tuple[float, int, list[int], list[list[int]]]], size: int, pairing: float = 1.0, lasso: float = 1e-4, ridge: float = 1e-4, rounds: int = 800
 ) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated proximal gradient steps.
 
-    ``rows``: weight, label, active features, and those of the counterfactual, if there is one. The loss is the weighted
-    mean of the log loss, plus ``pairing`` times the weighted mean over all texts of the squared difference of the
-    logits of a text and its counterfactual, plus lasso and ridge terms.
+    ``rows``: weight, label, active features, and those of each counterfactual. The loss is the weighted mean of the log
+    loss, plus ``pairing`` times the weighted mean over all texts of the squared differences of the logits of a text and
+    its counterfactuals, plus lasso and ridge terms.
     """
     share = np.array([r[0] for r in rows], float)
     share /= share.sum()
@@ -137,23 +144,24 @@ def fit(
         return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.fromiter((i for x in lists for i in x), np.int64)
 
     text, feat = flat([r[2] for r in rows])
-    twins = [(k, r) for k, r in enumerate(rows) if r[3] is not None]
-    diff = [(k, i, s) for k, r in twins for i, s in [(i, 1.0) for i in set(r[2]) - set(r[3])] + [(i, -1.0) for i in set(r[3]) - set(r[2])]]
-    d_text, d_feat, d_sign = (np.array([x[k] for x in diff], t) for k, t in ((0, np.int64), (1, np.int64), (2, float)))
+    twins = [(k, set(r[2]), set(t)) for k, r in enumerate(rows) for t in r[3]]
+    diff = [(n, i, sign) for n, (_, own, twin) in enumerate(twins) for i, sign in [(i, 1.0) for i in own - twin] + [(i, -1.0) for i in twin - own]]
+    d_twin, d_feat, d_sign = (np.array([x[k] for x in diff], t) for k, t in ((0, np.int64), (1, np.int64), (2, float)))
+    d_share = share[[k for k, _, _ in twins]] if twins else np.zeros(0)
     rate = float(np.clip((share * y).sum(), 1e-4, 1 - 1e-4))
     w, b = np.zeros(size), float(np.log(rate / (1 - rate)))
-    # a bound of the curvature: each text's features and the bias, and its twin's
+    # a bound of the curvature: each text's features and the bias, and what its counterfactuals differ in
     most = np.bincount(text, minlength=len(rows)).astype(float)
-    apart = np.bincount(d_text, minlength=len(rows)).astype(float) if len(diff) else np.zeros(len(rows))
-    step = 1 / max((0.25 * share * (most + 1)).sum() + 2 * pairing * (share * apart).sum() + ridge, 1e-6)
+    apart = np.bincount(d_twin, minlength=len(twins)).astype(float) if len(diff) else np.zeros(len(twins))
+    step = 1 / max((0.25 * share * (most + 1)).sum() + 2 * pairing * (d_share * apart).sum() + ridge, 1e-6)
     vw, vb, t = w.copy(), b, 1.0
     for _ in range(rounds):
         z = vb + np.bincount(text, vw[feat], len(rows))
         g = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         gw = np.bincount(feat, g[text], size) + ridge * vw
         if len(diff):
-            change = 2 * pairing * share * np.bincount(d_text, d_sign * vw[d_feat], len(rows))
-            gw += np.bincount(d_feat, d_sign * change[d_text], size)
+            change = 2 * pairing * d_share * np.bincount(d_twin, d_sign * vw[d_feat], len(twins))
+            gw += np.bincount(d_feat, d_sign * change[d_twin], size)
         nw = vw - step * gw
         nw = np.sign(nw) * np.maximum(np.abs(nw) - step * lasso, 0)
         nb = vb - step * g.sum()
@@ -168,7 +176,9 @@ def train(
 ) -> Model:
     """A model of ``label_col``, learned from at most ``per_class`` texts of each class among the rows where ``learn`` holds.
 
-    Without a labelled text, or with one class only, every text gets the same score.
+    Ids may be of any type that both tables have in common. An id with several labels takes the greatest; each of its
+    texts is learned from. Null texts count as empty, and texts of any length are learned from whole. Without a labelled
+    text, or with one class only, every text gets the same score.
     """
     prepare(docs.sparkSession)
     labelled = labels.where(learn).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
@@ -192,20 +202,20 @@ def train(
     def active(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             words = [tokens(t) for t in rows["text"]]
-            twins = [counterfactual(w) for w in words]
+            twins = [counterfactuals(w, zlib.crc32(t.encode("utf-8", "surrogatepass"))) for w, t in zip(words, rows["text"])]
             yield pd.DataFrame(
                 {
                     "id": rows["id"],
                     "weight": rows["weight"],
                     "label": rows["label"],
                     "own": [sorted(blank.active(w)) for w in words],
-                    "twin": [None if w is None else sorted(blank.active(w)) for w in twins],
+                    "twins": [[sorted(blank.active(w)) for w in ws] for ws in twins],
                 }
             )
 
-    found = sample.mapInPandas(active, "id long, weight double, label int, own array<int>, twin array<int>").toPandas()
-    found = found.sort_values("id")
-    rows = [(r.weight, r.label, list(r.own), None if r.twin is None else list(r.twin)) for r in found.itertuples()]
+    found = sample.mapInPandas(active, "id string, weight double, label int, own array<int>, twins array<array<int>>").toPandas()
+    found = found.assign(order=found["own"].map(tuple)).sort_values(["id", "order"])
+    rows = [(r.weight, r.label, list(r.own), [list(t) for t in r.twins]) for r in found.itertuples()]
     if len({r[1] for r in rows}) < 2:
         return Model({}, np.zeros(0), 4.0 if rows and rows[0][1] else -4.0)
     weights, bias = fit(rows, len(names))
