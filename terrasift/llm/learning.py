@@ -13,11 +13,12 @@ def remainder(id_col: str, modulus: int) -> Column:
 
 
 def sample_ids(labelled: DataFrame, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows (id, label) of each label, by a hash of the id, with ``weight``.
+    """At most ``per_class`` rows (id as text, label) of each label, by a hash of the id, with ``weight``.
 
     The weights restore each class to its size in ``labelled``. An id with several labels takes the greatest; rows
     without id or label don't count. Spark limits each class before it is shuffled, so a common class is no hot spot.
     """
+    labelled = labelled.select(F.col("id").cast("string").alias("id"), "label")
     one = labelled.where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
     sizes = F.broadcast(one.groupBy("label").agg(F.count(F.lit(1)).alias("all")))  # a row for each class
     # a share of each class by hash, a little more than is wanted, so that few rows are ranked
@@ -30,5 +31,5 @@ def sample_ids(labelled: DataFrame, per_class: int) -> DataFrame:
 
 def with_texts(sample: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``sample`` with the texts of its ids. It has a bounded number of rows, so it is what is sent to all tasks."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.join(F.broadcast(sample), "id")

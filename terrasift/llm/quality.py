@@ -140,8 +140,9 @@ def fit(features: np.ndarray, first: np.ndarray, y: np.ndarray, weight: np.ndarr
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> Model | float:
     """A model learned from at most ``per_class`` texts of each class among the rows where ``learn`` holds.
 
-    With one class only, or no label at all, that class (or 0.5) is every text's score. Of a very long text, as many
-    passages are learned from as of the longest of 99 in 100 texts, evenly spread; scoring always reads whole texts.
+    Every passage of such a text is in its bag, as in scoring. Ids may be of any type that both tables have in common; an
+    id with several labels takes the greatest, and each of its texts is learned from. Null texts count as empty. With one
+    class only, or no label at all, that class (or 0.5) is every text's score.
     """
     prepare(docs.sparkSession)
     labelled = labels.where(learn).select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
@@ -153,14 +154,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
             if not len(rows):
                 continue
             features, first = describe(rows["text"].tolist())
-            ends = [*first[1:], len(features)]
-            spread = [np.unique(np.linspace(a, b - 1, min(b - a, 48)).astype(int)) for a, b in zip(first, ends)]
-            yield pd.DataFrame(
-                {"id": rows["id"], "label": rows["label"], "weight": rows["weight"], "bag": [features[k].astype("<f4").tobytes() for k in spread]}
-            )
+            packed = [x.astype("<f4").tobytes() for x in np.split(features, first[1:])]
+            yield pd.DataFrame({"id": rows["id"], "label": rows["label"], "weight": rows["weight"], "bag": packed})
 
     sample = learning.with_texts(ids, docs, id_col, text_col)
-    found = sample.mapInPandas(bags, "id long, label int, weight double, bag binary").toPandas().sort_values(["id", "bag"])
+    found = sample.mapInPandas(bags, "id string, label int, weight double, bag binary").toPandas().sort_values(["id", "bag"])
     if found["label"].nunique() < 2:
         return float(found["label"].iloc[0]) if len(found) else 0.5
     bags_ = [np.frombuffer(x, "<f4").reshape(-1, FEATURES) for x in found["bag"]]
