@@ -8,7 +8,6 @@ through time, on windows of a bounded sample of documents for each language.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,16 +21,15 @@ from terrasift.llm.scratch import prepare
 
 WINDOW = 64
 HIDDEN = 8
-PER_LANGUAGE = 400
-WINDOWS_OF_TEXT = 8
-EPOCHS = 14
+PER_LANGUAGE = 300
+EPOCHS = 5
 BATCH = 512
 READ = 8192
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    """Whether a text holds a letter of any script; digits, fractions, superscripts and circled numbers are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,7 +182,8 @@ def fit(flat: np.ndarray, mask: np.ndarray, labels: np.ndarray, languages: list[
 def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Network | None:
     """A network learned from at most ``per_language`` texts of each language among the rows where ``learn`` holds.
 
-    Of each text, WINDOWS_OF_TEXT windows spread over its length are learned from. None if there is no labelled text.
+    Every window of such a text is learned from. Ids may be of any type; each text of a repeated id is learned from, with
+    the id's greatest language. Rows without id, language or letter teach nothing. None if there is no other.
     """
     prepare(docs.sparkSession)
     labelled = docs.where(learn).select(F.col(id_col).alias("id"), F.col(lang_col).alias("label"))
@@ -198,22 +197,22 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
             if not len(rows):
                 continue
             flat, mask, first = windows(rows["text"].tolist())
-            ends = [*first[1:], len(flat)]
-            out = []
-            for i, label, a, b in zip(rows["id"], rows["label"], first, ends):
-                for k in np.unique(np.linspace(a, b - 1, min(b - a, WINDOWS_OF_TEXT)).astype(int)):
-                    out.append((i, label, flat[k].tobytes(), int(mask[k].sum())))
-            yield pd.DataFrame(out, columns=["id", "label", "window", "n"])
-
-    found = sample.select("id", "label", "text").mapInPandas(cut, "id long, label string, window binary, n int").toPandas()
+            parts = [x.tobytes() for x in np.split(flat, first[1:])]
+            sizes = np.add.reduceat(mask.sum(axis=1, dtype=np.int64), first)
+            yield pd.DataFrame({"id": rows["id"].to_numpy(), "label": rows["label"].to_numpy(), "windows": parts, "n": sizes})
+
+    found = sample.select("id", "label", "text").mapInPandas(cut, "id string, label string, windows binary, n long").toPandas()
     if not len(found):
         return None
-    found = found.sort_values(["id", "n", "window"])
+    found = found.sort_values(["id", "n", "windows"])
     languages = sorted(found["label"].unique())
-    flat = np.frombuffer(b"".join(found["window"]), np.uint8).reshape(-1, WINDOW)
-    mask = (np.arange(WINDOW)[None, :] < found["n"].to_numpy()[:, None]).astype(np.float32)
+    flat = np.frombuffer(b"".join(found["windows"]), np.uint8).reshape(-1, WINDOW)
+    # all windows of a text are full but for its last one
+    counts, mask = (-(-found["n"].to_numpy() // WINDOW)), np.ones(flat.shape, np.float32)
+    for end, n in zip(np.cumsum(counts), found["n"]):
+        mask[end - 1, (n - 1) % WINDOW + 1 :] = 0
     # a language's windows count alike, however rare it is in the sample
-    labels = found["label"].map({x: k for k, x in enumerate(languages)}).to_numpy()
+    labels = np.repeat(found["label"].map({x: k for k, x in enumerate(languages)}).to_numpy(), counts)
     most = np.bincount(labels).max()
     rng = np.random.default_rng(3)
     at = np.concatenate([np.resize(rng.permutation(np.flatnonzero(labels == k)), most) for k in range(len(languages))])
