@@ -1,8 +1,8 @@
 """MinHash near-duplicate detection with sequential Bayesian verification.
 
-1. Every text becomes the set of its word shingles and a digest of its word sequence. Equal sequences form a class (by
-   the same tree-merge as exact deduplication); only its representative goes on, with the keys of its signature's bands
-   and one byte of each minimum.
+1. Every text becomes the set of its word shingles and a 256-bit cryptographic digest of its word sequence. Equal
+   sequences (by the digest and the size of their sets) form a class, by the same tree-merge as exact deduplication; only
+   its representative goes on, with the keys of its signature's bands and one byte of each minimum.
 2. Band keys are grouped. In each bucket the smallest member leads, and the others are compared with the leader.
 3. Comparing means: the signatures are matched in batches; after each batch the posterior of the similarity, given the
    matches so far, is looked up, and a pair whose probability of reaching the threshold is below ``miss`` is pruned.
@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from terrasift.llm.components import connected_components
 from terrasift.llm.exact_dedup import tree_merge
-from terrasift.llm.scratch import Scratch
+from terrasift.llm.scratch import Scratch, whole_numbers
 
 SHINGLE = 5
 BANDS, ROWS = 30, 6
@@ -124,7 +125,7 @@ def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             tokens = words(text)
             shingles, _ = shingle_hashes(tokens, of)
             sizes.append(len(shingles))
-            digests.append(xxhash.xxh3_128_digest(b" ".join(tokens)))
+            digests.append(hashlib.blake2b(b" ".join(tokens), digest_size=32).digest())
             sig = signature(shingles) if len(shingles) else None
             sigs.append(None if sig is None else sig.astype(np.uint8).tobytes())
             keys.append(None if sig is None else band_keys(sig))
@@ -163,17 +164,21 @@ def survivors(one: np.ndarray, others: np.ndarray, least: list[int]) -> np.ndarr
     return alive
 
 
-BLOCK = 512
+#: Rows, and bytes of text, of a block at most, on average.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 
 
 def blocks(rows: DataFrame, *more: str) -> DataFrame:
     """The rows of each key in blocks of bounded size, such that each block of leading rows meets each block of all.
 
     ``rows``: key, id, sig, n, leads, label, ``size`` and ``leaders`` (the numbers of rows and of leading rows of the
-    key) and ``more``. (key, i, j) numbers a meeting; ``first`` tells a leading row's copy from its plain one.
+    key), ``bytes`` (of the key's texts, if these come along) and ``more``. (key, i, j) numbers a meeting; ``first`` tells
+    a leading row's copy from its plain one.
     """
-    place = lambda of: F.pmod(F.xxhash64("id"), F.ceil(F.col(of) / BLOCK))
-    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(of) / BLOCK) - 1))
+    number = lambda of: F.greatest(F.ceil(F.col(of) / BLOCK), F.ceil(F.col("bytes") * F.col(of) / F.col("size") / BLOCK_BYTES))
+    place = lambda of: F.pmod(F.xxhash64("id"), number(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), number(of) - 1))
+    rows = rows if "bytes" in rows.columns else rows.withColumn("bytes", F.lit(0).cast("long"))
     named = ["key", "i", "j", "id", "sig", "n", "label", *more]
     right = rows.select("*", place("size").alias("j"), every("leaders").alias("i")).select(*named, F.lit(False).alias("first"))
     left = rows.where("leads").select("*", place("leaders").alias("i"), every("size").alias("j"))
@@ -263,7 +268,7 @@ def block_links(rows: DataFrame, percent: int, miss: float) -> DataFrame:
         for part, cuts in meetings(batches):
             own, texts, out = Comparison(part, percent, least), part["text"].to_numpy(), set()
             for lo, hi in zip(cuts, cuts[1:]):
-                sets: dict[int, set] = {}
+                sets: dict[int, np.ndarray] = {}
                 lead, others = own.meeting(lo, hi)
                 for k in lead:
                     for x in own.hits(k, others):
@@ -271,9 +276,9 @@ def block_links(rows: DataFrame, percent: int, miss: float) -> DataFrame:
                             continue
                         for y in (k, x):
                             if own.ids[y] not in sets:
-                                sets[own.ids[y]] = set(shingle_hashes(words(texts[y]), of)[0].tolist())
+                                sets[own.ids[y]] = shingle_hashes(words(texts[y]), of)[0]
                         a, b = sets[own.ids[k]], sets[own.ids[x]]
-                        both = len(a & b)
+                        both = len(np.intersect1d(a, b, assume_unique=True))
                         if both and 100 * both >= percent * (len(a) + len(b) - both):
                             out.add(own.pair(k, x))
                             part_of = own.labels[lo:hi]
@@ -320,9 +325,10 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch)
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """``rows`` with the numbers of rows and of leading rows of their key; keys without a leading row go."""
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if("leads").alias("leaders"))
-    return rows.join(counts.where("leaders > 0"), "key")
+    """``rows`` with the numbers of rows and of leading rows of their key, and the sum of ``bytes``; keys without a leading row go."""
+    more = [F.sum("bytes").alias("bytes")] if "bytes" in rows.columns else []
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.count_if("leads").alias("leaders"), *more)
+    return rows.drop("bytes").join(counts.where("leaders > 0"), "key")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, miss: float = MISS) -> DataFrame:
@@ -330,16 +336,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A text's set holds its distinct shingles of five words, or its whole word sequence if that is shorter. Texts are
     linked when 100 * intersection >= ``percent`` * union; component_id is the smallest id that can be reached, itself
-    included. Null texts, and texts without words, have an empty set and are linked with nothing. Rows that repeat an
-    id are one document: its component is the smallest that any of its texts reaches. Rows whose id is null are never
+    included. Ids must be whole numbers. Null texts, and texts without words, have an empty set and are linked with
+    nothing. Rows that repeat an id are one document: its component is the smallest that any of its texts reaches. Rows whose id is null are never
     linked: component_id is null and they are kept. An empty table gives no rows. Other columns are not read, whatever
     their names. ``percent`` must be 80 or more; the bands miss a pair of similarity 0.85 with probability 7e-7, one of
     0.80 with 1e-4.
     """
     if percent < 80:
         raise ValueError("the bands are made for 80 percent or more")
+    whole_numbers(docs, id_col)
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = rows.select("id", sketch("text").alias("s"), F.spark_partition_id().alias("part"))
     base = scratch.table(base.select("id", "s.*", (F.col("part") * 8 + F.pmod(F.xxhash64("id"), F.lit(8)).cast("int")).alias("run")))
     full = base.where("n_shingles > 0 and id is not null").select("id", F.col("n_shingles").alias("n"), "digest", "sig", "keys", "run")
@@ -350,7 +357,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
     members = scratch.table(buckets.join(sizes.hint("merge"), "key"))
     ids = scratch.table(members.select("id").distinct())
-    texts = scratch.table(rows.join(ids.hint("merge"), "id", "left_semi"))
+    texts = rows.join(ids.hint("merge"), "id", "left_semi")
+    texts = scratch.table(texts.withColumn("bytes", F.octet_length("text").cast("long")))
     sigs = reps.select("id", "sig", "n").join(ids.hint("merge"), "id", "left_semi")
     members = scratch.table(members.join(sigs.hint("merge"), "id"))
 
@@ -365,7 +373,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = scratch.table(left.join(low, "key").withColumn("leads", F.col("label") != F.col("low")))
     left = scratch.table(counted(left.select("key", "id", "sig", "n", "label", "leads")))
     left = left.join(touched(left, percent, miss).hint("merge"), ["key", "id"])
-    left = counted(left.select("key", "id", "sig", "n", "label", "leads")).join(texts.hint("merge"), "id")
+    sizes = texts.groupBy("id").agg(F.max("bytes").alias("bytes"))
+    left = left.select("key", "id", "sig", "n", "label", "leads").join(sizes.hint("merge"), "id")
+    left = counted(left).join(texts.select("id", "text").hint("merge"), "id")
     more = scratch.table(block_links(left, percent, miss))
     more = verified(more, texts, percent, scratch)
     if not more.isEmpty():
@@ -374,7 +384,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = classes.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     component = F.coalesce("component", "id")
     return base.select("id", "n_shingles").join(classes, "id", "left").select(
-        F.col("id").alias(id_col),
+        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col),
         "n_shingles",
         component.alias("component_id"),
         (F.col("id").isNull() | (F.col("id") == component)).alias("kept"),
