@@ -3,11 +3,11 @@
 A text is cut into parts wherever two neighbouring characters are in no piece, so that no piece reaches across: before
 the spaces that start words, around line breaks and most marks, and within words that no piece holds as they are. The
 distinct parts of all texts go through the lattice once: substrings of bounded length are exploded and equi-joined to the
-piece table, the edges are grouped by part, and a higher-order aggregate() folds them. For a unigram model the fold keeps
-the path of the greatest total score to each position (Viterbi). For a BPE model that path is not what the library
-returns; there the fold runs over the same edges by merge priority, with the part's remaining boundaries as its state:
-each step takes the best edge that spans exactly two current pieces, the leftmost among equals, and removes the boundary
-between them. Characters that no piece covers are spelt as bytes.
+piece table, the edges are grouped by part, and a higher-order aggregate() folds them by Viterbi: the path of the
+greatest total score, of the fewest pieces among equals. For a unigram model that is the encoding. For a BPE model the
+library returns another path; there a second fold runs over the same edges by merge priority, with the part's remaining
+boundaries as its state: each step takes the best edge that spans exactly two current pieces, the leftmost among equals,
+and removes the boundary between them. Characters that no piece covers are spelt as bytes.
 
 Every block of input then gets the parts that occur in it, as a sorted file in the shared folder, and each text is
 assembled from its block's file, so that neither the texts nor their words are shuffled, and nothing that grows with the
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -41,9 +42,10 @@ UNKNOWN_PENALTY = 10.0
 MASK = 61
 #: Bytes of an input file whose texts share a file of parts; what bounds such a file.
 BLOCK_BYTES = 128 << 20
-FLUSH = 400_000
-REMEMBERED = 500_000
+FLUSH = 300_000
+REMEMBERED = 300_000
 PARTS_IN_TASK = 16_384
+_UNIT = re.compile(f"(?:{SPACE}+|\n)[^{SPACE}\n]*")
 
 
 class Pieces:
@@ -68,17 +70,26 @@ class Pieces:
         self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
         self.meet = np.zeros((len(letters) + 1, len(letters) + 1), bool)
         self.meet[[number[a] for a, _ in inside], [number[b] for _, b in inside]] = True
+        # no piece goes on into a run of spaces, or holds a line break: so texts can be cut there at once
+        self.words = all(a == SPACE for a, b in inside if b == SPACE) and "\n" not in number
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, id, score, rank): equal scores have equal ranks, the best has 0."""
         ranks = {v: k for k, v in enumerate(sorted({v for _, _, v in self.rows}, reverse=True))}
         return spark.createDataFrame([(p, i, v, ranks[v]) for p, i, v in self.rows], "piece string, id int, score double, rank int")
 
-    def parts(self, text: str) -> list[str]:
-        """The parts of a text, with its spaces written as the model writes them."""
+    def units(self, text: str) -> list[str]:
+        """Whole parts of a text in larger units, such as words, with its spaces written as the model writes them."""
         if not text:
             return []
         text = SPACE + text.replace(" ", SPACE)
+        return _UNIT.findall(text) if self.words else [text]
+
+    def parts(self, unit: str) -> list[str]:
+        """The parts of a unit."""
+        if len(unit) < 2:
+            return [unit]
+        text = unit
         codes = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
         at = (np.flatnonzero(~self.meet[codes[:-1], codes[1:]]) + 1).tolist()
         return [text[a:b] for a, b in zip([0, *at], [*at, len(text)])]
@@ -128,6 +139,30 @@ def viterbi(edges: Column, reach: int) -> Column:
     return F.aggregate(edges, start, step(reach + 1), lambda acc: F.element_at(acc, -1)["ids"])
 
 
+def best_path(edges: Column, reach: int) -> Column:
+    """(v, n): the total score of the best path through edges (e, s, v, n), sorted, and its pieces, the fewest among equals.
+
+    ``n`` counts the pieces of an edge. The state holds the latest positions only, as far back as a piece can ``reach``,
+    so a part of any length is folded in the same memory.
+    """
+
+    def merge(acc: Column, x: Column) -> Column:
+        now, done = acc["now"], acc["done"]
+        on = now["at"] != x["e"]
+        before = F.when(now["at"] == x["s"], now).otherwise(F.element_at(done, x["s"] - F.element_at(done, 1)["at"] + 1))
+        v, n = before["v"] + x["v"], before["n"] + x["n"]
+        better = on | (v > now["v"]) | ((v == now["v"]) & (n < now["n"]))
+        kept = F.when(F.size(done) >= reach, F.slice(done, 2, reach)).otherwise(done)
+        return F.struct(
+            F.when(better, F.struct(x["e"].alias("at"), v.alias("v"), n.alias("n"))).otherwise(now).alias("now"),
+            F.when(on, F.concat(kept, F.array(now))).otherwise(done).alias("done"),
+        )
+
+    first = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("v"), F.lit(0).cast("long").alias("n"))
+    none = F.array().cast("array<struct<at: int, v: double, n: bigint>>")
+    return F.aggregate(edges, F.struct(first.alias("now"), none.alias("done")), merge, lambda acc: F.struct(acc["now"]["v"], acc["now"]["n"]))
+
+
 def merged(edges: Column, length: Column) -> Column:
     """The ids that BPE leaves of a part of at most MASK characters; -1 - start stands for a character without a piece.
 
@@ -195,36 +230,51 @@ def merge_text(text: str, rank: dict[str, tuple[int, float]], byte_base: int) ->
 
 
 def lattice(parts: DataFrame, pieces: Pieces, unigram: bool = False) -> DataFrame:
-    """(text, ids) for distinct ``parts`` (text)."""
+    """(text, ids, v_score, v_pieces) for distinct ``parts`` (text): the ids, and the best path's score and length.
+
+    ``parts`` should be dealt by text already; what is exploded from a text stays where it is.
+    """
     spark = parts.sparkSession
     texts = parts.select("text").withColumn("n", F.length("text"))
-    short = texts if unigram else texts.where(F.col("n") <= MASK)
-    starts = short.select("text", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
+    starts = texts.select("text", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("s"))
     ends = F.sequence(F.col("s") + 1, F.least("n", F.col("s") + pieces.longest))
     span = F.expr("substring(text, s + 1, e - s)")
-    spans = starts.select("text", "s", F.explode(ends).alias("e")).withColumn("hash", F.xxhash64(span))
+    spans = starts.select("text", "n", "s", F.explode(ends).alias("e")).withColumn("hash", F.xxhash64(span))
     # joined by 64-bit hashes, which are probed faster than strings; the strings are compared where these agree
     table = F.broadcast(pieces.table(spark).withColumn("hash", F.xxhash64("piece")))  # as large as the model file
     edges = spans.join(table, "hash", "left").withColumn("id", F.when(F.col("piece") == span, F.col("id"))).where("id is not null or e = s + 1")
-    bytes_of = F.expr(
-        f"transform(sequence(1, octet_length(substring(text, s + 1, 1))), i -> {pieces.byte_base} + cast(conv(substring(hex(encode(substring(text, s + 1, 1), 'utf-8')), 2 * i - 1, 2), 16, 10) as int))"
+    known = F.col("id").isNotNull()
+    bytes_of = lambda c: F.expr(
+        f"transform(sequence(1, octet_length({c})), i -> {pieces.byte_base} + cast(conv(substring(hex(encode({c}, 'utf-8')), 2 * i - 1, 2), 16, 10) as int))"
     )
+    score = F.when(known, F.col("score")).otherwise(pieces.least - UNKNOWN_PENALTY).alias("v")
+    count = F.when(known, F.lit(1)).otherwise(F.octet_length(span)).cast("long").alias("n")
+    path = F.sort_array(F.collect_list(F.struct("e", "s", score, count))).alias("path")
+    best = best_path(F.col("path"), pieces.longest)
     if unigram:
-        ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(bytes_of).alias("ids")
-        score = F.when(F.col("id").isNotNull(), F.col("score")).otherwise(pieces.least - UNKNOWN_PENALTY).alias("v")
-        grouped = edges.groupBy("text").agg(F.sort_array(F.collect_list(F.struct("e", "s", score, ids))).alias("edges"))
-        return grouped.select("text", viterbi(F.col("edges"), pieces.longest).alias("ids"))
-    packed = F.when(F.col("id").isNotNull(), F.col("rank")).otherwise(0).cast("long") * (1 << 36) + F.col("s").cast("long") * (1 << 30) + F.col("e").cast("long") * (1 << 24) + F.coalesce(F.col("id") + 1, F.lit(0))
-    grouped = edges.select("text", packed.alias("edge")).groupBy("text").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    folded = grouped.select("text", merged(F.col("edges"), F.length("text")).alias("ids"))
+        ids = F.when(known, F.array("id")).otherwise(bytes_of("substring(text, s + 1, 1)")).alias("ids")
+        edge = F.sort_array(F.collect_list(F.struct("e", "s", score, ids))).alias("edges")
+        grouped = edges.groupBy("text").agg(edge, path)
+        found = grouped.select("text", viterbi(F.col("edges"), pieces.longest).alias("ids"), best.alias("best"))
+        return found.select("text", "ids", F.col("best.v").alias("v_score"), F.col("best.n").alias("v_pieces"))
+    rank = F.when(known, F.col("rank")).otherwise(0).cast("long")
+    packed = rank * (1 << 36) + F.col("s").cast("long") * (1 << 30) + F.col("e").cast("long") * (1 << 24) + F.coalesce(F.col("id") + 1, F.lit(0))
+    grouped = edges.groupBy("text").agg(F.sort_array(F.collect_list(F.when(F.col("n") <= MASK, packed))).alias("edges"), path)
+    folded = grouped.select("text", F.when(F.length("text") <= MASK, merged(F.col("edges"), F.length("text"))).alias("ids"), best.alias("best"))
     spelt = F.expr(
         "flatten(transform(ids, x -> if(x >= 0, array(x), transform(sequence(1, octet_length(substring(text, -x, 1))), i -> "
         f"{pieces.byte_base} + cast(conv(substring(hex(encode(substring(text, -x, 1), 'utf-8')), 2 * i - 1, 2), 16, 10) as int)))))"
     )
-    folded = folded.select("text", F.when(F.exists("ids", lambda x: x < 0), spelt).otherwise(F.col("ids")).alias("ids"))
+    merges = F.when(F.exists("ids", lambda x: x < 0), spelt).otherwise(F.col("ids")).alias("ids")
+    return folded.select("text", merges, F.col("best.v").alias("v_score"), F.col("best.n").alias("v_pieces"))
+
+
+def with_long_parts(folded: DataFrame, pieces: Pieces) -> DataFrame:
+    """``folded`` with the merges of parts that are too long for a bit mask, which lattice() leaves out."""
     rank, base = {p: (i, v) for p, i, v in pieces.rows}, pieces.byte_base
     long_ = F.pandas_udf(lambda x: x.map(lambda t: merge_text(t, rank, base)), "array<int>")
-    return folded.union(texts.where(F.col("n") > MASK).select("text", long_("text").alias("ids")))
+    rest = folded.where("ids is null").select("text", long_("text").alias("ids"), "v_score", "v_pieces")
+    return folded.where("ids is not null").union(rest)
 
 
 def with_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -236,13 +286,16 @@ def with_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", from_files: bool = False, unigram: bool = False) -> DataFrame:
-    """One row per row of ``docs``: id, ids, n_parts, n_pieces, ids_crc32, round_trip.
+    """One row per row of ``docs``: id, ids, n_parts, n_pieces, ids_crc32, round_trip, v_pieces, v_score.
 
     ids is the encoding of the whole text; null and empty texts have none. ids_crc32 is the unsigned crc32 of the ids as
     little-endian 32-bit integers. round_trip tells whether decoding the ids gives the text again (a text that holds the
-    escaped space itself, U+2581, is decoded with a space there). Rows with repeated or null ids are encoded row by row. Other columns are not read. An empty table gives no rows.
-    ``from_files`` says that ``docs`` is a plain read of files, whose parts serve as blocks; any other table is written
-    to the shared folder first. ``unigram`` says that the model is a unigram model, not BPE.
+    escaped space itself, U+2581, is decoded with a space there). v_score and v_pieces are the total score of the
+    lattice's best path through the whole text and its number of pieces, whatever the kind of the model. Texts and their
+    parts may be of any length. Ids may be strings or whole numbers; rows with repeated or null ids are encoded row by
+    row. Other columns are not read. An empty table gives no rows. ``from_files`` says that ``docs`` is a plain read of
+    files, whose parts serve as blocks; any other table is written to the shared folder first. ``unigram`` says that the
+    model is a unigram model, not BPE.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     if not from_files:
@@ -251,64 +304,73 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def parts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, seen, block = pieces_of(model), set(), None
+
+        def found() -> Iterator[pd.DataFrame]:
+            if seen:
+                yield pd.DataFrame({"text": list({p for u in seen for p in own.parts(u)}), "block": block})
+                seen.clear()
+
         for batch in batches:
             for text, b in zip(batch["text"], batch["block"]):
                 if b != block or len(seen) >= FLUSH:
-                    if seen:
-                        yield pd.DataFrame({"text": list(seen), "block": block})
-                    seen, block = set(), b
-                seen.update(own.parts(text))
-        if seen:
-            yield pd.DataFrame({"text": list(seen), "block": block})
-
-    found = rows.select("text", "block").mapInPandas(parts_of, "text string, block long")
-    parts = scratch.table(found.groupBy("text").agg(F.collect_set("block").alias("blocks")))
+                    yield from found()
+                    block = b
+                seen.update(own.units(text))
+        yield from found()
+
+    found = scratch.table(rows.select("text", "block").mapInPandas(parts_of, "text string, block long"))
+    parts = scratch.table(found.select("text").distinct())
     # a part becomes a hundred rows, so its few bytes are spread over many more tasks than their size asks for
     spread = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // PARTS_IN_TASK))
-    encoded = scratch.table(lattice(parts.select("text").repartition(spread, "text"), pieces_of(model), unigram))
-    dealt = parts.join(encoded, "text").select(F.explode("blocks").alias("block"), F.xxhash64("text").alias("hash"), "ids")
+    folded = lattice(parts.repartition(spread, "text"), pieces_of(model), unigram)
+    with scratch.grouping(4 * PARTS_IN_TASK):  # a task's parts are bounded, so their edges are grouped without sorting
+        encoded = scratch.table(folded)
+    if not unigram:
+        encoded = with_long_parts(encoded, pieces_of(model))
+    # a part has a row for each block that it occurs in
+    dealt = found.distinct().join(encoded, "text").select("block", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(AGAIN), "text").alias("again"), "ids", "v_score", "v_pieces")
     folder = shared_folder(spark) + "/parts"
 
     def write(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
-        hashes = group.column("hash").to_numpy()
-        order = np.argsort(hashes, kind="stable")
-        lists = group.column("ids").combine_chunks().take(pa.array(order))
-        sorted_hashes = hashes[order]
-        if len(order) > 1 and (sorted_hashes[1:] == sorted_hashes[:-1]).any():
-            raise ValueError("two parts of a block have the same hash")
+        group = group.combine_chunks().sort_by([("hash", "ascending"), ("again", "ascending")])
+        lists = group.column("ids").combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
         offsets = lists.offsets.to_numpy().astype("<i8")
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         own = f"{root}/.{block}.{uuid.uuid4().hex}"
         with fs.open_output_stream(own) as out:
-            out.write(np.array([len(order), len(lists.values)], "<i8").tobytes())
-            for x in (sorted_hashes.astype("<i8"), offsets - offsets[0], lists.values.to_numpy()[offsets[0] : offsets[-1]].astype("<i4")):
-                out.write(x.tobytes())
+            out.write(np.array([len(group)], "<i8").tobytes())
+            for name, kind in COLUMNS:
+                out.write(group.column(name).to_numpy().astype(kind).tobytes())
+            out.write((offsets - offsets[0]).tobytes())
+            out.write(lists.values.to_numpy()[offsets[0] : offsets[-1]].astype("<i4").tobytes())
         fs.move(own, f"{root}/{block}")
-        return pa.table({"block": pa.array([block], pa.int64()), "parts": pa.array([len(order)], pa.int64())})
+        return pa.table({"block": pa.array([block], pa.int64()), "parts": pa.array([len(group)], pa.int64())})
 
     scratch.table(dealt.groupBy("block").applyInArrow(write, "block long, parts long"))
 
     id_type = pa.string() if dict(rows.dtypes)["id"] == "string" else pa.int64()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known, file, block, out = pieces_of(model), part_ids(model, unigram), None, None, []
+        own, known, file, block, out = pieces_of(model), unit_ids(model, unigram), None, None, []
         strings = own.decoder()
         for batch in batches:
             rows = [*zip(*(batch.column(c).to_pylist() for c in ("id", "text", "block")))]
             for b, same in groupby(rows, lambda r: r[2]):
                 same = [*same]
-                parts = [own.parts(text) for _, text, _ in same]
-                if b != block and any(parts):
-                    block, file = b, PartFile.read(folder, b)
                 for k in range(0, len(same), 100):
-                    if any(parts[k : k + 100]):
-                        known.learn(parts[k : k + 100], file)
-                    for (i, text, _), keys in zip(same[k : k + 100], parts[k : k + 100]):
-                        raw = b"".join(map(known.__getitem__, keys))
+                    units = [own.units(text) for _, text, _ in same[k : k + 100]]
+                    missing = {u for us in units for u in us if u not in known}
+                    if missing and b != block:
+                        block, file = b, PartFile.read(folder, b)
+                    known.learn(missing, own, file)
+                    for (i, text, _), us in zip(same[k : k + 100], units):
+                        raw, n_parts, n_best, scores = zip(*map(known.__getitem__, us)) if us else ((), (), (), ())
+                        raw = b"".join(raw)
                         ids = np.frombuffer(raw, "<i4")
-                        out.append((i, ids, len(keys), zlib.crc32(raw), decode_ids(ids, strings) == text))
+                        out.append((i, ids, sum(n_parts), zlib.crc32(raw), decode_ids(ids, strings) == text, sum(n_best), float(sum(scores))))
                     if sum(len(r[1]) for r in out) > 1_000_000:  # some MB of ids at a time
                         yield result(out)
                         out = []
@@ -316,46 +378,66 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             yield result(out)
 
     def result(out: list[tuple]) -> pa.RecordBatch:
-        ids, n_parts, crc, same = ([r[k] for r in out] for k in (1, 2, 3, 4))
+        names = ["id", "ids", "n_parts", "n_pieces", "ids_crc32", "round_trip", "v_pieces", "v_score"]
+        own, ids, n_parts, crc, same, n_best, scores = zip(*out)
         counts = np.array([len(x) for x in ids], np.int64)
         ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
-        columns = [pa.array([r[0] for r in out], id_type), lists, pa.array(n_parts, pa.int64()), pa.array(counts), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "ids", "n_parts", "n_pieces", "ids_crc32", "round_trip"])
+        plain = [pa.array(n_parts, pa.int64()), pa.array(counts), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(n_best, pa.int64()), pa.array(scores, pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array(own, id_type), lists, *plain], names=names)
 
     kind = "string" if id_type == pa.string() else "long"
-    return rows.withColumn("id", F.col("id").cast(kind)).mapInArrow(assemble, f"id {kind}, ids array<int>, n_parts long, n_pieces long, ids_crc32 long, round_trip boolean")
+    schema = f"id {kind}, ids array<int>, n_parts long, n_pieces long, ids_crc32 long, round_trip boolean, v_pieces long, v_score double"
+    return rows.withColumn("id", F.col("id").cast(kind)).mapInArrow(assemble, schema)
 
 
-class PartIds(dict):
-    """The ids of parts as bytes; remembers a bounded number of them, and for a while what it has just been asked for."""
+class UnitIds(dict):
+    """(ids as bytes, parts, pieces and score of the best path) of units.
 
-    def __init__(self):
-        self.now: dict[str, bytes] = {}
-
-    def __missing__(self, part: str) -> bytes:
-        return self.now[part]
+    Remembers a bounded number of them, and for a while what it has just been asked for.
+    """
 
-    def learn(self, texts: list[list[str]], file: PartFile) -> None:
-        """Look up the parts of some texts that aren't known, by their hashes as Spark's xxhash64 gives them."""
-        missing = list({p for parts in texts for p in parts if p not in self})
-        hashes = [xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), 42) for p in missing]
-        self.now = dict(zip(missing, file.ids(np.array(hashes, np.uint64).view(np.int64))))
-        if len(self) + len(missing) <= REMEMBERED:
+    def __init__(self):
+        self.now: dict[str, tuple] = {}
+
+    def __missing__(self, unit: str) -> tuple:
+        return self.now[unit]
+
+    def learn(self, missing: set[str], pieces: Pieces, file: PartFile) -> None:
+        """Look up the parts of units that aren't known."""
+        split = {u: pieces.parts(u) for u in missing}
+        names = list({p for parts in split.values() for p in parts})
+        found = dict(zip(names, file.find(names))) if names else {}
+        self.now = {}
+        for u, parts in split.items():
+            raw, n, v = zip(*map(found.__getitem__, parts))
+            self.now[u] = (b"".join(raw), len(parts), sum(n), sum(v))
+        if len(self) + len(self.now) <= REMEMBERED:
             self.update(self.now)
 
 
 @functools.lru_cache(maxsize=1)
-def part_ids(model: str, unigram: bool) -> PartIds:
-    """The parts that the tasks of a Python worker remember; with one model, their ids are the same in all blocks."""
-    return PartIds()
+def unit_ids(model: str, unigram: bool) -> UnitIds:
+    """The units that the tasks of a Python worker remember; with one model, their ids are the same in all blocks."""
+    return UnitIds()
+
+
+#: Spark's xxhash64 of a part, and one of the same with a prefix that tells parts of one hash apart.
+AGAIN = "again"
+COLUMNS = (("hash", "<i8"), ("again", "<i8"), ("v_score", "<f8"), ("v_pieces", "<i8"))
+
+
+def hashes_of(parts: list[str], prefix: str | None = None) -> np.ndarray:
+    """The hashes of parts as Spark's xxhash64 gives them, of the part alone or after a prefix column."""
+    seed = 42 if prefix is None else xxhash.xxh64_intdigest(prefix.encode(), 42)
+    return np.array([xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), seed) for p in parts], np.uint64).view(np.int64)
 
 
 @dataclass
 class PartFile:
-    """The parts of one block: sorted hashes, and the ids of each."""
+    """The parts of one block, sorted by both hashes: score and pieces of the best path, and the ids of each."""
 
-    hashes: np.ndarray
+    columns: dict[str, np.ndarray]
     offsets: np.ndarray
     raw: bytes
 
@@ -365,15 +447,22 @@ class PartFile:
         with fs.open_input_stream(f"{root}/{block}") as f:
             raw = f.read()
         n = int(np.frombuffer(raw, "<i8", 1)[0])
-        at = 16 + 8 * n
-        return cls(np.frombuffer(raw, "<i8", n, 16), np.frombuffer(raw, "<i8", n + 1, at), raw[at + 8 * (n + 1) :])
-
-    def ids(self, hashes: np.ndarray) -> list[bytes]:
-        """The ids of the parts with these hashes, as bytes."""
-        at = np.searchsorted(self.hashes, hashes)
-        if at.max(initial=0) >= len(self.hashes) or (self.hashes[at] != hashes).any():
+        columns, at = {}, 8
+        for name, kind in COLUMNS:
+            columns[name] = np.frombuffer(raw, kind, n, at)
+            at += 8 * n
+        return cls(columns, np.frombuffer(raw, "<i8", n + 1, at), raw[at + 8 * (n + 1) :])
+
+    def find(self, parts: list[str]) -> list[tuple[bytes, int, float]]:
+        """(ids as bytes, pieces and score of the best path) of parts."""
+        own, hashes = self.columns["hash"], hashes_of(parts)
+        at, end = np.searchsorted(own, hashes), np.searchsorted(own, hashes, "right")
+        if (at == end).any():
             raise KeyError("a part is not in its block's file")
-        return [self.raw[a:b] for a, b in zip((4 * self.offsets[at]).tolist(), (4 * self.offsets[at + 1]).tolist())]
+        for k in np.flatnonzero(end - at > 1):  # parts of one hash: the other one decides
+            at[k] += np.searchsorted(self.columns["again"][at[k] : end[k]], hashes_of([parts[k]], AGAIN)[0])
+        ids = [self.raw[a:b] for a, b in zip((4 * self.offsets[at]).tolist(), (4 * self.offsets[at + 1]).tolist())]
+        return [*zip(ids, self.columns["v_pieces"][at].tolist(), self.columns["v_score"][at].tolist())]
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
