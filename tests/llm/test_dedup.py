@@ -80,8 +80,10 @@ def crowd():
     return out
 
 
-def test_a_crowded_bucket_loses_no_link(spark, crowd, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 16)  # so that buckets are cut into blocks
+@pytest.mark.parametrize("rows_,size", [(16, 1 << 24), (2048, 5000)])
+def test_a_crowded_bucket_loses_no_link(spark, crowd, monkeypatch, rows_, size):
+    monkeypatch.setattr(minhash, "BLOCK", rows_)  # so that buckets are cut into blocks, by rows or by bytes
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, crowd.items())).collect()}
     assert got == brute_components(crowd)[0]
 
@@ -166,6 +168,37 @@ def test_mix_of_odd_rows(spark):
     assert set(mixing.apply_mix(table).columns) == set(table.columns)
 
 
+def test_mix_of_any_ids(spark):
+    """Ids that a double can't hold stay apart beside a null one, and ids may be strings."""
+    data = [(None if i % 9 == 0 else 2**60 + i, "w " * (1 + i % 13), f"s{i % 2}") for i in range(200)]
+    table = spark.createDataFrame(data, "doc_id long, text string, source string").coalesce(1)
+    one = mixing.mix(table).collect()
+    assert Counter(r.doc_id for r in one) == Counter(i for i, _, _ in data)
+    again = mixing.mix(table.repartition(7)).collect()
+    key = lambda r: (str(r.doc_id), r.size, r.copies)
+    assert sorted(map(key, one)) == sorted(map(key, again))
+    named = mixing.mix(table.withColumn("doc_id", F.concat(F.lit("id-"), F.col("doc_id").cast("string")))).collect()
+    assert Counter(r.doc_id for r in named if r.doc_id)["id-1152921504606846977"] == 1 and len(named) == 200
+    for s, target in {(f"s{i}", r.target) for i in (0, 1) for r in one if r.source_size}:
+        assert target > 0
+
+
+def test_every_copy_of_the_mix_is_applied(spark):
+    """Rows of one id, some of them alike in every column, are copied exactly as often as the mix says."""
+    rnd = random.Random(8)
+    data = [(i, "w " * rnd.randrange(1, 30), "ab"[i % 2], i) for i in range(60)]
+    data += [(7, "w " * n, "a", n) for n in range(1, 8)] + [(8, "same words", "b", 0)] * 9 + [(None, "x y", "b", 1), (None, "x y", "b", 2), (None, "", None, 3)]
+    table = spark.createDataFrame(data, "doc_id long, text string, source string, n_chars long")
+    words_of = lambda rows_: Counter((r.doc_id, len(r.text.split())) for r in rows_)
+    want = Counter()
+    for r in mixing.mix(table).collect():
+        want[(r.doc_id, r.size)] += r.copies
+    got = words_of(mixing.apply_mix(table).collect())
+    assert got.total() == want.total()
+    assert {k: n for k, n in got.items() if k[0] not in (7, None)} == {k: n for k, n in want.items() if n and k[0] not in (7, None)}
+    assert {i: sum(n for (j, _), n in got.items() if i == j) for i in (7, 8)} == {i: sum(n for (j, _), n in want.items() if i == j) for i in (7, 8)}
+
+
 def test_rounding_keeps_the_expected_words():
     rnd = random.Random(2)
     sizes = [rnd.randrange(1, 900) for _ in range(300)]
