@@ -3,21 +3,27 @@
 ``spark.read.format("las").load(folder)`` gives one row per point. A partition is a range of the points of one file, so
 a large file is read by many tasks, each of which reads its own bytes only. With the option ``header`` set to true there
 is one row per file, read from its first bytes: extent, number of points, point format. Compressed LAZ files are refused.
-``df.write.format("las").save(folder)`` writes one file for each task, under a temporary name until it is whole.
+``df.write.format("las").save(folder)`` writes one file for each task, from Arrow batches and under a temporary name until
+it is whole; ``write_by_key`` writes one file for each key.
 """
 
 from __future__ import annotations
 
 import posixpath
+import shutil
 import struct
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+
+from terrasift.sources.layers import write_files
 
 CHUNK = 1_000_000
 #: The leading fields of a point record, which formats 0 to 5 share; fixed by the format.
@@ -130,40 +136,93 @@ class Written(WriterCommitMessage):
         self.name = name
 
 
-def encode(rows: list[dict], scale: float = 0.001) -> bytes:
-    """A LAS 1.2 file of point format 3; coordinates are kept to the scale, colours and classes clamped to their range."""
-    kind = np.dtype(FIELDS[WRITTEN])
-    out = np.zeros(len(rows), kind)
-    xyz = np.array([[r["x"], r["y"], r["z"]] for r in rows], float).reshape(-1, 3)
-    shift = np.floor(xyz.min(axis=0)) if len(rows) else np.zeros(3)
-    for k, c in enumerate("XYZ"):
-        out[c] = np.round((xyz[:, k] - shift[k]) / scale)
-    get = lambda f, most: np.clip([r.get(f) or 0 for r in rows], 0, most)
-    for f, most in (("intensity", 65535), ("user_data", 255), ("point_source_id", 65535), ("red", 65535), ("green", 65535), ("blue", 65535)):
-        out[f] = get(f, most)
-    out["classification"] = get("classification", 31)
-    out["flags"] = (get("return_number", 7)).astype(int) | (get("number_of_returns", 7).astype(int) << 3)
-    out["scan_angle_rank"] = np.clip([r.get("scan_angle_rank") or 0 for r in rows], -90, 90)
-    out["gps_time"] = [r.get("gps_time") or 0.0 for r in rows]
-    low, high = (xyz.min(axis=0), xyz.max(axis=0)) if len(rows) else (np.zeros(3), np.zeros(3))
-    head = struct.pack("<4sHHIHH8sBB32s32sHHHIIBHI5I", b"LASF", 0, 0, 0, 0, 0, b"", 1, 2, b"", b"terrasift", 1, 2020, 227, 227, 0, WRITTEN, kind.itemsize, len(rows), len(rows), 0, 0, 0, 0)
-    head += struct.pack("<12d", scale, scale, scale, *shift, high[0], low[0], high[1], low[1], high[2], low[2])
-    return head + out.tobytes()
-
-
-class LasWriter(DataSourceWriter):
+#: Fields that are kept within a range, and its greatest value.
+MOST = {"intensity": 65535, "user_data": 255, "point_source_id": 65535, "red": 65535, "green": 65535, "blue": 65535, "classification": 31}
+
+
+class LasFile:
+    """A LAS 1.2 file of point format 3, written batch by batch; the header, which tells how many points there are and where
+    they lie, is made at the end. Coordinates are kept to the scale, colours and classes within their range."""
+
+    def __init__(self, body, scale: float = 0.001):
+        self.body, self.scale, self.kind = body, scale, np.dtype(FIELDS[WRITTEN])
+        self.count, self.low, self.high, self.shift = 0, np.zeros(3), np.zeros(3), None
+
+    def add(self, columns: dict[str, np.ndarray]) -> None:
+        """Some points: columns by name; a column that is missing, or null, is 0."""
+        xyz = np.stack([np.nan_to_num(np.asarray(columns[c], float)) for c in "xyz"], axis=1)
+        if not len(xyz):
+            return
+        low, high = xyz.min(axis=0), xyz.max(axis=0)
+        if self.shift is None:
+            self.shift, self.low, self.high = np.floor(low), low, high
+        self.low, self.high = np.minimum(self.low, low), np.maximum(self.high, high)
+        out = np.zeros(len(xyz), self.kind)
+        for k, c in enumerate("XYZ"):
+            whole = np.round((xyz[:, k] - self.shift[k]) / self.scale)
+            if np.abs(whole).max() >= 2**31:
+                raise ValueError("the points of a file lie too far apart for its scale")
+            out[c] = whole
+        get = lambda f: np.nan_to_num(np.asarray(columns[f], float)) if f in columns else np.zeros(len(xyz))
+        for f, most in MOST.items():
+            out[f] = np.clip(get(f), 0, most)
+        out["flags"] = np.clip(get("return_number"), 0, 7).astype(int) | (np.clip(get("number_of_returns"), 0, 7).astype(int) << 3)
+        out["scan_angle_rank"] = np.clip(get("scan_angle_rank"), -90, 90)
+        out["gps_time"] = get("gps_time")
+        self.body.write(out.tobytes())
+        self.count += len(out)
+
+    def header(self) -> bytes:
+        shift = np.zeros(3) if self.shift is None else self.shift
+        counts = (self.count, self.count, 0, 0, 0, 0)
+        head = struct.pack("<4sHHIHH8sBB32s32sHHHIIBHI5I", b"LASF", 0, 0, 0, 0, 0, b"", 1, 2, b"", b"terrasift", 1, 2020, 227, 227, 0, WRITTEN, self.kind.itemsize, *counts)
+        (x0, y0, z0), (x1, y1, z1) = self.low, self.high
+        return head + struct.pack("<12d", *[self.scale] * 3, *shift, x1, x0, y1, y0, z1, z0)
+
+
+class KeyedFile(LasFile):
+    """A file of its own, completed when it is closed."""
+
+    def __init__(self, path: str):
+        self.path, self.spool = f"{path}.las", tempfile.TemporaryFile()  # noqa: SIM115
+        super().__init__(self.spool)
+
+    def close(self) -> None:
+        self.spool.seek(0)
+        with open(self.path, "wb") as out:
+            out.write(self.header())
+            shutil.copyfileobj(self.spool, out, 1 << 20)
+        self.spool.close()
+
+
+def write_by_key(points: DataFrame, folder: str, key: str) -> DataFrame:
+    """One LAS file for each ``key``, such as scan^tile; the result lists the files, which are written when it is computed."""
+
+    def add(writer: KeyedFile, part: pd.DataFrame) -> None:
+        writer.add({c: part[c].to_numpy() for c in part.columns if c != key})
+
+    return write_files(points, folder, key, KeyedFile, add)
+
+
+class LasWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.folder = options["path"]
 
-    def write(self, rows) -> Written:
-        rows = [r.asDict() for r in rows]
-        if not rows:  # no file for no points
-            return Written(None)
-        fs, root = pafs.FileSystem.from_uri(self.folder)
-        fs.create_dir(root, recursive=True)
-        name = f"part-{uuid.uuid4().hex}.las"
-        with fs.open_output_stream(f"{root}/.{name}") as out:
-            out.write(encode(rows))
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        with tempfile.TemporaryFile() as body:  # on the task's own disk until the header is known
+            file = LasFile(body)
+            for batch in iterator:
+                known = [f for f in batch.schema.names if f in (*"xyz", *MOST, "return_number", "number_of_returns", "scan_angle_rank", "gps_time")]
+                file.add({f: batch.column(f).to_numpy(zero_copy_only=False) for f in known})
+            if not file.count:  # no file for no points
+                return Written(None)
+            fs, root = pafs.FileSystem.from_uri(self.folder)
+            fs.create_dir(root, recursive=True)
+            name = f"part-{uuid.uuid4().hex}.las"
+            body.seek(0)
+            with fs.open_output_stream(f"{root}/.{name}") as out:
+                out.write(file.header())
+                shutil.copyfileobj(body, out, 1 << 20)
         return Written(name)
 
     def commit(self, messages) -> None:

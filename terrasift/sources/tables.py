@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,6 +48,50 @@ def write_with_header(rows: DataFrame, path: str, header: list[str], sep: str =
     head.union(body).coalesce(1).sortWithinPartitions("n").select("value").write.text(path)
 
 
+def append_once(rows: DataFrame, path: str, batch: str, form: str = "csv", **options) -> None:
+    """Append ``rows`` to the table of files below ``path`` as one named batch, without a lock.
+
+    A batch has its own folder, which is replaced as a whole: appending it again, or after a failure, changes nothing else
+    and doubles nothing, and batches of different names can be written at the same time.
+    """
+    rows.write.format(form).options(**options).mode("overwrite").save(f"{path.rstrip('/')}/batch={batch}")
+
+
+def write_report(lines: DataFrame, path: str, order: str = "line_no", text: str = "text") -> None:
+    """A text report of (line_no, text), as one file; for reports of some thousand lines."""
+    lines.select(order, text).coalesce(1).sortWithinPartitions(order).select(text).write.mode("overwrite").text(path)
+
+
+def coverage_report(files: DataFrame, covered: DataFrame, folder: str, cell: float) -> DataFrame:
+    """(line_no, text): the report of a coverage run over ``files`` (name, error) and the occupied cells ``covered``."""
+    counts = files.agg(F.count(F.lit(1)).alias("all"), F.count("error").alias("bad"))
+    area = covered.agg((F.count(F.lit(1)) * cell * cell).alias("m2"))
+    values = counts.join(F.broadcast(area))  # one row each
+    # the report's lines are fixed values: other tools read them
+    line = lambda k, *parts: F.struct(F.lit(k).cast("long").alias("line_no"), F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts)).alias("text"))
+    number = lambda c, digits: F.format_string(f"%.{digits}f", c.cast("double"))
+    head = F.array(
+        line(0, "=== FOOTPRINT CHMUR PUNKTÓW ==="),
+        line(1, f"Źródłowy katalog: {folder}"),
+        line(2, "Liczba plików .laz (wszystkich): ", F.col("all").cast("string")),
+        line(3, "Liczba plików przetworzonych poprawnie: ", (F.col("all") - F.col("bad")).cast("string")),
+        line(4, "Liczba plików z błędem: ", F.col("bad").cast("string")),
+        line(5, f"Rozdzielczość maski: {cell} m"),
+        line(6, ""),
+        line(7, "Powierzchnia pokrycia: ", number(F.col("m2"), 2), " m²"),
+        line(8, "Powierzchnia pokrycia: ", number(F.col("m2") / 10_000, 4), " ha"),
+    )
+    failed = files.where("error is not null").select((F.lit(10) + F.row_number().over(Window.orderBy("name"))).cast("long").alias("line_no"), F.concat(F.lit(" - "), "name").alias("text"))
+    title = values.where("bad > 0").select(F.inline(F.array(line(9, ""), line(10, "Pliki, których nie udało się przetworzyć:"))))
+    return values.select(F.inline(head)).union(title).union(failed)
+
+
+def missing(wanted: DataFrame, done: DataFrame, name: str = "name") -> DataFrame:
+    """What isn't there yet: the rows of ``wanted`` whose file name, the end of an address, is not in a listing."""
+    end = lambda c: F.element_at(F.split(F.col(c), "/"), -1)
+    return wanted.withColumn("_n", end(name)).join(done.select(F.col("name").alias("_n")).distinct(), "_n", "left_anti").drop("_n")
+
+
 def write_worldfiles(rows: DataFrame, path: str, key: str) -> None:
     """The six lines of a world file (px, 0, 0, -px, x, y) for each raster, in a folder named by its key."""
     lines = F.array(*(F.col(c).cast("string") if c else F.lit("0.0") for c in ("px", None, None)), (-F.col("px")).cast("string"), *(F.col(c).cast("string") for c in ("x", "y")))

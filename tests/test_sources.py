@@ -1,11 +1,15 @@
 """Round trips of the sources and sinks, and what they refuse."""
 
+import io
+import json
 import sqlite3
 import struct
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from terrasift.sources import las, tables, vectors
+from terrasift.sources import las, layers, tables, vectors
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -30,7 +34,10 @@ def test_las_of_no_points_and_laz(spark, tmp_path):
     empty.write.format("las").mode("append").save(f"file://{tmp_path}/none")
     with pytest.raises(ValueError, match="not a LAS"):
         las.read_header(b"nope" + bytes(400))
-    raw = bytearray(las.encode([{"x": 1.0, "y": 2.0, "z": 3.0}]))
+    file = las.LasFile(io.BytesIO())
+    file.add({"x": np.array([1.0]), "y": np.array([2.0]), "z": np.array([3.0])})
+    raw = bytearray(file.header() + file.body.getvalue())
+    assert las.read_header(bytes(raw))["points"] == 1
     raw[104] |= 0x80
     with pytest.raises(ValueError, match="LAZ"):
         las.read_header(bytes(raw))
@@ -111,8 +118,6 @@ def test_listing(spark, tmp_path):
 
 
 def test_tiff_round_trip_and_refusals(spark, tmp_path):
-    import numpy as np
-
     from terrasift.sources import images
 
     pixels = np.arange(12, dtype="f4").reshape(2, 2, 3)
@@ -137,3 +142,134 @@ def test_photo_positions(spark, tmp_path):
     (tmp_path / "q.jpg").write_bytes(b"\xff\xd8\xff\xda\0\0")
     got = {r.path.rsplit("/", 1)[1]: (r.lat, r.lon) for r in images.read_photo_positions(spark, str(tmp_path)).collect()}
     assert got["q.jpg"] == (None, None) and abs(got["p.JPG"][0] + 52.5) < 1e-9 and abs(got["p.JPG"][1] - 19.26) < 1e-9
+
+
+def test_las_by_key(spark, tmp_path):
+    rows = [(f"s{i % 3}^t/{i % 2}", i / 4, float(i), -i / 2, i % 4, None if i % 5 else i) for i in range(600)] + [(None, 1.0, 2.0, 3.0, 2, 7)]
+    points = spark.createDataFrame(rows, "scan string, x double, y double, z double, classification int, red int")
+    files = {r.file: r.rows for r in las.write_by_key(points, str(tmp_path / "out"), "scan").collect()}
+    assert files == {f"s{a}^t_{b}": 100 for a in range(3) for b in range(2)} | {"none": 1}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(f"{f}.las" for f in files)
+    back = spark.read.format("las").load(f"file://{tmp_path}/out").collect()
+    got = sorted((r.file[:-4], round(r.x, 3), round(r.y, 3), round(r.z, 3), r.classification, r.red) for r in back)
+    assert got == sorted((layers.file_name(k), x, y, z, c, r or 0) for k, x, y, z, c, r in rows)
+    las.write_by_key(points, str(tmp_path / "out"), "scan").collect()  # a repeated write replaces the files
+    assert spark.read.format("las").load(f"file://{tmp_path}/out").count() == len(rows)
+
+
+SQUARE = [(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0)]  # clockwise
+HOLE = [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0)]
+GEOMETRIES = {
+    "point": ("struct<x: double, y: double>", [(1.5, 2.5), (3.0, 4.0), None]),
+    "line": ("array<struct<x: double, y: double>>", [[(0.0, 0.0), (1.0, 2.0)], [(5.0, 5.0), (6.0, 5.0), (6.0, 7.0)], None]),
+    "polygon": ("array<array<struct<x: double, y: double>>>", [[SQUARE], [SQUARE, HOLE], None]),
+}
+
+
+@pytest.mark.parametrize("kind", GEOMETRIES)
+@pytest.mark.parametrize("form", ["gpkg", "shp", "geojson"])
+def test_layers_by_key(spark, tmp_path, form, kind):
+    ddl, values = GEOMETRIES[kind]
+    rows = [(f"k{i % 2}", v, i, i / 2, f"żółw {i}" if i else None) for i, v in enumerate(values)]
+    table = spark.createDataFrame(rows, f"key string, geom {ddl}, n long, height double, note string")
+    files = layers.write_layers(table, str(tmp_path / "out"), "key", "geom", kind, form, layer="strefy").collect()
+    assert {(r.key, r.file, r.rows) for r in files} == {("k0", "k0", 2), ("k1", "k1", 1)}
+    if form == "geojson":
+        whole = [f for k in ("k0", "k1") for f in json.loads((tmp_path / "out" / f"{k}.geojson").read_text())["features"]]
+        assert sorted((f["properties"]["n"], f["properties"]["note"]) for f in whole) == [(0, None), (1, "żółw 1"), (2, "żółw 2")]
+        by = {f["properties"]["n"]: f["geometry"] for f in whole}
+        assert by[2] is None and by[0]["type"] == layers.KINDS[kind][0]
+        if kind == "polygon":
+            assert by[1]["coordinates"][0][:2] == [[0.0, 0.0], [4.0, 0.0]] and len(by[1]["coordinates"]) == 2 and by[1]["coordinates"][1][0] == by[1]["coordinates"][1][-1]
+    elif form == "gpkg":
+        back = {r.n: r for r in vectors.read_geopackages(spark, str(tmp_path / "out"), "strefy", "n long, height double, note string").collect()}
+        assert {i: (r.height, r.note) for i, r in back.items()} == {i: (h, t) for _, _, i, h, t in rows}
+        for i, v in enumerate(values):
+            assert (back[i].wkb is None) == (v is None)
+            if v is not None:
+                plain = {"x": v[0], "y": v[1]} if kind == "point" else [{"x": x, "y": y} for x, y in v] if kind == "line" else [[{"x": x, "y": y} for x, y in r] for r in v]
+                assert bytes(back[i].wkb) == layers.to_wkb(kind, layers.parts_of(kind, plain))
+        with sqlite3.connect(tmp_path / "out" / "k1.gpkg") as db:
+            assert db.execute("select table_name, data_type, srs_id, min_x is not null from gpkg_contents").fetchall() == [("strefy", "features", 2180, 1)]
+            assert db.execute("pragma application_id").fetchone() == (0x47504B47,)
+    else:
+        back = vectors.read_shapefiles(spark, str(tmp_path / "out")).collect()
+        own = sorted((r.record, r.part, r.seq, r.x, r.y) for r in back if r.file == "k1.shp")
+        if kind == "point":
+            assert own == [(0, 0, 0, 3.0, 4.0)]
+        elif kind == "line":
+            assert [(x, y) for *_, x, y in own] == values[1]
+        else:
+            assert [(x, y) for _, p, _, x, y in own if p == 0][:2] == [(0.0, 0.0), (0.0, 4.0)] and {p for _, p, *_ in own} == {0, 1}
+        raw = (tmp_path / "out" / "k0.dbf").read_bytes()
+        assert struct.unpack_from("<IHH", raw, 4)[0] == 2 and b"n\0" in raw[:200] and "żółw 2".encode() in raw
+        assert len((tmp_path / "out" / "k0.shx").read_bytes()) == 100 + 8 * 2
+        length = struct.unpack(">i", (tmp_path / "out" / "k0.shp").read_bytes()[24:28])[0]
+        assert length * 2 == len((tmp_path / "out" / "k0.shp").read_bytes())
+
+
+def test_layers_refuse(spark, tmp_path):
+    table = spark.createDataFrame([("a", (1.0, 2.0), 1, 2)], "key string, geom struct<x: double, y: double>, a_long_name_1 int, a_long_name_2 int")
+    with pytest.raises(ValueError, match="ten characters"):
+        layers.write_layers(table, str(tmp_path), "key", "geom", "point", "shp")
+    with pytest.raises(ValueError, match="unknown"):
+        layers.write_layers(table, str(tmp_path), "key", "geom", "point", "dwg")
+
+
+def test_append_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    for _ in range(2):
+        tables.append_once(rows, str(tmp_path / "t"), "scan-1", header=True)
+    tables.append_once(rows.where("id = 1"), str(tmp_path / "t"), "scan-2", header=True)
+    got = spark.read.csv(str(tmp_path / "t"), header=True, schema="id int, name string").collect()
+    assert sorted((r.id, r["batch"]) for r in got) == [(1, "scan-1"), (1, "scan-2"), (2, "scan-1")]
+
+
+def test_coverage_report(spark, tmp_path):
+    files = spark.createDataFrame([("a.laz", None), ("c.laz", "broken"), ("b.laz", "broken")], "name string, error string")
+    cells = spark.range(30)
+    tables.write_report(tables.coverage_report(files, cells, "/skany", 0.5), str(tmp_path / "r"))
+    text = "".join(p.read_text() for p in (tmp_path / "r").glob("part-*")).split("\n")
+    assert text[1] == "Źródłowy katalog: /skany" and text[4] == "Liczba plików z błędem: 2"
+    assert text[7:9] == ["Powierzchnia pokrycia: 7.50 m²", "Powierzchnia pokrycia: 0.0008 ha"]
+    assert text[9:13] == ["", "Pliki, których nie udało się przetworzyć:", " - b.laz", " - c.laz"]
+    whole = tables.coverage_report(files.where("error is null"), cells, "/skany", 0.5)
+    assert whole.count() == 9
+
+
+def test_what_is_missing(spark, tmp_path):
+    (tmp_path / "a.tif").write_bytes(b"1")
+    wanted = spark.createDataFrame([("https://x.example/d/a.tif",), ("https://x.example/d/b.tif",)], "address string")
+    assert [r.address for r in tables.missing(wanted, tables.listing(spark, str(tmp_path)), "address").collect()] == ["https://x.example/d/b.tif"]
+
+
+def test_workbooks(spark, tmp_path):
+    import pickle
+
+    from terrasift.sources import office
+
+    rows = [("a", 2, 1.5, "x & <y>"), ("a", 1, None, "żółw"), ("b", 1, -3.0, None)]
+    table = spark.createDataFrame(rows, "key string, n int, height double, note string")
+    assert {(r.file, r.rows) for r in office.write_workbooks(table, str(tmp_path / "w"), "key", "n").collect()} == {("a", 2), ("b", 1)}
+    cells = {(r.file, r.r, r.c): r.value for r in office.read_workbooks(spark, str(tmp_path / "w")).collect()}
+    assert cells == {
+        ("a.xlsx", 0, 0): "n", ("a.xlsx", 0, 1): "height", ("a.xlsx", 0, 2): "note", ("a.xlsx", 1, 0): "1", ("a.xlsx", 1, 2): "żółw",
+        ("a.xlsx", 2, 0): "2", ("a.xlsx", 2, 1): "1.5", ("a.xlsx", 2, 2): "x & <y>",
+        ("b.xlsx", 0, 0): "n", ("b.xlsx", 0, 1): "height", ("b.xlsx", 0, 2): "note", ("b.xlsx", 1, 0): "1", ("b.xlsx", 1, 1): "-3.0",
+    }
+    got = office.read_table(spark, str(tmp_path / "w"), {"n": "int", "height": "double", "note": "string"}).collect()
+    assert sorted((r.file, r.n, r.height, r.note) for r in got if r.height) == [("a.xlsx", 2, 1.5, "x & <y>"), ("b.xlsx", 1, -3.0, None)]
+    (tmp_path / "w" / "c.xlsx").write_bytes(b"broken")
+    assert [r.file for r in office.read_workbooks(spark, str(tmp_path / "w")).where("error is not null").collect()] == ["c.xlsx"]
+    assert [office.column_name(k) for k in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
+    assert all(office.column_number(office.column_name(k) + "7") == k for k in range(1500))
+    office.write_documents(table, str(tmp_path / "d"), "key", "n", "note").collect()
+    import zipfile
+
+    text = zipfile.ZipFile(tmp_path / "d" / "a.docx").read("word/document.xml").decode()
+    assert text.index("żółw") < text.index("x &amp; &lt;y&gt;")
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "plain").write_bytes(pickle.dumps({"a": [1, 2.5, None], "b": "é"}))
+    (tmp_path / "p" / "code").write_bytes(pickle.dumps(print))
+    found = {r.file: (r.value, r.error) for r in office.read_pickles(spark, str(tmp_path / "p")).collect()}
+    assert json.loads(found["plain"][0]) == {"a": [1, 2.5, None], "b": "é"} and "isn't a plain value" in found["code"][1]
