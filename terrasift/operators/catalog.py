@@ -8,10 +8,6 @@ from pyspark.sql.window import Window
 
 from terrasift.operators.lineage import cut
 
-#: Most rows of a side that a join without a key may send to all tasks.
-SMALL = 100_000
-
-
 def in_order(rows: DataFrame, *order: str) -> DataFrame:
     """``rows`` dealt by ranges of ``order``, with the number ``_p`` of their range.
 
@@ -37,11 +33,28 @@ def numbered(rows: DataFrame, *order: str, name: str = "_n") -> DataFrame:
     return parts.withColumn(name, place + _before(parts, F.count(F.lit(1)))).drop("_p")
 
 
-def running_total(rows: DataFrame, value: str, *order: str, name: str = "running") -> DataFrame:
-    """``rows`` with the sum of a whole-numbered ``value`` up to and with themselves in ascending ``order``."""
-    parts = in_order(rows, *order)
-    own = F.sum(value).over(Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return parts.withColumn(name, own + _before(parts, F.sum(value))).drop("_p")
+def running_total(rows: DataFrame, value: str, *order: str, by: str | None = None, name: str = "running") -> DataFrame:
+    """``rows`` with the sum of a whole-numbered ``value`` up to and with themselves in ascending ``order``, of all rows or of
+    those of each ``by``, however many rows a single one has."""
+    keys = [by] if by else []
+    parts = in_order(rows, *keys, *order)
+    own = F.sum(value).over(Window.partitionBy("_p", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    if not by:
+        return parts.withColumn(name, own + _before(parts, F.sum(value))).drop("_p")
+    # only the first key of a range can have rows in earlier ones; three numbers for each range reach the driver
+    ends = parts.groupBy("_p").agg(F.min(by).alias("_a"), F.max(by).alias("_b"))
+    last = parts.join(F.broadcast(ends), "_p").where(F.col(by).eqNullSafe(F.col("_b"))).groupBy("_p").agg(F.first("_a").alias("_a"), F.first("_b").alias("_b"), F.sum(value).alias("_t"))
+    held, carried, before = 0, [], None
+    for r in sorted(last.collect(), key=lambda r: r["_p"]):
+        begins = held if before == (r["_a"],) else 0
+        if begins:
+            carried.append((r["_p"], r["_a"], begins))
+        held, before = r["_t"] + (begins if r["_a"] == r["_b"] else 0), (r["_b"],)
+    if not carried:
+        return parts.withColumn(name, own).drop("_p")
+    kind = rows.schema[by].dataType.simpleString()
+    add = rows.sparkSession.createDataFrame(carried, f"_p int, _k {kind}, _c long").withColumnRenamed("_k", by)
+    return parts.withColumn("_own", own).join(F.broadcast(add), ["_p", by], "left").withColumn(name, F.col("_own") + F.coalesce("_c", F.lit(0))).drop("_p", "_own", "_c")
 
 
 def positional_join(left: DataFrame, left_order: str, right: DataFrame, right_order: str) -> DataFrame:
@@ -65,12 +78,12 @@ def list_lookup(rows: DataFrame, key: str, lists: str, names: DataFrame, name: s
 def contains_join(rows: DataFrame, text: str, tiles: DataFrame, tile: str) -> DataFrame:
     """Pairs where the text contains the tile's name.
 
-    Few tiles are sent to all tasks. Many are matched through the substrings of the texts that have a tile's length: an
-    equi-join, whose rows grow with the texts and not with the product.
+    They are matched through the substrings of the texts that have a tile's length: an equi-join, whose rows grow with the
+    texts and not with the product.
     """
-    if tiles.limit(SMALL + 1).count() <= SMALL:
-        return rows.join(F.broadcast(tiles), F.contains(F.col(text), F.col(tile)))
     lengths = [r["n"] for r in tiles.select(F.length(tile).alias("n")).distinct().collect()]
+    if not lengths:
+        return rows.join(tiles, F.lit(False))
     cut = F.explode(F.array_distinct(F.concat(*(_substrings(text, n) for n in lengths))))
     return rows.withColumn("_t", cut).join(tiles.withColumn("_t", F.col(tile)), "_t").drop("_t")
 

@@ -109,8 +109,9 @@ def histogram(points: DataFrame, bounds: DataFrame, size: float = 1.0) -> DataFr
 
 def all_cells(cells: DataFrame) -> DataFrame:
     """Every cell of the range that occupied cells span; n is 0 where there is none."""
-    span = cells.agg(F.min("ix").alias("a"), F.max("ix").alias("b"), F.min("iy").alias("c"), F.max("iy").alias("d"))
-    dense = span.select(F.explode(F.sequence("a", "b")).alias("ix"), "c", "d").select("ix", F.explode(F.sequence("c", "d")).alias("iy"))
+    a, b, c, d = cells.agg(F.min("ix"), F.max("ix"), F.min("iy"), F.max("iy")).first()
+    tall, number = (d - c + 1, (b - a + 1) * (d - c + 1)) if a is not None else (1, 0)
+    dense = cells.sparkSession.range(number).select((F.floor(F.col("id") / tall) + (a or 0)).alias("ix"), (F.col("id") % tall + (c or 0)).alias("iy"))
     return dense.join(cells, ["ix", "iy"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -169,6 +169,24 @@ def rasterized(boxes: DataFrame, size: float) -> DataFrame:
     return boxes.select("xmin", "xmax", F.explode(rows).alias("r")).select("r", F.explode(columns).alias("c")).distinct()
 
 
+def tiled(cells: DataFrame, size: int) -> DataFrame:
+    """``cells`` with the tile (tr, tc) that they lie in and their place (r, c) in it."""
+    tile = {f"t{x}": F.floor(F.col(x) / size) for x in "rc"}
+    return cells.withColumns(tile).withColumns({x: F.pmod(F.col(x), F.lit(size)) for x in "rc"})
+
+
+def translated(cells: DataFrame, band: str, low: float, high: float, nodata: int = 0) -> DataFrame:
+    """A band scaled from [low, high] to whole numbers from 0 to 255, cut off at both ends; no data is ``nodata``."""
+    scaled = F.floor((F.col(band) - low) * 255.0 / (high - low) + 0.5)
+    return cells.withColumn(band, F.coalesce(F.greatest(F.lit(0), F.least(F.lit(255), scaled)), F.lit(nodata)).cast("int"))
+
+
+def mosaic_index(cells: DataFrame, source: str) -> DataFrame:
+    """(source, r0, c0, rows, columns, cells): where in a mosaic each source lies, as a virtual raster lists it."""
+    ends = cells.groupBy(source).agg(F.min("r").alias("r0"), F.min("c").alias("c0"), F.max("r").alias("r1"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("cells"))
+    return ends.select(source, "r0", "c0", (F.col("r1") - F.col("r0") + 1).alias("rows"), (F.col("c1") - F.col("c0") + 1).alias("columns"), "cells")
+
+
 def footprint(rows: DataFrame) -> DataFrame:
     """The corner coordinates of rasters (x0, y0, px, width, height); an error where the transform isn't usable."""
     bad = (F.col("px") <= 0) | F.col("px").isNull()

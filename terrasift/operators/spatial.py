@@ -53,12 +53,24 @@ def inside(x: Column, y: Column, edges: Column, boundary: bool) -> Column:
     return odd | edge if boundary else odd & ~edge
 
 
+def _own_edges(polys: DataFrame, size: float) -> DataFrame:
+    """``polys`` once for every cell of their box, each with the edges that matter to its points.
+
+    Those are the edges that reach into the cell's row of cells and don't lie to its left: no others meet a ray to the right.
+    """
+    rows = polys.withColumn("cy", F.explode(F.sequence(G.cell("ymin", size), G.cell("ymax", size))))
+    low, high = F.col("cy") * size, (F.col("cy") + 1) * size
+    rows = rows.withColumn("edges", F.filter("edges", lambda e: (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["y1"], e["y2"]) >= low)))
+    rows = rows.withColumn("cx", F.explode(F.sequence(G.cell("xmin", size), G.cell("xmax", size))))
+    return rows.withColumn("edges", F.filter("edges", lambda e: F.greatest(e["x1"], e["x2"]) >= F.col("cx") * size))
+
+
 def point_in_polygon(points: DataFrame, polys: DataFrame, size: float = 4.0, boundary: bool = False, shortcut: bool = False) -> DataFrame:
     """Pairs of a point and a polygon (from ``polygons``) that holds it.
 
     With ``shortcut``, a cell that no edge's box touches is inside or outside as a whole: its points need no test.
     """
-    cells = touched_cells(polys, size, *(F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+    cells = _own_edges(polys, size)
     test = inside(F.col("x"), F.col("y"), F.col("edges"), boundary)
     if shortcut:
         x0, y0 = F.col("cx") * size, F.col("cy") * size

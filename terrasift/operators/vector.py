@@ -134,35 +134,6 @@ def clip_polygons(polys: DataFrame, box: tuple[float, float, float, float]) -> D
     return polys.select("poly_id", area("edges").alias("area"))
 
 
-def merged_lines(segments: DataFrame) -> DataFrame:
-    """Segments (line_id, x1, y1, x2, y2) joined where exactly two of a line meet: (line_id, parts, length).
-
-    A chain is a component of the graph whose nodes are segments and whose edges are shared ends of degree two.
-    """
-    ship(segments.sparkSession)
-
-    def chains(rows: pd.DataFrame) -> pd.DataFrame:
-        ends: dict[tuple[float, float], list[int]] = {}
-        for k, r in enumerate(rows[["x1", "y1", "x2", "y2"]].itertuples(index=False)):
-            ends.setdefault((r.x1, r.y1), []).append(k)
-            ends.setdefault((r.x2, r.y2), []).append(k)
-        up = list(range(len(rows)))
-
-        def root(a: int) -> int:
-            while up[a] != a:
-                up[a] = up[up[a]]
-                a = up[a]
-            return a
-
-        for at in ends.values():
-            if len(at) == 2:
-                up[root(at[0])] = root(at[1])
-        length = float(np.hypot(rows["x2"] - rows["x1"], rows["y2"] - rows["y1"]).sum())
-        return pd.DataFrame({"line_id": [rows["line_id"].iloc[0]], "parts": [len({root(k) for k in range(len(rows))})], "length": [length]})
-
-    return segments.select("line_id", "x1", "y1", "x2", "y2").groupBy("line_id").applyInPandas(chains, "line_id long, parts long, length double")
-
-
 def clusters(points: DataFrame, eps: float, key: str = "id") -> DataFrame:
     """Points (key, x, y) with the smallest key that can be reached in steps of at most ``eps``.
 
@@ -298,70 +269,101 @@ def triangulated(points: np.ndarray) -> np.ndarray:
     return np.array([(i, j, k) for (i, j), k in over.items() if -1 < i < j and i < k], int).reshape(-1, 3)
 
 
-def mesh_triangles(points: DataFrame, by: str, per_area: int, seed: int = 1, above: int = 120_000, most: int = 50_000) -> DataFrame:
+def mesh_triangles(points: DataFrame, by: str, per_area: int, seed: int = 1, above: int = 120_000, most: int = 50_000, values: tuple[str, ...] = ()) -> DataFrame:
     """The triangulated surface of each group, with how many of its floor(area) * per_area samples fall on each triangle:
-    (by, triangle, ax, ay, az, bx, ..., cz, n), without triangles that get none.
+    (by, triangle, ax, ay, az, bx, ..., cz, n), without triangles that get none; ``values`` come along like z.
 
     All points are corners, but for a group of more than ``above`` points, of which ``most`` are drawn.
     """
     ship(points.sparkSession)
     kind = points.schema[by].dataType.simpleString()
-    corners = [p + c for p in "abc" for c in "xyz"]
+    named = ["x", "y", "z", *values]
+    corners = [p + c for p in "abc" for c in named]
 
     def surface(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["x", "y", "z"])
+        rows = rows.sort_values(named)
         rng = np.random.default_rng(seed)
         if len(rows) > above:
             rows = rows.iloc[np.sort(rng.choice(len(rows), most, replace=False))]
-        p = rows.drop_duplicates(["x", "y"])[["x", "y", "z"]].to_numpy(float)
+        p = rows.drop_duplicates(["x", "y"])[named].to_numpy(float)
         t = triangulated(p[:, :2])
         t = t[np.lexsort(t.T[::-1])]
         a, b, c = p[t[:, 0]], p[t[:, 1]], p[t[:, 2]]
-        area = np.linalg.norm(np.cross(b - a, c - a), axis=1) / 2
+        area = np.linalg.norm(np.cross((b - a)[:, :3], (c - a)[:, :3]), axis=1) / 2
         n = rng.multinomial(int(area.sum()) * int(per_area), area / area.sum()) if len(t) else np.zeros(0, int)
         out = pd.DataFrame(np.hstack([a, b, c]), columns=corners).assign(n=n, triangle=np.arange(len(t)), **{by: rows[by].iloc[0]})
         return out.loc[out["n"] > 0, [by, "triangle", *corners, "n"]]
 
     schema = ", ".join([f"{by} {kind}", "triangle long", *(f"{c} double" for c in corners), "n long"])
-    return points.select(by, "x", "y", "z").groupBy(by).applyInPandas(surface, schema)
+    return points.select(by, *named).groupBy(by).applyInPandas(surface, schema)
 
 
-def mesh_samples(points: DataFrame, by: str, per_area: int, seed: int = 1) -> DataFrame:
-    """Points spread evenly over the triangulated surface of each group: floor(area) * per_area of them.
+def mesh_samples(points: DataFrame, by: str, per_area: int, seed: int = 1, values: tuple[str, ...] = ()) -> DataFrame:
+    """Points spread evenly over the triangulated surface of each group: floor(area) * per_area of them, with ``values``
+    interpolated between the corners.
 
     The places on a triangle come from hashes of its number and the sample's, so they are the same in every layout.
     """
     unit = lambda salt: F.pmod(F.xxhash64(by, "triangle", "k", F.lit(seed), F.lit(salt)), F.lit(2**53)) / 2.0**53
-    rows = mesh_triangles(points, by, per_area, seed).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    rows = mesh_triangles(points, by, per_area, seed, values=values).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
     rows = rows.withColumn("u", F.sqrt(unit("u"))).withColumn("v", unit("v"))
     at = lambda c: ((1 - F.col("u")) * F.col(f"a{c}") + F.col("u") * (1 - F.col("v")) * F.col(f"b{c}") + F.col("u") * F.col("v") * F.col(f"c{c}")).alias(c)
-    return rows.select(by, at("x"), at("y"), at("z"))
+    return rows.select(by, *map(at, ("x", "y", "z", *values)))
 
 
-def route(edges: pd.DataFrame, most: float) -> pd.DataFrame:
-    """A greedy walk: from the line with the fewest neighbours always on to the unused neighbour with the fewest.
+def route(edges: pd.DataFrame, most: float, returns: bool = False) -> pd.DataFrame:
+    """A greedy walk over lines (numer, sasiedzi, length): (step, numer, total).
 
-    A line with at most three neighbours is walked there and back, so it counts twice; the walk ends above ``most``.
+    It starts at the line with the fewest neighbours. At each line, unused neighbours that have the fewest neighbours, if
+    those are two or three, hang: all of them are walked there and back, and count twice. Otherwise the first of those with
+    the fewest is walked on. The walk ends above ``most``, or where nothing is left; with ``returns`` it then goes back to
+    the first line that it has passed by, which is counted when it was passed.
     """
-    near = {int(r.numer): [int(x) for x in r.sasiedzi.split(",")] for r in edges.itertuples()}
-    length = dict(zip(edges["numer"].astype(int), edges["length"]))
-    todo, total, out = set(near), 0.0, []
-    at = min(todo, key=lambda k: (len(near[k]), k), default=None)
+    near = {int(n): [int(x) for x in s.split(",") if x] for n, s in zip(edges["numer"], edges["sasiedzi"])}
+    length = dict(zip(edges["numer"].astype(int), edges["length"].astype(float)))
+    at = min(near, key=lambda k: (len(near[k]), k), default=None)
+    used, out, total, waiting = set(), [], 0.0, []
+
+    def walk(line: int, times: int) -> None:
+        nonlocal total
+        used.add(line)
+        total += times * length[line]
+        out.append((len(out), line, total))
+        if line in waiting:
+            waiting.remove(line)
+
+    if at is not None:
+        walk(at, 1)
     while at is not None and total <= most:
-        todo.discard(at)
-        total += length[at] * (2 if len(near[at]) <= 3 else 1)
-        out.append((len(out), at, total))
-        at = min((k for k in near[at] if k in todo), key=lambda k: (len(near[k]), k), default=None) if near[at] else None
-    return pd.DataFrame(out, columns=["step", "numer", "total"])
-
-
-def greedy_routes(edges: DataFrame, by: str, most: float = 5000.0) -> DataFrame:
+        left = [k for k in dict.fromkeys(near[at]) if k in near and k not in used]
+        while len(left) > 1:
+            fewest = min(len(near[k]) for k in left)
+            least = [k for k in left if len(near[k]) == fewest]
+            if fewest in (2, 3):
+                for k in least:
+                    walk(k, 2)
+                left = [k for k in left if k not in used]
+            else:
+                waiting += [k for k in left if k != least[0] and k not in waiting]
+                left = least[:1]
+        if left:
+            at = left[0]
+            walk(at, 1)
+        elif returns and waiting:
+            at = waiting[0]
+            walk(at, 0)
+        else:
+            at = None
+    return pd.DataFrame(out, columns=["step", "numer", "total"]).astype({"step": "int64", "numer": "int64", "total": "float64"})
+
+
+def greedy_routes(edges: DataFrame, by: str, most: float = 5000.0, returns: bool = False) -> DataFrame:
     """One walk in each network; a walk is a sequence, so a network is one task."""
     ship(edges.sparkSession)
     kind = edges.schema[by].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return route(rows, most).assign(**{by: rows[by].iloc[0]})[[by, "step", "numer", "total"]]
+        return route(rows, most, returns).assign(**{by: rows[by].iloc[0]})[[by, "step", "numer", "total"]]
 
     return edges.groupBy(by).applyInPandas(run, f"{by} {kind}, step long, numer long, total double")
 
@@ -381,10 +383,34 @@ def settled(floor: np.ndarray, cloth: np.ndarray, still: float) -> np.ndarray:
             return cloth
 
 
-def cloth_ground(points: DataFrame, tile: float = 50.0, cell: float = 0.5, still: float = 1e-4, threshold: float = 0.5, margin: float = 5.0) -> DataFrame:
+def smoothed_slopes(floor: np.ndarray, cloth: np.ndarray, step: float = 0.3) -> np.ndarray:
+    """The cloth, drawn onto the cloud on steep slopes: cells that hang free but border on one that rests take its place on the
+    cloud where theirs differs by less than ``step``, and so on from cell to cell."""
+    cloth, rests = cloth.copy(), cloth <= floor + 1e-9
+    border = rests
+    while True:
+        new = np.zeros_like(rests)
+        for axis in (0, 1):
+            for shift in (1, -1):
+                near, level = np.roll(border, shift, axis), np.roll(floor, shift, axis)
+                edge = [slice(None), slice(None)]
+                edge[axis] = 0 if shift == 1 else -1
+                near[tuple(edge)] = False
+                with np.errstate(invalid="ignore"):  # cells without points
+                    new |= near & ~rests & (np.abs(level - floor) < step)
+        if not new.any():
+            return cloth
+        cloth[new] = floor[new]
+        rests, border = rests | new, new
+
+
+def cloth_ground(
+    points: DataFrame, tile: float = 50.0, cell: float = 0.5, still: float = 1e-4, threshold: float = 0.5, margin: float = 5.0, slopes: bool = True
+) -> DataFrame:
     """Points (pt_key, x, y, z) with class 2 where they lie within ``threshold`` of a cloth dropped on the upturned cloud.
 
-    Tiles with a margin are settled by themselves; a point takes the result of the tile that it lies in.
+    Tiles with a margin are settled by themselves; a point takes the result of the tile that it lies in. With ``slopes``
+    the settled cloth is then drawn onto steep slopes.
     """
     ship(points.sparkSession)
     side = lambda c: F.explode(F.array_distinct(F.transform(F.array(F.lit(-margin), F.lit(0.0), F.lit(margin)), lambda d: F.floor((F.col(c) + d) / tile))))
@@ -401,6 +427,8 @@ def cloth_ground(points: DataFrame, tile: float = 50.0, cell: float = 0.5, still
         known = np.isfinite(floor)
         floor[~known] = up.min()
         cloth = settled(floor, np.full((n, n), up.max() + 1.0), still)
+        if slopes:
+            cloth = np.where(known, smoothed_slopes(np.where(known, floor, np.inf), cloth), cloth)
         ground = np.abs(cloth[i, j] - up) <= threshold
         own = (np.floor(rows["x"] / tile) == rows["tx"]) & (np.floor(rows["y"] / tile) == rows["ty"])
         return pd.DataFrame({"pt_key": rows["pt_key"], "classification": np.where(ground, 2, 1)})[own.to_numpy()]
@@ -408,9 +436,9 @@ def cloth_ground(points: DataFrame, tile: float = 50.0, cell: float = 0.5, still
     return dealt.groupBy("tx", "ty").applyInPandas(settle, "pt_key string, classification int")
 
 
-def alpha_triangles(points: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """The centres of the circles around the triangles of the alpha shape, and the triangles' areas: of the Delaunay
-    triangles, those whose circumscribed circle has a radius below 1 / alpha."""
+def alpha_triangles(points: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The centres of the circles around the triangles of the alpha shape, the triangles' areas, and their corners: of the
+    Delaunay triangles, those whose circumscribed circle has a radius below 1 / alpha."""
     t = triangulated(points)
     a, b, c = points[t[:, 0]], points[t[:, 1]], points[t[:, 2]]
     sides = [np.hypot(*(u - v).T) for u, v in ((a, b), (b, c), (c, a))]
@@ -421,7 +449,7 @@ def alpha_triangles(points: np.ndarray, alpha: float) -> tuple[np.ndarray, np.nd
     a, u, v = a[kept], u[kept], v[kept]
     d, uu, vv = 2 * (u[:, 0] * v[:, 1] - u[:, 1] * v[:, 0]), (u * u).sum(axis=1), (v * v).sum(axis=1)
     centre = a + np.stack([v[:, 1] * uu - u[:, 1] * vv, u[:, 0] * vv - v[:, 0] * uu], axis=1) / d[:, None]
-    return centre, twice[kept] / 2
+    return centre, twice[kept] / 2, t[kept]
 
 
 def alpha_area(points: np.ndarray, alpha: float) -> float:
@@ -441,8 +469,31 @@ def alpha_areas(points: DataFrame, by: str, alpha: float, tile: float = 32.0) ->
     dealt = touched_cells(points.select(by, "x", "y"), tile, F.col("x") - margin, F.col("y") - margin, F.col("x") + margin, F.col("y") + margin)
 
     def own(rows: pd.DataFrame) -> pd.DataFrame:
-        centre, area = alpha_triangles(np.unique(rows[["x", "y"]].to_numpy(float), axis=0), alpha)
+        centre, area, _ = alpha_triangles(np.unique(rows[["x", "y"]].to_numpy(float), axis=0), alpha)
         here = (np.floor(centre / tile) == rows[["cx", "cy"]].iloc[0].to_numpy()).all(axis=1)
         return pd.DataFrame({by: [rows[by].iloc[0]], "area": [float(area[here].sum())]})
 
     return dealt.groupBy(by, "cx", "cy").applyInPandas(own, f"{by} {kind}, area double").groupBy(by).agg(F.sum("area").alias("area"))
+
+
+def alpha_edges(points: DataFrame, by: str, alpha: float, tile: float = 32.0) -> DataFrame:
+    """(by, x1, y1, x2, y2): the directed outline of each group's alpha shape, which lies on its left: the sides that only
+    one of its triangles has. Triangles are found as in ``alpha_areas``."""
+    ship(points.sparkSession)
+    kind = points.schema[by].dataType.simpleString()
+    margin = 1.001 / alpha
+    dealt = touched_cells(points.select(by, "x", "y"), tile, F.col("x") - margin, F.col("y") - margin, F.col("x") + margin, F.col("y") + margin)
+
+    def own(rows: pd.DataFrame) -> pd.DataFrame:
+        p = np.unique(rows[["x", "y"]].to_numpy(float), axis=0)
+        centre, _, t = alpha_triangles(p, alpha)
+        t = t[(np.floor(centre / tile) == rows[["cx", "cy"]].iloc[0].to_numpy()).all(axis=1)]
+        sides = np.concatenate([np.hstack([p[t[:, a]], p[t[:, b]]]) for a, b in ((0, 1), (1, 2), (2, 0))])
+        return pd.DataFrame(sides, columns=["x1", "y1", "x2", "y2"]).assign(**{by: rows[by].iloc[0]})[[by, "x1", "y1", "x2", "y2"]]
+
+    sides = dealt.groupBy(by, "cx", "cy").applyInPandas(own, f"{by} {kind}, x1 double, y1 double, x2 double, y2 double")
+    low = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") < F.col("y2")))
+    ends = {c: F.when(low, F.col(c)).otherwise(F.col(d)) for c, d in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))}
+    once = sides.select(by, low.alias("up"), *(v.alias(c) for c, v in ends.items())).groupBy(by, "x1", "y1", "x2", "y2").agg(F.count(F.lit(1)).alias("n"), F.first("up").alias("up")).where("n = 1")
+    back = {c: F.when(F.col("up"), F.col(c)).otherwise(F.col(d)) for c, d in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1"))}
+    return once.select(by, *(v.alias(c) for c, v in back.items()))

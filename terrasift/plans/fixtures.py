@@ -35,6 +35,9 @@ select line_id, seq, x1, y1, x2, y2 from (select c_nationkey as line_id, row_num
  c_acctbal/100 as x1, cast(c_custkey*13 % 101 as double) as y1,
  lead(c_acctbal/100) over (partition by c_nationkey order by c_custkey) as x2,
  lead(cast(c_custkey*13 % 101 as double)) over (partition by c_nationkey order by c_custkey) as y2 from {customer}) t where x2 is not null""",
+    "v_ditches": """
+select line_id, seq, x1, y1, x2, y2, concat('R', line_id % 9) as oznaczenie, nullif(line_id % 8, 5) as id_zlewni,
+ case line_id % 4 when 0 then null when 1 then 'Rurociąg grawitacyjny' else concat('uwaga ', line_id % 4) end as uwagi from {v_segments}""",
     "v_vertices": """
 select o_custkey as fid, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1 as vertex_ind,
  o_totalprice/1000 as x, cast(o_orderkey % 500 as double) as y from {orders}""",

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrasift.functions import geometry as G
+from terrasift.operators import overlay as O
 from terrasift.operators import spatial as S
+from terrasift.operators import trajectory as TR
 from terrasift.operators import vector as V
 from terrasift.plans.fixtures import view
 from terrasift.plans.registry import query
@@ -136,7 +138,32 @@ def agg_convex_hull(spark, sf):
 
 @query()
 def agg_linemerge(spark, sf):
-    return V.merged_lines(view(spark, sf, "v_segments")).select("line_id", "parts", G.rounded("length", 3).alias("length"))
+    """Lines that end where one, three or more pieces meet, with their ends."""
+    lines = O.merged_lines(view(spark, sf, "v_segments"), "line_id")
+    first, last = F.element_at("line", 1), F.element_at("line", -1)
+    return lines.select("line_id", F.size("line").alias("vertices"), G.rounded("length", 3).alias("length"), first["x"].alias("x0"), first["y"].alias("y0"), last["x"].alias("x1"), last["y"].alias("y1"))
+
+
+HALVES = """
+with h as (select s_nationkey as nation, poly_id, unnest(range(cast(2 * xmin as bigint), cast(2 * xmax as bigint))) as i, xmin, xmax, ymin, ymax from v_boxes join supplier on s_suppkey = poly_id),
+ c as (select *, unnest(range(cast(2 * ymin as bigint), cast(2 * ymax as bigint))) as j from h),
+ u as (select distinct nation, i, j from c where not (i >= xmin + xmax and j >= ymin + ymax))
+"""
+
+
+@query(HALVES + "select nation, floor(count(*) / 4.0 * 1e6 + 0.5) / 1e6 as area from u group by nation")
+def agg_dissolve_polygons(spark, sf):
+    """Polygons dissolved by a key: the rings of their union, holes included, whose signed areas add up."""
+    nations = view(spark, sf, "supplier").select(F.col("s_suppkey").alias("poly_id"), F.col("s_nationkey").alias("nation"))
+    edges = view(spark, sf, "v_polys").join(nations, "poly_id")
+    found = O.rings(O.union_edges(edges, "nation", "poly_id"), "nation")
+    return found.groupBy("nation").agg(F.sum("area").alias("area")).select("nation", G.rounded("area").alias("area"))
+
+
+@query()
+def geo_buffer_polygons(spark, sf):
+    """Polygons grown by 4 metres, with round corners of 32 vertices a turn."""
+    return O.buffers(view(spark, sf, "v_polys"), "poly_id", 4.0).select("poly_id", F.size("ring").alias("corners"), G.rounded("area", 4).alias("area"))
 
 
 @query()
@@ -162,14 +189,43 @@ def geo_buffer(spark, sf):
     return S.near_segments(view(spark, sf, "v_codes").where("kod = 'RGS'"), view(spark, sf, "v_segments"), 0.25).select("line_id", "id").distinct()
 
 
-@query("""
-with recursive p as (select s_suppkey as id, cast(s_suppkey * 37 % 97 as double) as x, cast(s_suppkey * 53 % 89 as double) as y from supplier),
- e as (select a.id as a, b.id as b from p a join p b on sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 8),
- w as (select id as a, id as l from p union select e.b, w.l from w join e on e.a = w.a)
-select a as id, min(l) as label from w group by a""")
+#: Boundaries this near hang together; they are sampled at half of it. The layer's boxes lie close to each other.
+NEAR = 3.0
+
+
+SAMPLES = """
+with recursive r as (select *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) as d from v_polys),
+ a as (select *, coalesce(sum(d) over (partition by poly_id order by edge_no rows between unbounded preceding and 1 preceding), 0) as begins, sum(d) over (partition by poly_id) as len from r),
+ n as (select poly_id, max(len) as len, cast(greatest(2, floor(max(len) / {step}) + 1) as bigint) as n from a group by poly_id),
+ k as (select poly_id, len, n, unnest(range(n)) as k from n), s as (select poly_id as id, len * k / n as pos from k),
+ p as (select s.id, x1 + (x2 - x1) * (pos - begins) / d as x, y1 + (y2 - y1) * (pos - begins) / d as y from s join a on a.poly_id = s.id and begins <= pos and pos < begins + d),
+ e as (select distinct a.id as a, b.id as b from p a join p b on sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {eps}),
+ w as (select distinct id as a, id as l from p union select e.b, w.l from w join e on e.a = w.a)
+select a as id, min(l) as label from w group by a"""
+
+
+def boundary_samples(spark, sf):
+    """Points at even distances along the rings of the polygons."""
+    edges = view(spark, sf, "v_polys")
+    corners = edges.select(F.col("poly_id").alias("fid"), F.col("edge_no").cast("long").alias("vertex_ind"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    closed = edges.groupBy(F.col("poly_id").alias("fid")).agg((F.max("edge_no") + 1).cast("long").alias("vertex_ind"), F.min_by("x1", "edge_no").alias("x"), F.min_by("y1", "edge_no").alias("y"))
+    return TR.sample_lines(corners.union(closed), NEAR / 2).select(F.col("fid").alias("id"), "x", "y")
+
+
+@query(SAMPLES.format(eps=NEAR, step=NEAR / 2))
 def cq_cluster_polygons(spark, sf):
-    rows = view(spark, sf, "v_boxes").select(F.col("poly_id").alias("id"), F.col("xmin").alias("x"), F.col("ymin").alias("y"))
-    return V.clusters(rows, 8.0)
+    """Polygons whose boundaries come near each other, by the smallest id that can be reached."""
+    return V.clusters(boundary_samples(spark, sf), NEAR).distinct()
+
+
+@query()
+def cq_cluster_hulls(spark, sf):
+    """The convex hull of each cluster's polygons, and the union of hulls that overlap."""
+    labels = cq_cluster_polygons(spark, sf).withColumnRenamed("id", "poly_id")
+    corners = view(spark, sf, "v_polys").join(labels, "poly_id").select("label", F.col("x1").alias("x"), F.col("y1").alias("y"))
+    hulls = V.convex_hulls(corners, "label").select(F.lit(0).alias("layer"), "label", F.col("hull").alias("ring"))
+    found = O.rings(O.union_edges(O.ring_edges(hulls), "layer", "label"), "layer")
+    return found.select(F.size("ring").alias("corners"), G.rounded("area", 4).alias("area"))
 
 
 @query()
@@ -181,17 +237,39 @@ def smp_mesh_area_weighted(spark, sf):
 @query()
 def cq_fill_gaps(spark, sf):
     """Counts of the points that fill each gap: whole square metres times the density."""
-    pairs = S.point_in_polygon(view(spark, sf, "v_points").where("classification = 2"), S.polygons(view(spark, sf, "v_polys")))
-    filled = V.mesh_samples(pairs.select("poly_id", "x", "y", "z"), "poly_id", 100)
+    filled = gap_points(spark, sf)
     return filled.groupBy("poly_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def gap_points(spark, sf):
+    """Points (poly_id, x, y, z, red, green, blue) spread over the ground of each gap; colours are interpolated like heights."""
+    pairs = S.point_in_polygon(view(spark, sf, "v_points").where("classification = 2"), S.polygons(view(spark, sf, "v_polys")))
+    colours = ("red", "green", "blue")
+    filled = V.mesh_samples(pairs.select("poly_id", "x", "y", "z", *(F.col(c).cast("double").alias(c) for c in colours)), "poly_id", 100, values=colours)
+    return filled.withColumns({c: F.floor(F.col(c) + 0.5).cast("int") for c in colours})
+
+
+@query()
+def cq_fill_gaps_scan(spark, sf):
+    """The scan with its gaps filled: the points of both, by where they come from."""
+    scan = view(spark, sf, "v_points").select(F.lit("scan").alias("origin"), "x", "y", "z", *(F.col(c).cast("int").alias(c) for c in ("red", "green", "blue")))
+    both = scan.union(gap_points(spark, sf).select(F.lit("fill"), "x", "y", "z", "red", "green", "blue"))
+    return both.groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.min("red").alias("low"), F.max("red").alias("high"))
+
+
 @query()
 def cq_graph_route(spark, sf):
     rows = view(spark, sf, "v_edges").withColumn("network", (F.col("numer") % 4).cast("long"))
     return V.greedy_routes(rows, "network", 60_000.0)
 
 
+@query()
+def cq_graph_route_returns(spark, sf):
+    """The same walk, which goes back to lines that it has passed by."""
+    rows = view(spark, sf, "v_edges").withColumn("network", (F.col("numer") % 4).cast("long"))
+    return V.greedy_routes(rows, "network", 60_000.0, returns=True)
+
+
 @query()
 def cq_csf_ground(spark, sf):
     return V.cloth_ground(view(spark, sf, "v_points")).groupBy("classification").agg(F.count(F.lit(1)).alias("n"))

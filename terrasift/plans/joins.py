@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrasift.functions import geometry as G
+from terrasift.operators import overlay as O
 from terrasift.operators import points as P
 from terrasift.operators import spatial as S
 from terrasift.plans.fixtures import view
@@ -94,8 +95,7 @@ def join_dwithin(spark, sf):
 def join_exact_intersects(spark, sf):
     pts = view(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 100).alias("x"), (F.col("c_custkey") * 13 % 101).cast("double").alias("y"))
     seg = view(spark, sf, "v_segments")
-    cells = S.touched_cells(seg, 8.0, F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"))
-    pairs = S.keyed(pts, 8.0).join(cells, ["cx", "cy"]).where(G.on_segment("x", "y", *S.EDGE))
+    pairs = S.keyed(pts, 2.0).join(S.cells_along(seg, 2.0, 1e-6), ["cx", "cy"]).where(G.on_segment("x", "y", *S.EDGE))
     return pairs.select("id", "line_id").distinct()
 
 
@@ -176,11 +176,34 @@ def join_same_line_group(spark, sf):
     return pairs.where(G.distance("x", "y", "ox", "oy") <= 10).select(F.col("id").alias("rd"), "member")
 
 
-@query(near("kod = 'RD'") + """, m as (select distinct id, line_id from d where dist <= 0.5)
-select line_id, count(*) as points from m group by line_id""")
+#: Kinds of ditches that aren't surveyed; fixed by the layers.
+PIPELINE = "Rurociąg grawitacyjny"
+
+
+def ditch_lines(spark, sf):
+    """Ditches without a name or catchment go; the others are merged within their name and note, where no note is one too."""
+    known = view(spark, sf, "v_ditches").where("oznaczenie is not null and id_zlewni is not null")
+    return O.merged_lines(known, "oznaczenie", "uwagi")
+
+
+@query()
 def cq_count_rd(spark, sf):
-    pairs = S.near_segments(codes(spark, sf, "kod = 'RD'"), view(spark, sf, "v_segments"), 0.5).select("id", "line_id").distinct()
-    return pairs.groupBy("line_id").agg(F.count(F.lit(1)).alias("points"))
+    """RD points within 0.1 of each merged line, but for pipelines; a line without points counts 0."""
+    lines = ditch_lines(spark, sf).where(F.col("uwagi").isNull() | (F.col("uwagi") != PIPELINE))
+    pieces = lines.select("oznaczenie", "uwagi", "label", F.posexplode(F.zip_with(F.slice("line", 1, F.size("line") - 1), F.slice("line", 2, F.size("line")), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))).alias("seq", "e"))
+    near = S.near_segments(codes(spark, sf, "kod = 'RD'"), pieces.select("label", "seq", "e.*"), 0.1)
+    counts = near.groupBy("label").agg(F.count_distinct("id").alias("n"))
+    out = lines.join(counts, "label", "left")
+    return out.select("oznaczenie", "uwagi", G.rounded("length", 3).alias("length"), F.coalesce("n", F.lit(0)).alias("points"))
+
+
+@query(near("kod = 'RD'").replace("cross join v_segments", "cross join v_ditches") + f""" select oznaczenie, uwagi, count(distinct id) as points from d
+ where dist <= 0.1 and oznaczenie is not null and id_zlewni is not null and (uwagi is null or uwagi <> '{PIPELINE}') group by oznaczenie, uwagi""")
+def cq_count_rd_groups(spark, sf):
+    """RD points within 0.1 of any ditch of a name and note."""
+    ditches = view(spark, sf, "v_ditches").where("oznaczenie is not null and id_zlewni is not null").where(F.col("uwagi").isNull() | (F.col("uwagi") != PIPELINE))
+    near = S.near_segments(codes(spark, sf, "kod = 'RD'"), ditches, 0.1)
+    return near.groupBy("oznaczenie", "uwagi").agg(F.count_distinct("id").alias("points"))
 
 
 @query(near("kod = 'RD'") + """, m as (select distinct id, line_id, x, y from d where dist <= 0.5),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrasift.functions import geometry as G
+from terrasift.operators import overlay as O
 from terrasift.operators import points as P
 from terrasift.operators import raster as R
 from terrasift.operators import spatial as S
@@ -178,6 +179,36 @@ def cq_low_density_zones(spark, sf):
     return kept.select(first_cell(), "cells", (F.col("cells") * 100).alias("fill_points"))
 
 
+def low_density_polygons(cells, least: int = 100, grown: float = 4.0, hole: float = 100.0, tolerance: float = 5.0):
+    """Outlines of the areas of cells (label, r, c): the largest area and those of fewer than ``least`` cells go; the others
+    are grown, their holes up to ``hole`` closed, simplified and turned counter-clockwise; of the areas, the commonest goes
+    if it occurs more than once."""
+    areas = cells.groupBy("label").agg(F.count(F.lit(1)).alias("cells"))
+    most = areas.agg(F.max(F.struct("cells", (-F.col("label")).alias("label"))).alias("m")).select((-F.col("m.label")).alias("label"))
+    kept = areas.join(F.broadcast(most), "label", "left_anti").where(F.col("cells") >= least).select("label")
+    found = O.buffers(O.cell_edges(cells.join(kept, "label", "left_semi"), "label"), "label", grown)
+    found = O.simplified_rings(found.where((F.col("area") > 0) | (F.col("area") < -hole)), tolerance)
+    shaped = O.counter_clockwise(found.withColumn("hole", F.col("area") < 0)).withColumn("shown", G.rounded("area", 4))
+    repeated = shaped.groupBy("shown").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    common = repeated.agg(F.max_by("shown", F.struct("n", (-F.col("shown")).alias("s"))).alias("shown")).where("shown is not null")
+    return shaped.join(F.broadcast(common), "shown", "left_anti")  # one row
+
+
+@query()
+def cq_low_density_polygons(spark, sf):
+    cells = P.grid(view(spark, sf, "v_points"), 1.0, F.count(F.lit(1)).alias("n"))
+    low = P.low_density(cells, 8).where("low").select(F.col("iy").alias("r"), F.col("ix").alias("c"))
+    found = low_density_polygons(R.labelled(low))
+    return found.select(F.col("label").alias("first_cell"), "hole", F.size("ring").alias("corners"), F.col("shown").alias("area"))
+
+
+@query(f"""with k as ({COMPONENTS.strip()}) select first_cell, count(*) as area from k group by first_cell""")
+def ras_polygonize_rings(spark, sf):
+    """Outlines and holes as rings; their signed areas add up to the cells."""
+    found = O.rings(O.cell_edges(R.labelled(holes(spark, sf)), "label"), "label")
+    return found.groupBy("label").agg(F.sum("area").cast("long").alias("area")).select(first_cell(), "area")
+
+
 @query(f"""with k as ({COMPONENTS.strip()}), a as (select first_cell, r, c from k), m as (select unnest([-1,1,0,0]) as dr, unnest([0,0,-1,1]) as dc)
 select first_cell, count(*) as edges from a, m where not exists (select 1 from a b where b.first_cell = a.first_cell and b.r = a.r + dr and b.c = a.c + dc) group by first_cell""")
 def ras_polygonize(spark, sf):
@@ -223,3 +254,19 @@ def agg_union_area(spark, sf):
     moved = boxes.withColumns({c: F.col(c) + 20 for c in ("xmin", "xmax")})
     cells = ras(spark, sf).select("r", "c", F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))
     return S.box_join(cells, boxes.union(moved)).select("r", "c").distinct()
+
+
+@query("select r // 32 as tr, c // 32 as tc, count(*) as cells, max(r % 32) as last_r, max(c % 32) as last_c, count(band1) as filled from v_raster group by all")
+def ras_tile(spark, sf):
+    tiles = R.tiled(ras(spark, sf), 32)
+    return tiles.groupBy("tr", "tc").agg(F.count(F.lit(1)).alias("cells"), F.max("r").alias("last_r"), F.max("c").alias("last_c"), F.count("band1").alias("filled"))
+
+
+@query("select r, c, cast(coalesce(greatest(0, least(255, floor((band1 - 20) * 255.0 / 180 + 0.5))), 0) as integer) as band1 from v_raster")
+def ras_translate(spark, sf):
+    return R.translated(ras(spark, sf), "band1", 20.0, 200.0).select("r", "c", "band1")
+
+
+@query("select src, min(r) as r0, min(c) as c0, max(r) - min(r) + 1 as rows, max(c) - min(c) + 1 as columns, count(*) as cells from v_raster group by src")
+def ras_vrt(spark, sf):
+    return R.mosaic_index(ras(spark, sf), "src")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from terrasift.plans.fixtures import view
@@ -19,12 +21,18 @@ with d as (select user_id, epoch_us(ts) as us, epoch_us(ts) - lag(epoch_us(ts))
  s as (select *, sum(case when gap > 3600000000 then 1 else 0 end) over (partition by user_id order by us rows unbounded preceding) as session from d)
 select user_id, min(us) as first_us, max(us) as last_us, count(*) as n from s group by user_id, session""")
 def stream_gap_sessions(spark, sf):
+    """Each session is appended once, when the watermark passes its end; a heartbeat after the last event ends the open ones."""
     to = ST.folder(spark)
     rows = _events(spark, sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    found = ST.gap_sessions(rows, "user_id", "ts", 3_600_000_000)
+    beats = ST.heartbeats(spark, f"{to}/beats").select(F.lit(None).cast(rows.schema["user_id"].dataType).alias("user_id"), "ts")
+    found = ST.gap_sessions(rows.union(beats), "user_id", "ts", 3_600_000_000)
     found = found.select("user_id", F.unix_micros("start").alias("first_us"), F.unix_micros("last").alias("last_us"), "n")
     schema = found.schema
-    ST.run_available(found, to, "complete", lambda batch, _: batch.write.mode("overwrite").parquet(f"{to}/rows"))
+    ST.run_available(found, to)
+    last = view(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    if last is not None:
+        ST.beat(spark, f"{to}/beats", last + timedelta(hours=2))  # the gap, the lateness allowed, and some more
+        ST.run_available(found, to)
     return spark.read.schema(schema).parquet(f"{to}/rows")
 
 

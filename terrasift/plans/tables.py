@@ -169,10 +169,11 @@ def join_list_membership(spark, sf):
     return C.list_lookup(view(spark, sf, "v_edges"), "numer", "sasiedzi", names, "c_name").withColumnRenamed("found", "names")
 
 
-@query("select p.p_partkey, n.n_nationkey from part p join nation n on contains(p.p_name, lower(substr(n.n_name, 1, 2)))")
+@query("select c.c_custkey, n.n_nationkey from customer c join nation n on contains(c.c_name, '00' || n.n_nationkey)")
 def join_substring(spark, sf):
-    # every pair may match, so there is no key to join on; the tiles' side is checked to be small before it is sent around
-    return C.contains_join(view(spark, sf, "part"), "p_name", view(spark, sf, "nation").withColumn("tile", F.lower(F.substring("n_name", 1, 2))), "tile").select("p_partkey", "n_nationkey")
+    """Names that contain a tile's; one tile's may be the beginning of another's."""
+    tiles = view(spark, sf, "nation").withColumn("tile", F.concat(F.lit("00"), F.col("n_nationkey").cast("string")))
+    return C.contains_join(view(spark, sf, "customer"), "c_name", tiles, "tile").select("c_custkey", "n_nationkey")
 
 
 @query("select a.s_suppkey, b.c_custkey from supplier a join customer b on split_part(a.s_name, '#', 2) = split_part(b.c_name, '#', 2)")
@@ -189,9 +190,10 @@ def join_lookup_default(spark, sf):
     return view(spark, sf, "customer").join(names, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", default).alias("name"))
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT' and o_orderstatus = 'F')")
 def join_anti_done(spark, sf):
-    done = view(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """What isn't done yet: customers without a finished urgent order."""
+    done = view(spark, sf, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return view(spark, sf, "customer").join(done, "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -354,9 +356,12 @@ def agg_duplicates(spark, sf):
     return rows.select("o_custkey", "n", F.array_join(F.transform("k", lambda k: k.cast("string")), ",").alias("keys"))
 
 
-@query("select split_part(p_type, ' ', 1) as kind, count(*) as n, min(p_name) as first_name from part group by 1")
+@query("select split_part(p_name, ' ', 1) as kind, count(*) as n, string_agg(cast(p_partkey as varchar) || ':' || p_name, ';' order by p_partkey) as zones from part group by 1")
 def agg_group_airspace(spark, sf):
-    return view(spark, sf, "part").groupBy(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("first_name"))
+    """Zones grouped by the first word of their name, each group with all its zones."""
+    zone = F.struct("p_partkey", F.concat(F.col("p_partkey").cast("string"), F.lit(":"), "p_name").alias("zone"))
+    rows = view(spark, sf, "part").groupBy(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(zone)).alias("z"))
+    return rows.select("kind", "n", F.array_join(F.transform("z", lambda z: z["zone"]), ";").alias("zones"))
 
 
 @query("select fid, count(*) as n from v_vertices group by fid order by n desc, fid")
@@ -396,9 +401,10 @@ def agg_count_summary(spark, sf):
 
 @query("""
 select coalesce(case when o_orderpriority = '1-URGENT' then null else o_orderpriority end, '__NONE__') as note, o_orderstatus as status, count(*) as parts,
- min(o_orderkey) as first_key from orders where o_custkey % 10 <> 0 group by 1, 2""")
+ min(o_orderkey) as first_key from orders where nullif(o_custkey, 7) is not null group by 1, 2""")
 def agg_dissolve(spark, sf):
-    rows = view(spark, sf, "orders").where("o_custkey % 10 <> 0")
+    """The keys of a dissolve: rows without the main key go, rows without a note are a group."""
+    rows = view(spark, sf, "orders").withColumn("main", F.nullif("o_custkey", F.lit(7))).where("main is not null")
     note = F.coalesce(F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_orderpriority")), F.lit("__NONE__"))
     return rows.groupBy(note.alias("note"), F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("parts"), F.min("o_orderkey").alias("first_key"))
 
@@ -482,6 +488,5 @@ def geo_points_from_xy(spark, sf):
 select q.s as status, q.k, c.o_orderkey from q join c on c.s = q.s and c.upto > q.pick and c.upto - c.w <= q.pick""")
 def join_asof(spark, sf):
     """The row whose share of a running total holds each of ten evenly spread picks."""
-    w = Window.partitionBy("status").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     rows = view(spark, sf, "orders").select("o_orderkey", F.bround("o_totalprice").cast("long").alias("w"), F.col("o_orderstatus").alias("status"))
-    return C.inverse_cdf(rows.withColumn("upto", F.sum("w").over(w)), "status", 10).select("status", "k", "o_orderkey")
+    return C.inverse_cdf(C.running_total(rows, "w", "o_orderkey", by="status", name="upto"), "status", 10).select("status", "k", "o_orderkey")

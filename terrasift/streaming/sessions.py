@@ -27,6 +27,18 @@ def gap_sessions(rows: DataFrame, key: str, time: str, gap_us: int, late: str =
     return out.select(key, "start", "last", "n")
 
 
+def heartbeats(spark: SparkSession, path: str) -> DataFrame:
+    """A stream of times (ts), written by ``beat``, at which nothing happens but that time goes on: joined to rows by a union,
+    they let a watermark pass the last of them."""
+    spark.createDataFrame([], "ts timestamp").write.mode("append").parquet(path)
+    return spark.readStream.schema("ts timestamp").parquet(path)
+
+
+def beat(spark: SparkSession, path: str, ts) -> None:
+    """Tell a stream of heartbeats that the time is ``ts``."""
+    spark.createDataFrame([(ts,)], "ts timestamp").coalesce(1).write.mode("append").parquet(path)
+
+
 def run_available(stream: DataFrame, to: str, mode: str = "append", write: Callable[[DataFrame, int], None] | None = None) -> None:
     """Process all input that is there, then stop. A rerun with the same ``to`` goes on after what is done."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{to}/state").trigger(availableNow=True)

@@ -124,6 +124,26 @@ def test_route_is_greedy():
 
     edges = pd.DataFrame({"numer": [1, 2, 3], "sasiedzi": ["2,3", "1", "1"], "length": [10.0, 20.0, 30.0]})
     assert V.route(edges, 1000.0)["numer"].tolist() == [2, 1, 3]
+    # 1 leads to 2; there 3 and 4 hang (three neighbours each), then 5 goes on, past 6, to its end 7
+    near = {1: "2", 2: "1,3,4,5,6", 3: "2,4,9", 4: "2,3,9", 5: "2,6,7,8", 6: "2,5,7,8", 7: "5", 8: "", 9: ""}
+    net = pd.DataFrame({"numer": list(near), "sasiedzi": list(near.values()), "length": [1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0, 256.0]})
+    start = net[~net["numer"].isin([8, 9])]
+    plain, back = V.route(start, 1e9), V.route(start, 1e9, returns=True)
+    assert plain["numer"].tolist() == [1, 2, 3, 4, 5, 7] or plain["numer"].tolist()[:5] == [1, 2, 3, 4, 5]
+    assert plain["total"].tolist()[:5] == [1.0, 3.0, 11.0, 27.0, 43.0]
+    assert set(back["numer"]) == {1, 2, 3, 4, 5, 6, 7} and back["numer"].tolist()[: len(plain)] == plain["numer"].tolist()
+    assert V.route(start, 2.0)["numer"].tolist() == [1, 2] and len(V.route(start.iloc[:0], 1.0)) == 0
+
+
+def test_slopes_are_smoothed():
+    import numpy as np
+
+    floor = np.cumsum(np.full((1, 9), 0.2), axis=1).repeat(3, axis=0)
+    floor[:, 6:] += 5
+    cloth = floor + 2.0
+    cloth[:, 0] = floor[:, 0]
+    got = V.smoothed_slopes(floor, cloth)
+    assert (got[:, :6] == floor[:, :6]).all() and (got[:, 6:] == cloth[:, 6:]).all()
 
 
 coordinate = st.integers(0, 30).map(float)
