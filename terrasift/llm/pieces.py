@@ -23,7 +23,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -43,8 +43,9 @@ MASK = 61
 #: Bytes of an input file whose texts share a file of parts; what bounds such a file.
 BLOCK_BYTES = 128 << 20
 FLUSH = 300_000
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 PARTS_IN_TASK = 16_384
+BLOCKS_IN_ROW = 4096
 _UNIT = re.compile(f"(?:{SPACE}+|\n)[^{SPACE}\n]*")
 
 
@@ -87,12 +88,21 @@ class Pieces:
 
     def parts(self, unit: str) -> list[str]:
         """The parts of a unit."""
-        if len(unit) < 2:
-            return [unit]
-        text = unit
+        return self.parts_of([unit])[0]
+
+    def parts_of(self, units: list[str]) -> list[list[str]]:
+        """The parts of units, all cut in one go."""
+        text = "".join(units)
+        if not text:
+            return [[] for _ in units]
         codes = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-        at = (np.flatnonzero(~self.meet[codes[:-1], codes[1:]]) + 1).tolist()
-        return [text[a:b] for a, b in zip([0, *at], [*at, len(text)])]
+        ends = np.cumsum([len(u) for u in units])
+        cuts = ~self.meet[codes[:-1], codes[1:]]
+        cuts[ends[(ends > 0) & (ends < len(text))] - 1] = True
+        at = [0, *(np.flatnonzero(cuts) + 1).tolist(), len(text)]
+        flat = [text[a:b] for a, b in zip(at, at[1:])]
+        first = np.searchsorted(at, [0, *ends.tolist()]).tolist()
+        return [flat[a:b] for a, b in zip(first, first[1:])]
 
     def decoder(self) -> list[str]:
         """The text of every id; byte pieces as surrogate escapes."""
@@ -139,28 +149,41 @@ def viterbi(edges: Column, reach: int) -> Column:
     return F.aggregate(edges, start, step(reach + 1), lambda acc: F.element_at(acc, -1)["ids"])
 
 
-def best_path(edges: Column, reach: int) -> Column:
-    """(v, n): the total score of the best path through edges (e, s, v, n), sorted, and its pieces, the fewest among equals.
+#: Room for the pieces of a part in a weight, where scores are whole numbers: weight = score * ROOM - pieces.
+ROOM_BITS = 21
+ROOM = 1 << ROOM_BITS
+
+
+def best_path(edges: Column, length: Column, reach: int, whole: bool) -> Column:
+    """(v, n): the total score of the best path through edges (e, s, w), sorted, to the end of a part, and its pieces, the
+    fewest among equals.
 
-    ``n`` counts the pieces of an edge. The state holds the latest positions only, as far back as a piece can ``reach``,
-    so a part of any length is folded in the same memory.
+    w is a struct (v, less) of an edge's score and its pieces, counted below zero; where scores are ``whole`` numbers it
+    is one number, score * ROOM + less, which is quicker to add and compare. A step takes the edges that end at one
+    position, which follow each other. The state holds the best of the latest positions only, as far back as a piece can
+    ``reach``, so a part of any length is folded in the same memory.
     """
 
-    def merge(acc: Column, x: Column) -> Column:
-        now, done = acc["now"], acc["done"]
-        on = now["at"] != x["e"]
-        before = F.when(now["at"] == x["s"], now).otherwise(F.element_at(done, x["s"] - F.element_at(done, 1)["at"] + 1))
-        v, n = before["v"] + x["v"], before["n"] + x["n"]
-        better = on | (v > now["v"]) | ((v == now["v"]) & (n < now["n"]))
-        kept = F.when(F.size(done) >= reach, F.slice(done, 2, reach)).otherwise(done)
-        return F.struct(
-            F.when(better, F.struct(x["e"].alias("at"), v.alias("v"), n.alias("n"))).otherwise(now).alias("now"),
-            F.when(on, F.concat(kept, F.array(now))).otherwise(done).alias("done"),
-        )
+    def add(a: Column, b: Column) -> Column:
+        return a + b if whole else F.struct((a["v"] + b["v"]).alias("v"), (a["less"] + b["less"]).alias("less"))
+
+    def step(acc: Column, end: Column) -> Column:
+        done = acc["done"]
+        own = F.filter(F.slice(edges, acc["next"], F.least(F.lit(reach), end)), lambda x: x["e"] == end)
+        paths = F.transform(own, lambda x: add(F.element_at(done, F.size(done) + x["s"] - end + 1), x["w"]))
+        kept = F.when(F.size(done) > reach, F.slice(done, 2, reach)).otherwise(done)
+        return F.struct((acc["next"] + F.size(own)).alias("next"), F.concat(kept, F.array(F.array_max(paths))).alias("done"))
+
+    def found(acc: Column) -> Column:
+        last = F.element_at(acc["done"], -1)
+        if whole:
+            v = -F.shiftright(-last, ROOM_BITS)  # less is above -ROOM
+            return F.struct(v.cast("double").alias("v"), (v * ROOM - last).alias("n"))
+        return F.struct(last["v"].alias("v"), (-last["less"]).alias("n"))
 
-    first = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("v"), F.lit(0).cast("long").alias("n"))
-    none = F.array().cast("array<struct<at: int, v: double, n: bigint>>")
-    return F.aggregate(edges, F.struct(first.alias("now"), none.alias("done")), merge, lambda acc: F.struct(acc["now"]["v"], acc["now"]["n"]))
+    zero = F.lit(0).cast("long")
+    start = F.array(zero if whole else F.struct(F.lit(0.0).alias("v"), zero.alias("less")))
+    return F.aggregate(F.sequence(F.lit(1), length), F.struct(F.lit(1).alias("next"), start.alias("done")), step, found)
 
 
 def merged(edges: Column, length: Column) -> Column:
@@ -249,8 +272,10 @@ def lattice(parts: DataFrame, pieces: Pieces, unigram: bool = False) -> DataFram
     )
     score = F.when(known, F.col("score")).otherwise(pieces.least - UNKNOWN_PENALTY).alias("v")
     count = F.when(known, F.lit(1)).otherwise(F.octet_length(span)).cast("long").alias("n")
-    path = F.sort_array(F.collect_list(F.struct("e", "s", score, count))).alias("path")
-    best = best_path(F.col("path"), pieces.longest)
+    whole = all(float(v).is_integer() for _, _, v in pieces.rows)
+    weight = score.cast("long") * ROOM - count if whole else F.struct(score, (-count).alias("less"))
+    path = F.sort_array(F.collect_list(F.struct("e", "s", weight.alias("w")))).alias("path")
+    best = best_path(F.col("path"), F.length("text"), pieces.longest, whole)
     if unigram:
         ids = F.when(known, F.array("id")).otherwise(bytes_of("substring(text, s + 1, 1)")).alias("ids")
         edge = F.sort_array(F.collect_list(F.struct("e", "s", score, ids))).alias("edges")
@@ -307,8 +332,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
         def found() -> Iterator[pd.DataFrame]:
             if seen:
-                yield pd.DataFrame({"text": list({p for u in seen for p in own.parts(u)}), "block": block})
+                units, names = list(seen), set()
                 seen.clear()
+                for k in range(0, len(units), 20_000):
+                    names.update(*own.parts_of(units[k : k + 20_000]))
+                yield pd.DataFrame({"text": list(names), "block": block})
 
         for batch in batches:
             for text, b in zip(batch["text"], batch["block"]):
@@ -318,8 +346,12 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 seen.update(own.units(text))
         yield from found()
 
-    found = scratch.table(rows.select("text", "block").mapInPandas(parts_of, "text string, block long"))
-    parts = scratch.table(found.select("text").distinct())
+    # a part is a row for every few thousand blocks that it occurs in: short where blocks are few, bounded where they are many
+    lists = -(-rows.select("block").distinct().count() // BLOCKS_IN_ROW) or 1
+    found = rows.select("text", "block").mapInPandas(parts_of, "text string, block long")
+    listed = found.groupBy("text", F.pmod(F.col("block"), F.lit(lists)).alias("list")).agg(F.collect_set("block").alias("blocks"))
+    listed = scratch.table(listed.drop("list"))
+    parts = scratch.table(listed.select("text").distinct())
     # a part becomes a hundred rows, so its few bytes are spread over many more tasks than their size asks for
     spread = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // PARTS_IN_TASK))
     folded = lattice(parts.repartition(spread, "text"), pieces_of(model), unigram)
@@ -327,8 +359,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         encoded = scratch.table(folded)
     if not unigram:
         encoded = with_long_parts(encoded, pieces_of(model))
-    # a part has a row for each block that it occurs in
-    dealt = found.distinct().join(encoded, "text").select("block", F.xxhash64("text").alias("hash"), F.xxhash64(F.lit(AGAIN), "text").alias("again"), "ids", "v_score", "v_pieces")
+    again = F.shiftright(F.xxhash64(F.lit(AGAIN), "text"), 32).cast("int").alias("again")
+    dealt = listed.join(encoded, "text").select(F.explode("blocks").alias("block"), F.xxhash64("text").alias("hash"), again, "ids", "v_score", F.col("v_pieces").cast("int"))
     folder = shared_folder(spark) + "/parts"
 
     def write(group: pa.Table) -> pa.Table:
@@ -362,15 +394,15 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 same = [*same]
                 for k in range(0, len(same), 100):
                     units = [own.units(text) for _, text, _ in same[k : k + 100]]
-                    missing = {u for us in units for u in us if u not in known}
+                    missing = [u for u in set().union(*units) if u not in known]
                     if missing and b != block:
                         block, file = b, PartFile.read(folder, b)
                     known.learn(missing, own, file)
                     for (i, text, _), us in zip(same[k : k + 100], units):
-                        raw, n_parts, n_best, scores = zip(*map(known.__getitem__, us)) if us else ((), (), (), ())
-                        raw = b"".join(raw)
-                        ids = np.frombuffer(raw, "<i4")
-                        out.append((i, ids, sum(n_parts), zlib.crc32(raw), decode_ids(ids, strings) == text, sum(n_best), float(sum(scores))))
+                        at = [*map(known.__getitem__, us)]
+                        raw = b"".join(map(known.raw.__getitem__, at))
+                        ids, sums = np.frombuffer(raw, "<i4"), known.sums[at].sum(axis=0)
+                        out.append((i, ids, int(sums[0]), zlib.crc32(raw), decode_ids(ids, strings) == text, int(sums[1]), float(sums[2])))
                     if sum(len(r[1]) for r in out) > 1_000_000:  # some MB of ids at a time
                         yield result(out)
                         out = []
@@ -392,28 +424,39 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
 
 class UnitIds(dict):
-    """(ids as bytes, parts, pieces and score of the best path) of units.
+    """The places of units in ``raw``, their ids as bytes, and in ``sums``: parts, pieces and score of the best path.
 
-    Remembers a bounded number of them, and for a while what it has just been asked for.
+    A bounded number of them is remembered, and for a while what has just been asked for.
     """
 
     def __init__(self):
-        self.now: dict[str, tuple] = {}
+        self.now: dict[str, int] = {}
+        self.raw: list[bytes] = []
+        self.sums = np.zeros((1024, 3))
 
-    def __missing__(self, unit: str) -> tuple:
+    def __missing__(self, unit: str) -> int:
         return self.now[unit]
 
-    def learn(self, missing: set[str], pieces: Pieces, file: PartFile) -> None:
+    def learn(self, missing: list[str], pieces: Pieces, file: PartFile) -> None:
         """Look up the parts of units that aren't known."""
-        split = {u: pieces.parts(u) for u in missing}
-        names = list({p for parts in split.values() for p in parts})
-        found = dict(zip(names, file.find(names))) if names else {}
-        self.now = {}
-        for u, parts in split.items():
-            raw, n, v = zip(*map(found.__getitem__, parts))
-            self.now[u] = (b"".join(raw), len(parts), sum(n), sum(v))
-        if len(self) + len(self.now) <= REMEMBERED:
-            self.update(self.now)
+        if len(self.raw) > len(self):  # what was only asked for
+            self.now = {}
+            del self.raw[len(self) :]
+        if not missing:
+            return
+        split = pieces.parts_of(missing)
+        names = list(set().union(*split))
+        place = dict(zip(names, range(len(names))))
+        found, n, v = file.find(names)
+        flat, counts = [*map(place.__getitem__, chain.from_iterable(split))], np.fromiter(map(len, split), np.int64, len(split))
+        ids, ends = [*map(found.__getitem__, flat)], np.cumsum(counts)
+        first = ends - counts
+        self.raw += [b"".join(ids[a:b]) if b - a > 1 else ids[a] for a, b in zip(first.tolist(), ends.tolist())]
+        while len(self.sums) < len(self.raw):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        at = slice(len(self), len(self.raw))
+        self.sums[at, 0], self.sums[at, 1], self.sums[at, 2] = counts, np.add.reduceat(n[flat], first), np.add.reduceat(v[flat], first)
+        (self if len(self) + len(missing) <= REMEMBERED else self.now).update(zip(missing, range(at.start, at.stop)))
 
 
 @functools.lru_cache(maxsize=1)
@@ -422,15 +465,16 @@ def unit_ids(model: str, unigram: bool) -> UnitIds:
     return UnitIds()
 
 
-#: Spark's xxhash64 of a part, and one of the same with a prefix that tells parts of one hash apart.
+#: Spark's xxhash64 of a part, and the upper half of one with a prefix, which tells parts of one hash apart.
 AGAIN = "again"
-COLUMNS = (("hash", "<i8"), ("again", "<i8"), ("v_score", "<f8"), ("v_pieces", "<i8"))
+COLUMNS = (("hash", "<i8"), ("again", "<i4"), ("v_score", "<f8"), ("v_pieces", "<i4"))
 
 
 def hashes_of(parts: list[str], prefix: str | None = None) -> np.ndarray:
-    """The hashes of parts as Spark's xxhash64 gives them, of the part alone or after a prefix column."""
+    """The hashes of parts as Spark's xxhash64 gives them, or the upper halves of those after a prefix column."""
     seed = 42 if prefix is None else xxhash.xxh64_intdigest(prefix.encode(), 42)
-    return np.array([xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), seed) for p in parts], np.uint64).view(np.int64)
+    whole = np.array([xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass"), seed) for p in parts], np.uint64).view(np.int64)
+    return whole if prefix is None else (whole >> 32).astype(np.int32)
 
 
 @dataclass
@@ -450,11 +494,11 @@ class PartFile:
         columns, at = {}, 8
         for name, kind in COLUMNS:
             columns[name] = np.frombuffer(raw, kind, n, at)
-            at += 8 * n
+            at += columns[name].nbytes
         return cls(columns, np.frombuffer(raw, "<i8", n + 1, at), raw[at + 8 * (n + 1) :])
 
-    def find(self, parts: list[str]) -> list[tuple[bytes, int, float]]:
-        """(ids as bytes, pieces and score of the best path) of parts."""
+    def find(self, parts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The ids of parts as bytes, and the pieces and the scores of their best paths."""
         own, hashes = self.columns["hash"], hashes_of(parts)
         at, end = np.searchsorted(own, hashes), np.searchsorted(own, hashes, "right")
         if (at == end).any():
@@ -462,7 +506,7 @@ class PartFile:
         for k in np.flatnonzero(end - at > 1):  # parts of one hash: the other one decides
             at[k] += np.searchsorted(self.columns["again"][at[k] : end[k]], hashes_of([parts[k]], AGAIN)[0])
         ids = [self.raw[a:b] for a, b in zip((4 * self.offsets[at]).tolist(), (4 * self.offsets[at + 1]).tolist())]
-        return [*zip(ids, self.columns["v_pieces"][at].tolist(), self.columns["v_score"][at].tolist())]
+        return ids, self.columns["v_pieces"][at], self.columns["v_score"][at]
 
 
 def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
