@@ -27,7 +27,7 @@ def collected_explosions(df) -> int:
     return found
 
 
-@pytest.mark.parametrize("name", ["geo_buffer", "join_dwithin", "cq_rd_endpoint_gap", "join_corridor", "join_nearest_per_side", "cq_cross_section_validate", "join_same_line_group", "join_bbox_clip", "join_pip"])
+@pytest.mark.parametrize("name", ["geo_buffer", "join_dwithin", "cq_rd_endpoint_gap", "join_corridor", "join_nearest_per_side", "cq_cross_section_validate", "join_same_line_group", "cq_shift_snap", "join_bbox_clip", "join_pip"])
 def test_exploded_sides_are_not_broadcast(spark, name):
     """Spark takes an exploded side to be as small as before; it has many times the rows, which the driver can't hold."""
     assert collected_explosions(entry.queries()[name](spark, SF)) == 0
