@@ -89,3 +89,14 @@ def test_nearest_across_is_that_of_brute_force(spark):
     assert {(r.rd, r.oid) for r in J.corridor(a, b).collect()} == pairs
     assert {(r.rd, r.kod, r.side): r.oid for r in J.nearest_across(a, b).collect()} == {k: v[1] for k, v in want.items()}
     assert J.nearest_across(a, b.limit(0)).count() == 0
+
+
+def places_first(df) -> bool:
+    """Whether points are grouped by their place before any side of a join is exploded."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return bool(re.search(r"Aggregate \[[^\]]*x#\d+, y#\d+", plan))
+
+
+@pytest.mark.parametrize("name", ["cq_tile_clip_merge"])
+def test_each_place_is_tested_once(spark, name):
+    assert places_first(entry.queries()[name](spark, SF))
