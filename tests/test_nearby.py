@@ -4,10 +4,12 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from terrasift.operators import nearby as N
 from terrasift.operators import spatial as S
+from terrasift.operators import vector as V
 from terrasift.plans import joins as J
 
 SF = "/root/testdata/sf0.001"
@@ -97,6 +99,18 @@ def places_first(df) -> bool:
     return bool(re.search(r"Aggregate \[[^\]]*x#\d+, y#\d+", plan))
 
 
-@pytest.mark.parametrize("name", ["cq_tile_clip_merge"])
+@pytest.mark.parametrize("name", ["cq_tile_clip_merge", "cq_fill_gaps"])
 def test_each_place_is_tested_once(spark, name):
     assert places_first(entry.queries()[name](spark, SF))
+
+
+def test_corners_stand_for_all_points_of_their_place(spark):
+    """The lowest point of a place is its corner, and thinning goes by the number of points."""
+    rng = np.random.default_rng(4)
+    points = [(1, float(x), float(y), float(z)) for x, y, z in rng.integers(0, 12, (900, 3))]
+    a = spark.createDataFrame(points, "gap long, x double, y double, z double")
+    whole = V.mesh_triangles(a, "gap", 10).collect()
+    b = V.corners(a).withColumn("gap", F.lit(1).cast("long"))
+    assert whole and V.mesh_triangles(b, "gap", 10, weight="points").collect() == whole
+    assert V.mesh_triangles(b, "gap", 10, above=899, most=20, weight="points").collect() != whole
+    assert V.mesh_triangles(b, "gap", 10, above=900, most=20, weight="points").collect() == whole
