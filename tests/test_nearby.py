@@ -99,7 +99,7 @@ def places_first(df) -> bool:
     return bool(re.search(r"Aggregate \[[^\]]*x#\d+, y#\d+", plan))
 
 
-@pytest.mark.parametrize("name", ["cq_tile_clip_merge", "cq_fill_gaps"])
+@pytest.mark.parametrize("name", ["cq_tile_clip_merge", "cq_fill_gaps", "cq_fill_gaps_scan"])
 def test_each_place_is_tested_once(spark, name):
     assert places_first(entry.queries()[name](spark, SF))
 
