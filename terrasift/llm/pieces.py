@@ -21,13 +21,13 @@ import heapq
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import sentencepiece
 import xxhash
@@ -42,8 +42,9 @@ UNKNOWN_PENALTY = 10.0
 MASK = 61
 #: Bytes of an input file whose texts share a file of parts; what bounds such a file.
 BLOCK_BYTES = 128 << 20
+#: Bytes of text that are cut at a time.
+CUT_BYTES = 4 << 20
 FLUSH = 300_000
-REMEMBERED = 400_000
 PARTS_IN_TASK = 16_384
 BLOCKS_IN_ROW = 4096
 _UNIT = re.compile(f"(?:{SPACE}+|\n)[^{SPACE}\n]*")
@@ -75,9 +76,18 @@ class Pieces:
         self.words = all(a == SPACE for a, b in inside if b == SPACE) and "\n" not in number
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, score, rank): equal scores have equal ranks, the best has 0."""
+        """(piece, id, score, rank, late): equal scores have equal ranks, the best has 0. ``late`` pieces are those of which
+        one half may be merged after them."""
         ranks = {v: k for k, v in enumerate(sorted({v for _, _, v in self.rows}, reverse=True))}
-        return spark.createDataFrame([(p, i, v, ranks[v]) for p, i, v in self.rows], "piece string, id int, score double, rank int")
+        rank = {p: ranks[v] for p, _, v in self.rows}
+
+        def late(p: str) -> bool:
+            halves = ((p[:k], p[k:]) for k in range(1, len(p)))
+            made = ([x for x in two if len(x) > 1] for two in halves if all(len(x) == 1 or x in rank for x in two))
+            return any(rank[x] >= rank[p] for two in made for x in two)
+
+        rows = [(p, i, v, rank[p], late(p)) for p, i, v in self.rows]
+        return spark.createDataFrame(rows, "piece string, id int, score double, rank int, late boolean")
 
     def units(self, text: str) -> list[str]:
         """Whole parts of a text in larger units, such as words, with its spaces written as the model writes them."""
@@ -88,21 +98,44 @@ class Pieces:
 
     def parts(self, unit: str) -> list[str]:
         """The parts of a unit."""
-        return self.parts_of([unit])[0]
+        data = unit.encode("utf-8", "surrogatepass")
+        cuts = np.flatnonzero(self.cuts(data)).tolist()
+        return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip([0, *cuts], [*cuts, len(data)])] if unit else []
+
+    def cuts(self, data: bytes | memoryview) -> np.ndarray:
+        """At which bytes of a text in UTF-8, as the model writes it, a part begins; but for its first byte."""
+        out = np.zeros(len(data), bool)
+        chars = np.frombuffer(data, np.uint8) & 0xC0 != 0x80
+        a = 0
+        while a < len(data):  # some MB at a time, as its characters take four bytes each, and their places eight
+            b = min(a + CUT_BYTES, len(data))
+            while b < len(data) and not chars[b]:
+                b += 1
+            stop = b + 1  # with the first character of what follows
+            while stop < len(data) and not chars[stop]:
+                stop += 1
+            text = str(data[a : min(stop, len(data))], "utf-8", "surrogatepass")
+            codes = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
+            starts = a + np.flatnonzero(chars[a : min(stop, len(data))])
+            out[starts[1:][~self.meet[codes[:-1], codes[1:]]]] = True
+            a = b
+        return out
 
-    def parts_of(self, units: list[str]) -> list[list[str]]:
-        """The parts of units, all cut in one go."""
-        text = "".join(units)
-        if not text:
-            return [[] for _ in units]
-        codes = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
-        ends = np.cumsum([len(u) for u in units])
-        cuts = ~self.meet[codes[:-1], codes[1:]]
-        cuts[ends[(ends > 0) & (ends < len(text))] - 1] = True
-        at = [0, *(np.flatnonzero(cuts) + 1).tolist(), len(text)]
-        flat = [text[a:b] for a, b in zip(at, at[1:])]
-        first = np.searchsorted(at, [0, *ends.tolist()]).tolist()
-        return [flat[a:b] for a, b in zip(first, first[1:])]
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all texts, one after another, and where those of each text begin and the last ones end."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        spaced = pc.binary_join_element_wise(pa.scalar(SPACE, pa.large_string()), pc.replace_substring(texts, " ", SPACE), pa.scalar("", pa.large_string()))
+        spaced = pc.if_else(pc.equal(texts, ""), "", spaced).cast(pa.large_string())
+        ends = np.frombuffer(spaced.buffers()[1], np.int64, len(spaced) + 1, 8 * spaced.offset)
+        if not len(spaced) or ends[0] == ends[-1]:
+            return pa.array([], pa.large_string()), np.zeros(len(spaced) + 1, np.int64)
+        data = spaced.buffers()[2].slice(int(ends[0]), int(ends[-1] - ends[0]))
+        ends = ends - ends[0]
+        begins = np.append(self.cuts(memoryview(data)), False)
+        begins[ends] = True
+        at = np.flatnonzero(begins)
+        parts = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype("<i8")), data])
+        return parts, np.searchsorted(at, ends)
 
     def decoder(self) -> list[str]:
         """The text of every id; byte pieces as surrogate escapes."""
@@ -186,41 +219,97 @@ def best_path(edges: Column, length: Column, reach: int, whole: bool) -> Column:
     return F.aggregate(F.sequence(F.lit(1), length), F.struct(F.lit(1).alias("next"), start.alias("done")), step, found)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with the value worked out once, however often lambdas ask for it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+#: A packed edge of a part of at most MASK characters: its end and start, and below them what it costs, which is
+#: pieces - score * SHORT_ROOM. Such a part has at most 4 * MASK pieces.
+COST_BITS = 50
+SHORT_ROOM = 256
+
+
+def short_path(edges: Column) -> Column:
+    """The (v, n) of ``best_path`` for a part of at most MASK characters with whole scores, over sorted, packed edges."""
+    end = lambda x: F.shiftright(x, COST_BITS + 6)
+    start = lambda x: F.shiftright(x, COST_BITS).bitwiseAND(F.lit(63))
+
+    def step(acc: Column, x: Column) -> Column:
+        # the best path to the latest position stands beside those to all before it
+        before = F.when(start(x) == acc["at"], acc["best"]).otherwise(F.get(acc["done"], start(x).cast("int")))
+        cost = before + x.bitwiseAND(F.lit((1 << COST_BITS) - 1))
+        same = acc["at"] == end(x)
+        return F.struct(
+            end(x).alias("at"),
+            F.when(same, F.least(acc["best"], cost)).otherwise(cost).alias("best"),
+            F.when(same, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["best"]))).alias("done"),
+        )
+
+    def found(acc: Column) -> Column:
+        v = -F.shiftright(acc["best"], SHORT_ROOM.bit_length() - 1)
+        return F.struct(v.cast("double").alias("v"), acc["best"].bitwiseAND(F.lit(SHORT_ROOM - 1)).alias("n"))
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(edges, F.struct(zero.alias("at"), zero.alias("best"), F.array().cast("array<long>").alias("done")), step, found)
+
+
 def merged(edges: Column, length: Column) -> Column:
     """The ids that BPE leaves of a part of at most MASK characters; -1 - start stands for a character without a piece.
 
-    ``edges``, sorted, are packed into long integers: rank, start, end and id + 1. The state has a bit for each boundary
-    that is left; an edge's ends are the bits ``need``, those between them ``inner``. A part of n characters takes n - 1
-    merges at most.
+    ``edges``, sorted, are packed into long integers: rank, start, end, whether the piece is late, and id + 1. The state has
+    a bit for each boundary that is left; an edge's ends are the bits ``need``, those between them ``inner``.
+
+    One pass in order of rank does all merges if no edge fits after its turn. It would have to join a piece that was merged
+    after it, so only late pieces can; after each merge, those before it are looked at. Where one fits, the part is merged
+    step by step, each time from the first edge on; a part of n characters takes n - 1 merges at most.
     """
     bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n)
-    start = lambda x: F.shiftright(x, 30).bitwiseAND(F.lit(63)).cast("int")
-    end = lambda x: F.shiftright(x, 24).bitwiseAND(F.lit(63)).cast("int")
+    start = lambda x: F.shiftright(x, 31).bitwiseAND(F.lit(63)).cast("int")
+    end = lambda x: F.shiftright(x, 25).bitwiseAND(F.lit(63)).cast("int")
+    is_late = lambda x: x.bitwiseAND(F.lit(1 << 24)) != 0
+    without = lambda left, inner: left.bitwiseAND(F.bitwise_not(inner))
 
     def bits(x: Column) -> Column:
         a, b = bit(start(x)), bit(end(x))
-        return F.struct(a.bitwiseOR(b).alias("need"), (b - a - a).alias("inner"))
+        return F.struct(a.bitwiseOR(b).alias("need"), (b - a - a).alias("inner"), x.alias("edge"))
 
-    def step(state: Column, _: Column) -> Column:
-        # the state carries the edges' bits along, so that they are worked out once
-        fits = F.filter(
-            state["merges"], lambda x: (state["left"].bitwiseAND(x["need"]) == x["need"]) & (F.bit_count(state["left"].bitwiseAND(x["inner"])) == 1)
-        )
-        gone = F.coalesce(F.get(fits, F.lit(0))["inner"], F.lit(0).cast("long"))
-        return F.struct(state["merges"].alias("merges"), state["left"].bitwiseAND(F.bitwise_not(gone)).alias("left"))
+    def fits(left: Column, x: Column) -> Column:
+        return (left.bitwiseAND(x["need"]) == x["need"]) & (F.bit_count(left.bitwiseAND(x["inner"])) == 1)
+
+    def in_order(merges: Column, late: Column) -> Column:
+        def turn(left: Column, x: Column) -> Column:
+            after = without(left, x["inner"])
+            missed = F.exists(late, lambda y: (y["edge"] < x["edge"]) & fits(after, y))
+            return F.when(fits(left, x), F.when(missed, F.lit(0).cast("long")).otherwise(after)).otherwise(left)  # nothing fits 0
+
+        return F.aggregate(merges, whole, turn)
+
+    def by_steps(merges: Column) -> Column:
+        def step(state: Column, _: Column) -> Column:
+            gone = F.get(F.filter(state["merges"], lambda x: fits(state["left"], x)), F.lit(0))["inner"]
+            left = without(state["left"], F.coalesce(gone, F.lit(0).cast("long")))
+            return F.struct(state["merges"].alias("merges"), left.alias("left"))
 
-    def pieces(state: Column) -> Column:
+        first = F.struct(merges.alias("merges"), whole.alias("left"))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), length - 1)), first, step, lambda state: state["left"])
+
+    def pieces(left: Column) -> Column:
         def stays(x: Column) -> Column:
-            b = bits(x)
-            return (state["left"].bitwiseAND(b["need"]) == b["need"]) & (state["left"].bitwiseAND(b["inner"]) == 0)
+            return (left.bitwiseAND(x["need"]) == x["need"]) & (left.bitwiseAND(x["inner"]) == 0)
 
-        last = F.filter(edges, stays)
-        placed = F.sort_array(F.transform(last, lambda x: F.struct(start(x).alias("s"), (x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int") - 1).alias("id"))))
+        own = lambda x: F.struct(start(x["edge"]).alias("s"), (x["edge"].bitwiseAND(F.lit((1 << 24) - 1)).cast("int") - 1).alias("id"))
+        placed = F.sort_array(F.transform(F.filter(F.transform(edges, bits), stays), own))
         return F.transform(placed, lambda x: F.when(x["id"] < 0, -1 - x["s"]).otherwise(x["id"]))
 
+    whole = bit(length + 1) - 1
     merges = F.transform(F.filter(edges, lambda x: end(x) - start(x) > 1), bits)
-    first = F.struct(merges.alias("merges"), (bit(length + 1) - 1).alias("left"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), length - 1)), first, step, pieces)
+
+    def left(m: Column) -> Column:
+        late = F.filter(m, lambda x: is_late(x["edge"]))
+        return let(let(late, lambda own: in_order(m, own)), lambda done: F.when(done == 0, by_steps(m)).otherwise(done))
+
+    return let(let(merges, left), pieces)
 
 
 def merge_text(text: str, rank: dict[str, tuple[int, float]], byte_base: int) -> list[int]:
@@ -274,17 +363,24 @@ def lattice(parts: DataFrame, pieces: Pieces, unigram: bool = False) -> DataFram
     count = F.when(known, F.lit(1)).otherwise(F.octet_length(span)).cast("long").alias("n")
     whole = all(float(v).is_integer() for _, _, v in pieces.rows)
     weight = score.cast("long") * ROOM - count if whole else F.struct(score, (-count).alias("less"))
-    path = F.sort_array(F.collect_list(F.struct("e", "s", weight.alias("w")))).alias("path")
-    best = best_path(F.col("path"), F.length("text"), pieces.longest, whole)
+    # parts that fit a bit mask have edges of one number each, which are gathered and sorted faster
+    packs = whole and max(v for _, _, v in pieces.rows) <= 0 and (UNKNOWN_PENALTY - pieces.least) * SHORT_ROOM * 2 < 1 << COST_BITS
+    short = (F.length("text") <= MASK) & F.lit(packs)
+    place = F.col("e").cast("long") * (1 << COST_BITS + 6) + F.col("s").cast("long") * (1 << COST_BITS)
+    path = F.sort_array(F.collect_list(F.when(~short, F.struct("e", "s", weight.alias("w"))))).alias("path")
+    costs = F.sort_array(F.collect_list(F.when(short, place + count - score.cast("long") * SHORT_ROOM))).alias("costs")
+    general = let(F.col("path"), lambda p: best_path(p, F.length("text"), pieces.longest, whole))
+    best = F.when(short, short_path(F.col("costs"))).otherwise(general)
     if unigram:
         ids = F.when(known, F.array("id")).otherwise(bytes_of("substring(text, s + 1, 1)")).alias("ids")
         edge = F.sort_array(F.collect_list(F.struct("e", "s", score, ids))).alias("edges")
-        grouped = edges.groupBy("text").agg(edge, path)
+        grouped = edges.groupBy("text").agg(edge, path, costs)
         found = grouped.select("text", viterbi(F.col("edges"), pieces.longest).alias("ids"), best.alias("best"))
         return found.select("text", "ids", F.col("best.v").alias("v_score"), F.col("best.n").alias("v_pieces"))
     rank = F.when(known, F.col("rank")).otherwise(0).cast("long")
-    packed = rank * (1 << 36) + F.col("s").cast("long") * (1 << 30) + F.col("e").cast("long") * (1 << 24) + F.coalesce(F.col("id") + 1, F.lit(0))
-    grouped = edges.groupBy("text").agg(F.sort_array(F.collect_list(F.when(F.col("n") <= MASK, packed))).alias("edges"), path)
+    span_at = F.col("s").cast("long") * (1 << 31) + F.col("e").cast("long") * (1 << 25)
+    packed = rank * (1 << 37) + span_at + F.when(F.col("late"), 1 << 24).otherwise(0) + F.coalesce(F.col("id") + 1, F.lit(0))
+    grouped = edges.groupBy("text").agg(F.sort_array(F.collect_list(F.when(F.col("n") <= MASK, packed))).alias("edges"), path, costs)
     folded = grouped.select("text", F.when(F.length("text") <= MASK, merged(F.col("edges"), F.length("text"))).alias("ids"), best.alias("best"))
     spelt = F.expr(
         "flatten(transform(ids, x -> if(x >= 0, array(x), transform(sequence(1, octet_length(substring(text, -x, 1))), i -> "
@@ -327,31 +423,29 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         docs = scratch.table(docs.select(F.col(id_col), F.col(text_col)))
     rows = with_blocks(docs, id_col, text_col)
 
-    def parts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, block = pieces_of(model), set(), None
 
-        def found() -> Iterator[pd.DataFrame]:
+        def found() -> Iterator[pa.RecordBatch]:
             if seen:
-                units, names = list(seen), set()
+                names = pa.array(seen, pa.string())
                 seen.clear()
-                for k in range(0, len(units), 20_000):
-                    names.update(*own.parts_of(units[k : k + 20_000]))
-                yield pd.DataFrame({"text": list(names), "block": block})
+                yield pa.RecordBatch.from_arrays([names, pa.array(np.full(len(names), block, np.int64))], names=["text", "block"])
 
         for batch in batches:
-            for text, b in zip(batch["text"], batch["block"]):
+            for b, rows in runs(batch):
                 if b != block or len(seen) >= FLUSH:
                     yield from found()
                     block = b
-                seen.update(own.units(text))
+                seen.update(pc.unique(own.cut(rows.column("text"))[0]).to_pylist())
         yield from found()
 
     # a part is a row for every few thousand blocks that it occurs in: short where blocks are few, bounded where they are many
     lists = -(-rows.select("block").distinct().count() // BLOCKS_IN_ROW) or 1
-    found = rows.select("text", "block").mapInPandas(parts_of, "text string, block long")
+    found = rows.select("text", "block").mapInArrow(parts_of, "text string, block long")
     listed = found.groupBy("text", F.pmod(F.col("block"), F.lit(lists)).alias("list")).agg(F.collect_set("block").alias("blocks"))
     listed = scratch.table(listed.drop("list"))
-    parts = scratch.table(listed.select("text").distinct())
+    parts = listed.select("text") if lists == 1 else scratch.table(listed.select("text").distinct())
     # a part becomes a hundred rows, so its few bytes are spread over many more tasks than their size asks for
     spread = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts.count() // PARTS_IN_TASK))
     folded = lattice(parts.repartition(spread, "text"), pieces_of(model), unigram)
@@ -368,16 +462,15 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         group = group.combine_chunks().sort_by([("hash", "ascending"), ("again", "ascending")])
         lists = group.column("ids").combine_chunks()
         lists = lists if isinstance(lists, pa.ListArray) else lists.chunk(0)
-        offsets = lists.offsets.to_numpy().astype("<i8")
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         own = f"{root}/.{block}.{uuid.uuid4().hex}"
-        with fs.open_output_stream(own) as out:
+        with fs.open_output_stream(own) as raw, pa.CompressedOutputStream(raw, "zstd") as out:
             out.write(np.array([len(group)], "<i8").tobytes())
             for name, kind in COLUMNS:
                 out.write(group.column(name).to_numpy().astype(kind).tobytes())
-            out.write((offsets - offsets[0]).tobytes())
-            out.write(lists.values.to_numpy()[offsets[0] : offsets[-1]].astype("<i4").tobytes())
+            out.write(np.diff(lists.offsets.to_numpy()).astype("<i4").tobytes())
+            out.write(lists.flatten().to_numpy().astype("<i4").tobytes())
         fs.move(own, f"{root}/{block}")
         return pa.table({"block": pa.array([block], pa.int64()), "parts": pa.array([len(group)], pa.int64())})
 
@@ -386,83 +479,61 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     id_type = pa.string() if dict(rows.dtypes)["id"] == "string" else pa.int64()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known, file, block, out = pieces_of(model), unit_ids(model, unigram), None, None, []
+        own, file, block = pieces_of(model), None, None
         strings = own.decoder()
         for batch in batches:
-            rows = [*zip(*(batch.column(c).to_pylist() for c in ("id", "text", "block")))]
-            for b, same in groupby(rows, lambda r: r[2]):
-                same = [*same]
-                for k in range(0, len(same), 100):
-                    units = [own.units(text) for _, text, _ in same[k : k + 100]]
-                    missing = [u for u in set().union(*units) if u not in known]
-                    if missing and b != block:
-                        block, file = b, PartFile.read(folder, b)
-                    known.learn(missing, own, file)
-                    for (i, text, _), us in zip(same[k : k + 100], units):
-                        at = [*map(known.__getitem__, us)]
-                        raw = b"".join(map(known.raw.__getitem__, at))
-                        ids, sums = np.frombuffer(raw, "<i4"), known.sums[at].sum(axis=0)
-                        out.append((i, ids, int(sums[0]), zlib.crc32(raw), decode_ids(ids, strings) == text, int(sums[1]), float(sums[2])))
-                    if sum(len(r[1]) for r in out) > 1_000_000:  # some MB of ids at a time
-                        yield result(out)
-                        out = []
-        if out:
-            yield result(out)
-
-    def result(out: list[tuple]) -> pa.RecordBatch:
+            for b, rows in runs(batch):
+                if b != block:
+                    block, file = b, PartFile.read(folder, b)
+                for few in slices(rows):
+                    yield assembled(few, own, file, strings)
+
+    def assembled(rows: pa.RecordBatch, own: Pieces, file: PartFile, strings: list[str]) -> pa.RecordBatch:
+        parts, first = own.cut(rows.column("text"))
+        coded = parts.dictionary_encode()
+        which, at = coded.indices.to_numpy(), file.places(coded.dictionary.to_pylist())
+        ids, ends = file.ids_at(at, which)
+        ends = ends[first]
+        raw = memoryview(ids).cast("B")
+        spans = [*zip(ends.tolist(), ends[1:].tolist())]
+        crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in spans]
+        same = [decode_ids(ids[a:z], strings) == text for (a, z), text in zip(spans, rows.column("text").to_pylist())]
+        best = [sums(file.columns[c][at][which], first, kind) for c, kind in (("v_pieces", np.int64), ("v_score", np.float64))]
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
         names = ["id", "ids", "n_parts", "n_pieces", "ids_crc32", "round_trip", "v_pieces", "v_score"]
-        own, ids, n_parts, crc, same, n_best, scores = zip(*out)
-        counts = np.array([len(x) for x in ids], np.int64)
-        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32)))
-        plain = [pa.array(n_parts, pa.int64()), pa.array(counts), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), pa.array(n_best, pa.int64()), pa.array(scores, pa.float64())]
-        return pa.RecordBatch.from_arrays([pa.array(own, id_type), lists, *plain], names=names)
+        plain = [pa.array(np.diff(first)), pa.array(np.diff(ends)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_()), *map(pa.array, best)]
+        return pa.RecordBatch.from_arrays([rows.column("id").cast(id_type), lists, *plain], names=names)
 
     kind = "string" if id_type == pa.string() else "long"
     schema = f"id {kind}, ids array<int>, n_parts long, n_pieces long, ids_crc32 long, round_trip boolean, v_pieces long, v_score double"
     return rows.withColumn("id", F.col("id").cast(kind)).mapInArrow(assemble, schema)
 
 
-class UnitIds(dict):
-    """The places of units in ``raw``, their ids as bytes, and in ``sums``: parts, pieces and score of the best path.
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The blocks of a batch, with their rows, which follow each other."""
+    blocks = batch.column("block").to_numpy()
+    at = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+    for a, b in zip(at, at[1:]):
+        if a < b:
+            yield int(blocks[a]), batch.slice(a, b - a)
 
-    A bounded number of them is remembered, and for a while what has just been asked for.
-    """
 
-    def __init__(self):
-        self.now: dict[str, int] = {}
-        self.raw: list[bytes] = []
-        self.sums = np.zeros((1024, 3))
-
-    def __missing__(self, unit: str) -> int:
-        return self.now[unit]
-
-    def learn(self, missing: list[str], pieces: Pieces, file: PartFile) -> None:
-        """Look up the parts of units that aren't known."""
-        if len(self.raw) > len(self):  # what was only asked for
-            self.now = {}
-            del self.raw[len(self) :]
-        if not missing:
-            return
-        split = pieces.parts_of(missing)
-        names = list(set().union(*split))
-        place = dict(zip(names, range(len(names))))
-        found, n, v = file.find(names)
-        flat, counts = [*map(place.__getitem__, chain.from_iterable(split))], np.fromiter(map(len, split), np.int64, len(split))
-        ids, ends = [*map(found.__getitem__, flat)], np.cumsum(counts)
-        first = ends - counts
-        self.raw += [b"".join(ids[a:b]) if b - a > 1 else ids[a] for a, b in zip(first.tolist(), ends.tolist())]
-        while len(self.sums) < len(self.raw):
-            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        at = slice(len(self), len(self.raw))
-        self.sums[at, 0], self.sums[at, 1], self.sums[at, 2] = counts, np.add.reduceat(n[flat], first), np.add.reduceat(v[flat], first)
-        (self if len(self) + len(missing) <= REMEMBERED else self.now).update(zip(missing, range(at.start, at.stop)))
+def slices(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows in slices of some MB of text, or of one row."""
+    size = np.cumsum(pc.binary_length(rows.column("text")).to_numpy(zero_copy_only=False))
+    a = 0
+    while a < len(rows):
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + CUT_BYTES, "right")))
+        yield rows.slice(a, b - a)
+        a = b
 
 
-@functools.lru_cache(maxsize=1)
-def unit_ids(model: str, unigram: bool) -> UnitIds:
-    """The units that the tasks of a Python worker remember; with one model, their ids are the same in all blocks."""
-    return UnitIds()
+def sums(values: np.ndarray, first: np.ndarray, kind: type) -> np.ndarray:
+    """The sums of values from each place in ``first`` to the next one."""
+    out, some = np.zeros(len(first) - 1, kind), np.diff(first) > 0
+    if some.any():
+        out[some] = np.add.reduceat(values.astype(kind), first[:-1][some])
+    return out
 
 
 #: Spark's xxhash64 of a part, and the upper half of one with a prefix, which tells parts of one hash apart.
@@ -483,29 +554,42 @@ class PartFile:
 
     columns: dict[str, np.ndarray]
     offsets: np.ndarray
-    raw: bytes
+    raw: bytes | memoryview
 
     @classmethod
     def read(cls, folder: str, block: int) -> PartFile:
         fs, root = pafs.FileSystem.from_uri(folder)
-        with fs.open_input_stream(f"{root}/{block}") as f:
-            raw = f.read()
+        with fs.open_input_stream(f"{root}/{block}") as f, pa.CompressedInputStream(f, "zstd") as out:
+            raw = out.read()
         n = int(np.frombuffer(raw, "<i8", 1)[0])
         columns, at = {}, 8
         for name, kind in COLUMNS:
             columns[name] = np.frombuffer(raw, kind, n, at)
             at += columns[name].nbytes
-        return cls(columns, np.frombuffer(raw, "<i8", n + 1, at), raw[at + 8 * (n + 1) :])
+        counts = np.frombuffer(raw, "<i4", n, at)
+        return cls(columns, np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), memoryview(raw)[at + 4 * n :])
 
-    def find(self, parts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The ids of parts as bytes, and the pieces and the scores of their best paths."""
+    def places(self, parts: list[str]) -> np.ndarray:
+        """Where parts stand."""
         own, hashes = self.columns["hash"], hashes_of(parts)
         at, end = np.searchsorted(own, hashes), np.searchsorted(own, hashes, "right")
         if (at == end).any():
             raise KeyError("a part is not in its block's file")
         for k in np.flatnonzero(end - at > 1):  # parts of one hash: the other one decides
             at[k] += np.searchsorted(self.columns["again"][at[k] : end[k]], hashes_of([parts[k]], AGAIN)[0])
-        ids = [self.raw[a:b] for a, b in zip((4 * self.offsets[at]).tolist(), (4 * self.offsets[at + 1]).tolist())]
+        return at
+
+    def ids_at(self, places: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the parts at ``places[which]``, one after another, and where those of each begin and the last ones end."""
+        starts, counts = self.offsets[places][which], (self.offsets[places + 1] - self.offsets[places])[which]
+        ends = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+        own = np.repeat(starts - ends[:-1], counts) + np.arange(ends[-1])
+        return np.frombuffer(self.raw, "<i4")[own], ends
+
+    def find(self, parts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The ids of parts as bytes, and the pieces and the scores of their best paths."""
+        at = self.places(parts)
+        ids = [bytes(self.raw[a:b]) for a, b in zip((4 * self.offsets[at]).tolist(), (4 * self.offsets[at + 1]).tolist())]
         return ids, self.columns["v_pieces"][at], self.columns["v_score"][at]
 
 
