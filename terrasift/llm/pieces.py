@@ -117,7 +117,8 @@ class Pieces:
             text = str(data[a : min(stop, len(data))], "utf-8", "surrogatepass")
             codes = self.number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")]
             starts = a + np.flatnonzero(chars[a : min(stop, len(data))])
-            out[starts[1:][~self.meet[codes[:-1], codes[1:]]]] = True
+            pairs = codes[:-1].astype(np.intp) * len(self.meet) + codes[1:]
+            out[starts[1:][~self.meet.ravel().take(pairs)]] = True
             a = b
         return out
 
@@ -296,10 +297,11 @@ def merged(edges: Column, length: Column) -> Column:
 
     def pieces(left: Column) -> Column:
         def stays(x: Column) -> Column:
-            return (left.bitwiseAND(x["need"]) == x["need"]) & (left.bitwiseAND(x["inner"]) == 0)
+            a, b = bit(start(x)), bit(end(x))
+            return left.bitwiseAND(b + b - a) == a + b  # its ends are left, and nothing between them
 
-        own = lambda x: F.struct(start(x["edge"]).alias("s"), (x["edge"].bitwiseAND(F.lit((1 << 24) - 1)).cast("int") - 1).alias("id"))
-        placed = F.sort_array(F.transform(F.filter(F.transform(edges, bits), stays), own))
+        own = lambda x: F.struct(start(x).alias("s"), (x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int") - 1).alias("id"))
+        placed = F.sort_array(F.transform(F.filter(edges, stays), own))
         return F.transform(placed, lambda x: F.when(x["id"] < 0, -1 - x["s"]).otherwise(x["id"]))
 
     whole = bit(length + 1) - 1
@@ -437,7 +439,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 if b != block or len(seen) >= FLUSH:
                     yield from found()
                     block = b
-                seen.update(pc.unique(own.cut(rows.column("text"))[0]).to_pylist())
+                seen.update(strings_of(pc.unique(own.cut(rows.column("text"))[0])))
         yield from found()
 
     # a part is a row for every few thousand blocks that it occurs in: short where blocks are few, bounded where they are many
@@ -480,7 +482,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, file, block = pieces_of(model), None, None
-        strings = own.decoder()
+        strings = pa.array([x.encode("utf-8", "surrogateescape") for x in own.decoder()], pa.large_binary())
         for batch in batches:
             for b, rows in runs(batch):
                 if b != block:
@@ -488,16 +490,20 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 for few in slices(rows):
                     yield assembled(few, own, file, strings)
 
-    def assembled(rows: pa.RecordBatch, own: Pieces, file: PartFile, strings: list[str]) -> pa.RecordBatch:
+    def assembled(rows: pa.RecordBatch, own: Pieces, file: PartFile, strings: pa.Array) -> pa.RecordBatch:
         parts, first = own.cut(rows.column("text"))
         coded = parts.dictionary_encode()
-        which, at = coded.indices.to_numpy(), file.places(coded.dictionary.to_pylist())
+        which, at = coded.indices.to_numpy(), file.places(strings_of(coded.dictionary))
         ids, ends = file.ids_at(at, which)
         ends = ends[first]
         raw = memoryview(ids).cast("B")
         spans = [*zip(ends.tolist(), ends[1:].tolist())]
         crc = [zlib.crc32(raw[4 * a : 4 * z]) for a, z in spans]
-        same = [decode_ids(ids[a:z], strings) == text for (a, z), text in zip(spans, rows.column("text").to_pylist())]
+        decoded = pc.take(strings, pa.array(ids))  # all ids at once; what belongs to one text lies together
+        at_byte = np.frombuffer(decoded.buffers()[1], np.int64, len(ids) + 1, 8 * decoded.offset)[ends].tolist()
+        spelt = memoryview(decoded.buffers()[2] or b"").cast("B")
+        texts = rows.column("text").cast(pa.binary()).to_pylist()
+        same = [spelt[a:z] == (b" " + text if text else b"") for a, z, text in zip(at_byte, at_byte[1:], texts)]
         best = [sums(file.columns[c][at][which], first, kind) for c, kind in (("v_pieces", np.int64), ("v_score", np.float64))]
         lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
         names = ["id", "ids", "n_parts", "n_pieces", "ids_crc32", "round_trip", "v_pieces", "v_score"]
@@ -509,6 +515,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     return rows.withColumn("id", F.col("id").cast(kind)).mapInArrow(assemble, schema)
 
 
+def strings_of(names: pa.Array) -> list[str]:
+    """The same as to_pylist(), which makes an object for every value first."""
+    return names.to_numpy(zero_copy_only=False).tolist()
+
+
 def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
     """The blocks of a batch, with their rows, which follow each other."""
     blocks = batch.column("block").to_numpy()

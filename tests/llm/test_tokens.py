@@ -1,5 +1,6 @@
 """Token files, SentencePiece, vector search, formatting and the pipeline against libraries and brute force."""
 
+import itertools
 import random
 import re
 import zlib
@@ -7,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -400,3 +402,28 @@ def test_stages_of_odd_rows(spark, tmp_path):
             assert sum(r.doc_id == 3 for r in last) <= 2 and any(r.doc_id == 4 for r in last)
         else:
             assert not last
+
+
+def test_texts_are_cut_in_slices_and_batches(model, monkeypatch):
+    """The parts of a text don't depend on how many bytes are cut at a time, or on the texts beside it."""
+    own = model[0]
+    texts = [*ODD_TEXTS, None, "", " a  b", "end ", " start", "é" * 30 + "日本 \n x"]
+    want = [[p for unit in own.units(t or "") for p in own.parts(unit)] for t in texts]
+    for size in (1, 7, 4 << 20):
+        monkeypatch.setattr(pieces, "CUT_BYTES", size)
+        parts, first = own.cut(pa.array(texts, pa.string()).slice(1))
+        assert [parts.to_pylist()[a:b] for a, b in zip(first, first[1:])] == want[1:]
+
+
+def test_merges_after_late_pieces(spark):
+    """Half of a late piece may be merged after it: then the piece's turn comes again, as with a priority queue."""
+    rows = [("ab", 10, -5.0), ("bc", 11, -1.0), ("cd", 12, -2.0), ("abc", 13, -6.0), ("abcd", 14, -3.0), ("de", 15, 0.0), ("bcd", 16, -4.0)]
+    rows += [(c, k, -90.0) for k, c in enumerate("abcde")]
+    own = object.__new__(pieces.Pieces)
+    own.rows, own.byte_base, own.longest, own.least = rows, 100, 4, -90.0
+    assert {r.piece for r in own.table(spark).where("late").collect()} == {"abcd"}
+    rank = {p: (i, v) for p, i, v in rows}
+    texts = ["".join(t) for n in range(1, 6) for t in itertools.product("abcde", repeat=n)]
+    got = pieces.lattice(spark.createDataFrame([(t,) for t in texts], "text string").repartition(8, "text"), own).collect()
+    assert len(got) == len(texts) and all(list(r.ids) == pieces.merge_text(r.text, rank, 100) for r in got)
+    assert all((r.v_score, r.v_pieces) == brute_path(own, r.text) for r in got)
