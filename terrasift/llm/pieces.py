@@ -6,8 +6,8 @@ distinct parts of all texts go through the lattice once: substrings of bounded l
 piece table, the edges are grouped by part, and a higher-order aggregate() folds them by Viterbi: the path of the
 greatest total score, of the fewest pieces among equals. For a unigram model that is the encoding. For a BPE model the
 library returns another path; there a second fold runs over the same edges by merge priority, with the part's remaining
-boundaries as its state: each step takes the best edge that spans exactly two current pieces, the leftmost among equals,
-and removes the boundary between them. Characters that no piece covers are spelt as bytes.
+boundaries as its state: the best edge that spans exactly two current pieces, the leftmost among equals, removes the
+boundary between them. Characters that no piece covers are spelt as bytes.
 
 Every block of input then gets the parts that occur in it, as a sorted file in the shared folder, and each text is
 assembled from its block's file, so that neither the texts nor their words are shuffled, and nothing that grows with the
