@@ -230,6 +230,30 @@ def test_gaps_are_filled_by_their_whole_surface(spark, db):
         assert {r[by]: r.n for r in QUERIES[name](spark, SF).collect()} == want
 
 
+def gap_of_ridges(path):
+    """One gap (47 < x < 51, 11 < y < 15) with 122400 ground points on 51000 places, which lie 0, 1 and 2 m high in turn."""
+    rows = """select cast(i as bigint) as l_orderkey, cast(0 as integer) as l_linenumber, cast(n as bigint) as l_partkey, cast(1 as bigint) as l_suppkey,
+     47000 + (i % 255 + 1) * 7.8e0 + (i * 7919 % 1000) / 1e3 as l_extendedprice, (11 + (i // 255 + 1) / 201e0 * 4) / 2 + (i * 104729 % 1000) / 1e6 as l_quantity,
+     (i * 7 % 3) / 100e0 as l_discount, 0e0 as l_tax, 'A' as l_returnflag, 'F' as l_linestatus, date '1995-01-01' as l_shipdate"""
+    duckdb.sql(f"copy ({rows} from range(51000) r(i), range(3) k(n) where n < 2 or i < 20400) to '{path}/lineitem.parquet'")
+    duckdb.sql(f"copy (select cast(17 as bigint) as s_suppkey, 'one' as s_name, 1 as s_nationkey) to '{path}/supplier.parquet'")
+
+
+@pytest.mark.parametrize("name", ["cq_fill_gaps"])
+def test_gaps_of_many_points_are_not_thinned(spark, tmp_path, name):
+    """Above 120000 points a gap had the surface of 50000 of them."""
+    gap_of_ridges(tmp_path)
+    points = view(spark, str(tmp_path), "v_points").toPandas()
+    box = view(spark, str(tmp_path), "v_boxes").first()
+    x, y = points["x"], points["y"]
+    inside = points[(x > box.xmin) & (x < box.xmax) & (y > box.ymin) & (y < box.ymax) & ~((x >= (box.xmin + box.xmax) / 2) & (y >= (box.ymin + box.ymax) / 2))]
+    assert len(inside) > 120_000
+    p = inside.sort_values(["x", "y", "z"]).drop_duplicates(["x", "y"])[["x", "y", "z"]].to_numpy(float)
+    assert len(p) > 50_000
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    assert [r.n for r in got if r[0] in (17, "fill")] == [int(surface(p)) * 100]
+
+
 def test_boxes_are_cut_to_the_raster(spark, db):
     cells = spark.createDataFrame([(0, 0), (0, 1), (599, 7), (600, 7), (700, 199)], "r long, c long")
     raster = spark.range(1).selectExpr("701L - 1 as r", "199L as c")
