@@ -239,7 +239,7 @@ def gap_of_ridges(path):
     duckdb.sql(f"copy (select cast(17 as bigint) as s_suppkey, 'one' as s_name, 1 as s_nationkey) to '{path}/supplier.parquet'")
 
 
-@pytest.mark.parametrize("name", ["cq_fill_gaps"])
+@pytest.mark.parametrize("name", ["cq_fill_gaps", "cq_fill_gaps_scan"])
 def test_gaps_of_many_points_are_not_thinned(spark, tmp_path, name):
     """Above 120000 points a gap had the surface of 50000 of them."""
     gap_of_ridges(tmp_path)
