@@ -130,3 +130,43 @@ def test_corners_stand_for_all_points_of_their_place(spark):
     assert whole and V.mesh_triangles(b, "gap", 10, weight="points").collect() == whole
     assert V.mesh_triangles(b, "gap", 10, above=899, most=20, weight="points").collect() != whole
     assert V.mesh_triangles(b, "gap", 10, above=900, most=20, weight="points").collect() == whole
+
+
+@pytest.mark.parametrize("name", ["join_nearest_per_side"])
+def test_lines_are_sent_to_few_cells(spark, monkeypatch, name):
+    """Each long segment and each corridor went to dozens of narrow cells, which is what filled the disk."""
+    sent, along = [], S.cells_along
+
+    def counted(rows, size, reach):
+        out = along(rows, size, reach)
+        sent.append((out.count(), rows.count()))
+        return out
+
+    monkeypatch.setattr(S, "cells_along", counted)
+    monkeypatch.setattr(N, "AIM", 1)  # as if points were 400 times as dense
+    assert entry.queries()[name](spark, "/root/testdata/sf0.01").count()
+    assert sent and sum(a for a, _ in sent) < 12 * sum(b for _, b in sent)
+
+
+def test_points_across_wide_gaps_and_in_several_chunks(spark):
+    """Rows of points far from each other, directions along both axes, and many copies of one place and one direction."""
+    rng = np.random.default_rng(8)
+    x, y = np.r_[rng.integers(0, 40, 400), 3.0] * 0.5, np.r_[rng.integers(0, 6, 400) * 3.0, 1e3]
+    kind, ids = rng.integers(0, 2, 401), rng.permutation(401)
+    turn = np.r_[0, 0.5, 1, 1.5, rng.uniform(0, 2, 60)] * np.pi
+    rd = np.array([rng.integers(0, 40, 64) * 0.5, rng.integers(0, 6, 64) * 3.0, np.cos(turn), np.sin(turn)])
+    rd[2, [1, 3]] = rd[3, [0, 2]] = 0.0
+    got = {}
+    for q, o, side, d in N.across(rd, x, y, kind, 2, ids, 1.0, 0.01, 5.0):
+        for key, value in zip(zip(q, kind[o], side), zip(d, ids[o])):
+            assert key not in got
+            got[key] = value
+    want = {}
+    for q, (rx, ry, tx, ty) in enumerate(rd.T):
+        for px, py, k, i in zip(x, y, kind, ids):
+            dx, dy = px - rx, py - ry
+            cross = dx * -ty + dy * tx
+            if abs(dx * tx + dy * ty) <= 1 and abs(cross) <= 5:
+                key = (q, k, np.sign(cross))
+                want[key] = min(want.get(key, (9.0, 0)), (abs(cross), i))
+    assert got == want and {s for _, _, s in want} == {-1, 0, 1}
