@@ -132,7 +132,7 @@ def test_corners_stand_for_all_points_of_their_place(spark):
     assert V.mesh_triangles(b, "gap", 10, above=900, most=20, weight="points").collect() == whole
 
 
-@pytest.mark.parametrize("name", ["join_nearest_per_side"])
+@pytest.mark.parametrize("name", ["join_nearest_per_side", "cq_cross_section_validate"])
 def test_lines_are_sent_to_few_cells(spark, monkeypatch, name):
     """Each long segment and each corridor went to dozens of narrow cells, which is what filled the disk."""
     sent, along = [], S.cells_along
