@@ -170,3 +170,27 @@ def test_points_across_wide_gaps_and_in_several_chunks(spark):
                 key = (q, k, np.sign(cross))
                 want[key] = min(want.get(key, (9.0, 0)), (abs(cross), i))
     assert got == want and {s for _, _, s in want} == {-1, 0, 1}
+
+
+@pytest.mark.parametrize("name", ["cq_fill_gaps"])
+def test_polygons_of_one_shape_are_tested_once(spark, monkeypatch, tmp_path, name):
+    """Three polygons of each shape count three times, but only one of them is held against the points."""
+    tested, test = [], S.point_in_polygon
+
+    def counted(points, polys, **more):
+        tested.append(polys.count())
+        return test(points, polys, **more)
+
+    suppliers = spark.read.parquet(f"{SF}/supplier.parquet")
+    once = entry.queries()[name](spark, SF).collect()
+    spark.read.parquet(f"{SF}/lineitem.parquet").write.parquet(f"{tmp_path}/lineitem.parquet")
+    copies = suppliers.withColumn("s_suppkey", F.explode(F.array(*(F.col("s_suppkey") + 97 * 89 * k for k in range(3)))))
+    copies.write.parquet(f"{tmp_path}/supplier.parquet")
+    monkeypatch.setattr(S, "point_in_polygon", counted)
+    got = entry.queries()[name](spark, str(tmp_path)).collect()
+    assert tested and sum(tested) == suppliers.count()
+    if name == "cq_tile_clip_merge":
+        assert once and {(r.tx, r.ty, r.n) for r in got} == {(r.tx, r.ty, 3 * r.n) for r in once}
+    else:
+        moved = lambda r, k: tuple(r[c] + 97 * 89 * k if c == "poly_id" else r[c] for c in sorted(r.asDict()))
+        assert once and sorted(moved(r, 0) for r in got) == sorted(moved(r, k) for r in once for k in range(3))
