@@ -172,7 +172,7 @@ def test_points_across_wide_gaps_and_in_several_chunks(spark):
     assert got == want and {s for _, _, s in want} == {-1, 0, 1}
 
 
-@pytest.mark.parametrize("name", ["cq_fill_gaps", "cq_tile_clip_merge"])
+@pytest.mark.parametrize("name", ["cq_fill_gaps", "cq_tile_clip_merge", "join_pip"])
 def test_polygons_of_one_shape_are_tested_once(spark, monkeypatch, tmp_path, name):
     """Three polygons of each shape count three times, but only one of them is held against the points."""
     tested, test = [], S.point_in_polygon
